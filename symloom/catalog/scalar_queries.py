@@ -306,8 +306,8 @@ def line_of_offset(v):
 @query(
     """WITH @v_doc SELECT unit,
     CAST((length(code) - length(replace(code, 'an', ''))) // 2 AS BIGINT) AS n_an,
-    CAST(len(list_filter(range(1, length(code) - 1), lambda i: code[i:i+2] = 'ana')) AS BIGINT) AS n_ana,
-    CAST(len(list_filter(range(1, length(code)), lambda i: code[i:i+1] = 'ee')) AS BIGINT) AS n_ee FROM v_doc"""
+    CAST(coalesce(list_sum([(length(m) - 1) // 2 for m in regexp_extract_all(code, 'a(?:na)+')]), 0) AS BIGINT) AS n_ana,
+    CAST(coalesce(list_sum([length(m) - 1 for m in regexp_extract_all(code, 'ee+')]), 0) AS BIGINT) AS n_ee FROM v_doc"""
 )
 def occurrences(v):
     code = F.col("code")

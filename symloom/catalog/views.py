@@ -86,7 +86,7 @@ class Views:
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
         return self.table("events").select(
             F.col("user_id").alias("method"), F.row_number().over(w).cast("long").alias("idx"),
-            F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"),
             F.col("event_type").alias("op"),
             F.get_json_object("props", "$.k").cast("int").alias("k"),
         )
@@ -94,7 +94,7 @@ class Views:
     @cached_property
     def v_flow(self) -> DataFrame:
         """Events as the steps of small methods: one per user and three days."""
-        day = F.floor(F.unix_seconds("ts") / THREE_DAYS).cast("long")
+        day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / THREE_DAYS).cast("long")
         method = F.col("user_id") * 10000 + day
         base = self.table("events").select(
             method.alias("method_key"), "ts", "event_id", F.col("event_type").alias("op"),

@@ -43,7 +43,7 @@ def allocate_names(
         symbols.filter("renamable"), scope, order, {"__k": row_number()}, split
     )
     digits = F.regexp_extract("name", f"^{quote(prefix)}([0-9]{{1,15}})$", 1)
-    number = F.when(digits != "", digits.cast("long"))
+    number = digits.try_cast("long")
     canonical = F.concat(F.lit(prefix), padded(number)) == F.col("name")
     kept = (
         symbols.filter(~F.col("renamable"))

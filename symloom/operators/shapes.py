@@ -152,7 +152,7 @@ def data_classes(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
     good = agree.groupBy("cls", "name", "ord", "arity").agg(F.count(F.lit(1)).alias("n")).filter("n = arity")
     has_both = good.groupBy("cls").agg(F.count_distinct("name").alias("k")).filter("k = 2").select("cls")
 
-    numbered = methods.filter(component).select("cls", index.cast("long").alias("pos"), F.col("ret").alias("type"))
+    numbered = methods.filter(component).select("cls", index.try_cast("long").alias("pos"), F.col("ret").alias("type"))
     total = numbered.groupBy("cls").agg(F.count(F.lit(1)).alias("n_comp"))
     right = numbered.join(placed, ["cls", "pos", "type"]).groupBy("cls").agg(F.count_distinct("pos").alias("n_right"))
     parts = total.join(right, "cls").filter(F.col("n_comp") == F.col("n_right"))

@@ -97,7 +97,7 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
         "app_id", "cls", "ord",
         F.substring_index(shown, "(", 1).alias("name"), sig.alias("sig"),
         access_flags(signed).alias("flags"),
-        F.when(registers != "", registers.cast("int")).alias("registers"),
+        registers.try_cast("int").alias("registers"),
         F.nullif(failure, F.lit("")).alias("error"),
         F.concat(F.col("cls"), F.lit("->"), shown).alias("method_key"),
         F.regexp_replace("block", _PAYLOAD, "").alias("body"),
@@ -134,14 +134,14 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     plain = F.regexp_replace("ops", "\"(?:\\\\.|[^\"\\\\])*\"", "")
 
     def number(r: Column) -> Column:
-        n = F.substring(r, F.lit(2), F.length(r)).cast("int")
+        n = F.substring(r, F.lit(2), F.length(r)).try_cast("int")
         return F.when(r.startswith("p"), F.col("first_param") + n).otherwise(n)
 
     listed = F.transform(F.regexp_extract_all(plain, F.lit(register), F.lit(1)), number)
     ranged = F.sequence(listed[0], listed[1])
     literal = F.regexp_extract(plain, "(?:^|, )(-?)0x([0-9a-fA-F]+)$", 2)
     negative = F.regexp_extract(plain, "(?:^|, )(-?)0x([0-9a-fA-F]+)$", 1) == "-"
-    value = F.conv(literal, 16, 10).cast("long")
+    value = F.conv(literal, 16, 10).try_cast("long")
     reference = F.regexp_extract(plain, "((?:\\[*L[^;]+;|\\[+[ZBSCIJFD])(?:->\\S+)?)$", 1)
     text_const = F.regexp_extract("ops", "(\"(?:\\\\.|[^\"\\\\])*\")$", 1)
     full = insns.select(
