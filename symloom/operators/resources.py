@@ -77,13 +77,14 @@ def format_entries(entries: DataFrame, symbols: DataFrame) -> DataFrame:
     ).drop("__ref")
 
 
-def render_bags(resources: DataFrame, framework: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+def render_bags(resources: DataFrame, symbols: DataFrame, strings: DataFrame | None = None) -> DataFrame:
     """(id, config, text): ``[name=value, …]`` in item order from ``bag`` arrays; empty bag ``[]``.
 
+    ``resources(id, config, ord, bag)``; ``symbols`` from symbolic_names.
+
     Items are exploded from one row's array, named by joins and put back together; a group is never
     larger than the array it came from.  ``strings(vdata, string)`` names string values.
     """
-    symbols = symbolic_names(resources, framework)
     keyed = resources.filter(F.col("bag").isNotNull())
     items = keyed.select("id", "config", "ord", F.posexplode_outer("bag").alias("pos", "item"))
     flat = items.select(
