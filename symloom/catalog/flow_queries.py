@@ -1 +1,112 @@
+"""Streams run to their end over the given files, and user-defined functions."""
+
+from __future__ import annotations
+
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from symloom.catalog.registry import query
+from symloom.operators import plugins
+from symloom.session import ensure_checkpoint_dir
+from symloom.streaming import flows
+
+
+def stream_of(v, table):
+    return v.spark.readStream.schema(v.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(v.folder)
+
+
+def scratch(v):
+    """A new folder on the storage the cluster names for checkpoints."""
+    return f"{ensure_checkpoint_dir(v.spark)}/flow-{uuid.uuid4().hex}"
+
+
+@query(
+    """WITH @v_doc, r AS (SELECT unit, regexp_replace(code, '\\r\\n|\\r', chr(10), 'g') AS code FROM v_doc),
+    l AS (SELECT unit, unnest(string_split(code, chr(10))) AS t, generate_subscripts(string_split(code, chr(10)), 1) AS line FROM r)
+    SELECT unit, line, md5(regexp_replace(t, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS snippet FROM l WHERE contains(lower(t), 'tion th')"""
+)
+def stream_search(v):
+    folder = scratch(v)
+    units = stream_of(v, "documents").select(F.col("doc_id").alias("unit"), F.col("text").alias("code"))
+    flows.stream_search(units, "tion th", folder, f"{folder}/checkpoint").awaitTermination()
+    found = v.spark.read.parquet(f"{folder}/matches")
+    return found.select("unit", F.col("line").cast("long").alias("line"), F.md5("snippet").alias("snippet"))
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS text FROM documents GROUP BY text")
+def stream_first_wins(v):
+    folder = scratch(v)
+    docs = stream_of(v, "documents").select("doc_id", "text", "lang")
+    flows.stream_first_wins(docs, ["text"], ["doc_id"], folder, f"{folder}/checkpoint").awaitTermination()
+    return v.spark.read.parquet(f"{folder}/rows").select("doc_id", F.md5("text").alias("text"))
+
+
+@query(
+    """WITH @v_judged SELECT category, verdict, count(*) AS n, count(*) FILTER (WHERE evidenced) AS evidenced FROM v_judged GROUP BY 1, 2"""
+)
+def stream_scoreboard(v):
+    """Documents arrive as a stream and meet the stored scores of their sample."""
+    folder = scratch(v)
+    arriving = stream_of(v, "documents").select(F.col("doc_id").alias("sample"))
+    board = flows.stream_scoreboard(arriving.join(v.v_sig, "sample"))
+
+    def put(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/board")
+
+    (
+        board.writeStream.outputMode("complete").foreachBatch(put)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    return v.spark.read.parquet(f"{folder}/board")
+
+
+@query(
+    """SELECT doc_id AS path, CASE WHEN contains(text, '|') THEN 'table' WHEN lang <> 'en' THEN 'foreign' ELSE 'plain' END AS reader FROM documents
+    WHERE contains(text, '|') OR lang <> 'en' OR n_chars > 100"""
+)
+def input_readers(v):
+    """Three readers in order; an input none of them takes is not loaded."""
+    readers = plugins.Readers()
+    readers.register_reader("table", lambda files: files.filter(F.contains(F.col("text"), F.lit("|"))))
+    readers.register_reader("foreign", lambda files: files.filter("lang <> 'en'"))
+    readers.register_reader("plain", lambda files: files.filter("n_chars > 100"))
+    files = v.table("documents").withColumnRenamed("doc_id", "path")
+    return readers.load(files).select("path", "reader")
+
+
+@query(
+    """SELECT user_id AS method_key, count(*) AS n, max(CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT)) AS top FROM events GROUP BY 1"""
+)
+def map_methods(v):
+    """A user function per method, after a whole-program transform."""
+    rows = v.table("events").select(
+        F.col("user_id").alias("method_key"), F.get_json_object("props", "$.k").cast("long").alias("k")
+    )
+
+    def summary(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"method_key": [group["method_key"].iloc[0]], "n": [len(group)], "top": [group["k"].max()]})
+
+    whole = plugins.transform_app(rows, lambda df: df.filter("k IS NOT NULL"))
+    return plugins.map_methods(whole, summary, "method_key long, n long, top long")
+
+
+@query(
+    """SELECT user_id, CASE WHEN user_id % 10 <> 0 THEN count(*) END AS n, CASE WHEN user_id % 10 = 0 THEN 'ValueError: bad user ' || user_id END AS error
+    FROM events GROUP BY user_id"""
+)
+def guarded_apply(v):
+    """Every tenth user makes the function fail; the others are not touched by that."""
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n", T.LongType())])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        user = int(group["user_id"].iloc[0])
+        if user % 10 == 0:
+            raise ValueError(f"bad user {user}")
+        return pd.DataFrame({"user_id": [user], "n": [len(group)]})
+
+    return plugins.guarded_apply(v.table("events").select("user_id"), ["user_id"], count, schema)
+
 

@@ -173,8 +173,8 @@ def check_renames(v):
         .when(e % 3 == 0, F.concat(kind, (k % 4).cast("string")))
         .otherwise(F.concat(kind, F.col("user_id").cast("string")))
     )
-    requests = v.table("events").crossJoin(F.broadcast(parts)).select(
-        e.alias("seq"), (e % F.col("parts")).alias("sym"), wanted.alias("new_name")
+    requests = v.table("events").select(
+        e.alias("seq"), (e % parts.scalar()).alias("sym"), wanted.alias("new_name")
     )
     symbols = v.v_class.select(
         F.col("cls").alias("sym"), "pkg", F.col("name").alias("effective"), (F.col("flags") % 5 != 0).alias("renamable")

@@ -86,17 +86,14 @@ def search_summary(
     seen = first.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("ord", "unit")).alias("last")
     )
-    # one row joined to all units: the stop position is a broadcast scalar
-    stop = seen.select("n", F.when(F.col("n") > cap, F.col("last")).alias("stop"))
-    walked = sized.crossJoin(F.broadcast(stop)).filter(
-        F.col("stop").isNull() | (F.struct("ord", "unit") <= F.col("stop"))
-    )
+    count, last = seen.select("n").scalar(), seen.select("last").scalar()
+    walked = sized.filter((count <= cap) | (F.struct("ord", "unit") <= last))
     parts = walked.agg(
         F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("code").isNull()).alias("failed")
     )
-    return parts.crossJoin(total).crossJoin(stop).select(
-        "scanned", "total", F.least("n", F.lit(cap)).cast("long").alias("matches"), "failed",
-        (F.col("n") > cap).alias("truncated"),
+    return parts.select(
+        "scanned", total.scalar().alias("total"), F.least(count, F.lit(cap)).cast("long").alias("matches"),
+        "failed", (count > cap).alias("truncated"),
     )
 
 

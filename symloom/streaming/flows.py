@@ -66,9 +66,7 @@ def stream_first_wins(
             first = first.join(stored, keys, "left_anti").select(*batch.columns)
         first.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
         kept = spark.read.parquet(f"{target}/rows/batch={batch_id}").agg(F.count(F.lit(1)).alias("kept"))
-        batch.agg(F.count(F.lit(1)).alias("seen")).crossJoin(kept).select(
-            (F.col("seen") - F.col("kept")).alias("dropped")
-        ).write.mode("overwrite").parquet(f"{target}/dropped/batch={batch_id}")
+        batch.agg((F.count(F.lit(1)) - F.first(kept.scalar())).alias("dropped")).write.mode("overwrite").parquet(f"{target}/dropped/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(put)
