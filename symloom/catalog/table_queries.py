@@ -94,8 +94,9 @@ def first_wins_classes(v):
 
 @query("WITH @v_doc SELECT md5(code) AS code, min(unit) AS unit, arg_min(cat, unit) AS cat FROM v_doc GROUP BY code")
 def first_wins_texts(v):
-    kept = naming.first_wins(v.v_doc.select("code", "unit", "cat"), ["code"], ["unit"])
-    return kept.select(F.md5("code").alias("code"), "unit", "cat")
+    """Texts are compared by digest, so no text is shuffled."""
+    digests = v.v_doc.select(F.sha2("code", 256).alias("digest"), F.md5("code").alias("code"), "unit", "cat")
+    return naming.first_wins(digests, ["digest"], ["unit"]).drop("digest")
 
 
 @query(

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,19 @@ from symloom.functions.names import package_of, rename_error
 from symloom.functions.signatures import ANNOTATION, ENUM, has_flag
 from symloom.functions.text import quote, trim_text
 from symloom.operators.graph import on_cycle
-from symloom.plans.ordered import first_row, lag, row_number, running_sum, scan
+from symloom.operators.positions import asof
+from symloom.plans.fixpoint import fresh
+from symloom.plans.ordered import (
+    first_row,
+    kth_free,
+    lag,
+    last_value,
+    needs_split,
+    row_number,
+    running_sum,
+    scan,
+)
+from symloom.session import cut
 
 # Generated names are a prefix and a number padded to four digits.
 PAD = 4
@@ -34,11 +45,12 @@ def allocate_names(
 ) -> DataFrame:
     """Give each renamable symbol the next free ``<prefix>0001`` of its scope.
 
-    ``symbols`` has ``name`` and ``renamable``; kept names are reserved.  With reserved numbers
-    r1 < r2 < … the k-th symbol gets k + #{j : r_j - j < k}.  Both sides are numbered and merged on
-    that key in one ordered pass per scope, so nothing is compared pairwise.
+    ``symbols`` has ``name`` and ``renamable``; kept names are reserved.  The k-th symbol of a scope
+    gets the k-th number that no kept name spells.
     """
     scope, order = list(scope), list(order)
+    if split is None:
+        split = needs_split(symbols, scope)
     numbered = scan(
         symbols.filter("renamable"), scope, order, {"__k": row_number()}, split
     )
@@ -52,22 +64,10 @@ def allocate_names(
         .select(*scope, "__r")
         .distinct()
     )
-    ranked = scan(kept, scope, ["__r"], {"__j": row_number()}, split)
-    blockers = ranked.select(
-        *scope, (F.col("__r") - F.col("__j")).alias("__key"), F.lit(1).alias("__side"),
-        F.lit(1).alias("__one"), F.col("__r").alias("__tie"),
+    placed = kth_free(numbered, kept, scope, "__k", "__r", split)
+    return placed.select(
+        *symbols.columns, F.concat(F.lit(prefix), padded(F.col("free"))).alias("alias")
     )
-    wanting = numbered.select(
-        *scope, F.col("__k").alias("__key"), F.lit(0).alias("__side"), F.lit(0).alias("__one"),
-        F.lit(0).cast("long").alias("__tie"), F.struct(*numbered.columns).alias("__row"),
-    )
-    merged = scan(
-        wanting.unionByName(blockers, allowMissingColumns=True),
-        scope, ["__key", "__side", "__tie"], {"__skipped": running_sum(F.col("__one"))}, split,
-    ).filter(F.col("__side") == 0)
-    alias = F.concat(F.lit(prefix), padded(F.col("__key") + F.col("__skipped")))
-    columns = [c for c in symbols.columns]
-    return merged.select(*[F.col("__row")[c].alias(c) for c in columns], alias.alias("alias"))
 
 
 def padded(number: Column) -> Column:
@@ -80,39 +80,13 @@ def padded(number: Column) -> Column:
 _STEM = "^([\\s\\S]*?)[0-9]*$"
 
 
-def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Greedy numbering of rows that arrive sorted by (family, order).
-
-    Keeps, for the family at hand, the next number of each base and the names already given that
-    another base could also make; rows stream through and no group is held.
-    """
-    family, taken, counters = None, set(), {}
-    for batch in batches:
-        names = []
-        for key, base in zip(batch["__family"], batch["__base"], strict=True):
-            if key != family:
-                family, taken, counters = key, set(), {}
-            if base not in taken:
-                name = base
-            else:
-                n = counters.get(base, 2)
-                while f"{base}{n}" in taken:
-                    n += 1
-                counters[base] = n + 1
-                name = f"{base}{n}"
-            taken.add(name)
-            names.append(name)
-        batch["name"] = names
-        yield batch
-
-
 def unique_names(
     symbols: DataFrame, scope: Sequence[str], order: Sequence[str], base: str, split: bool | None = None
 ) -> DataFrame:
     """First symbol of a scope keeps its base name, later ones get base2, base3, … skipping taken ones.
 
     Only bases that differ in trailing digits alone can make each other's names.  Every other base is
-    numbered by its position, which is exact; the remaining families are numbered greedily.
+    numbered by its position, which is exact; the mixed families go through ``_settle``.
     """
     scope, order = list(scope), list(order)
     stemmed = symbols.withColumn("__stem", F.regexp_extract(F.col(base), _STEM, 1))
@@ -123,26 +97,97 @@ def unique_names(
         .filter("__mixed")
         .select(*family)
     )
+    if split is None:
+        split = needs_split(symbols, scope)
     simple = stemmed.join(mixed, family, "left_anti")
     ranked = scan(simple, [*scope, base], order, {"__i": row_number()}, split)
-    plain = ranked.withColumn(
-        "name",
-        F.when(F.col("__i") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.col("__i").cast("string"))),
-    ).select(*symbols.columns, "name")
-
-    rest = stemmed.join(mixed, family, "left_semi")
+    plain = ranked.withColumn("name", _suffixed(F.col(base), F.col("__i"))).select(*symbols.columns, "name")
+    rest = stemmed.join(mixed, family, "left_semi").select(*symbols.columns)
     if rest.isEmpty():
         return plain
-    keyed = rest.withColumn("__family", F.to_json(F.struct(*family))).withColumn("__base", F.col(base))
-    kept = [*symbols.columns, "__family", "__base"]
-    schema = keyed.select(*kept).withColumn("name", F.lit("")).schema
-    greedy = (
-        keyed.select(*kept)
-        .repartition("__family")
-        .sortWithinPartitions("__family", *order)
-        .mapInPandas(_suffixes, schema)
-    )
-    return plain.unionByName(greedy.select(*symbols.columns, "name"))
+    return plain.unionByName(_settle(rest, scope, order, base, split))
+
+
+def _suffixed(base: Column, number: Column) -> Column:
+    return F.when(number == 1, base).otherwise(F.concat(base, number.cast("string")))
+
+
+def _settle(
+    symbols: DataFrame, scope: list[str], order: list[str], base: str, split: bool
+) -> DataFrame:
+    """Names of families whose bases make each other's names.
+
+    Names are assumed, what they take from other bases is worked out, and names are given again until
+    nothing changes.  A symbol only depends on earlier ones, so every round settles at least the next
+    of them and the end is what giving names one by one would give.  Each round is joins and ordered
+    passes over all scopes at once.
+    """
+    timed = scan(symbols, scope, order, {"__t": row_number()}, split)
+    rows = cut(scan(timed, [*scope, base], ["__t"], {"__o": row_number()}, split))
+    owner = [*scope, "__base"]
+    keyed = rows.select(*scope, F.col(base).alias("__base"), "__t", "__o")
+    firsts = cut(keyed.filter("__o = 1").select(*owner, F.col("__t").alias("__first")))
+    names = cut(keyed.withColumn("__name", _suffixed(F.col("__base"), F.col("__o"))))
+    skips = None
+    while True:
+        taken = fresh(names)
+        # every way to read a taken name as another base and a number
+        digits = F.length(F.regexp_extract("__name", "([0-9]*)$", 1))
+        cuts = taken.filter(digits > 0).withColumn(
+            "__len", F.explode(F.sequence(F.lit(1), F.least(digits, F.lit(18))))
+        )
+        tail = F.right(F.col("__name"), F.col("__len"))
+        read = cuts.select(
+            *scope, F.left(F.col("__name"), F.length("__name") - F.col("__len")).alias("__as"),
+            tail.alias("__tail"), F.col("__base").alias("__by"), F.col("__t").alias("__at"),
+        ).filter(~F.col("__tail").startswith("0") & (F.col("__tail") != "1") & (F.col("__as") != F.col("__by")))
+        outside = (
+            read.withColumnRenamed("__as", "__base")
+            .join(fresh(firsts).select(*owner), owner, "left_semi")
+            .groupBy(*owner, (F.col("__tail").try_cast("long") - 1).alias("__r"))
+            .agg(F.min("__at").alias("__at"))
+        )
+        # a base whose own name went to another base before its first symbol came
+        lost = (
+            taken.filter(F.col("__name") != F.col("__base"))
+            .select(*scope, F.col("__name").alias("__base"), F.col("__t").alias("__at"))
+            .join(fresh(firsts), owner)
+            .filter(F.col("__at") < F.col("__first"))
+            .select(*owner).distinct().withColumn("__lost", F.lit(1))
+        )
+        needing = (
+            fresh(keyed).join(lost, owner, "left")
+            .withColumn("__i", F.col("__o") - 1 + F.coalesce("__lost", F.lit(0)))
+            .drop("__lost")
+        )
+        # a number is skipped when it went elsewhere before this base would use it
+        before = asof(
+            outside, needing.select(*owner, F.col("__t").alias("__nt"), F.col("__i").alias("__q")),
+            owner, "__at", "__nt", ["__q"], strict=True, split=split,
+        ).select(*owner, "__r", (F.col("__r") - F.coalesce("__q", F.lit(0))).alias("__a"))
+        if skips is None:
+            assumed = before.withColumn("__was", F.lit(1))
+        else:
+            assumed = before.join(fresh(skips), [*owner, "__r"], "left").na.fill(1, ["__was"])
+        counted = scan(assumed, owner, ["__r"], {"__c": running_sum(F.col("__was"))}, split)
+        now = cut(
+            counted.select(*owner, "__r", F.col("__was").alias("__old"),
+                           (F.col("__c") - F.col("__was") < F.col("__a")).cast("int").alias("__was"))
+        )
+        given = kth_free(
+            needing.filter("__i > 0"), fresh(now).filter("__was = 1"), owner, "__i", "__r", split
+        ).select(*owner, "__t", "__o", F.concat("__base", (F.col("free") + 1).cast("string")).alias("__name"))
+        kept = needing.filter("__i = 0").select(*owner, "__t", "__o", F.col("__base").alias("__name"))
+        following = cut(given.unionByName(kept))
+        moved = fresh(following).join(
+            fresh(names).select(*scope, "__t", F.col("__name").alias("__prior")), [*scope, "__t"]
+        ).filter(F.col("__name") != F.col("__prior"))
+        steady = moved.isEmpty() and now.filter("__old <> __was").isEmpty()
+        names, skips = following, now.drop("__old")
+        if steady:
+            break
+    final = fresh(names).select(*scope, "__t", F.col("__name").alias("name"))
+    return rows.join(final, [*scope, "__t"]).select(*symbols.columns, "name")
 
 
 # --- imports ---------------------------------------------------------------------------------
@@ -243,32 +288,49 @@ def attach_comments(defs: DataFrame, comments: DataFrame) -> DataFrame:
 # --- rename requests -------------------------------------------------------------------------
 
 
-def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accept requests one by one; rows arrive sorted by (scope, seq).
+def _accept(requests: DataFrame, scope: list[str]) -> DataFrame:
+    """``collided`` of requests(seq, sym, new_name, effective, held_new, held_old, <scope…>) taken in
+    order of seq.
 
-    State of the scope at hand: how many symbols hold each requested name, and the present name of
-    each requesting symbol.
+    Outcomes are assumed and worked out again until they agree: the present name of a symbol is its
+    last accepted request, the holders of a name are a running sum of arrivals and departures.  An
+    outcome only depends on earlier requests, so the fixpoint is what deciding one by one would give.
     """
-    scope, holders, present = None, {}, {}
-    for batch in batches:
-        collided = []
-        rows = zip(
-            batch["__scope"], batch["sym"], batch["new_name"], batch["effective"],
-            batch["__held_new"], batch["__held_old"], strict=True,
+    name = [*scope, "__name"]
+    split = needs_split(requests, scope)
+    given = cut(requests)
+    # names that are held before the first request
+    start = cut(
+        given.select(*scope, F.col("new_name").alias("__name"), F.col("held_new").alias("__d"))
+        .unionByName(given.select(*scope, F.col("effective").alias("__name"), F.col("held_old").alias("__d")))
+        .distinct()
+    )
+    state = cut(given.withColumn("ok", F.col("held_new") == 0))
+    while True:
+        lined = scan(
+            state, [*scope, "sym"], ["seq"],
+            {"__now": last_value(F.when(F.col("ok"), F.col("new_name")), strict=True)}, split,
+        ).withColumn("__now", F.coalesce("__now", "effective"))
+        row = F.struct(*lined.columns)
+        asks = lined.select(*scope, F.col("new_name").alias("__name"), "seq", F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__d"), row.alias("__row"))
+        moves = lined.filter(F.col("ok") & (F.col("__now") != F.col("new_name")))
+        comes = moves.select(*scope, F.col("new_name").alias("__name"), "seq", F.lit(1).alias("__side"), F.lit(1).cast("long").alias("__d"))
+        goes = moves.select(*scope, F.col("__now").alias("__name"), "seq", F.lit(1).alias("__side"), F.lit(-1).cast("long").alias("__d"))
+        begin = fresh(start).select(*scope, "__name", F.lit(None).cast(given.schema["seq"].dataType).alias("seq"), F.lit(0).alias("__side"), "__d")
+        events = asks.unionByName(comes.unionByName(goes).unionByName(begin), allowMissingColumns=True)
+        summed = scan(events, name, ["seq", "__side"], {"__held": running_sum(F.col("__d"))}, split)
+        others = F.col("__held") - (F.col("__row.__now") == F.col("__row.new_name")).cast("int")
+        decided = summed.filter(F.col("__row").isNotNull())
+        following = cut(
+            decided.select(
+                *[F.col("__row")[c].alias(c) for c in given.columns], F.col("__row.ok").alias("__was"), (others <= 0).alias("ok")
+            )
         )
-        for key, sym, wanted, start, held_new, held_old in rows:
-            if key != scope:
-                scope, holders, present = key, {}, {}
-            current = present.setdefault(sym, start)
-            holders.setdefault(start, int(held_old))
-            others = holders.setdefault(wanted, int(held_new)) - (current == wanted)
-            collided.append(others > 0)
-            if others <= 0:
-                holders[current] = holders.get(current, 1) - 1
-                holders[wanted] = holders[wanted] + 1
-                present[sym] = wanted
-        batch["collided"] = collided
-        yield batch
+        steady = following.filter(F.col("ok") != F.col("__was")).isEmpty()
+        state = fresh(following.drop("__was"))
+        if steady:
+            break
+    return state.select("seq", "sym", "new_name", (~F.col("ok")).alias("collided"))
 
 
 def check_renames(requests: DataFrame, symbols: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -277,7 +339,7 @@ def check_renames(requests: DataFrame, symbols: DataFrame, scope: Sequence[str])
     ``symbols(sym, <scope…>, effective, renamable)``.  applied, invalid (with the reason), collision
     (another symbol of the scope holds the name at that moment) or unrenamable.
     Requests that no other request of their scope can influence are decided by joins; only the rest
-    go through the ordered pass.
+    go through ``_accept``.
     """
     scope = list(scope)
     known = requests.join(symbols.select("sym", *scope, "effective", "renamable"), "sym", "left")
@@ -312,18 +374,13 @@ def check_renames(requests: DataFrame, symbols: DataFrame, scope: Sequence[str])
     alone = counted.join(tied, [*scope, "sym"], "left_anti").withColumn(
         "collided", F.col("__held_new") > (F.col("effective") == F.col("new_name")).cast("int")
     )
-    together = counted.join(tied, [*scope, "sym"], "left_semi").withColumn(
-        "__scope", F.to_json(F.struct(*scope))
-    )
-    columns = ["__scope", "seq", "sym", "new_name", "effective", "__held_new", "__held_old"]
-    staged = together.select(*columns)
-    schema = staged.withColumn("collided", F.lit(True)).schema
-    ordered = (
-        staged.repartition("__scope").sortWithinPartitions("__scope", "seq").mapInPandas(_accept, schema)
-    )
-    decided = alone.select("seq", "sym", "new_name", "collided").unionByName(
-        ordered.select("seq", "sym", "new_name", "collided")
+    together = counted.join(tied, [*scope, "sym"], "left_semi").select(
+        *scope, "seq", "sym", "new_name", "effective",
+        F.col("__held_new").alias("held_new"), F.col("__held_old").alias("held_old"),
     )
+    decided = alone.select("seq", "sym", "new_name", "collided")
+    if not together.isEmpty():
+        decided = decided.unionByName(_accept(together, scope))
     done = decided.select(
         "seq", "sym", "new_name",
         F.when(F.col("collided"), "collision").otherwise("applied").alias("outcome"),

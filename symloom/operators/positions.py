@@ -12,6 +12,7 @@ from symloom.plans.ordered import (
     lag,
     last_value,
     lead,
+    needs_split,
     next_value,
     row_number,
     running_min,
@@ -24,12 +25,15 @@ from symloom.session import cut
 FIRST_SPECIAL, LINE_BASE, LINE_RANGE = 10, -4, 15
 
 
-def line_starts(units: DataFrame, split: bool | None = None) -> DataFrame:
-    """(unit, line, start_off): where every line begins.  Only line lengths are shuffled."""
+def line_starts(units: DataFrame) -> DataFrame:
+    """(unit, line, start_off): where every line begins.  Only line lengths are shuffled.
+
+    A group holds the lines of one text cell, which one task held before, so it is never split.
+    """
     lines = units.select("unit", F.posexplode(F.split("code", "\n")).alias("i", "text")).select(
         "unit", (F.col("i") + 1).alias("line"), (F.length("text") + 1).alias("size")
     )
-    summed = scan(lines, ["unit"], ["line"], {"upto": running_sum(F.col("size"))}, split)
+    summed = scan(lines, ["unit"], ["line"], {"upto": running_sum(F.col("size"))}, False)
     return summed.select("unit", "line", (F.col("upto") - F.col("size")).cast("int").alias("start_off"))
 
 
@@ -81,6 +85,8 @@ def enclosing(annots: DataFrame, split: bool | None = None) -> DataFrame:
     Opens and ends are summed into a depth (never below zero); the enclosing definition is the last
     one opened on the level that is current.
     """
+    if split is None:
+        split = needs_split(annots, ["unit"])
     opens = (F.col("kind") == "def") & F.col("sym.kind").isin("class", "method")
     step = F.when(opens, 1).when(F.col("kind") == "end", -1).otherwise(0)
     summed = scan(annots, ["unit"], ["off"], {"__s": running_sum(step)}, split)
@@ -108,8 +114,9 @@ def leaders(insns: DataFrame, try_ranges: DataFrame | None = None) -> DataFrame:
     ``insns(method_key, off, terminator, targets ARRAY)``;
     ``try_ranges(method_key, start_off, end_off, handlers ARRAY<STRUCT<type, off>>)``.
     """
+    split = needs_split(insns, ["method_key"])
     ranked = scan(
-        insns, ["method_key"], ["off"], {"__prev": lag(F.col("terminator")), "__i": row_number()}
+        insns, ["method_key"], ["off"], {"__prev": lag(F.col("terminator")), "__i": row_number()}, split
     )
     own = ranked.filter((F.col("__i") == 1) | F.col("__prev")).select("method_key", "off")
     jumps = insns.select("method_key", F.explode("targets").alias("off"))
@@ -120,7 +127,7 @@ def leaders(insns: DataFrame, try_ranges: DataFrame | None = None) -> DataFrame:
         after = asof(
             try_ranges.select("method_key", "end_off"),
             insns.select("method_key", F.col("off")),
-            ["method_key"], "end_off", "off", ["off"], direction="ceil", strict=True,
+            ["method_key"], "end_off", "off", ["off"], direction="ceil", strict=True, split=split or None,
         ).select("method_key", "off")
         found = found.unionByName(edges).unionByName(handlers).unionByName(after)
     return found.filter(F.col("off").isNotNull()).distinct()
@@ -256,6 +263,9 @@ def last_known_type(writes: DataFrame, reads: DataFrame) -> DataFrame:
     move whose type is what its source holds.  Moves are resolved one hop per round to the write
     they copy, so a chain of k moves takes k rounds of as-of lookups, each over all methods.
     """
+    split = needs_split(
+        writes.select("method_key", "reg").unionByName(reads.select("method_key", "reg")), ["method_key", "reg"]
+    )
     direct = writes.filter(F.col("src_reg").isNull())
     moves = writes.filter(F.col("src_reg").isNotNull())
     pending = moves
@@ -272,7 +282,7 @@ def last_known_type(writes: DataFrame, reads: DataFrame) -> DataFrame:
         looked = asof(
             pending.select("method_key", "off", F.col("reg").alias("dst"), F.col("src_reg").alias("reg")),
             marks.withColumnRenamed("off", "w_off"),
-            ["method_key", "reg"], "off", "w_off", ["type", "catch_all", "state"], strict=True,
+            ["method_key", "reg"], "off", "w_off", ["type", "catch_all", "state"], strict=True, split=split,
         )
         done = cut(
             looked.filter(F.coalesce("state", F.lit("known")) == "known").select(
@@ -283,7 +293,7 @@ def last_known_type(writes: DataFrame, reads: DataFrame) -> DataFrame:
         pending = cut(pending.join(done.select("method_key", "off", "reg"), ["method_key", "off", "reg"], "left_anti"))
     return asof(
         reads, solved.withColumnRenamed("off", "w_off"), ["method_key", "reg"],
-        "off", "w_off", ["type", "catch_all"], strict=True,
+        "off", "w_off", ["type", "catch_all"], strict=True, split=split,
     )
 
 

@@ -98,11 +98,12 @@ def search_summary(
 
 
 def match_spans(
-    units: DataFrame, query: str, ignore_case: bool = True, regex: bool = False, split: bool | None = None
+    units: DataFrame, query: str, ignore_case: bool = True, regex: bool = False
 ) -> DataFrame:
     """(unit, start, end) of every non-overlapping match; empty matches are dropped.
 
-    The text is cut at the matches; piece and match lengths are summed per unit.
+    The text is cut at the matches; piece and match lengths are summed per unit.  A unit is one row, so
+    its matches are what one task has held already.
     """
     pattern = matcher(units, query, ignore_case, regex)
     if pattern is None:
@@ -122,7 +123,7 @@ def match_spans(
     ).select(
         "unit", "i", F.length("z.pieces").alias("gap"), F.length("z.found").alias("size")
     ).filter(F.col("size").isNotNull())
-    placed = scan(pairs, ["unit"], ["i"], {"end": running_sum(F.col("gap") + F.col("size"))}, split)
+    placed = scan(pairs, ["unit"], ["i"], {"end": running_sum(F.col("gap") + F.col("size"))}, False)
     return placed.filter(F.col("size") > 0).select("unit", (F.col("end") - F.col("size")).alias("start"), "end")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.operators import positions
-from symloom.plans.ordered import first_row, row_number, scan
+from symloom.plans.ordered import first_row, needs_split, row_number, scan
 
 # Symbol kinds that are indexed.
 INDEXED_KINDS = ("class", "method", "field")
@@ -22,7 +22,8 @@ def usage_index(annots: DataFrame, units: DataFrame) -> DataFrame:
     symbol that a third of the corpus refers to stays spread over tasks.  Write it bucketed by
     target to look up one symbol without a scan.
     """
-    placed = positions.enclosing(annots)
+    split = needs_split(annots, ["unit"])
+    placed = positions.enclosing(annots, split)
     refs = placed.filter(
         (F.col("kind") == "ref") & F.col("sym.kind").isin(*INDEXED_KINDS)
     ).select(
@@ -31,7 +32,7 @@ def usage_index(annots: DataFrame, units: DataFrame) -> DataFrame:
     )
     # only line starts travel, never the code text
     starts = positions.line_starts(units)
-    lined = positions.asof(refs, starts, ["unit"], "off", "start_off", ["line"])
+    lined = positions.asof(refs, starts, ["unit"], "off", "start_off", ["line"], split=split)
     return lined.select("target", F.col("unit").alias("from_unit"), "from_member", "off", "line")
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +71,12 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def needs_split(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether some group is too large for one task; finer groups of a frame that is not split need no
+    check of their own."""
+    return largest_group(df, by)[0] > rows_per_task(df.sparkSession)
+
+
 def _local(spec: Spec, name: str, order: Window) -> Column:
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -186,13 +194,15 @@ def _sliced(staged, by, by_cols, order_cols, outputs, total, limit):
         F.col(_SLICE).alias("__ks"),
         *[f"__from_{n}" for n in outputs],
     )
+    # Only a group that crosses a slice border has something to carry, and a border is crossed by one
+    # group: at most two rows per slice are left, so they may be broadcast whatever the data.
+    carried = carried.filter(reduce(or_, [F.col(f"__from_{n}").isNotNull() for n in outputs]))
     same = F.col(_SLICE) == F.col("__ks")
     for i, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"__k{i}"))
-    merged = local.join(carried, same, "left")
-    keep = [c for c in staged.columns]
+    merged = local.join(F.broadcast(carried), same, "left")
     return merged.select(
-        *keep,
+        *staged.columns,
         *[
             _combine(s, F.col(f"__at_{n}"), F.col(f"__from_{n}")).alias(n)
             for n, s in outputs.items()
@@ -200,6 +210,37 @@ def _sliced(staged, by, by_cols, order_cols, outputs, total, limit):
     )
 
 
+def kth_free(
+    wanting: DataFrame,
+    blocked: DataFrame,
+    by: Sequence[str],
+    index: str,
+    number: str,
+    split: bool | None = None,
+) -> DataFrame:
+    """Adds ``free``: the ``index``-th positive integer that is not among the blocked numbers.
+
+    With blocked r1 < r2 < … this is index + #{j : r_j - j < index}.  Both sides are merged on that
+    key in one ordered pass per group, so nothing is compared pairwise.
+    """
+    by = list(by)
+    ranked = scan(blocked.select(*by, number).distinct(), by, [number], {"__j": row_number()}, split)
+    blockers = ranked.select(
+        *by, (F.col(number) - F.col("__j")).alias("__key"), F.lit(1).alias("__side"), F.col("__j").alias("__tie")
+    )
+    asking = wanting.select(
+        *by, F.col(index).alias("__key"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__tie"),
+        F.struct(*wanting.columns).alias("__row"),
+    )
+    merged = scan(
+        asking.unionByName(blockers, allowMissingColumns=True),
+        by, ["__key", "__side", "__tie"], {"__over": running_sum(F.col("__side"))}, split,
+    ).filter(F.col("__side") == 0)
+    return merged.select(
+        *[F.col("__row")[c].alias(c) for c in wanting.columns], (F.col("__key") + F.col("__over")).alias("free")
+    )
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of every group.  An aggregate, not a window: each task keeps one row per key."""
     rest = [c for c in df.columns if c not in keys]

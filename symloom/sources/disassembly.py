@@ -117,8 +117,9 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     ).select("app_id", "method_key", "first_param", "pos", F.trim("raw").alias("line"))
     is_insn = F.col("line").rlike("^[a-z]")
     kept = lines.filter(is_insn | F.col("line").rlike("^(:|\\.catch)"))
+    # the lines of a method come from one cell, so a group is what one task has held already
     counted = scan(
-        kept, ["app_id", "method_key"], ["pos"], {"seen": running_sum(is_insn.cast("int"))}
+        kept, ["app_id", "method_key"], ["pos"], {"seen": running_sum(is_insn.cast("int"))}, False
     )
 
     labels = counted.filter(F.col("line").startswith(":")).select(

@@ -49,21 +49,23 @@ def stream_first_wins(
 ) -> StreamingQuery:
     """Insert-if-absent: a key seen in an earlier batch, or earlier in the same batch, stays.
 
-    Kept rows go to ``target/rows``, the number of dropped rows to ``target/dropped``.  Only the key
-    columns of what is stored are read back.  Batches overwrite their own folder, so a restart is safe.
+    Kept rows go to ``target/rows`` with a digest of their key, the number of dropped rows to
+    ``target/dropped``.  Keys are grouped and looked up by digest only.  Batches overwrite
+    their own folder, so a restart is safe.
     """
     keys, order = list(keys), list(order)
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = first_row(batch, keys, order)
+        marked = batch.withColumn("key_digest", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256))
+        first = first_row(marked, ["key_digest"], order)
         if batch_id > 0:
             stored = (
                 spark.read.option("basePath", f"{target}/rows").parquet(f"{target}/rows")
                 .filter(F.col("batch") < batch_id)
-                .select(*keys)
+                .select("key_digest")
             )
-            first = first.join(stored, keys, "left_anti").select(*batch.columns)
+            first = first.join(stored, "key_digest", "left_anti").select(*marked.columns)
         first.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
         kept = spark.read.parquet(f"{target}/rows/batch={batch_id}").agg(F.count(F.lit(1)).alias("kept"))
         batch.agg((F.count(F.lit(1)) - F.first(kept.scalar())).alias("dropped")).write.mode("overwrite").parquet(f"{target}/dropped/batch={batch_id}")
