@@ -65,7 +65,7 @@ def subtype_relation(v):
     def text(c):
         return F.col(c).cast("string")
 
-    closed = class_closure(v).select(text("cls").alias("cls"), text("anc").alias("anc"))
+    closed = graph.ancestors(class_edges(v)).select(text("cls").alias("cls"), text("anc").alias("anc"))
     pairs = _pairs(v).select(text("a").alias("sub"), text("b").alias("sup"))
     found = graph.subtype(pairs, closed, v.v_class.select(text("cls").alias("cls"), "flags"))
     return found.select(F.col("sub").cast("long").alias("a"), F.col("sup").cast("long").alias("b"), "relation")
@@ -95,8 +95,7 @@ def common_supertype(v):
 )
 def deepest_common(v):
     """Deepest class above all classes a unit refers to, on the super tree."""
-    tree = v.v_class.select("cls", F.col("super").alias("parent"), F.lit(0).alias("idx")).filter("parent IS NOT NULL")
-    closed = graph.closure(tree)
+    closed = graph.ancestors(v.v_class.select("cls", F.col("super").alias("parent")).filter("parent IS NOT NULL"))
     level = closed.groupBy(F.col("cls").alias("anc")).agg(F.max("depth").alias("level"))
     sets = v.v_ref.select(F.col("unit").alias("set"), F.col("target").alias("node"))
     return graph.deepest_common(sets, closed, level).select(F.col("set").alias("unit"), "ancestor")

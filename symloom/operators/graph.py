@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions.signatures import BRIDGE, FINAL, STATIC, SYNTHETIC, has_flag
-from symloom.plans.fixpoint import fresh, grow
+from symloom.plans.fixpoint import fresh, grow, sized
 from symloom.session import cut
 
 # Fixed values.
@@ -51,45 +51,50 @@ def supertype_edges(classes: DataFrame) -> DataFrame:
     )
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(cls, anc, depth) for every proper ancestor of edges(cls, parent); depth is the shortest way."""
+    up = cut(edges.select(F.col("cls").alias("anc"), F.col("parent").alias("up")).distinct())
+    base = edges.select("cls", F.col("parent").alias("anc"), F.lit(1).alias("depth")).filter("cls <> anc")
+
+    def step(delta: DataFrame) -> DataFrame:
+        return delta.join(fresh(up), "anc").filter(F.col("up") != F.col("cls")).select(
+            "cls", F.col("up").alias("anc"), (F.col("depth") + 1).alias("depth")
+        )
+
+    # a pair is new in the round that equals its distance, so the first depth found is the least
+    return grow(base, step, ["cls", "anc"])
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(cls, anc, depth, path) for every proper ancestor.
+    """(cls, anc, depth, path) for every proper ancestor of edges(cls, parent, idx), without cycles.
 
-    ``depth`` is the shortest distance; ``path`` the smallest sequence of edge numbers, which orders
-    ancestors as a depth-first walk (super before interfaces) meets them.  Rows travel again only
-    when one of the two improved.
+    ``path`` is the smallest sequence of edge numbers to the ancestor, which orders ancestors as a
+    depth-first walk (super before interfaces) meets them.  Its first step is the lowest edge that
+    leads there; steps are put together by doubling, so rounds grow with the log of the depth.
     """
-    base = edges.groupBy("cls", F.col("parent").alias("anc")).agg(
-        F.lit(1).alias("depth"), F.min(F.array("idx")).alias("path")
-    )
-    steps = cut(edges.select(F.col("cls").alias("anc"), F.col("parent").alias("up"), F.col("idx").alias("ui")))
-    total = delta = cut(base)
-    while not delta.isEmpty():
-        found = (
-            fresh(delta)
-            .join(fresh(steps), "anc")
-            .filter(F.col("up") != F.col("cls"))
-            .groupBy("cls", F.col("up").alias("anc"))
-            .agg(
-                F.min(F.col("depth") + 1).alias("n_depth"),
-                F.min(F.concat("path", F.array("ui"))).alias("n_path"),
-            )
-        )
-        better = found.join(fresh(total), ["cls", "anc"], "left").filter(
-            F.col("depth").isNull()
-            | (F.col("n_depth") < F.col("depth"))
-            | (F.col("n_path") < F.col("path"))
+    reached = ancestors(edges)
+    numbered = edges.groupBy("cls", "parent").agg(F.min("idx").alias("idx"))
+    direct = numbered.select("cls", F.col("parent").alias("anc"), "idx", "parent")
+    further = numbered.join(
+        fresh(reached).select(F.col("cls").alias("parent"), "anc"), "parent"
+    ).select("cls", "anc", "idx", "parent")
+    first = direct.unionByName(further).groupBy("cls", "anc").agg(
+        F.min(F.struct("idx", "parent")).alias("s")
+    )
+    state = cut(
+        first.filter("cls <> anc").select("cls", "anc", F.col("s.parent").alias("at"), F.array("s.idx").alias("path"))
+    )
+    while not state.filter("at <> anc").isEmpty():
+        rest = fresh(state).select(
+            F.col("cls").alias("at"), "anc", F.col("at").alias("on"), F.col("path").alias("more")
         )
-        delta = cut(
-            better.select(
-                "cls", "anc",
-                F.least("n_depth", "depth").alias("depth"),
-                F.when(F.col("path").isNull() | (F.col("n_path") < F.col("path")), F.col("n_path"))
-                .otherwise(F.col("path")).alias("path"),
+        state = cut(
+            state.join(rest, ["at", "anc"], "left").select(
+                "cls", "anc", F.coalesce("on", "at").alias("at"),
+                F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"),
             )
         )
-        kept = fresh(total).join(fresh(delta).select("cls", "anc"), ["cls", "anc"], "left_anti")
-        total = cut(kept.unionByName(delta))
-    return total
+    return reached.join(state.select("cls", "anc", "path"), ["cls", "anc"])
 
 
 def with_object(closed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -325,24 +330,25 @@ def propagate_throws(direct: DataFrame, calls: DataFrame, caught: DataFrame, clo
     A handler catches the type, its subtypes, and everything if it is one of the two root types.
     """
     every = cut(caught.filter(F.col("exc").isin(*CATCH_EVERYTHING)).select("method").distinct())
+    silent = fresh(every).withColumnRenamed("method", "caller")
     below = closed.select(F.col("cls").alias("sub"), F.col("anc").alias("exc"))
     stopped = cut(
         caught.select("method", "exc")
         .unionByName(caught.join(below, "exc").select("method", F.col("sub").alias("exc")))
         .distinct()
     )
-    into = cut(calls.select("caller", F.col("callee").alias("method")).distinct())
-
-    def escape(found: DataFrame) -> DataFrame:
-        return found.join(fresh(stopped), ["method", "exc"], "left_anti").join(
-            fresh(every), "method", "left_anti"
-        ).select("method", "exc")
+    # nothing leaves a method that catches everything, so calls from it do not matter
+    into = cut(
+        calls.select("caller", F.col("callee").alias("method")).distinct().join(silent, "caller", "left_anti")
+    )
+    leaves = direct.select("method", "exc").distinct().join(
+        fresh(stopped), ["method", "exc"], "left_anti"
+    ).join(fresh(every), "method", "left_anti")
 
     def step(delta: DataFrame) -> DataFrame:
-        up = delta.join(fresh(into), "method").select(F.col("caller").alias("method"), "exc").distinct()
-        return escape(up)
+        return delta.join(fresh(into), "method").select(F.col("caller").alias("method"), "exc")
 
-    return grow(escape(direct.select("method", "exc").distinct()), step)
+    return grow(leaves.select("method", "exc"), step, barred=stopped)
 
 
 def throws_clause(pairs: DataFrame) -> DataFrame:
@@ -384,25 +390,28 @@ def dominators(edges: DataFrame, entries: DataFrame, reverse: bool = False) -> D
     roots = cut(entries.select("method_key", "block").distinct())
     front = cut(roots.withColumn("dom", F.col("block")))
     layers = [front]
-    seen = roots
+    seen = reached = roots
+    new = roots.count()
     while True:
-        parents = fresh(front).select("method_key", F.col("block").alias("p")).distinct()
+        at = sized(reached.withColumnRenamed("block", "p"), new)
         step = (
-            fresh(hops).join(parents, ["method_key", "p"])
+            fresh(hops).join(at, ["method_key", "p"])
             .groupBy("method_key", F.col("b").alias("block"))
             .agg(F.min("p").alias("p"))
             .join(fresh(seen), ["method_key", "block"], "left_anti")
         )
         tree = cut(step)
-        if tree.isEmpty():
+        new = tree.count()
+        if not new:
             break
         above = fresh(front).select("method_key", F.col("block").alias("p"), "dom")
         front = cut(
-            tree.join(above, ["method_key", "p"]).select("method_key", "block", "dom")
+            sized(tree, new).join(above, ["method_key", "p"]).select("method_key", "block", "dom")
             .unionByName(tree.select("method_key", "block", F.col("block").alias("dom")))
         )
         layers.append(front)
-        seen = fresh(seen).unionByName(tree.select("method_key", "block"))
+        reached = tree.select("method_key", "block")
+        seen = fresh(seen).unionByName(reached)
         if len(layers) % 12 == 0:
             seen = cut(seen)
     candidates = layers[0]
@@ -429,11 +438,9 @@ def dominators(edges: DataFrame, entries: DataFrame, reverse: bool = False) -> D
         onward = removed.select("method_key", F.col("block").alias("p"), "dom").join(
             fresh(inner), ["method_key", "p"]
         )
-        return onward.select("method_key", F.col("b").alias("block"), "dom").filter(
-            F.col("block") != F.col("dom")
-        ).join(fresh(candidates), names, "left_semi")
+        return onward.select("method_key", F.col("b").alias("block"), "dom").filter(F.col("block") != F.col("dom"))
 
-    gone = grow(lacking, spread)
+    gone = grow(lacking, spread, allowed=candidates)
     return candidates.join(fresh(gone), names, "left_anti").select(*names)
 
 
@@ -521,12 +528,11 @@ def liveness(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
     into = cut(edges.select("method_key", F.col("dst").alias("block"), "src").distinct())
 
     def step(delta: DataFrame) -> DataFrame:
-        up = delta.join(fresh(into), ["method_key", "block"]).select(
+        return delta.join(fresh(into), ["method_key", "block"]).select(
             "method_key", F.col("src").alias("block"), "reg"
-        ).distinct()
-        return up.join(fresh(first_def).select(*keys), keys, "left_anti")
+        )
 
-    return grow(gen, step)
+    return grow(gen, step, barred=first_def)
 
 
 def renderable(blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def test_forwarder_chains(spark):
 
 def test_deepest_common_and_renderable(spark):
     tree = [("b", "a"), ("c", "a"), ("d", "b"), ("e", "b")]
-    closed = graph.closure(spark.createDataFrame([(*t, 0) for t in tree], "cls string, parent string, idx int"))
+    closed = graph.ancestors(spark.createDataFrame(tree, "cls string, parent string"))
     level = closed.groupBy(F.col("cls").alias("anc")).agg(F.max("depth").alias("level"))
     sets = spark.createDataFrame([(1, "d"), (1, "e"), (2, "d"), (2, "c"), (3, "d"), (3, "b"), (3, "d")], "set int, node string")
     assert {r.set: r.ancestor for r in graph.deepest_common(sets, closed, level).collect()} == {1: "b", 2: "a", 3: "b"}
@@ -228,3 +228,35 @@ def test_deepest_common_and_renderable(spark):
         spark.createDataFrame(edges, "method_key string, src int, dst int"),
     )
     assert {r.method_key: r.ok for r in ok.collect()} == {"line": True, "fork": False, "loop": False, "try": False, "one": True}
+
+
+def test_growth_is_the_same_when_rows_are_broadcast(spark, monkeypatch):
+    from symloom.plans import fixpoint
+
+    rnd = random.Random(11)
+    edges = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(110)})
+    ef = spark.createDataFrame(edges, "a long, b long")
+    barred = spark.createDataFrame([(0, 5), (1, 7)], "s long, n long")
+    allowed = spark.createDataFrame([(s, n) for s in (0, 1) for n in range(50)], "s long, n long")
+    seed = spark.createDataFrame([(0, 0), (1, 1)], "s long, n long")
+
+    def step(delta):
+        return delta.join(ef, delta.n == ef.a).select("s", F.col("b").alias("n"))
+
+    def run(shuffle_rows, broadcast_rows):
+        monkeypatch.setattr(fixpoint, "SHUFFLE_ROWS", shuffle_rows)
+        monkeypatch.setattr(fixpoint, "BROADCAST_ROWS", broadcast_rows)
+        return set(map(tuple, fixpoint.grow(seed, step, barred=barred, allowed=allowed).collect()))
+
+    plain = run(10**9, 0)
+    assert plain == run(-1, 10**6) == run(-1, 3)
+    want = set()
+    for s in (0, 1):
+        todo = [s]
+        while todo:
+            n = todo.pop()
+            if (s, n) in want:
+                continue
+            want.add((s, n))
+            todo += [b for a, b in edges if a == n and b < 50 and (s, b) not in {(0, 5), (1, 7)}]
+    assert plain == want
