@@ -81,8 +81,7 @@ def subtype_relation(v):
     SELECT a, b, anc AS joined FROM m WHERE r = 1"""
 )
 def common_supertype(v):
-    pairs = _pairs(v).withColumn("pair_id", F.struct("a", "b"))
-    return graph.common_supertype(pairs, class_closure(v), root=0).select("a", "b", "joined")
+    return graph.common_supertype(_pairs(v), class_closure(v), root=0).select("a", "b", "joined")
 
 
 @query(

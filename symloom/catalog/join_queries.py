@@ -53,29 +53,29 @@ def resolve_calls(v):
       UNION ALL SELECT cls, itf, 1 FROM v_class WHERE itf IS NOT NULL),
     ways AS (SELECT cls, cls AS anc, '' AS path FROM v_class UNION ALL SELECT w.cls, up.p, path || i FROM ways w JOIN up ON up.cls = w.anc),
     clo AS (SELECT cls, anc, min(path) AS path FROM ways GROUP BY 1, 2),
-    mem AS (SELECT cls, 'm' || cls % 3 AS name, cls % 2 AS p FROM v_class WHERE cls % 5 = 0 OR cls < 3),
-    r AS (SELECT DISTINCT target AS cls, off % 3 AS n, member % 2 AS p FROM v_ref),
+    mem AS (SELECT cls, 'm' || cls % 11 AS name, cls % 2 AS p FROM v_class),
+    r AS (SELECT DISTINCT target AS cls, off + qty % 5 AS n, member % 2 AS p FROM v_ref),
     h AS (SELECT r.cls, r.n, r.p, m.cls AS owner, row_number() OVER (PARTITION BY r.cls, r.n, r.p ORDER BY m.p <> r.p, clo.path, m.cls) AS k
       FROM r JOIN clo ON clo.cls = r.cls JOIN mem m ON m.cls = clo.anc AND m.name = 'm' || r.n)
     SELECT r.cls, r.n, r.p, h.owner FROM r LEFT JOIN h ON h.cls = r.cls AND h.n = r.n AND h.p = r.p AND h.k = 1"""
 )
 def resolve_member(v):
-    """Members of every fifth class, looked up from all classes through the hierarchy."""
+    """One member per class, looked up from all classes through the hierarchy."""
     def params(c):
         return F.when(c == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("I")))
 
     c = F.col("cls")
-    members = v.v_class.filter((c % 5 == 0) | (c < 3)).select(
-        "cls", F.concat(F.lit("m"), (c % 3).cast("string")).alias("name"), params(c % 2).alias("params"),
+    members = v.v_class.select(
+        "cls", F.concat(F.lit("m"), (c % 11).cast("string")).alias("name"), params(c % 2).alias("params"),
         F.lit(0).alias("ord"), c.alias("member"),
     )
-    asked = v.v_ref.select(F.col("target").alias("cls"), (F.col("off") % 3).alias("n"), (F.col("member") % 2).alias("p")).distinct()
+    asked = v.v_ref.select(F.col("target").alias("cls"), (F.col("off") + F.col("qty") % 5).alias("n"), (F.col("member") % 2).alias("p")).distinct()
     refs = asked.select(
-        F.struct("cls", "n", "p").alias("ref_id"), "cls", F.concat(F.lit("m"), F.col("n").cast("string")).alias("name"),
+        "n", "p", "cls", F.concat(F.lit("m"), F.col("n").cast("string")).alias("name"),
         params(F.col("p")).alias("params"),
     )
     found = xref.resolve_member(refs, members, class_closure(v).select("cls", "anc", "path"))
-    return found.select("ref_id.cls", "ref_id.n", "ref_id.p", "owner")
+    return found.select("cls", "n", "p", "owner")
 
 
 _USER_SQL = """usr AS (SELECT sym, arg_max(trim(text), seq) AS text FROM v_edit GROUP BY sym HAVING arg_max(trim(text), seq) <> '')"""

@@ -208,7 +208,7 @@ def subtype(pairs: DataFrame, closed: DataFrame, classes: DataFrame) -> DataFram
 
 
 def common_supertype(pairs: DataFrame, closed: DataFrame, root: str | int = OBJECT) -> DataFrame:
-    """pairs(pair_id, a, b) with ``joined``: the nearest type both are assignable to.
+    """pairs(…, a, b) with ``joined``: the nearest type both are assignable to.
 
     The general one if one is assignable to the other, else the first type of a's chain (super spine
     first, then interfaces) that b reaches, else the root type.
@@ -219,12 +219,12 @@ def common_supertype(pairs: DataFrame, closed: DataFrame, root: str | int = OBJE
     up_a = closed.select(F.col("cls").alias("a"), "anc", rank.alias("rank"))
     up_b = closed.select(F.col("cls").alias("b"), "anc")
     top = F.struct(F.lit(False).alias("x"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.col("a").alias("anc"))
-    both = pairs.select("pair_id", "a", "b")
+    both = pairs.select("a", "b").distinct()
     via_a = both.join(up_a, "a").unionByName(both.withColumn("anc", F.col("a")).withColumn("rank", top))
     reach_b = both.join(up_b, "b").unionByName(both.withColumn("anc", F.col("b")))
-    met = via_a.join(reach_b.select("pair_id", "anc"), ["pair_id", "anc"])
-    best = met.groupBy("pair_id").agg(F.min_by("anc", "rank").alias("joined"))
-    return pairs.join(best, "pair_id", "left").withColumn("joined", F.coalesce("joined", F.lit(root)))
+    met = via_a.join(reach_b.select("a", "b", "anc"), ["a", "b", "anc"])
+    best = met.groupBy("a", "b").agg(F.min_by("anc", "rank").alias("joined"))
+    return pairs.join(best, ["a", "b"], "left").withColumn("joined", F.coalesce("joined", F.lit(root)))
 
 
 def deepest_common(sets: DataFrame, closed: DataFrame, depth: DataFrame) -> DataFrame:

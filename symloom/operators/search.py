@@ -97,17 +97,12 @@ def search_summary(
     )
 
 
-def match_spans(
-    units: DataFrame, query: str, ignore_case: bool = True, regex: bool = False
-) -> DataFrame:
-    """(unit, start, end) of every non-overlapping match; empty matches are dropped.
+def spans_of(units: DataFrame, pattern: str) -> DataFrame:
+    """(unit, start, end, text) of every non-empty, non-overlapping match of a pattern.
 
     The text is cut at the matches; piece and match lengths are summed per unit.  A unit is one row, so
     its matches are what one task has held already.
     """
-    pattern = matcher(units, query, ignore_case, regex)
-    if pattern is None:
-        return units.select("unit", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
     hits = units.filter(F.col("code").rlike(pattern)).select(
         "unit",
         F.split("code", pattern).alias("pieces"),
@@ -121,10 +116,22 @@ def match_spans(
     pairs = aligned.select(
         "unit", F.posexplode(F.arrays_zip("pieces", "found")).alias("i", "z")
     ).select(
-        "unit", "i", F.length("z.pieces").alias("gap"), F.length("z.found").alias("size")
+        "unit", "i", F.length("z.pieces").alias("gap"), F.length("z.found").alias("size"), F.col("z.found").alias("text")
     ).filter(F.col("size").isNotNull())
     placed = scan(pairs, ["unit"], ["i"], {"end": running_sum(F.col("gap") + F.col("size"))}, False)
-    return placed.filter(F.col("size") > 0).select("unit", (F.col("end") - F.col("size")).alias("start"), "end")
+    return placed.filter(F.col("size") > 0).select(
+        "unit", (F.col("end") - F.col("size")).alias("start"), "end", "text"
+    )
+
+
+def match_spans(
+    units: DataFrame, query: str, ignore_case: bool = True, regex: bool = False
+) -> DataFrame:
+    """(unit, start, end) of every non-overlapping match; empty matches are dropped."""
+    pattern = matcher(units, query, ignore_case, regex)
+    if pattern is None:
+        return units.select("unit", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
+    return spans_of(units, pattern).select("unit", "start", "end")
 
 
 def search_members(

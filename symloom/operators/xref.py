@@ -63,11 +63,14 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, strict: bool = False) ->
 def resolve_member(refs: DataFrame, members: DataFrame, walk: DataFrame) -> DataFrame:
     """Member a reference means when it may be inherited.
 
-    ``refs(ref_id, cls, name, params)``, ``members(cls, name, params, ord, member)``,
+    ``refs(…, cls, name, params)``, ``members(cls, name, params, ord, member)``,
     ``walk(cls, anc, path)`` from graph.closure.  A class is walked before its ancestors, the super
     branch before the interfaces.  An exact signature anywhere beats a match by name alone.
     """
-    itself = refs.select("cls").distinct().select(
+    keys = ["cls", "name", "params"]
+    # a popular member is looked up once, not once per reference
+    asked = refs.select(*keys).distinct()
+    itself = asked.select("cls").distinct().select(
         "cls", F.col("cls").alias("anc"), F.array().cast("array<int>").alias("path")
     )
     steps = itself.unionByName(walk.select("cls", "anc", "path"))
@@ -75,9 +78,9 @@ def resolve_member(refs: DataFrame, members: DataFrame, walk: DataFrame) -> Data
         F.col("cls").alias("anc"), "name", F.col("params").alias("m_params"), "ord", "member"
     )
     found = (
-        refs.join(steps, "cls")
+        asked.join(steps, "cls")
         .join(owned, ["anc", "name"])
-        .groupBy("ref_id")
+        .groupBy(*keys)
         .agg(
             F.min_by(
                 F.struct("anc", "member"),
@@ -85,11 +88,8 @@ def resolve_member(refs: DataFrame, members: DataFrame, walk: DataFrame) -> Data
             ).alias("hit")
         )
     )
-    return refs.join(
-        found.select("ref_id", F.col("hit.anc").alias("owner"), F.col("hit.member").alias("member")),
-        "ref_id",
-        "left",
-    )
+    hit = found.select(*keys, F.col("hit.anc").alias("owner"), F.col("hit.member").alias("member"))
+    return refs.join(hit, keys, "left")
 
 
 def unreferenced(symbols: DataFrame, refs: DataFrame, key: str) -> DataFrame:
@@ -100,29 +100,54 @@ def unresolved(refs: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     return refs.join(symbols.select(key), key, "left_anti")
 
 
+_WORD = "[\\p{L}\\p{Nd}_$]"
+
+
 def symbol_at(annots: DataFrame, units: DataFrame, clicks: DataFrame) -> DataFrame:
     """Symbol meant by a click(click, unit, line, token, hint).
 
     First definition or reference on that line whose text is the whole token; one of the hinted kind
-    is preferred.  Annotations are put on their line with an as-of lookup and then only meet the
-    clicks on the same line, so the code text is cut once per candidate.
+    is preferred.  The words of the code and the line starts are laid against the annotations by
+    as-of lookups, so no code text travels with an annotation.  Clicks then meet the first annotation
+    of each word, line and kind; only tokens that are more than a word look at single places.
     """
-    starts = positions.line_starts(units)
+    from symloom.operators.search import spans_of
+
+    split = needs_split(annots, ["unit"])
     candidates = annots.filter(
         F.col("kind").isin("def", "ref") & F.col("sym.kind").isin(*INDEXED_KINDS)
     ).select("unit", "off", "sym")
-    lined = positions.asof(candidates, starts, ["unit"], "off", "start_off", ["line"])
-    near = clicks.join(lined, ["unit", "line"]).join(units.select("unit", "code"), "unit")
-    size = F.length("token")
-    text = F.substring(F.col("code"), F.col("off") + 1, size)
-    after = F.substring(F.col("code"), F.col("off") + size + 1, F.lit(1))
-    hits = near.filter((size > 0) & (text == F.col("token")) & ~after.rlike("[\\p{L}\\p{Nd}_$]"))
+    starts = positions.line_starts(units)
+    lined = positions.asof(candidates, starts, ["unit"], "off", "start_off", ["line"], split=split)
+    words = spans_of(units, f"{_WORD}+").select("unit", F.col("start").alias("w_at"), "text")
+    worded = positions.asof(lined, words, ["unit"], "off", "w_at", ["w_at", "text"], split=split)
+    # what is left of the word from the annotation on; empty where no word goes on
+    rest = F.substring(F.col("text"), (F.col("off") - F.col("w_at") + 1).cast("int"), F.length("text"))
+    placed = worded.select("unit", "line", "off", "sym", F.coalesce(rest, F.lit("")).alias("word"))
+
+    keys = ["unit", "line", "token", "hint"]
+    asks = clicks.select(*keys).distinct().filter(F.length("token") > 0).withColumn(
+        "word", F.regexp_extract("token", f"^{_WORD}*", 0)
+    )
     off_kind = F.coalesce(F.col("sym.kind") != F.col("hint"), F.lit(False))
-    best = hits.groupBy("click").agg(
-        F.min_by(F.struct("sym", "off"), F.struct(off_kind.alias("x"), "off")).alias("hit")
+    choice = F.min_by(F.struct("sym", "off"), F.struct(off_kind.alias("x"), "off")).alias("hit")
+    firsts = placed.groupBy("unit", "line", "word", F.col("sym.kind").alias("k")).agg(
+        F.min_by("sym", "off").alias("sym"), F.min("off").alias("off")
+    )
+    on = ["unit", "line", "word"]
+    plain = asks.filter(F.col("token") == F.col("word")).join(firsts, on).select(*keys, "sym", "off")
+    longer = (
+        asks.filter(F.col("token") != F.col("word"))
+        .join(placed, on)
+        .join(units.select("unit", "code"), "unit")
+        .filter(
+            (F.substring(F.col("code"), F.col("off") + 1, F.length("token")) == F.col("token"))
+            & ~F.substring(F.col("code"), F.col("off") + F.length("token") + 1, F.lit(1)).rlike(_WORD)
+        )
+        .select(*keys, "sym", "off")
     )
-    return clicks.select("click").join(
-        best.select("click", F.col("hit.sym").alias("sym"), F.col("hit.off").alias("off")),
-        "click",
-        "left",
+    best = plain.unionByName(longer).groupBy(*keys).agg(choice)
+    same = [clicks[c].eqNullSafe(best[c]) for c in keys]
+    return clicks.join(best, same, "left").select(
+        clicks["click"], F.col("hit.sym").alias("sym"), F.col("hit.off").alias("off")
     )
