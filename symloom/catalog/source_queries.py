@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from symloom.catalog.registry import query
 from symloom.functions.text import classify_content
+from symloom.operators import bodies
 from symloom.sources import containers, disassembly
 
 
@@ -59,7 +60,7 @@ def disassembly_methods(v):
 
 
 @query(
-    """WITH m AS (SELECT 'p.C' || p_partkey || '-><init>(IJ)V' AS method_key, p_partkey, p_size, p_name FROM part)
+    """WITH m AS (SELECT 'app/p.C' || p_partkey || '-><init>(IJ)V' AS method_key, p_partkey, p_size, p_name FROM part)
     SELECT method_key, 0 AS off, 'invoke-direct' AS op, '2' AS regs, NULL AS literal, NULL AS target, 'Ljava/lang/Object;-><init>()V' AS ref FROM m
     UNION ALL SELECT method_key, 1, 'const/16', '0', p_size, NULL, NULL FROM m
     UNION ALL SELECT method_key, 2, 'if-eqz', '0', NULL, 4, NULL FROM m
@@ -75,11 +76,24 @@ def disassembly_instructions(v):
 
 
 @query(
-    """SELECT 'p.C' || p_partkey || '-><init>(IJ)V' AS method_key, 0 AS start_off, 3 AS end_off, 'java.io.IOException' AS type, 5 AS handler_off FROM part"""
+    """SELECT 'app/p.C' || p_partkey || '-><init>(IJ)V' AS method_key, 0 AS start_off, 3 AS end_off, 'java.io.IOException' AS type, 5 AS handler_off FROM part"""
 )
 def disassembly_try_ranges(v):
     t = disassembly.parse_disassembly(disassembly_files(v))["try_range"]
-    return t.select("method_key", "start_off", "end_off", "type", "handler_off")
+    return t.select("method_key", "start_off", "end_off", F.explode("handlers").alias("h")).select(
+        "method_key", "start_off", "end_off", "h.type", F.col("h.off").alias("handler_off")
+    )
+
+
+@query(
+    """SELECT 'app/p.C' || p_partkey || '-><init>(IJ)V' AS method_key, src, dst, x AS exceptional FROM part,
+    (VALUES (1, 2, FALSE), (1, 3, FALSE), (2, 3, FALSE), (1, 4, TRUE), (2, 4, TRUE)) t(src, dst, x)"""
+)
+def control_flow_of_text(v):
+    """From the text of every part to the edges of its control flow."""
+    t = disassembly.parse_disassembly(disassembly_files(v))
+    edges = bodies.control_flow(t["insn"], t["try_range"], t["switch"])["edge"]
+    return edges.select("method_key", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "exceptional")
 
 
 @query(

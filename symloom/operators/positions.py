@@ -133,19 +133,21 @@ def leaders(insns: DataFrame, try_ranges: DataFrame | None = None) -> DataFrame:
     return found.filter(F.col("off").isNotNull()).distinct()
 
 
-def normal_edges(insns: DataFrame) -> DataFrame:
+def normal_edges(insns: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
     """Edges between blocks: fall-through of a block's last row, and explicit targets.
 
-    ``insns(method_key, off, block, falls_through, target_blocks ARRAY<INT>)``.
+    ``insns(method_key, off, block, falls_through, target_blocks ARRAY<INT>)``, or without the array
+    and with ``jumps(method_key, src, dst)``.
     """
     ahead = scan(insns, ["method_key"], ["off"], {"__next": lead(F.col("block"))})
     last = ahead.filter(F.col("__next").isNull() | (F.col("__next") != F.col("block")))
     through = last.filter(F.col("falls_through") & F.col("__next").isNotNull()).select(
         "method_key", F.col("block").alias("src"), F.col("__next").alias("dst")
     )
-    jumps = last.select(
-        "method_key", F.col("block").alias("src"), F.explode("target_blocks").alias("dst")
-    )
+    if jumps is None:
+        jumps = last.select(
+            "method_key", F.col("block").alias("src"), F.explode("target_blocks").alias("dst")
+        )
     return through.unionByName(jumps).distinct()
 
 

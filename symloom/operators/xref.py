@@ -53,9 +53,11 @@ def usage_counts(usages: DataFrame, target: str = "target", file: str = "from_un
 def resolve_calls(calls: DataFrame, methods: DataFrame, strict: bool = False) -> DataFrame:
     """Left join of calls(cls, name, params, ret) to the first matching method in declaration order.
 
-    ``strict`` also compares the return type.  ``method_key`` is null for library targets.
+    ``strict`` also compares the return type; where both sides have an ``app_id`` calls stay in their
+    app.  ``method_key`` is null for library targets.
     """
-    keys = ["cls", "name", "params", *(["ret"] if strict else [])]
+    app = ["app_id"] if "app_id" in calls.columns and "app_id" in methods.columns else []
+    keys = [*app, "cls", "name", "params", *(["ret"] if strict else [])]
     declared = first_row(methods.select(*keys, "method_key", "ord"), keys, ["ord", "method_key"])
     return calls.join(declared.select(*keys, "method_key"), keys, "left")
 

@@ -26,6 +26,8 @@ ACCESS = {
 _BEFORE_METHOD = "(?m)^(?=\\.method )"
 _PAYLOAD = "(?s)\\.(packed-switch|sparse-switch|array-data)\\b.*?\\.end \\1"
 
+_TABLE = "(?s):\\w+\\s*\\n\\s*\\.(packed-switch|sparse-switch)\\b.*?\\.end \\1"
+
 
 def access_flags(words: Column) -> Column:
     listed = F.split(words, " +")
@@ -49,7 +51,8 @@ def read_disassembly(spark: SparkSession, path: str, app_id: str = "app") -> dic
 
 
 def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
-    """``files(app_id, input_file, text)`` -> class, field, method, insn, label and try_range tables."""
+    """``files(app_id, input_file, text)`` -> class, field, method, insn, label, try_range and
+    switch tables.  A ``method_key`` begins with its app, so it is unique in the whole corpus."""
     text = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
     cut = files.select("app_id", "input_file", F.split(text, _BEFORE_METHOD).alias("blocks"))
     head = F.col("blocks")[0]
@@ -99,8 +102,8 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
         access_flags(signed).alias("flags"),
         registers.try_cast("int").alias("registers"),
         F.nullif(failure, F.lit("")).alias("error"),
-        F.concat(F.col("cls"), F.lit("->"), shown).alias("method_key"),
-        F.regexp_replace("block", _PAYLOAD, "").alias("body"),
+        F.concat("app_id", F.lit("/"), "cls", F.lit("->"), shown).alias("method_key"),
+        "block", F.regexp_replace("block", _PAYLOAD, "").alias("body"),
         F.contains(F.col("block"), F.lit(".catch")).alias("has_handlers"),
     )
     methods = parsed.select(
@@ -170,12 +173,38 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     placed = catches
     for side in ("start", "end", "handler"):
         placed = placed.join(at(side), ["app_id", "method_key", f"l_{side}"], "left")
-    ranges = placed.select(
-        "app_id", "method_key", F.col("start").alias("start_off"), (F.col("end") - 1).alias("end_off"),
-        F.when(F.col("type").isNotNull(), binary_name(F.col("type"))).alias("type"),
-        F.col("handler").alias("handler_off"), F.col("pos").alias("ord"),
+    # handlers of a range stand in one method's text, so a list is no longer than that text
+    handler = F.struct(
+        "pos", F.when(F.col("type").isNotNull(), binary_name(F.col("type"))).alias("type"), F.col("handler").alias("off")
+    )
+    ranges = (
+        placed.groupBy("app_id", "method_key", F.col("start").alias("start_off"), (F.col("end") - 1).alias("end_off"))
+        .agg(F.array_sort(F.collect_list(handler)).alias("h"))
+        .select(
+            "app_id", "method_key", "start_off", "end_off",
+            F.transform("h", lambda x: F.struct(x["type"].alias("type"), x["off"].alias("off"))).alias("handlers"),
+        )
+    )
+
+    # switch tables: the label in front names the table, the labels inside are the cases
+    tables = F.regexp_extract_all("block", F.lit(_TABLE), F.lit(0))
+    cases = (
+        blocks_of(parsed).select("app_id", "method_key", F.explode(tables).alias("table"))
+        .select(
+            "app_id", "method_key", F.regexp_extract("table", "^(:\\w+)", 1).alias("label"),
+            F.explode(F.regexp_extract_all("table", F.lit("\\n\\s+(?:-?0x[0-9a-fA-F]+ -> )?(:\\w+)"), F.lit(1))).alias("case"),
+        )
+        .join(labels.select("app_id", "method_key", F.col("label").alias("case"), F.col("off").alias("target")),
+              ["app_id", "method_key", "case"])
+    )
+    switches = full.filter(F.col("op").endswith("-switch")).select(*key, "off").join(cases, key).select(
+        "app_id", "method_key", "off", "target"
     )
     return {
         "class": classes, "field": fields, "method": methods,
-        "insn": targeted, "label": labels, "try_range": ranges,
+        "insn": targeted, "label": labels, "try_range": ranges, "switch": switches,
     }
+
+
+def blocks_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select("app_id", "method_key", "block").filter(F.contains(F.col("block"), F.lit("-switch")))

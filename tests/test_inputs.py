@@ -17,7 +17,7 @@ FILES = {
     "types/Box.smali": (
         ".class public final Lp/Box;\n.super Ljava/lang/Object;\n.implements Lp/Shape;\n.source \"Box.java\"\n\n"
         ".field private final w:D\n\n"
-        ".method public set(I)V\n    .registers 3\n    const/4 v0, -0x1\n    packed-switch p1, :pswitch_data_9\n    return-void\n    :pswitch_data_9\n"
+        ".method public set(I)V\n    .registers 3\n    const/4 v0, -0x1\n    packed-switch p1, :pswitch_data_9\n    :pswitch_2\n    return-void\n    :pswitch_data_9\n"
         "    .packed-switch 0x0\n        :pswitch_2\n    .end packed-switch\n.end method\n\n"
         ".method public set(J)V\n    .registers 4\n    :try_start_0\n    invoke-virtual {p0, p1, p2}, Lp/Box;->put(J)V\n    :try_end_3\n    .catchall {:try_start_0 .. :try_end_3} :catchall_3\n"
         "    :catchall_3\n    move-exception v0\n    throw v0\n.end method\n"
@@ -46,19 +46,20 @@ def test_classes_and_fields(tables):
 
 def test_methods_and_instructions(tables):
     methods = {r.method_key: r for r in tables["method"].collect()}
-    assert set(methods) == {"p.Shape->area()D", "p.Box->set(I)V", "p.Box->set(J)V", "p.Broken->x()V"}
-    assert methods["p.Broken->x()V"].error == "bad opcode" and not methods["p.Shape->area()D"].has_code
+    assert set(methods) == {"app/p.Shape->area()D", "app/p.Box->set(I)V", "app/p.Box->set(J)V", "app/p.Broken->x()V"}
+    assert methods["app/p.Broken->x()V"].error == "bad opcode" and not methods["app/p.Shape->area()D"].has_code
     insns = [(r.method_key, r.off, r.op, r.regs, r.literal, r.target, r.ref) for r in tables["insn"].orderBy("method_key", "off").collect()]
     assert insns == [
-        ("p.Box->set(I)V", 0, "const/4", [0], -1, None, None),
-        ("p.Box->set(I)V", 1, "packed-switch", [2], None, 3, None),
-        ("p.Box->set(I)V", 2, "return-void", [], None, None, None),
-        ("p.Box->set(J)V", 0, "invoke-virtual", [1, 2, 3], None, None, "Lp/Box;->put(J)V"),
-        ("p.Box->set(J)V", 1, "move-exception", [0], None, None, None),
-        ("p.Box->set(J)V", 2, "throw", [0], None, None, None),
+        ("app/p.Box->set(I)V", 0, "const/4", [0], -1, None, None),
+        ("app/p.Box->set(I)V", 1, "packed-switch", [2], None, 3, None),
+        ("app/p.Box->set(I)V", 2, "return-void", [], None, None, None),
+        ("app/p.Box->set(J)V", 0, "invoke-virtual", [1, 2, 3], None, None, "Lp/Box;->put(J)V"),
+        ("app/p.Box->set(J)V", 1, "move-exception", [0], None, None, None),
+        ("app/p.Box->set(J)V", 2, "throw", [0], None, None, None),
     ]
-    tries = [(r.start_off, r.end_off, r.type, r.handler_off) for r in tables["try_range"].collect()]
-    assert tries == [(0, 0, None, 1)]
+    tries = [(r.start_off, r.end_off, [tuple(h) for h in r.handlers]) for r in tables["try_range"].collect()]
+    assert tries == [(0, 0, [(None, 1)])]
+    assert [(r.method_key, r.off, r.target) for r in tables["switch"].collect()] == [("app/p.Box->set(I)V", 1, 2)]
 
 
 def test_archives(spark, tmp_path):
