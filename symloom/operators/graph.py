@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions.signatures import BRIDGE, FINAL, STATIC, SYNTHETIC, has_flag
+from symloom.plans.bounded import solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh, grow, sized
 from symloom.session import cut
 
@@ -366,8 +367,91 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(~F.col("exceptional"))
 
 
+def _type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _flow_rows(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """(method_key, src, dst, mark): edges with mark 0, and marked blocks as src with their own mark.
+
+    No column is ever null, which keeps whole numbers exact on their way to Python.
+    """
+    steps = edges.select("method_key", "src", "dst").distinct().withColumn("mark", F.lit(0))
+    return steps.unionByName(marked.withColumn("dst", F.col("src")))
+
+
+def _walk(after: dict, starts: list) -> list:
+    """Blocks that can be reached, in the order met."""
+    seen = dict.fromkeys(starts)
+    todo = list(seen)
+    while todo:
+        for nxt in after.get(todo.pop(), ()):
+            if nxt not in seen:
+                seen[nxt] = None
+                todo.append(nxt)
+    return list(seen)
+
+
+def _solve_reach(key, rows):
+    after: dict = {}
+    for _, src, dst, mark in rows:
+        if not mark:
+            after.setdefault(src, []).append(dst)
+    for block in _walk(after, [src for _, src, _, mark in rows if mark]):
+        yield key, block
+
+
+def _solve_dominators(key, rows):
+    """Sets as bit masks: a block is dominated by itself and by what dominates all its predecessors."""
+    after: dict = {}
+    before: dict = {}
+    for _, src, dst, mark in rows:
+        if not mark:
+            after.setdefault(src, []).append(dst)
+            before.setdefault(dst, []).append(src)
+    roots = dict.fromkeys(src for _, src, _, mark in rows if mark)
+    blocks = _walk(after, list(roots))
+    bit = {b: 1 << i for i, b in enumerate(blocks)}
+    everything = (1 << len(blocks)) - 1
+    dom = {b: bit[b] if b in roots else everything for b in blocks}
+    todo = dict.fromkeys(blocks)
+    while todo:
+        block = next(iter(todo))
+        del todo[block]
+        mask = bit[block]
+        if block not in roots:
+            shared = everything
+            for p in before[block]:
+                if p in bit:
+                    shared &= dom[p]
+            mask |= shared
+        if mask != dom[block]:
+            dom[block] = mask
+            todo.update((n, None) for n in after.get(block, ()))
+    for block in blocks:
+        mask = dom[block]
+        while mask:
+            low = mask & -mask
+            yield key, block, blocks[low.bit_length() - 1]
+            mask ^= low
+
+
+def _large_only(df: DataFrame, large: DataFrame) -> DataFrame:
+    return df.join(large, "method_key", "left_semi").select(*df.columns)
+
+
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(method_key, block) reached from the entries."""
+    marked = entries.select("method_key", F.col("block").alias("src")).distinct().withColumn("mark", F.lit(1))
+    small, large = split_by_size(_flow_rows(edges, marked), "method_key")
+    schema = f"method_key {_type_of(edges, 'method_key')}, block {_type_of(edges, 'src')}"
+    out = solve_groups(small, "method_key", _solve_reach, schema)
+    if large is None:
+        return out
+    return out.unionByName(_reachable_by_rounds(_large_only(edges, large), _large_only(entries, large)))
+
+
+def _reachable_by_rounds(edges: DataFrame, entries: DataFrame) -> DataFrame:
     hops = cut(edges.select("method_key", F.col("src").alias("block"), "dst").distinct())
 
     def step(delta: DataFrame) -> DataFrame:
@@ -379,13 +463,28 @@ def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, entries: DataFrame, reverse: bool = False) -> DataFrame:
     """(method_key, block, dom): every block on all ways from the entry to the block, itself included.
 
-    Starts from the path to each block in a breadth-first tree, which holds all its dominators, and
-    then removes what some predecessor lacks.  Rows stay near blocks times depth; no block is ever
-    paired with all others.  ``reverse`` gives post-dominators with ``entries`` as exit blocks.
+    ``reverse`` gives post-dominators with ``entries`` as exit blocks; a block that reaches no exit has
+    none.
+    """
+    if reverse:
+        edges = edges.select("method_key", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    marked = entries.select("method_key", F.col("block").alias("src")).distinct().withColumn("mark", F.lit(1))
+    small, large = split_by_size(_flow_rows(edges, marked), "method_key")
+    block = _type_of(edges, "src")
+    schema = f"method_key {_type_of(edges, 'method_key')}, block {block}, dom {block}"
+    out = solve_groups(small, "method_key", _solve_dominators, schema)
+    if large is None:
+        return out
+    return out.unionByName(_dominators_by_rounds(_large_only(edges, large), _large_only(entries, large)))
+
+
+def _dominators_by_rounds(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """Starts from the path to each block in a breadth-first tree, which holds all its dominators, and
+    removes what some predecessor lacks.  Rows stay near blocks times depth; no block is ever paired
+    with all others.
     """
-    src, dst = ("dst", "src") if reverse else ("src", "dst")
     hops = cut(
-        edges.select("method_key", F.col(src).alias("p"), F.col(dst).alias("b")).distinct()
+        edges.select("method_key", F.col("src").alias("p"), F.col("dst").alias("b")).distinct()
     )
     roots = cut(entries.select("method_key", "block").distinct())
     front = cut(roots.withColumn("dom", F.col("block")))
@@ -446,7 +545,8 @@ def dominators(edges: DataFrame, entries: DataFrame, reverse: bool = False) -> D
 
 def immediate_dominators(dom: DataFrame) -> DataFrame:
     """(method_key, block, idom): of the strict dominators the one that has most dominators itself."""
-    depth = dom.groupBy("method_key", "block").agg(F.count(F.lit(1)).alias("depth"))
+    dom = cut(dom)
+    depth = fresh(dom).groupBy("method_key", "block").agg(F.count(F.lit(1)).alias("depth"))
     above = depth.select("method_key", F.col("block").alias("dom"), "depth")
     strict = dom.filter(F.col("dom") != F.col("block")).join(above, ["method_key", "dom"])
     return strict.groupBy("method_key", "block").agg(F.max_by("dom", "depth").alias("idom"))
@@ -454,6 +554,7 @@ def immediate_dominators(dom: DataFrame) -> DataFrame:
 
 def dominance_frontier(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """(method_key, block, frontier): where the region dominated by the block ends."""
+    dom = cut(dom)
     into = edges.select("method_key", F.col("src").alias("p"), F.col("dst").alias("frontier")).distinct()
     above = dom.select("method_key", F.col("block").alias("p"), F.col("dom").alias("block"))
     found = into.join(above, ["method_key", "p"]).select("method_key", "block", "frontier").distinct()
@@ -471,9 +572,47 @@ def back_edges(edges: DataFrame, dom: DataFrame) -> DataFrame:
     )
 
 
+def _solve_loops(key, rows):
+    before: dict = {}
+    back = []
+    for _, src, dst, is_back in rows:
+        if is_back:
+            back.append((src, dst))
+        else:
+            before.setdefault(dst, []).append(src)
+    bodies: dict = {}
+    for tail, header in back:
+        bodies.setdefault(header, []).append(tail)
+    for header, tails in bodies.items():
+        body = {header}
+        todo = list(tails)
+        while todo:
+            block = todo.pop()
+            if block not in body:
+                body.add(block)
+                todo += before.get(block, ())
+        for block in body:
+            yield key, header, block
+
+
 def natural_loops(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """(method_key, header, block): the header and all blocks that reach a back edge without it."""
+    edges = edges.select("method_key", "src", "dst").distinct()
     back = cut(back_edges(edges, dom))
+    looping = back.select("method_key").distinct()
+    # methods without a back edge have no loop and are left out
+    inside = edges.join(looping, "method_key", "left_semi").withColumn("back", F.lit(False))
+    rows = inside.unionByName(fresh(back).withColumn("back", F.lit(True)))
+    small, large = split_by_size(rows, "method_key")
+    block = _type_of(edges, "src")
+    schema = f"method_key {_type_of(edges, 'method_key')}, header {block}, block {block}"
+    out = solve_groups(small, "method_key", _solve_loops, schema)
+    if large is None:
+        return out
+    return out.unionByName(_loops_by_rounds(_large_only(edges, large), _large_only(fresh(back), large)))
+
+
+def _loops_by_rounds(edges: DataFrame, back: DataFrame) -> DataFrame:
     heads = back.select("method_key", F.col("dst").alias("header"), F.col("dst").alias("block")).distinct()
     tails = back.filter(F.col("src") != F.col("dst")).select(
         "method_key", F.col("dst").alias("header"), F.col("src").alias("block")
@@ -488,17 +627,41 @@ def natural_loops(edges: DataFrame, dom: DataFrame) -> DataFrame:
     return grow(tails, step).unionByName(heads)
 
 
-def reducible(edges: DataFrame, dom: DataFrame) -> DataFrame:
-    """(method_key, reducible): nothing circular is left once the back edges are gone.
+def _solve_acyclic(key, rows):
+    """Strips blocks without a predecessor; edges that stay lie on or behind a cycle."""
+    after: dict = {}
+    entered: dict = {}
+    for _, src, dst in rows:
+        after.setdefault(src, []).append(dst)
+        entered[dst] = entered.get(dst, 0) + 1
+    todo = [b for b in after if b not in entered]
+    left = len(rows)
+    while todo:
+        for dst in after.get(todo.pop(), ()):
+            left -= 1
+            entered[dst] -= 1
+            if not entered[dst]:
+                todo.append(dst)
+    if left:
+        yield (key,)
 
-    Blocks without a predecessor are stripped until no edge goes; edges that stay form a cycle.
-    """
+
+def reducible(edges: DataFrame, dom: DataFrame) -> DataFrame:
+    """(method_key, reducible): nothing circular is left once the back edges are gone."""
+    edges = edges.select("method_key", "src", "dst").distinct()
+    forward = edges.join(fresh(back_edges(edges, dom)), ["method_key", "src", "dst"], "left_anti")
+    small, large = split_by_size(forward, "method_key")
+    circular = solve_groups(small, "method_key", _solve_acyclic, f"method_key {_type_of(edges, 'method_key')}")
+    if large is not None:
+        circular = circular.unionByName(_circular_by_rounds(_large_only(forward, large)))
     methods = edges.select("method_key").distinct()
-    live = cut(
-        edges.select("method_key", "src", "dst").distinct().join(
-            fresh(back_edges(edges, dom)), ["method_key", "src", "dst"], "left_anti"
-        )
+    return methods.join(circular.withColumn("__bad", F.lit(True)), "method_key", "left").select(
+        "method_key", F.col("__bad").isNull().alias("reducible")
     )
+
+
+def _circular_by_rounds(forward: DataFrame) -> DataFrame:
+    live = cut(forward)
     size = live.count()
     while size:
         entered = fresh(live).select("method_key", F.col("dst").alias("src")).distinct()
@@ -507,10 +670,32 @@ def reducible(edges: DataFrame, dom: DataFrame) -> DataFrame:
         if now == size:
             break
         live, size = trimmed, now
-    circular = live.select("method_key").distinct().withColumn("__bad", F.lit(True))
-    return methods.join(circular, "method_key", "left").select(
-        "method_key", F.col("__bad").isNull().alias("reducible")
-    )
+    return live.select("method_key").distinct()
+
+
+def _solve_liveness(key, rows):
+    before: dict = {}
+    gen: dict = {}
+    kill: dict = {}
+    for _, src, dst, mark, reg in rows:
+        if mark == 0:
+            before.setdefault(dst, []).append(src)
+        else:
+            table = gen if mark == 1 else kill
+            table.setdefault(src, set()).add(reg)
+    live = {b: set(regs) for b, regs in gen.items()}
+    todo = list(live)
+    while todo:
+        block = todo.pop()
+        for p in before.get(block, ()):
+            have = live.setdefault(p, set())
+            more = live[block] - kill.get(p, set()) - have
+            if more:
+                have |= more
+                todo.append(p)
+    for block, regs in live.items():
+        for reg in regs:
+            yield key, block, reg
 
 
 def liveness(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
@@ -520,11 +705,34 @@ def liveness(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
     register counts as before the definition.  Parameters are definitions at idx -1 of the entry.
     """
     first_use = uses.groupBy("method_key", "block", "reg").agg(F.min("idx").alias("u"))
-    first_def = cut(defs.groupBy("method_key", "block", "reg").agg(F.min("idx").alias("d")))
+    first_def = defs.groupBy("method_key", "block", "reg").agg(F.min("idx").alias("d"))
     keys = ["method_key", "block", "reg"]
-    gen = first_use.join(fresh(first_def), keys, "left").filter(
+    gen = first_use.join(first_def, keys, "left").filter(
         F.col("d").isNull() | (F.col("u") <= F.col("d"))
     ).select(*keys)
+    kill = fresh(first_def.select(*keys))
+
+    def marked(df: DataFrame, mark: int) -> DataFrame:
+        return df.select(
+            "method_key", F.col("block").alias("src"), F.col("block").alias("dst"), F.lit(mark).alias("mark"),
+            F.col("reg").cast("string").alias("reg"),
+        )
+
+    steps = edges.select("method_key", "src", "dst").distinct().withColumns({"mark": F.lit(0), "reg": F.lit("")})
+    rows = steps.unionByName(marked(gen, 1)).unionByName(marked(kill, 2))
+    small, large = split_by_size(rows, "method_key")
+    schema = f"method_key {_type_of(edges, 'method_key')}, block {_type_of(edges, 'src')}, reg string"
+    out = solve_groups(small, "method_key", _solve_liveness, schema).withColumn(
+        "reg", F.col("reg").cast(uses.schema["reg"].dataType)
+    )
+    if large is None:
+        return out
+    return out.unionByName(
+        _liveness_by_rounds(_large_only(edges, large), _large_only(gen, large), _large_only(kill, large))
+    )
+
+
+def _liveness_by_rounds(edges: DataFrame, gen: DataFrame, kill: DataFrame) -> DataFrame:
     into = cut(edges.select("method_key", F.col("dst").alias("block"), "src").distinct())
 
     def step(delta: DataFrame) -> DataFrame:
@@ -532,7 +740,7 @@ def liveness(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
             "method_key", F.col("src").alias("block"), "reg"
         )
 
-    return grow(gen, step, barred=first_def)
+    return grow(gen, step, barred=cut(kill))
 
 
 def renderable(blocks: DataFrame, edges: DataFrame) -> DataFrame:

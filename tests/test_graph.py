@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.operators import graph
+from symloom.plans.bounded import METHOD_ROWS_KEY
 
 OBJ = graph.OBJECT
 
@@ -85,8 +86,18 @@ def reach(adj, start, without=None):
     return seen
 
 
+@pytest.fixture(params=["inside tasks", "by rounds", "both ways"])
+def way(request, spark):
+    """Methods solved inside a task, by relational rounds, or some this way and some that way."""
+    limit = {"inside tasks": None, "by rounds": "0", "both ways": "12"}[request.param]
+    if limit is not None:
+        spark.conf.set(METHOD_ROWS_KEY, limit)
+    yield request.param
+    spark.conf.unset(METHOD_ROWS_KEY)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_control_flow_equals_brute_force(spark, seed):
+def test_control_flow_equals_brute_force(spark, seed, way):
     edges = random_flow(seed)
     ef = spark.createDataFrame(edges, "method_key long, src long, dst long")
     entries = spark.createDataFrame([(m, 0) for m in {e[0] for e in edges}], "method_key long, block long")
@@ -129,7 +140,7 @@ def test_control_flow_equals_brute_force(spark, seed):
     assert got_loop == loops and got_red == red
 
 
-def test_post_dominators_without_exit(spark):
+def test_post_dominators_without_exit(spark, way):
     edges = [(1, "a", "b"), (1, "a", "c"), (1, "b", "d"), (1, "c", "d"), (1, "c", "spin"), (1, "spin", "spin")]
     ef = spark.createDataFrame(edges, "method_key long, src string, dst string")
     exits = spark.createDataFrame([(1, "d")], "method_key long, block string")
@@ -137,7 +148,7 @@ def test_post_dominators_without_exit(spark):
     assert got == {("d", "d"), ("b", "b"), ("b", "d"), ("c", "c"), ("c", "d"), ("a", "a"), ("a", "d")}
 
 
-def test_liveness_equals_iteration(spark):
+def test_liveness_equals_iteration(spark, way):
     rnd = random.Random(5)
     edges = random_flow(5, methods=6)
     acts = [(m, b, i, rnd.randrange(4), rnd.random() < 0.5) for m in range(6) for b in range(9) for i in range(rnd.randrange(4))]
