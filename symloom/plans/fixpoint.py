@@ -46,9 +46,10 @@ def grow(
     keys = list(keys or columns)
 
     def admit(found: DataFrame) -> DataFrame:
-        out = found.join(fresh(total).select(*keys), keys, "left_anti")
+        closed = fresh(total).select(*keys)
         if barred is not None:
-            out = out.join(fresh(barred).select(*keys), keys, "left_anti")
+            closed = closed.unionByName(fresh(barred).select(*keys))
+        out = found.join(closed, keys, "left_anti")
         if allowed is not None:
             out = out.join(fresh(allowed).select(*keys), keys, "left_semi")
         return out.select(*columns)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from symloom.session import cut, rows_per_task
@@ -61,10 +61,6 @@ def lead(value: Column) -> Spec:
     return Spec("lead", F.struct(value.alias("v")), True)
 
 
-def _columns(items: Sequence[str | Column]) -> list[Column]:
-    return [F.col(i) if isinstance(i, str) else i for i in items]
-
-
 def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     """(rows of the largest group, rows in all); counts are combined before the shuffle."""
     row = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
@@ -77,30 +73,34 @@ def needs_split(df: DataFrame, by: Sequence[str]) -> bool:
     return largest_group(df, by)[0] > rows_per_task(df.sparkSession)
 
 
-def _local(spec: Spec, name: str, order: Window) -> Column:
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    value = F.col(name)
-    if spec.kind == "row_number":
-        return F.row_number().over(order).cast("long")
-    if spec.kind == "sum":
-        return F.sum(value).over(upto)
-    if spec.kind == "min":
-        return F.min(value).over(upto)
-    if spec.kind in ("last", "lag"):
-        return F.last(value, ignorenulls=True).over(before if spec.strict else upto)
-    return F.first(value, ignorenulls=True).over(after if spec.strict else onward)
+def _windows(by: Sequence[str], order: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """The group in order and in reverse.
 
+    What follows a row is looked up in reverse: a frame that reaches to the end of the group would be
+    worked out anew for every row.
+    """
+    group = Window.partitionBy(*by)
+    forward = group.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    return forward, group.orderBy(*[F.col(c).desc_nulls_last() for c in order])
 
-def _plain_local(spec: Spec, name: str, order: Window) -> Column:
-    """Without slices lag and lead are single-offset window functions, cheaper than a frame."""
+
+def _local(spec: Spec, name: str, windows: tuple[WindowSpec, WindowSpec]) -> Column:
+    forward, backward = windows
+    value = F.col(name)
+    first = Window.unboundedPreceding
+    end = -1 if spec.strict else Window.currentRow
+    if spec.kind == "row_number":
+        return F.row_number().over(forward).cast("long")
     if spec.kind == "lag":
-        return F.lag(F.col(name)).over(order)
+        return F.lag(value).over(forward)
     if spec.kind == "lead":
-        return F.lead(F.col(name)).over(order)
-    return _local(spec, name, order)
+        return F.lead(value).over(forward)
+    if spec.kind == "sum":
+        return F.sum(value).over(forward.rowsBetween(first, Window.currentRow))
+    if spec.kind == "min":
+        return F.min(value).over(forward.rowsBetween(first, Window.currentRow))
+    window = forward if spec.kind == "last" else backward
+    return F.last(value, ignorenulls=True).over(window.rowsBetween(first, end))
 
 
 def _summary(spec: Spec, name: str) -> Column:
@@ -115,17 +115,15 @@ def _summary(spec: Spec, name: str) -> Column:
     return F.max_by(value, rank) if spec.kind in ("last", "lag") else F.min_by(value, rank)
 
 
-def _carry(spec: Spec, name: str, slices: Window) -> Column:
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    later = slices.rowsBetween(1, Window.unboundedFollowing)
+def _carry(spec: Spec, name: str, windows: tuple[WindowSpec, WindowSpec]) -> Column:
+    forward, backward = (w.rowsBetween(Window.unboundedPreceding, -1) for w in windows)
     value = F.col(name)
     if spec.kind in ("row_number", "sum"):
-        return F.sum(value).over(earlier)
+        return F.sum(value).over(forward)
     if spec.kind == "min":
-        return F.min(value).over(earlier)
-    if spec.kind in ("last", "lag"):
-        return F.last(value, ignorenulls=True).over(earlier)
-    return F.first(value, ignorenulls=True).over(later)
+        return F.min(value).over(forward)
+    window = forward if spec.kind in ("last", "lag") else backward
+    return F.last(value, ignorenulls=True).over(window)
 
 
 def _combine(spec: Spec, here: Column, carried: Column) -> Column:
@@ -139,7 +137,7 @@ def _combine(spec: Spec, here: Column, carried: Column) -> Column:
 def scan(
     df: DataFrame,
     by: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     outputs: dict[str, Spec],
     split: bool | None = None,
 ) -> DataFrame:
@@ -156,37 +154,37 @@ def scan(
         f"__in_{name}": spec.value for name, spec in outputs.items() if spec.value is not None
     }
     staged = df.withColumns(inputs) if inputs else df
-    by_cols, order_cols = _columns(by), _columns(order)
+    by, order = list(by), list(order)
     wrapped = {n for n, s in outputs.items() if s.kind in ("lag", "lead")}
 
     if not split:
-        window = Window.partitionBy(*by_cols).orderBy(*order_cols)
-        out = staged.withColumns(
-            {n: _plain_local(s, f"__in_{n}", window) for n, s in outputs.items()}
-        )
+        windows = _windows(by, order)
+        out = staged.withColumns({n: _local(s, f"__in_{n}", windows) for n, s in outputs.items()})
     else:
-        out = _sliced(staged, list(by), by_cols, order_cols, outputs, total, limit)
+        out = _sliced(staged, by, order, outputs, total, limit)
     out = out.withColumns({n: F.col(n)["v"] for n in wrapped}) if wrapped else out
     return out.drop(*inputs)
 
 
-def _sliced(staged, by, by_cols, order_cols, outputs, total, limit):
+def _sliced(
+    staged: DataFrame, by: list[str], order: list[str], outputs: dict[str, Spec], total: int | None, limit: int
+) -> DataFrame:
     spark = staged.sparkSession
     rows = total if total is not None else staged.count()
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * rows / limit))
     slices = cut(
-        staged.repartitionByRange(wanted, *by_cols, *order_cols)
+        staged.repartitionByRange(wanted, *by, *order)
         .withColumn(_SLICE, F.spark_partition_id())
     )
-    window = Window.partitionBy(*by_cols, F.col(_SLICE)).orderBy(*order_cols)
+    windows = _windows([*by, _SLICE], order)
     local = slices.withColumns(
-        {_RANK: F.row_number().over(window)}
-        | {f"__at_{n}": _local(s, f"__in_{n}", window) for n, s in outputs.items()}
+        {_RANK: F.row_number().over(windows[0])}
+        | {f"__at_{n}": _local(s, f"__in_{n}", windows) for n, s in outputs.items()}
     )
     summary = local.groupBy(*by, _SLICE).agg(
         *[_summary(s, f"__in_{n}").alias(f"__sum_{n}") for n, s in outputs.items()]
     )
-    per_group = Window.partitionBy(*by_cols).orderBy(_SLICE)
+    per_group = _windows(by, [_SLICE])
     carried = summary.withColumns(
         {f"__from_{n}": _carry(s, f"__sum_{n}", per_group) for n, s in outputs.items()}
     ).select(

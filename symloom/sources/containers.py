@@ -177,7 +177,15 @@ def export_rows(
 
 
 def export_units(
-    units: DataFrame, path: str, fmt: str = "parquet", language: str = "java", resources: DataFrame | None = None
+    units: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    language: str = "java",
+    resources: DataFrame | None = None,
+    by_package: bool = False,
 ) -> None:
-    """Write export rows.  Files follow the number of rows, not the number of packages."""
-    export_rows(units, language, resources).write.mode("errorifexists").format(fmt).save(path)
+    """Write export rows.  Files follow the number of rows; ``by_package`` makes one folder per package."""
+    writer = export_rows(units, language, resources).write.mode("errorifexists").format(fmt)
+    if by_package:
+        writer = writer.partitionBy("package")
+    writer.save(path)

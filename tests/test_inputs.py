@@ -96,6 +96,8 @@ def test_id_map_and_export(spark, tmp_path):
     assert got == {0x01010000: "attr/theme", 0x7F000001: "a=b"}
     units = spark.createDataFrame([("p.q.A", "code", None), ("B", None, "boom")], "full string, code string, error string")
     containers.export_units(units, str(tmp_path / "out"), "parquet", "kotlin")
+    containers.export_units(units, str(tmp_path / "folders"), "json", by_package=True)
+    assert (tmp_path / "folders" / "package=p.q").is_dir()
     rows = {r.path: (r.package, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {"p/q/A.kt": ("p.q", "code"), "B.kt": ("", "// could not export 'B': boom\n")}
 
