@@ -12,6 +12,7 @@ from symloom.functions.signatures import ANNOTATION, ENUM, has_flag
 from symloom.functions.text import quote, trim_text
 from symloom.operators.graph import on_cycle
 from symloom.operators.positions import asof
+from symloom.plans.bounded import NAMING_ROWS, NAMING_ROWS_KEY, solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh
 from symloom.plans.ordered import (
     first_row,
@@ -86,7 +87,8 @@ def unique_names(
     """First symbol of a scope keeps its base name, later ones get base2, base3, … skipping taken ones.
 
     Only bases that differ in trailing digits alone can make each other's names.  Every other base is
-    numbered by its position, which is exact; the mixed families go through ``_settle``.
+    numbered by its position, which is exact.  Mixed families of a counted, bounded size are named one
+    by one inside tasks, larger ones by rounds over all scopes.
     """
     scope, order = list(scope), list(order)
     stemmed = symbols.withColumn("__stem", F.regexp_extract(F.col(base), _STEM, 1))
@@ -102,27 +104,47 @@ def unique_names(
     simple = stemmed.join(mixed, family, "left_anti")
     ranked = scan(simple, [*scope, base], order, {"__i": row_number()}, split)
     plain = ranked.withColumn("name", _suffixed(F.col(base), F.col("__i"))).select(*symbols.columns, "name")
-    rest = stemmed.join(mixed, family, "left_semi").select(*symbols.columns)
+    rest = scan(stemmed.join(mixed, family, "left_semi"), scope, order, {"__t": row_number()}, split)
+    rest = cut(rest.withColumn("__family", F.to_json(F.struct(*family))))
     if rest.isEmpty():
         return plain
-    return plain.unionByName(_settle(rest, scope, order, base, split))
+    asked = rest.select("__family", "__t", F.col(base).alias("__base"))
+    small, large = split_by_size(asked, "__family", NAMING_ROWS_KEY, NAMING_ROWS)
+    given = solve_groups(small, "__family", _give_names, "__family string, __t long, name string")
+    named = rest.join(given, ["__family", "__t"]).select(*symbols.columns, "name")
+    if large is None:
+        return plain.unionByName(named)
+    settled = _settle(fresh(rest).join(large, "__family", "left_semi"), scope, base, split)
+    return plain.unionByName(named).unionByName(settled.select(*symbols.columns, "name"))
+
+
+def _give_names(family, rows):
+    taken: set = set()
+    following: dict = {}
+    for _, t, base in sorted(rows, key=lambda r: r[1]):
+        name = base
+        if base in taken:
+            n = following.get(base, 2)
+            while f"{base}{n}" in taken:
+                n += 1
+            following[base] = n + 1
+            name = f"{base}{n}"
+        taken.add(name)
+        yield family, t, name
 
 
 def _suffixed(base: Column, number: Column) -> Column:
     return F.when(number == 1, base).otherwise(F.concat(base, number.cast("string")))
 
 
-def _settle(
-    symbols: DataFrame, scope: list[str], order: list[str], base: str, split: bool
-) -> DataFrame:
-    """Names of families whose bases make each other's names.
+def _settle(timed: DataFrame, scope: list[str], base: str, split: bool) -> DataFrame:
+    """Names of families whose bases make each other's names; ``__t`` numbers the rows of a scope.
 
     Names are assumed, what they take from other bases is worked out, and names are given again until
     nothing changes.  A symbol only depends on earlier ones, so every round settles at least the next
     of them and the end is what giving names one by one would give.  Each round is joins and ordered
     passes over all scopes at once.
     """
-    timed = scan(symbols, scope, order, {"__t": row_number()}, split)
     rows = cut(scan(timed, [*scope, base], ["__t"], {"__o": row_number()}, split))
     owner = [*scope, "__base"]
     keyed = rows.select(*scope, F.col(base).alias("__base"), "__t", "__o")
@@ -187,7 +209,7 @@ def _settle(
         if steady:
             break
     final = fresh(names).select(*scope, "__t", F.col("__name").alias("name"))
-    return rows.join(final, [*scope, "__t"]).select(*symbols.columns, "name")
+    return rows.join(final, [*scope, "__t"])
 
 
 # --- imports ---------------------------------------------------------------------------------
@@ -288,6 +310,37 @@ def attach_comments(defs: DataFrame, comments: DataFrame) -> DataFrame:
 # --- rename requests -------------------------------------------------------------------------
 
 
+def _decide(requests: DataFrame, scope: list[str]) -> DataFrame:
+    """(seq, sym, new_name, collided) of requests that influence each other."""
+    keyed = cut(requests.withColumn("__scope", F.to_json(F.struct(*scope))))
+    asked = keyed.select(
+        "__scope", "seq", F.col("sym").cast("string").alias("sym"), "new_name", "effective", "held_new", "held_old"
+    )
+    small, large = split_by_size(asked, "__scope", NAMING_ROWS_KEY, NAMING_ROWS)
+    seq = keyed.schema["seq"].dataType.simpleString()
+    done = solve_groups(small, "__scope", _take_in_order, f"__scope string, seq {seq}, collided boolean")
+    out = keyed.join(done, ["__scope", "seq"]).select("seq", "sym", "new_name", "collided")
+    if large is None:
+        return out
+    rest = fresh(keyed).join(large, "__scope", "left_semi").drop("__scope")
+    return out.unionByName(_accept(rest, scope))
+
+
+def _take_in_order(scope, rows):
+    holders: dict = {}
+    present: dict = {}
+    for _, seq, sym, wanted, start, held_new, held_old in sorted(rows, key=lambda r: r[1]):
+        holders.setdefault(start, held_old)
+        holders.setdefault(wanted, held_new)
+        current = present.get(sym, start)
+        taken = holders[wanted] - (current == wanted) > 0
+        if not taken:
+            holders[current] -= 1
+            holders[wanted] += 1
+            present[sym] = wanted
+        yield scope, seq, taken
+
+
 def _accept(requests: DataFrame, scope: list[str]) -> DataFrame:
     """``collided`` of requests(seq, sym, new_name, effective, held_new, held_old, <scope…>) taken in
     order of seq.
@@ -338,8 +391,9 @@ def check_renames(requests: DataFrame, symbols: DataFrame, scope: Sequence[str])
 
     ``symbols(sym, <scope…>, effective, renamable)``.  applied, invalid (with the reason), collision
     (another symbol of the scope holds the name at that moment) or unrenamable.
-    Requests that no other request of their scope can influence are decided by joins; only the rest
-    go through ``_accept``.
+    Requests that no other request of their scope can influence are decided by joins.  The rest is
+    taken one by one inside tasks where the scope has a counted, bounded number of them, and by rounds
+    over all scopes where it has more.
     """
     scope = list(scope)
     known = requests.join(symbols.select("sym", *scope, "effective", "renamable"), "sym", "left")
@@ -380,7 +434,7 @@ def check_renames(requests: DataFrame, symbols: DataFrame, scope: Sequence[str])
     )
     decided = alone.select("seq", "sym", "new_name", "collided")
     if not together.isEmpty():
-        decided = decided.unionByName(_accept(together, scope))
+        decided = decided.unionByName(_decide(together, scope))
     done = decided.select(
         "seq", "sym", "new_name",
         F.when(F.col("collided"), "collision").otherwise("applied").alias("outcome"),

@@ -3,7 +3,8 @@
 A question about one method's graph needs as many relational rounds as the method is deep, and every
 round would shuffle the edges of all methods.  Methods up to a row limit are therefore brought
 together once, sorted, and answered one after the other inside their task; rows stream through and
-only one counted method is held.  The few methods above the limit take the relational way.
+only one counted method is held.  The few methods above the limit take the relational way.  Names
+that are given one after the other within a scope are treated alike.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from pyspark.sql import functions as F
 
 METHOD_ROWS_KEY = "spark.symloom.methodRows"
 METHOD_ROWS = 5_000
+NAMING_ROWS_KEY = "spark.symloom.namingRows"
+NAMING_ROWS = 100_000
 OUT_ROWS = 50_000
 
 Solve = Callable[[object, list[tuple]], Iterable[tuple]]
 
 
-def split_by_size(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+def split_by_size(
+    rows: DataFrame, key: str, setting: str = METHOD_ROWS_KEY, default: int = METHOD_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
     """(rows of small groups, keys of large groups or None).  At most rows / limit keys are large."""
-    limit = int(rows.sparkSession.conf.get(METHOD_ROWS_KEY, str(METHOD_ROWS)))
+    limit = int(rows.sparkSession.conf.get(setting, str(default)))
     large = rows.groupBy(key).count().filter(F.col("count") > limit).select(key)
     if large.isEmpty():
         return rows, None
@@ -32,7 +37,7 @@ def split_by_size(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | Non
 
 
 def solve_groups(rows: DataFrame, key: str, solve: Solve, schema: str) -> DataFrame:
-    """``solve(key, rows)`` for every group of bounded size; it yields result tuples."""
+    """``solve(key, rows)`` for every group of bounded size, in no order; it yields result tuples."""
     names = rows.columns
     at = names.index(key)
     out_names = [part.split()[0] for part in schema.split(",")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import names
 from symloom.operators import naming
+from symloom.plans.bounded import NAMING_ROWS_KEY
 from symloom.session import ROWS_PER_TASK_KEY
 
 
@@ -35,10 +36,12 @@ def test_allocate_equals_greedy(spark, seed, limit):
     df = spark.createDataFrame(rows, "scope string, ord int, name string, renamable boolean")
     if limit:
         spark.conf.set(ROWS_PER_TASK_KEY, limit)
+        spark.conf.set(NAMING_ROWS_KEY, limit)
     try:
         got = {(r.scope, r.ord): r.alias for r in naming.allocate_names(df, ["scope"], ["ord"], "C").collect()}
     finally:
         spark.conf.unset(ROWS_PER_TASK_KEY)
+        spark.conf.unset(NAMING_ROWS_KEY)
     assert got == greedy_alloc(rows, "C")
 
 
@@ -63,10 +66,12 @@ def test_unique_equals_greedy(spark, seed, limit):
     df = spark.createDataFrame(rows, "scope string, ord int, base string")
     if limit:
         spark.conf.set(ROWS_PER_TASK_KEY, limit)
+        spark.conf.set(NAMING_ROWS_KEY, limit)
     try:
         got = {(r.scope, r.ord): r.name for r in naming.unique_names(df, ["scope"], ["ord"], "base").collect()}
     finally:
         spark.conf.unset(ROWS_PER_TASK_KEY)
+        spark.conf.unset(NAMING_ROWS_KEY)
     assert got == greedy_unique(rows)
 
 
@@ -97,10 +102,12 @@ def test_renames_equal_one_by_one(spark, seed, limit):
     rf = spark.createDataFrame(requests, "seq long, sym long, new_name string")
     if limit:
         spark.conf.set(ROWS_PER_TASK_KEY, limit)
+        spark.conf.set(NAMING_ROWS_KEY, limit)
     try:
         got = {r.seq: r.outcome for r in naming.check_renames(rf, sf, ["scope"]).collect()}
     finally:
         spark.conf.unset(ROWS_PER_TASK_KEY)
+        spark.conf.unset(NAMING_ROWS_KEY)
     assert got == one_by_one(requests, symbols)
 
 
