@@ -224,9 +224,7 @@ def import_claims(uses: DataFrame, split: bool | None = None) -> DataFrame:
     Result: one row per (unit, full) with ``display`` and ``imported``.
     """
     package = package_of(F.col("full"))
-    once = uses.groupBy("unit", "full").agg(
-        F.min("seq").alias("seq"), F.first("own_package").alias("own_package")
-    ).withColumns({"__pkg": package, "__simple": F.substring_index("full", ".", -1)})
+    once = uses.groupBy("unit", "own_package", "full").agg(F.min("seq").alias("seq")).withColumns({"__pkg": package, "__simple": F.substring_index("full", ".", -1)})
     owners = (
         once.filter(F.col("__pkg") != "")
         .groupBy("unit", "__simple")
