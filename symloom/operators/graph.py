@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions.signatures import BRIDGE, FINAL, STATIC, SYNTHETIC, has_flag
 from symloom.plans.bounded import solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh, grow, sized
-from symloom.session import cut
+from symloom.session import cut, cut_spread
 
 # Fixed values.
 OBJECT = "java.lang.Object"
@@ -54,7 +54,7 @@ def supertype_edges(classes: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """(cls, anc, depth) for every proper ancestor of edges(cls, parent); depth is the shortest way."""
-    up = cut(edges.select(F.col("cls").alias("anc"), F.col("parent").alias("up")).distinct())
+    up = cut_spread(edges.select(F.col("cls").alias("anc"), F.col("parent").alias("up")).distinct())
     base = edges.select("cls", F.col("parent").alias("anc"), F.lit(1).alias("depth")).filter("cls <> anc")
 
     def step(delta: DataFrame) -> DataFrame:
@@ -333,13 +333,13 @@ def propagate_throws(direct: DataFrame, calls: DataFrame, caught: DataFrame, clo
     every = cut(caught.filter(F.col("exc").isin(*CATCH_EVERYTHING)).select("method").distinct())
     silent = fresh(every).withColumnRenamed("method", "caller")
     below = closed.select(F.col("cls").alias("sub"), F.col("anc").alias("exc"))
-    stopped = cut(
+    stopped = cut_spread(
         caught.select("method", "exc")
         .unionByName(caught.join(below, "exc").select("method", F.col("sub").alias("exc")))
         .distinct()
     )
     # nothing leaves a method that catches everything, so calls from it do not matter
-    into = cut(
+    into = cut_spread(
         calls.select("caller", F.col("callee").alias("method")).distinct().join(silent, "caller", "left_anti")
     )
     leaves = direct.select("method", "exc").distinct().join(

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.session import BROADCAST_ROWS, cut
+from symloom.session import BROADCAST_ROWS, cut, cut_spread
 
 COMPACT_EVERY = 12
 # below this many rows shuffling the result so far costs less than one more materialised step
@@ -83,5 +83,5 @@ def grow(
         if new:
             total = total.unionByName(delta)
             if rounds % COMPACT_EVERY == 0:
-                total = cut(total)
+                total = cut_spread(total)
     return total

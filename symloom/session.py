@@ -45,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def cut_spread(df: DataFrame) -> DataFrame:
+    """As ``cut``, for a table that many rounds read: evenly spread, so every task slot has a share."""
+    return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage in the shared checkpoint folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
