@@ -62,7 +62,7 @@ def disassembly_methods(v):
 @query(
     """WITH m AS (SELECT 'app/p.C' || p_partkey || '-><init>(IJ)V' AS method_key, p_partkey, p_size, p_name FROM part)
     SELECT method_key, 0 AS off, 'invoke-direct' AS op, '2' AS regs, NULL AS literal, NULL AS target, 'Ljava/lang/Object;-><init>()V' AS ref FROM m
-    UNION ALL SELECT method_key, 1, 'const/16', '0', p_size, NULL, NULL FROM m
+    UNION ALL SELECT method_key, 1, 'const/16', '0', CAST(p_size AS BIGINT), NULL, NULL FROM m
     UNION ALL SELECT method_key, 2, 'if-eqz', '0', NULL, 4, NULL FROM m
     UNION ALL SELECT method_key, 3, 'invoke-static/range', '3,4,5', NULL, NULL, 'Lp/C' || p_partkey || ';->run(IJ)V' FROM m
     UNION ALL SELECT method_key, 4, 'return-void', '', NULL, NULL, NULL FROM m

@@ -123,7 +123,7 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     # the lines of a method come from one cell, so a group is what one task has held already
     counted = scan(
         kept, ["app_id", "method_key"], ["pos"], {"seen": running_sum(is_insn.cast("int"))}, False
-    )
+    ).withColumn("seen", F.col("seen").cast("int"))
 
     labels = counted.filter(F.col("line").startswith(":")).select(
         "app_id", "method_key", F.substring_index("line", " ", 1).alias("label"), F.col("seen").alias("off")
