@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from symloom.catalog.registry import query
 from symloom.operators import plugins
-from symloom.session import ensure_checkpoint_dir
+from symloom.session import scratch_folder
 from symloom.streaming import flows
 
 
@@ -20,7 +18,7 @@ def stream_of(v, table):
 
 def scratch(v):
     """A new folder on the storage the cluster names for checkpoints."""
-    return f"{ensure_checkpoint_dir(v.spark)}/flow-{uuid.uuid4().hex}"
+    return scratch_folder(v.spark, "flow")
 
 
 @query(

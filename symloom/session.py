@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +31,11 @@ def rows_per_task(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster names its shared folder in spark.checkpoint.dir; only a local session gets its own."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a folder below the session's warehouse takes its place on a local master; a
+    cluster has to name one.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is not None:
@@ -40,11 +44,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="symloom-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, not yet existing folder below the shared one, deleted when the driver's JVM ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives a lost executor."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_spread(df: DataFrame) -> DataFrame:
     """As ``cut``, for a table that many rounds read: evenly spread, so every task slot has a share."""
     return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
