@@ -37,7 +37,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if held is not None:
-            table = pa.concat_tables([held, table]).combine_chunks()
+            table = pa.concat_tables([held.cast(table.schema), table]).combine_chunks()
         if not table.num_rows:
             continue
         fresh = np.ones(table.num_rows, bool)
@@ -48,7 +48,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] = ~same
         first = np.flatnonzero(fresh)
         sums = np.add.reduceat(table.column("n").to_numpy(), first)
-        merged = table.take(pa.array(first)).set_column(table.schema.get_field_index("n"), "n", pa.array(sums))
+        merged = table.take(pa.array(first)).set_column(table.schema.get_field_index("n"), table.schema.field("n"), pa.array(sums))
         yield from merged.slice(0, merged.num_rows - 1).to_batches()
         held = merged.slice(merged.num_rows - 1)
     if held is not None:

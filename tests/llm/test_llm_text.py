@@ -34,7 +34,12 @@ def texts(spark):
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_dedup(spark, texts, keep):
     texts = texts + texts[:50] + ["SAME text"] * 70 + ["same TEXT"] * 30
-    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(frame(spark, texts, True).repartition(7), keep=keep, fan_bits=2).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)  # runs of several batches
+    try:
+        rows = exact_dedup.exact_dedup(frame(spark, texts, True).repartition(3), keep=keep, fan_bits=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["doc_id"]: r for r in rows}
     groups = {}
     for i, t in enumerate(texts):
         groups.setdefault(lower(t), []).append(i)
