@@ -131,7 +131,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     marked = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
     on = marked[id_col].cast("long").eqNullSafe(stay[key]) & (marked[sha] == stay[sha])
-    found = marked.join(stay, on, "left_semi")
+    found = marked.join(stay.hint("shuffle_hash"), on, "left_semi")
     twice = docs.groupBy(F.col(id_col)).count().filter("count > 1")
     if twice.isEmpty():
         return found.drop(sha)

@@ -217,6 +217,8 @@ def _linked(marked: DataFrame, heads: DataFrame, words: int, percent: int) -> Da
 
     # whole sets of the classes that share a band with another
     asked = heads.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("mark").alias("m"))
+    # the few names are hashed, so the texts are shuffled but never sorted
+    asked = asked.hint("shuffle_hash")
     texts = marked.join(asked, marked["id"].eqNullSafe(asked["i"]) & (marked["mark"] == asked["m"])).select("node", "text")
     sets = stage(texts.mapInArrow(_sets(words), "node long, shingles array<long>"), "near-sets")
 
@@ -282,7 +284,7 @@ def drop_near_copies(
     mark = "__near_text"
     marked = docs.withColumn(mark, F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)))
     on = marked[id_col].cast("long").eqNullSafe(stay["__near_id"]) & (marked[mark] == stay["__near_mark"])
-    found = marked.join(stay, on, "left_semi")
+    found = marked.join(stay.hint("shuffle_hash"), on, "left_semi")
     if docs.groupBy(F.col(id_col)).count().filter("count > 1").isEmpty():
         return found.drop(mark)
     # rows that share id and text: the join keeps all of them, so one is picked
