@@ -8,8 +8,11 @@ three rounds.
 Documents with equal shingle sets are one class and go on as one.  Classes that share a band are candidates.
 They are never paired all with all: first each class is checked against the class it shares most bands with
 among the least of its buckets, then against the least of each bucket that its component does not hold.
-What is left are pairs of one bucket in different components, and only those are paired.  A pair of classes in
-one component needs no check, as it could change nothing.  Links are confirmed on the full sets.
+Classes whose buckets still hold several components are compared across components, by exact filters: two sets
+that are alike share one of their rarest shingles and differ in few parities.  First come a few rounds against
+random members of each group of classes with a rare shingle in common, then all pairs of a group that are still in
+different components.  A pair of classes in one component needs no check, as it
+could change nothing.  Links are confirmed on the full sets.
 
 With 28 bands of 4 rows a pair at similarity 0.8 shares no band with a probability of 4 in 10 million, one at
 0.85 of 1 in a billion.
@@ -250,31 +253,169 @@ def _linked(marked: DataFrame, heads: DataFrame, words: int, percent: int) -> Da
 
     pairs = near.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     second = rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b")
-    roots = components(confirmed(second.join(first, ["a", "b"], "left_anti")), roots)
+    second = stage(second.join(first, ["a", "b"], "left_anti"), "near-second")
+    roots = components(confirmed(second), roots)
+
+    # Classes in buckets that still hold several components.  Two sets that are alike share one of the rarest
+    # shingles of each: the first n - ceil(n * percent / 100) + 1 in any common order.
+    placed = stage(rooted(entries, "node", "root").select("band", "node", "root"), "near-placed")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    rest = placed.join(mixed.select("band"), "band", "left_semi").select("node", "root").distinct()
+    rest = stage(rest.join(sets, "node"), "near-rest")
+    shared = rest.sparkSession.sparkContext.broadcast(shingle_counts(rest))
+    columns = ["shingle", "node", "root", "n", "short", *[f"p{k}" for k in range(FEW)]]
+    kinds = ", ".join(f"{c} boolean" if c == "short" else f"{c} long" for c in columns)
+    rare = stage(rest.mapInArrow(_rare(shared, percent), kinds), "near-rare")
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select("shingle", *[F.col(c).alias(c + name) for c in frame.columns if c != "shingle"])
+
+    def apart(longs: int):
+        """Parities differ in at most as many places as the two sets have elements of their own."""
+        return sum(F.bit_count(F.col(f"p{k}x").bitwiseXOR(F.col(f"p{k}y"))) for k in range(longs))
+
+    def across(longs: int):
+        alike = apart(longs) * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+        return (F.col("rootx") != F.col("rooty")) & close("nx", "ny") & alike
+
+    # rounds in which each class is checked against the likeliest of some random members of its groups
+    tried = first.unionByName(second)
+    for turn in range(HUB_ROUNDS):
+        several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        rare = stage(rare.join(several.select("shingle"), "shingle", "left_semi"), "near-rare")
+        chance = F.xxhash64("node", F.lit(turn))
+        dealt = rare.withColumn("deal", F.pmod(chance, F.lit(SALTS)))
+        hubs = dealt.groupBy("shingle", "deal").agg(F.min(F.struct(chance.alias("chance"), *columns[1:])).alias("hub"))
+        hubs = hubs.select("shingle", "deal", *[F.col(f"hub.{c}").alias(c) for c in columns[1:]])
+        likely = (
+            side(dealt, "x")
+            .withColumnRenamed("dealx", "deal")
+            .join(side(hubs, "y").withColumnRenamed("dealy", "deal"), ["shingle", "deal"])
+            .filter(across(FEW))
+            .groupBy("nodex")
+            .agg(F.min(F.struct(apart(FEW).alias("apart"), "nodey")).alias("best"))
+            .select(F.greatest("nodex", "best.nodey").alias("a"), F.least("nodex", "best.nodey").alias("b"))
+            .distinct()
+        )
+        likely = stage(likely.join(tried, ["a", "b"], "left_anti"), "near-likely")
+        if likely.isEmpty():
+            break
+        tried = tried.unionByName(likely)
+        roots = components(confirmed(likely), roots)
+        rare = renamed(rare, roots, "root").select(*columns)
 
-    # buckets that still hold several components: members outside the bucket's largest component against all others
-    placed = stage(rooted(entries, "node", "root").select("band", "node", "n", "root"), "near-placed")
+    # what is left: classes outside the largest component of a group against all others
     main = (
-        placed.groupBy("band", "root")
+        rare.groupBy("shingle", "root")
         .count()
-        .groupBy("band")
+        .groupBy("shingle")
         .agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
         .filter("roots > 1")
-        .select("band", F.col("most.root").alias("main"))
+        .select("shingle", F.col("most.root").alias("main"))
     )
-    placed = placed.join(main, "band")
-    outside = placed.filter("root != main").select("band", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    members = placed.select("band", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
+    wide = stage(rest.mapInArrow(_parities, ", ".join(["node long", *[f"p{k} long" for k in range(MANY)]])), "near-parities")
+    rare = rare.select(*columns[:5]).join(main, "shingle").join(wide, "node")
+    rare = stage(rare, "near-open")
+    # of two sets the smaller one's share of rare shingles can be shorter still
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("nodex") < F.col("nodey")))
     crossing = (
-        outside.join(members, "band")
-        .filter((F.col("rx") != F.col("ry")) & close("nx", "ny"))
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        side(rare.filter("root != main"), "x")
+        .join(side(rare, "y"), "shingle")
+        .filter(across(MANY) & F.when(smaller, F.col("shortx")).otherwise(F.col("shorty")))
+        .select(F.greatest("nodex", "nodey").alias("a"), F.least("nodex", "nodey").alias("b"))
         .distinct()
-        .join(near.select(F.col("node").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     return components(confirmed(stage(crossing, "near-crossing")), roots)
 
 
+#: rounds before the exhaustive one, and random parts of a group that each have a member to compare with
+HUB_ROUNDS, SALTS = 3, 8
+#: 64-bit words of parities of a set, in the rounds and at the end
+FEW, MANY = 4, 16
+#: counters of shingle frequencies; they only order shingles, so sharing a counter costs speed, never a link
+COUNTERS = 1 << 20
+_SLICE = 1 << 12
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles.view(U64) + U64(0x77)) >> U64(44)).astype(np.int64)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and where each list begins (with the end appended)."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each counter, over all sets: 4 MB whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slots(_flat(batch.column("shingles"))[0]), minlength=COUNTERS)
+        slices = total.reshape(-1, _SLICE)
+        used = np.flatnonzero(slices.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int64()), pa.array([slices[i].tobytes() for i in used], pa.binary())], names=["slice", "counts"]
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = sets.select("shingles").mapInArrow(count, "slice long, counts binary")
+    out = np.zeros((COUNTERS // _SLICE, _SLICE), np.int64)
+    for row in parts.groupBy("slice").applyInArrow(add, "slice long, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)
+
+
+def parities(value: np.ndarray, own: np.ndarray, rows: int, longs: int) -> np.ndarray:
+    """For each set, which of 64 * ``longs`` cells hold an odd number of its shingles, packed."""
+    cells = 64 * longs
+    cell = ((mix(value.view(U64) + U64(0x99)) >> U64(32)) % U64(cells)).astype(np.int64)
+    odd = np.bincount(own * cells + cell, minlength=rows * cells).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, cells), axis=1).view(np.int64)
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        value, cut = _flat(batch.column("shingles"))
+        table = parities(value, np.repeat(np.arange(batch.num_rows), np.diff(cut)), batch.num_rows, MANY)
+        columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(MANY)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", *[f"p{k}" for k in range(MANY)]])
+
+
+def _rare(shared, percent: int):
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            value, cut = _flat(batch.column("shingles"))
+            own = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+            order = np.lexsort((value, counts[_slots(value)], own))
+            size = np.diff(cut)
+            take = size - -(-size * percent // 100) + 1
+            place = np.arange(len(value)) - cut[:-1][own]
+            chosen = order[place < take[own]]
+            rows = pa.array(own[chosen])
+            short = size - -(-size * 2 * percent // (100 + percent)) + 1
+            parity = parities(value, own, batch.num_rows, FEW)[own[chosen]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(value[chosen]),
+                    batch.column("node").take(rows),
+                    batch.column("root").take(rows),
+                    pa.array(size[own[chosen]].astype(np.int64)),
+                    pa.array(place[place < take[own]] < short[own[chosen]]),
+                    *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(FEW)),
+                ],
+                names=["shingle", "node", "root", "n", "short", *[f"p{k}" for k in range(FEW)]],
+            )
+
+    return rare
+
+
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
