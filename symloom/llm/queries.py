@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import decontaminate, exact_dedup, language, near_dedup, packing
-from symloom.session import configure
+from symloom.llm import decontaminate, exact_dedup, hilbert, language, lattice_lm, near_dedup, packing, toxicity, warc
+from symloom.session import configure, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,57 @@ def op10_minhash_near_dedup(table):
     return found.select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
     )
+
+
+@query
+def op2_warc_normaliser(table):
+    """All pages written as monolithic archives, normalised, and read back by their index."""
+    pages = table("pages")
+    folder = scratch_folder(pages.sparkSession, "warc")
+    warc.write_monolithic(warc.records(pages), f"{folder}/monolithic")
+    warc.normalise(pages.sparkSession, f"{folder}/monolithic", f"{folder}/normal")
+    return warc.page_table(warc.read_archives(pages.sparkSession, f"{folder}/normal"))
+
+
+ORACLES["op2_warc_normaliser"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN w USING (payload_digest)
+"""
+
+
+@query
+def op3_hilbert_sharding(table):
+    """All documents along a Hilbert curve through language, source, length and id, cut into 40 shards of equal counts."""
+    docs = table("documents")
+    plan = hilbert.shard_plan(docs, ["lang", "source", "n_chars", "doc_id"], shards=40, law="rows")
+    return plan.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_toxicity(table):
+    """Chance that each document is toxic, from subword vectors fitted on labels of three quarters of the ids."""
+    docs = table("documents")
+    out = lambda name: language.held_out(name, 4, 2)
+    model = toxicity.train(docs, table("labels"), out)
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op5_lattice_lm(table):
+    """Whole texts scored by a subword lattice learned from six sevenths of the ids."""
+    docs = table("documents")
+    out = language.held_out("doc_id", 7, 2)
+    found = lattice_lm.lattice_scores(docs, docs.filter(~out), pieces_path(), lang_col="lang")
+    return found.withColumn("held_out", out)
