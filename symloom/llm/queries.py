@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import decontaminate, exact_dedup, hilbert, language, lattice_lm, near_dedup, packing, toxicity, warc
+from symloom.llm import decontaminate, exact_dedup, hilbert, language, lattice_lm, near_dedup, packing, suffix_dedup, toxicity, warc
 from symloom.session import configure, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,10 @@ def op5_lattice_lm(table):
     out = language.held_out("doc_id", 7, 2)
     found = lattice_lm.lattice_scores(docs, docs.filter(~out), pieces_path(), lang_col="lang")
     return found.withColumn("held_out", out)
+
+
+@query
+def op6_suffix_array_dedup(table):
+    """Bytes of all documents that lie in a 400-byte string that starts elsewhere too."""
+    found = suffix_dedup.remove_repeats(table("documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
