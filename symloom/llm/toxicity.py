@@ -1,7 +1,7 @@
 """Toxicity from subword bags: hashed character n-gram vectors, averaged, into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams (with marks at either end), a document the mean of its
-words.  Vectors and softmax are trained together by gradient descent in numpy on a bounded sample of labelled
+words, where n-grams count less the more frequent they are.  Vectors and softmax are trained together by gradient descent in numpy on a bounded sample of labelled
 documents.  Misspellings that were never seen share most n-grams with the words that were.
 """
 
@@ -20,12 +20,13 @@ BUCKET_BITS = 18
 SIZES = (3, 4, 5, 6)
 #: labelled documents that the classifier is fitted on, of each class
 SAMPLE = 1000
-DIMS = 4
-STEPS = 120
+DIMS = 2
+STEPS = 100
 #: an n-gram needs so many documents of the sample to have a vector
-LEAST_DOCS = 5
-#: averages over hundreds of words are small numbers; this brings them to the order of 1
-GAIN = 300.0
+LEAST_DOCS = 20
+#: an n-gram of frequency p counts RARE / (RARE + p)
+RARE = 2e-4
+RATE = 0.2
 
 
 def subwords(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +107,13 @@ class Model:
         for i, (_, bucket, weight) in enumerate(bags):
             at = place[bucket]
             column.append(at[at >= 0])
-            value.append(weight[at >= 0] * GAIN)
+            value.append(weight[at >= 0])
             rows.append(np.full(int((at >= 0).sum()), i))
         column, value, rows = np.concatenate(column), np.concatenate(value).astype(float), np.concatenate(rows)
+        common = np.bincount(column, value, len(used)) / len(bags)
+        rare = RARE / (RARE + common)
+        rare *= len(bags) / (value * rare[column]).sum()  # averages of the order of 1
+        value *= rare[column]
         draw = np.random.default_rng(7)
         kept = draw.random(len(label)) >= 0.15  # the rest says when to stop
         vectors = draw.normal(0, 0.05, (DIMS, len(used)))
@@ -146,8 +151,8 @@ class Model:
                 m += 0.1 * g
                 v *= 0.99
                 v += 0.01 * g * g
-                p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        effect[used] = result[0] * GAIN
+                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        effect[used] = result[0] * rare
         mixed = label.mean()
         return cls(effect, float(result[1] + prior - np.log(mixed / (1 - mixed))))
 
