@@ -2,9 +2,10 @@
 
 A monolithic archive is one gzip stream over all its records, from which no record can be read by itself.  The
 normaliser inflates each file's stream once, piece by piece, cuts it into records by their stated lengths and
-deflates every record as a gzip member of its own.  The members of a file form the new archive, and a sidecar index
-says where each begins.  Members are joined by Spark's text writer, whose line separator is an empty gzip member: the
-result is a plain multi-member file that any reader of such archives takes.
+deflates every record as a gzip member of its own.  The members of a file form the new archive, written by the same
+task.  A member states its size in its header's extra field, so the sidecar index, which says where each begins, is
+made by going from header to header.  Members are joined by Spark's text writer, whose line separator is an empty
+gzip member: the result is a plain multi-member file that any reader of such archives takes.
 
 Archives are the unit of work.  Writers bound them by ``RECORDS`` records each, so a task holds one file's
 compressed bytes and one record at a time.
@@ -12,6 +13,7 @@ compressed bytes and one record at a time.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -105,6 +107,11 @@ def inflate(data: bytes) -> Iterator[bytes]:
         rest = stream.unused_data
 
 
+def _headers(top: bytes) -> dict[str, str]:
+    lines = (line.partition(":") for line in top.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in lines}
+
+
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(headers, block, whole record) of each record of an uncompressed WARC stream."""
     held = bytearray()
@@ -122,10 +129,9 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
                 if held.strip():
                     raise ValueError("the archive ends within a record header")
                 return
-        lines = held[:head].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+        if not held.startswith(b"WARC/"):
             raise ValueError("a record has to begin with its version")
-        headers = dict((name.strip().lower(), value.strip()) for name, _, value in (line.partition(":") for line in lines[1:]))
+        headers = _headers(bytes(held[:head]))
         after = head + 4 + int(headers["content-length"])
         while len(held) < after + 4:
             if not more():
@@ -134,68 +140,100 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         del held[: after + 4]
 
 
+#: gzip header with an extra field of one four-byte entry named SL, the member's size
+_HEAD = bytes([0x1F, 0x8B, 8, 4, 0, 0, 0, 0, 0, 0xFF, 8, 0]) + b"SL" + bytes([4, 0])
+
+
 def deflate(record: bytes) -> bytes:
-    """One gzip member, the same bytes every time."""
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(record) + packer.flush()
+    """One gzip member that states its size, the same bytes every time."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    size = len(_HEAD) + 4 + len(body) + 8
+    return _HEAD + struct.pack("<I", size) + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def places(archive: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each record's member, from header to header."""
+    at = 0
+    while at < len(archive):
+        if archive.startswith(EMPTY_MEMBER, at):
+            at += len(EMPTY_MEMBER)
+            continue
+        if not archive.startswith(_HEAD, at):
+            raise ValueError("not a member of a normalised archive")
+        (size,) = struct.unpack_from("<I", archive, at + len(_HEAD))
+        yield at, size
+        at += size
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            offset, number, rows = 0, 0, []
-            for headers, _, record in split_records(inflate(content.as_py())):
-                member = deflate(record)
-                rows.append((path.as_py(), number, offset, len(member), headers.get("warc-record-id"), headers.get("warc-type"), member))
-                offset += len(member) + len(EMPTY_MEMBER)
-                number += 1
+            rows = []
+            for number, (_, _, record) in enumerate(split_records(inflate(content.as_py()))):
+                rows.append((path.as_py(), number, deflate(record)))
                 if len(rows) == 64:
-                    yield _table(rows)
+                    yield _table(rows, _MEMBERS)
                     rows = []
             if rows:
-                yield _table(rows)
+                yield _table(rows, _MEMBERS)
 
 
-_INDEX = "archive string, number long, offset long, length long, record_id string, record_type string"
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for archive, content in zip(batch.column("archive"), batch.column("content"), strict=True):
+            whole, rows = content.as_py(), []
+            for number, (offset, length) in enumerate(places(whole)):
+                # a record's header is at its member's beginning
+                top = zlib.decompressobj(31).decompress(whole[offset : offset + length], _STEP).partition(b"\r\n\r\n")[0]
+                headers = _headers(top)
+                rows.append((archive.as_py(), number, offset, length, headers.get("warc-record-id"), headers.get("warc-type")))
+            if rows:
+                yield _table(rows, _PLACES)
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    names = ["archive", "number", "offset", "length", "record_id", "record_type", "member"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+_MEMBERS = {"archive": pa.string(), "number": pa.int64(), "member": pa.binary()}
+_PLACES = {"archive": pa.string(), "number": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "record_id": pa.string(), "record_type": pa.string()}
+
+
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+
+def _archives(spark: SparkSession, target: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{target}/archives")
+    return files.select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> None:
-    """Rewrite all gzip archives of folder ``source``: ``target``/members (the rewritten records, each with its place),
-    ``target``/archives (one multi-member file per source file) and ``target``/index (the sidecar).
+    """Rewrite all gzip archives of folder ``source``: ``target``/archives (one multi-member file per source file, in a
+    folder named after it) and ``target``/index (the sidecar: archive, number, offset, length, record_id, record_type).
 
     A damaged or cut archive fails the job and names what is wrong.  A folder of empty archives gives an empty index.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
-    files.mapInArrow(_members, f"{_INDEX}, member binary").write.parquet(f"{target}/members")
-    members = spark.read.parquet(f"{target}/members")
-    # a source file's members are in one file of the table and in order there, and so is each new archive
-    joined = members.select("archive", "number", F.col("member").cast("string").alias("value"))
-    separator = EMPTY_MEMBER.decode("latin-1")
+    members = files.mapInArrow(_members, "archive string, number long, member binary")
+    name = F.regexp_extract("archive", r"part-(\d+-[0-9a-f-]+-c\d+)|([^/]+)$", 0)
+    # a source file is read by one task, which also writes its new archive
     (
-        joined.withColumn("archive", F.regexp_extract("archive", r"part-(\d+-[0-9a-f-]+-c\d+)|([^/]+)$", 0))
-        .repartition("archive")
+        members.select(name.alias("archive"), "number", F.col("member").cast("string").alias("value"))
         .sortWithinPartitions("archive", "number")
         .select("archive", "value")
         .write.partitionBy("archive")
-        .option("lineSep", separator)
+        .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
         .text(f"{target}/archives")
     )
-    name = F.regexp_extract("archive", r"part-(\d+-[0-9a-f-]+-c\d+)|([^/]+)$", 0).alias("archive")
-    members.select(name, "number", "offset", "length", "record_id", "record_type").write.parquet(f"{target}/index")
+    index = _archives(spark, target).mapInArrow(_index, ", ".join(f"{c} {'long' if k == pa.int64() else 'string'}" for c, k in _PLACES.items()))
+    index.write.parquet(f"{target}/index")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content, places in zip(batch.column("content"), batch.column("places"), strict=True):
+        for content, wanted in zip(batch.column("content"), batch.column("places"), strict=True):
             whole, rows = content.as_py(), []
-            for place in places.as_py():
+            for place in wanted.as_py():
                 member = whole[place["offset"] : place["offset"] + place["length"]]
                 ((headers, block, _),) = split_records(inflate(member))
                 rows.append((headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"),
@@ -210,10 +248,8 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """The records of a normalised folder, each read at the place that the index gives: record_id, record_type, url,
     digest, size, refers_to and block (the payload bytes, empty for revisits)."""
     index = spark.read.parquet(f"{target}/index")
-    places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{target}/archives")
-    files = files.select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
-    both = files.join(places.hint("shuffle_hash"), "archive").select("content", "places")
+    wanted = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    both = _archives(spark, target).join(wanted.hint("shuffle_hash"), "archive").select("content", "places")
     return both.mapInArrow(
         _parse, "record_id string, record_type string, url string, digest string, size string, refers_to string, block binary"
     )
