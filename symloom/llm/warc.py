@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.session import stage
+
 #: most records of one written archive
 RECORDS = 4096
 #: payloads below this many bytes are never stored as revisits
@@ -57,8 +59,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         body.alias("body"),
         F.sha1(body).alias("digest"),
     )
-    back = verdicts(pages, id_col, html_col, small).select(F.col("id").alias("i"), F.col("digest").alias("d"), "refers_to")
-    rows = rows.join(back.hint("shuffle_hash"), rows["id"].eqNullSafe(back["i"]) & (rows["digest"] == back["d"]), "left")
+    # written first, so that Spark knows its size and moves the pages only if the revisits are too many to send around
+    back = stage(verdicts(pages, id_col, html_col, small), "warc-revisits")
+    back = back.select(F.col("id").alias("i"), F.col("digest").alias("d"), "refers_to")
+    rows = rows.join(back, rows["id"].eqNullSafe(back["i"]) & (rows["digest"] == back["d"]), "left")
     revisit = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit(f"<{_URN}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     size = F.length("body")
