@@ -29,7 +29,7 @@ from symloom.llm.blocks import U64, VISIBLE, blocks, lower_ascii, mix, prefix_ha
 from symloom.session import stage
 
 #: bytes of word scores that are sent to all tasks
-HEAD_BYTES = 64 << 20
+HEAD_BYTES = 32 << 20
 #: languages with frequencies of their own; all others share one
 LANGUAGES = 15
 #: blocks whose words a task counts together
