@@ -356,7 +356,7 @@ _MET_SQL = " UNION ALL ".join(f"SELECT '{key}' AS value, {expr} AS t FROM {table
 
 
 @query(
-    f"""WITH x AS ({_MET_SQL}), n AS (SELECT value, t, CASE WHEN regexp_full_match(t, '-?[0-9]{{1,18}}') THEN CAST(t AS BIGINT) END AS i FROM x),
+    f"""WITH x AS ({_MET_SQL}), n AS (SELECT value, t, CASE WHEN regexp_full_match(t, '-?[0-9]+') THEN TRY_CAST(t AS BIGINT) END AS i FROM x),
     m AS (SELECT value, CAST(512
       + CASE WHEN bool_and(coalesce(t IN ('true', 'false'), FALSE)) THEN 1 ELSE 0 END
       + CASE WHEN bool_and(coalesce(i BETWEEN -128 AND 127, FALSE)) THEN 2 ELSE 0 END

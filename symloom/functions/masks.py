@@ -36,7 +36,7 @@ def preferred_kind(mask: Column) -> Column:
 
 def kinds_of_text(text: Column) -> Column:
     """Which kinds the text of a value allows."""
-    whole = text.rlike("\\A-?[0-9]{1,18}\\z")
+    whole = text.rlike("\\A-?[0-9]+\\z")
     number = F.when(whole, text.try_cast("long"))
     bits = KIND_BITS
 

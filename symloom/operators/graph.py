@@ -35,8 +35,6 @@ KNOWN_FINAL = [
     ).split()
 ]
 PRIMITIVE_NAMES = "boolean byte short char int long float double void".split()
-MOST_FORWARDS = 33
-DOUBLINGS = 6
 
 
 # --- hierarchy -------------------------------------------------------------------------------
@@ -290,26 +288,18 @@ def forwarders(methods: DataFrame, insns: DataFrame) -> DataFrame:
 
 
 def terminal_targets(forwards: DataFrame) -> DataFrame:
-    """(method_key, terminal): where a chain of forwarders ends, null on a cycle or an overlong chain.
+    """(method_key, terminal): where a chain of forwarders ends, null on a cycle.
 
-    Pointers double each round, so six rounds cover the longest chain that is followed.
+    Pointers double each round.  No chain is longer than there are forwarders, so after as many rounds as their number
+    has binary digits a pointer that still stands at a forwarder goes round a cycle.
     """
-    state = cut(forwards.select("method_key", F.col("target").alias("ptr"), F.lit(1).alias("hops")))
-    keys = cut(state.select(F.col("method_key").alias("ptr")).withColumn("__fwd", F.lit(True)))
-    for _ in range(DOUBLINGS):
-        ahead = fresh(state).select(
-            F.col("method_key").alias("ptr"), F.col("ptr").alias("__next"), F.col("hops").alias("__more")
-        )
-        state = cut(
-            state.join(ahead, "ptr", "left").select(
-                "method_key",
-                F.coalesce("__next", "ptr").alias("ptr"),
-                (F.col("hops") + F.coalesce("__more", F.lit(0))).alias("hops"),
-            )
-        )
+    state = cut(forwards.select("method_key", F.col("target").alias("ptr")))
+    keys = state.select(F.col("method_key").alias("ptr")).withColumn("__fwd", F.lit(True))
+    for _ in range(state.count().bit_length()):
+        ahead = fresh(state).select(F.col("method_key").alias("ptr"), F.col("ptr").alias("__next"))
+        state = cut(state.join(ahead, "ptr", "left").select("method_key", F.coalesce("__next", "ptr").alias("ptr")))
     open_end = state.join(fresh(keys), "ptr", "left")
-    good = F.col("__fwd").isNull() & (F.col("hops") <= MOST_FORWARDS)
-    return open_end.select("method_key", F.when(good, F.col("ptr")).alias("terminal"))
+    return open_end.select("method_key", F.when(F.col("__fwd").isNull(), F.col("ptr")).alias("terminal"))
 
 
 def redirect_calls(calls: DataFrame, terminals: DataFrame) -> DataFrame:

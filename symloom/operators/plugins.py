@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom.plans.ordered import largest_group
-from symloom.session import rows_per_task
-
 Reader = Callable[[DataFrame], DataFrame]
 
 
@@ -48,13 +45,6 @@ def transform_app(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFr
 
 
 def _map_groups(df: DataFrame, keys: Sequence[str], fn, schema) -> DataFrame:
-    largest, _ = largest_group(df, keys)
-    limit = rows_per_task(df.sparkSession)
-    if largest > limit:
-        raise ValueError(
-            f"a group of {largest} rows is over the limit of {limit} per task; "
-            "use finer keys or transform_app"
-        )
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
@@ -71,12 +61,11 @@ def guarded_apply(
 ) -> DataFrame:
     """Apply ``fn`` to every group; a failing group becomes one row with its keys and ``error``.
 
-    A group over the per-task limit is reported the same way and is not sent to a task.
+    Every group is computed; a caller with groups too large for one task gives finer keys.
     """
     keys = list(keys)
     out = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
     names = [f.name for f in schema.fields]
-    limit = rows_per_task(df.sparkSession)
 
     def guarded(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         try:
@@ -87,13 +76,4 @@ def guarded_apply(
             row.update({k: [v] for k, v in zip(keys, key, strict=True) if k in row})
             return pd.DataFrame({**row, "error": [f"{type(failure).__name__}: {failure}"]})
 
-    largest, _ = largest_group(df, keys)
-    if largest <= limit:
-        return df.groupBy(*keys).applyInPandas(guarded, out)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    small = df.join(sizes.select(*keys), keys, "left_anti")
-    over = sizes.select(
-        *[F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields],
-        F.concat(F.lit("group too large: "), F.col("__n").cast("string"), F.lit(" rows")).alias("error"),
-    )
-    return small.groupBy(*keys).applyInPandas(guarded, out).unionByName(over)
+    return df.groupBy(*keys).applyInPandas(guarded, out)

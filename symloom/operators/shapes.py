@@ -164,10 +164,10 @@ def data_classes(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
 _TOKENS = (
     "//[^\\n]*"
     "|/\\*[\\s\\S]*?(?:\\*/|\\z)"
-    "|\"(?:\\\\[\\s\\S]|[^\"\\\\\\n])*\"?"
-    "|'(?:\\\\[\\s\\S]|[^'\\\\\\n])*'?"
+    "|\"[^\"\\\\\\n]*+(?:\\\\[\\s\\S][^\"\\\\\\n]*+)*+\"?"
+    "|'[^'\\\\\\n]*+(?:\\\\[\\s\\S][^'\\\\\\n]*+)*+'?"
     "|@[\\p{L}_$][\\p{L}\\p{Nd}_$]*"
-    "|\\.?\\p{Nd}(?:[\\p{L}\\p{Nd}_$.]|(?<=[eE])[+-])*"
+    "|\\.?\\p{Nd}(?:[\\p{L}\\p{Nd}_$.]++|(?<=[eE])[+-])*+"
     "|[\\p{L}_$][\\p{L}\\p{Nd}_$]*"
     "|[^ \\t\\r\\n]"
 )

@@ -146,8 +146,10 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_id_map(lines: DataFrame) -> DataFrame:
     """(id, name) from ``hexid=type/name`` lines; other lines are skipped."""
-    hex_id = F.regexp_extract("value", "^([+-]?[0-9a-fA-F]{1,8})=", 1)
-    number = F.conv(F.regexp_replace(hex_id, "^[+-]", ""), 16, 10).try_cast("long")
+    hex_id = F.regexp_extract("value", "^([+-]?[0-9a-fA-F]+)=", 1)
+    digits = F.regexp_replace(hex_id, "^[+-]?0*(?=.)", "")
+    # what has more significant digits is out of range
+    number = F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).cast("long"))
     signed = F.when(hex_id.startswith("-"), -number).otherwise(number)
     return lines.filter(hex_id != "").select(
         signed.alias("__id"), F.regexp_extract("value", "^[^=]+=(.*)$", 1).alias("name")

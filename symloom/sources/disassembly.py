@@ -135,7 +135,7 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
         "app_id", "method_key", "first_param", (F.col("seen") - 1).alias("off"),
         F.substring_index("line", " ", 1).alias("op"), operands.alias("ops"),
     )
-    plain = F.regexp_replace("ops", "\"(?:\\\\.|[^\"\\\\])*\"", "")
+    plain = F.regexp_replace("ops", "\"[^\"\\\\]*+(?:\\\\.[^\"\\\\]*+)*+\"", "")
 
     def number(r: Column) -> Column:
         n = F.substring(r, F.lit(2), F.length(r)).try_cast("int")
@@ -147,7 +147,7 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     negative = F.regexp_extract(plain, "(?:^|, )(-?)0x([0-9a-fA-F]+)$", 1) == "-"
     value = F.conv(literal, 16, 10).try_cast("long")
     reference = F.regexp_extract(plain, "((?:\\[*L[^;]+;|\\[+[ZBSCIJFD])(?:->\\S+)?)$", 1)
-    text_const = F.regexp_extract("ops", "(\"(?:\\\\.|[^\"\\\\])*\")$", 1)
+    text_const = F.regexp_extract("ops", "(\"[^\"\\\\]*+(?:\\\\.[^\"\\\\]*+)*+\")$", 1)
     full = insns.select(
         "app_id", "method_key", "off", "op",
         F.when((F.size(span) > 0) & (F.size(listed) >= 2), ranged).otherwise(listed).alias("regs"),
