@@ -48,7 +48,7 @@ def kinds_of_text(text: Column) -> Column:
         within(-(2**7), 2**7 - 1, "byte")
         + within(-(2**15), 2**15 - 1, "short")
         + within(-(2**31), 2**31 - 1, "int")
-        + F.when(whole, bits["long"]).otherwise(0)
+        + F.when(number.isNotNull(), bits["long"]).otherwise(0)
         + F.when(decimal, bits["float"] + bits["double"]).otherwise(0)
         + F.when(text.isin("true", "false"), bits["boolean"]).otherwise(0)
         + F.when(F.length(text) == 1, bits["char"]).otherwise(0)
