@@ -204,7 +204,8 @@ _DATA = "CAST((p_partkey * 2654435 + p_size * 7919) % 4294967296 - 2147483648 AS
     f AS (SELECT *, CASE WHEN t NOT IN (4, 5, 6) OR isnan(num) OR isinf(num) OR abs(num) >= 9e13 OR num = floor(num) THEN NULL
           ELSE CAST(floor(abs(num) * 10000 + 0.5) AS BIGINT) END AS sc FROM n),
     g AS (SELECT *, CASE WHEN t NOT IN (4, 5, 6) THEN NULL
-      WHEN isnan(num) THEN 'odd' WHEN isinf(num) OR abs(num) >= 9e13 THEN 'odd'
+      WHEN isnan(num) THEN 'NaN' WHEN isinf(num) THEN CASE WHEN num < 0 THEN '-' ELSE '' END || '922337203685477.5807'
+      WHEN num >= pow(2.0::DOUBLE, 63) THEN '9223372036854775807' WHEN num <= -pow(2.0::DOUBLE, 63) THEN '-9223372036854775808'
       WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR)
       ELSE CASE WHEN num < 0 AND sc <> 0 THEN '-' ELSE '' END || (sc // 10000) ||
            CASE WHEN sc % 10000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(sc % 10000 AS VARCHAR), 4, '0'), '0') END END AS txt FROM f)
@@ -236,9 +237,7 @@ def format_value(v):
         F.when(size % 3 == 1, F.concat(F.lit("id/"), word)).when(size % 3 == 2, F.concat(F.lit("string/"), word)).alias("ref"),
     )
     shown = values.format_value(F.col("vtype"), F.col("vdata"), F.col("string"), F.col("ref"))
-    number = values.float_of_bits(F.col("vdata"))
-    huge = (F.col("vtype") == values.FLOAT) & (F.isnan(number) | (F.abs(number) >= 9e13))
-    return rows.select("cls", "vtype", F.when(huge, "odd").otherwise(shown).alias("value"))
+    return rows.select("cls", "vtype", shown.alias("value"))
 
 
 @query(

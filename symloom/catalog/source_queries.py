@@ -189,7 +189,7 @@ def export_rows(v):
 _BODY_SQL = """b AS (SELECT doc_id AS unit, CASE doc_id % 8 WHEN 0 THEN 'GIF89a' || text WHEN 1 THEN 'BM' || text WHEN 2 THEN replace(text, 'e', chr(7))
       WHEN 3 THEN text || chr(127) WHEN 4 THEN 'RIFF1234WEBP' || text WHEN 5 THEN replace(text, 'z', chr(1)) WHEN 6 THEN '' ELSE text END AS t FROM documents),
     h AS (SELECT unit, t, hex(encode(t)) AS x FROM b),
-    n AS (SELECT unit, t, least(length(x) // 2, 8192) AS lim, len(list_filter(range(0, least(length(x) // 2, 8192)), lambda i: substr(x, 2 * i + 1, 2) IN ('07', '01', '7F'))) AS odd FROM h)"""
+    n AS (SELECT unit, t, length(x) // 2 AS lim, len(list_filter(range(0, length(x) // 2), lambda i: substr(x, 2 * i + 1, 2) IN ('07', '01', '7F'))) AS odd FROM h)"""
 
 
 @query(

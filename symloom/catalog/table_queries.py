@@ -200,20 +200,26 @@ def unique_names(v):
 
 
 _USES_SQL = """SELECT r.unit, off * 10000000000 + price AS seq, 'economy.brand' || (r.unit % 25) AS own,
-    CASE target % 10 WHEN 0 THEN name WHEN 1 THEN 'java.lang.' || name ELSE "full" END AS f FROM v_ref r JOIN v_class c ON r.target = c.cls"""
+    CASE target % 10 WHEN 0 THEN name WHEN 1 THEN 'java.lang.' || name
+    WHEN 2 THEN "full" || '$Inner' WHEN 3 THEN "full" || '$1' WHEN 4 THEN "full" || '$Inner$Deep$2' ELSE "full" END AS f FROM v_ref r JOIN v_class c ON r.target = c.cls"""
 
 
 @query(
     f"""WITH @v_ref, @v_class, u AS ({_USES_SQL}),
-    o AS (SELECT unit, own, f, min(seq) AS seq, list_last(string_split(f, '.')) AS simple,
-      CASE WHEN position('.' IN f) > 0 THEN substr(f, 1, length(f) - position('.' IN reverse(f))) ELSE '' END AS pkg FROM u GROUP BY 1, 2, 3),
-    w AS (SELECT *, first_value(f) OVER (PARTITION BY unit, simple, pkg = '' ORDER BY seq, f) AS owner FROM o)
-    SELECT unit, f AS "full", CASE WHEN pkg <> '' AND f = owner THEN simple ELSE f END AS display,
-    pkg <> '' AND f = owner AND pkg <> 'java.lang' AND pkg <> own AS imported FROM w"""
+    n AS (SELECT *, regexp_replace(f, '\\$[^0-9].*$', '') AS top, regexp_replace(f, '\\$([^0-9])', '.\\1', 'g') AS norm FROM u),
+    o AS (SELECT unit, own, f, top, norm, min(seq) AS seq, list_last(string_split(top, '.')) AS simple,
+      CASE WHEN position('.' IN top) > 0 THEN substr(top, 1, length(top) - position('.' IN reverse(top))) ELSE '' END AS pkg FROM n GROUP BY 1, 2, 3, 4, 5),
+    w AS (SELECT *, first_value(top) OVER (PARTITION BY unit, simple, pkg = '' ORDER BY seq, top) AS owner FROM o)
+    SELECT unit, f AS "full", CASE WHEN pkg <> '' AND top = owner THEN substr(norm, length(pkg) + 2) ELSE norm END AS display,
+    pkg <> '' AND top = owner AND pkg <> 'java.lang' AND pkg <> own AS imported FROM w"""
 )
 def import_claims(v):
     t = F.col("target") % 10
-    named = F.when(t == 0, F.col("name")).when(t == 1, F.concat(F.lit("java.lang."), "name")).otherwise(F.col("full"))
+    named = (
+        F.when(t == 0, F.col("name")).when(t == 1, F.concat(F.lit("java.lang."), "name"))
+        .when(t == 2, F.concat("full", F.lit("$Inner"))).when(t == 3, F.concat("full", F.lit("$1")))
+        .when(t == 4, F.concat("full", F.lit("$Inner$Deep$2"))).otherwise(F.col("full"))
+    )
     uses = v.v_ref.join(v.v_class.select(F.col("cls").alias("target"), "name", "full"), "target").select(
         "unit", (F.col("off").cast("long") * 10000000000 + F.col("price")).alias("seq"),
         F.concat(F.lit("economy.brand"), (F.col("unit") % 25).cast("string")).alias("own_package"), named.alias("full"),
@@ -443,10 +449,10 @@ _LINES_SQL = """r AS (SELECT unit, regexp_replace(code, '\\r\\n|\\r', chr(10), '
 
 @query(
     f"""WITH @v_doc, {_LINES_SQL} SELECT unit, unit AS ord, line, regexp_replace(t, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS snippet
-    FROM l WHERE contains(lower(t), 'tion th') ORDER BY unit, line LIMIT 300"""
+    FROM l WHERE contains(lower(t), 'tion th') ORDER BY unit, line"""
 )
 def search_code(v):
-    found = search.search_code(v.v_doc, "Tion th", search.CODE_CAP)
+    found = search.search_code(v.v_doc, "Tion th")
     return found.withColumn("line", F.col("line").cast("long"))
 
 
@@ -482,7 +488,7 @@ def match_spans(v):
     """WITH @v_class SELECT cls AS ord, CASE WHEN flags & 8192 <> 0 THEN 'annotation' WHEN flags & 16384 <> 0 THEN 'enum'
       WHEN flags & 512 <> 0 THEN 'interface' ELSE 'class' END AS kind, name AS label, pkg || ':' || cls AS signature FROM v_class
     WHERE (contains(name, 'ring') OR contains(pkg || ':' || cls, 'brand2.')) AND (flags & 8192 <> 0 OR flags & 24576 = 0 AND flags & 512 = 0)
-    ORDER BY cls LIMIT 500"""
+    ORDER BY cls"""
 )
 def search_members(v):
     members = v.v_class.select(

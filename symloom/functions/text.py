@@ -18,7 +18,6 @@ IMAGE_SIGNATURES = {
     "bmp": "424D",
 }
 RIFF, WEBP = "52494646", "57454250"
-SNIFF_BYTES = 8 * 1024
 CONTROL_SHARE = 20
 
 
@@ -82,14 +81,17 @@ def occurrences(code: Column, needle: str | Column) -> Column:
     return F.regexp_count(code, pattern)
 
 
-def classify_content(content: Column) -> Column:
-    """image, text or hex from leading bytes and the share of control characters."""
+def classify_content(content: Column, sniff_bytes: int | None = None) -> Column:
+    """image, text or hex from leading bytes and the share of control characters.
+
+    The share is that of the whole content; ``sniff_bytes`` asks for that of so many leading bytes.
+    """
     head = F.hex(F.substring(content, 1, 12))
     image = F.lit(False)
     for signature in IMAGE_SIGNATURES.values():
         image = image | head.startswith(signature)
     image = image | (head.startswith(RIFF) & (F.substring(head, 17, 8) == WEBP))
-    start = F.substring(content, 1, SNIFF_BYTES)
+    start = content if sniff_bytes is None else F.substring(content, 1, sniff_bytes)
     chars = F.decode(start, "ISO-8859-1")
     odd = F.length(chars) - F.length(
         F.regexp_replace(chars, "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")

@@ -34,7 +34,11 @@ def _hex_padded(value: Column, mask: int, width: int) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Whole numbers without a point, others to four decimals without trailing zeros."""
+    """Whole numbers without a point, others to four decimals without trailing zeros.
+
+    Numbers beyond 64 bits show the nearest long, infinite ones the nearest long in ten-thousandths;
+    what is no number shows ``NaN``.
+    """
     scaled = F.floor(F.abs(value) * 10000.0 + 0.5).cast("long")
     whole, part = F.floor(scaled / 10000).cast("long"), scaled % 10000
     digits = F.regexp_replace(F.lpad(part.cast("string"), 4, "0"), "0+$", "")
@@ -43,7 +47,9 @@ def number_text(value: Column) -> Column:
         whole.cast("string"),
         F.when(part == 0, "").otherwise(F.concat(F.lit("."), digits)),
     )
-    return F.when(value == F.floor(value), F.floor(value).cast("long").cast("string")).otherwise(body)
+    # floor ends at the range of long, and every finite double from 2^53 on is whole
+    whole_number = (value == F.floor(value)) | ((F.abs(value) >= 2.0**53) & (F.abs(value) < float("inf")))
+    return F.when(F.isnan(value), "NaN").when(whole_number, F.floor(value).cast("string")).otherwise(body)
 
 
 def float_of_bits(bits: Column) -> Column:

@@ -215,27 +215,33 @@ def _settle(timed: DataFrame, scope: list[str], base: str, split: bool) -> DataF
 # --- imports ---------------------------------------------------------------------------------
 
 
+NESTING = "\\$(?=[^0-9])"
+
+
 def import_claims(uses: DataFrame, split: bool | None = None) -> DataFrame:
     """How each class used by a unit is written.
 
-    ``uses(unit, own_package, full, seq)`` with ``full`` a top-level class.  The first class to use a
-    simple name in a unit owns it; others are written in full.  A class of the default package claims
-    nothing; ``java.lang`` and the unit's own package claim but need no import.
-    Result: one row per (unit, full) with ``display`` and ``imported``.
+    ``uses(unit, own_package, full, seq)``.  A ``$`` parts a nested class from its outer one unless a digit
+    follows.  The first top-level class to use a simple name in a unit owns it; others are written in
+    full.  A class of the default package claims nothing; ``java.lang`` and the unit's own package claim
+    but need no import.
+    Result: one row per (unit, full) with ``display`` and ``imported``, whether its top-level class is.
     """
-    package = package_of(F.col("full"))
-    once = uses.groupBy("unit", "own_package", "full").agg(F.min("seq").alias("seq")).withColumns({"__pkg": package, "__simple": F.substring_index("full", ".", -1)})
+    once = uses.groupBy("unit", "own_package", "full").agg(F.min("seq").alias("seq")).withColumns(
+        {"__top": F.split("full", NESTING, 2)[0], "__written": F.regexp_replace("full", NESTING, ".")}
+    ).withColumns({"__pkg": package_of(F.col("__top")), "__simple": F.substring_index("__top", ".", -1)})
     owners = (
         once.filter(F.col("__pkg") != "")
         .groupBy("unit", "__simple")
-        .agg(F.min_by("full", F.struct("seq", "full")).alias("__owner"))
+        .agg(F.min_by("__top", F.struct("seq", "__top")).alias("__owner"))
     )
     named = once.join(owners, ["unit", "__simple"], "left")
-    owns = (F.col("__pkg") != "") & (F.col("full") == F.col("__owner"))
+    owns = (F.col("__pkg") != "") & (F.col("__top") == F.col("__owner"))
+    short = F.substring(F.col("__written"), F.length("__pkg") + 2, F.length("__written"))
     near = F.col("__pkg").isin("java.lang") | F.col("__pkg").eqNullSafe(F.col("own_package"))
     return named.select(
         "unit", "full",
-        F.when(owns, F.col("__simple")).otherwise(F.col("full")).alias("display"),
+        F.when(owns, short).otherwise(F.col("__written")).alias("display"),
         (owns & ~near).alias("imported"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from symloom.functions.names import package_of
 from symloom.functions.text import LINE_BREAK, pattern_of, trim_text
 from symloom.plans.ordered import running_sum, scan
 
-# Result caps and page size.
+# Result caps that callers may ask for, and page size.
 CODE_CAP, MEMBER_CAP, PAGE_SIZE = 300, 500, 60
 DEFAULT_PACKAGE = "(default package)"
+INVALID_PATTERN = "INVALID_PARAMETER_VALUE.PATTERN"
 
 
 def explode_lines(units: DataFrame) -> DataFrame:
@@ -29,10 +31,13 @@ def explode_lines(units: DataFrame) -> DataFrame:
 
 
 def valid_regex(df: DataFrame, pattern: str) -> bool:
+    """Whether the pattern compiles; any other failure is raised."""
     try:
         df.sparkSession.range(1).select(F.regexp_count(F.lit("x"), F.lit(pattern))).first()
         return True
-    except Exception:  # noqa: BLE001 - whatever the pattern is refused with, it matches nothing
+    except PySparkException as refused:
+        if (refused.getCondition() or "") != INVALID_PATTERN:
+            raise
         return False
 
 
@@ -56,32 +61,40 @@ def matching_lines(units: DataFrame, query: str, ignore_case: bool = True, regex
 
 
 def search_code(
-    units: DataFrame, query: str, cap: int = CODE_CAP, ignore_case: bool = True, regex: bool = False
+    units: DataFrame, query: str, cap: int | None = None, ignore_case: bool = True, regex: bool = False
 ) -> DataFrame:
-    """First ``cap`` matching lines, units(unit, ord, code) in order, lines in order.
+    """Matching lines, units(unit, ord, code) in order, lines in order: all, or the first ``cap``.
 
-    The cap is part of the feature; it is a distributed top-k, each task keeps at most ``cap`` rows.
+    A cap is a distributed top-k, each task keeps at most ``cap`` rows.
     """
     found = matching_lines(units.select("unit", "ord", "code"), query, ignore_case, regex)
-    return found.select("unit", "ord", "line", "snippet").orderBy("ord", "unit", "line").limit(max(cap, 0))
+    ordered = found.select("unit", "ord", "line", "snippet").orderBy("ord", "unit", "line")
+    return ordered if cap is None else ordered.limit(max(cap, 0))
 
 
 def search_summary(
-    units: DataFrame, query: str, cap: int = CODE_CAP, ignore_case: bool = True, regex: bool = False
+    units: DataFrame, query: str, cap: int | None = None, ignore_case: bool = True, regex: bool = False
 ) -> DataFrame:
-    """One row (scanned, total, matches, failed, truncated) of what a capped scan reports.
+    """One row (scanned, total, matches, failed, truncated) of what a scan reports.
 
-    The scan stops in the unit that holds match number cap + 1.
+    With a cap the scan stops in the unit that holds match number cap + 1.
     """
     sized = units.select("unit", "ord", "code")
     pattern = matcher(sized, query, ignore_case, regex)
     total = sized.agg(F.count(F.lit(1)).alias("total"))
-    if pattern is None or cap <= 0:
+    if pattern is None or (cap is not None and cap <= 0):
         return total.select(
             F.lit(0).cast("long").alias("scanned"), "total", F.lit(0).cast("long").alias("matches"),
             F.lit(0).cast("long").alias("failed"), F.lit(False).alias("truncated"),
         )
     found = matching_lines(sized, query, ignore_case, regex).select("ord", "unit", "line")
+    if cap is None:
+        units_read = sized.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("code").isNull()).alias("failed"))
+        lines = found.agg(F.count(F.lit(1)).alias("n"))
+        return units_read.select(
+            "scanned", F.col("scanned").alias("total"), lines.scalar().alias("matches"), "failed",
+            F.lit(False).alias("truncated"),
+        )
     first = found.orderBy("ord", "unit", "line").limit(cap + 1)
     seen = first.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("ord", "unit")).alias("last")
@@ -135,15 +148,16 @@ def match_spans(
 
 
 def search_members(
-    members: DataFrame, query: str, kinds: Sequence[str], cap: int = MEMBER_CAP,
+    members: DataFrame, query: str, kinds: Sequence[str], cap: int | None = None,
     ignore_case: bool = True, regex: bool = False,
 ) -> DataFrame:
-    """First ``cap`` members(…, ord, kind, label, signature) whose label or signature matches."""
+    """Members(…, ord, kind, label, signature) whose label or signature matches: all, or the first ``cap``."""
     pattern = matcher(members, query, ignore_case, regex)
     if pattern is None or not kinds:
         return members.limit(0)
     hit = F.col("label").rlike(pattern) | F.coalesce(F.col("signature"), F.lit("")).rlike(pattern)
-    return members.filter(F.col("kind").isin(*kinds) & hit).orderBy("ord", "signature").limit(max(cap, 0))
+    ordered = members.filter(F.col("kind").isin(*kinds) & hit).orderBy("ord", "signature")
+    return ordered if cap is None else ordered.limit(max(cap, 0))
 
 
 def search_classes(classes: DataFrame, query: str, ignore_case: bool = True, regex: bool = False) -> DataFrame:

@@ -170,3 +170,13 @@ def test_base_archives(spark):
     df = spark.createDataFrame(rows, "bundle string, archive string")
     got = {(r.bundle, r.load_order): r.archive for r in naming.base_first(df).collect()}
     assert got[("b", 1)] == "x/base.apk" and got[("b", 2)] == "base-master.apk" and got[("c", 1)] == "app.apk"
+
+
+def test_imports_of_nested_classes(spark):
+    rows = [("u", "own", f, i) for i, f in enumerate(["p.A$B", "q.A$C", "p.A", "p.D$1", "p.D$E$2", "own.F$G", "H$I", "java.lang.J$K"])]
+    uses = spark.createDataFrame(rows, "unit string, own_package string, full string, seq int")
+    got = {r["full"]: (r.display, r.imported) for r in naming.import_claims(uses).collect()}
+    assert got == {
+        "p.A$B": ("A.B", True), "q.A$C": ("q.A.C", False), "p.A": ("A", True), "p.D$1": ("D$1", True),
+        "p.D$E$2": ("D.E$2", True), "own.F$G": ("F.G", False), "H$I": ("H.I", False), "java.lang.J$K": ("J.K", False),
+    }

@@ -1,5 +1,6 @@
 """Positions, usage, members, search, scoring and resources on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from symloom.functions import masks, text, values
@@ -143,6 +144,31 @@ def test_search(spark):
     assert search.search_code(units, "(", regex=True).count() == 0
     assert search.search_code(units, "^foo$", regex=True, ignore_case=False).count() == 1
     assert search.search_code(units, "FOO", ignore_case=False).count() == 0
+    assert tuple(search.search_summary(units, "foo").first()) == (4, 4, 4, 1, False)
+
+
+def test_search_gives_all_lines(spark):
+    units = spark.createDataFrame([("a", 0, "foo\n" * 1200)], "unit string, ord int, code string")
+    assert search.search_code(units, "foo").count() == 1200
+    assert search.search_code(units, "foo", 7).count() == 7
+    members = spark.range(900).selectExpr("id AS ord", "'class' AS kind", "'foo' AS label", "'x' AS signature")
+    assert search.search_members(members, "foo", ["class"]).count() == 900
+
+
+def test_failing_search_is_raised(spark, monkeypatch):
+    def lost(*_):
+        raise RuntimeError("lost executor")
+
+    units = spark.createDataFrame([("a", 0, "foo")], "unit string, ord int, code string")
+    monkeypatch.setattr(type(spark), "range", lost)
+    with pytest.raises(RuntimeError):
+        search.search_code(units, "f.o", regex=True)
+
+
+def test_content_beyond_leading_bytes_counts(spark):
+    df = spark.createDataFrame([(bytearray(b"x" * 9000 + b"\x00" * 9000),)], "c binary")
+    whole, head = df.select(text.classify_content(F.col("c")), text.classify_content(F.col("c"), 8192)).first()
+    assert (whole, head) == ("hex", "text")
 
 
 def test_match_spans(spark):
@@ -223,6 +249,8 @@ def test_values(spark):
     cases = [
         (0, 0, None, None, "@null"), (0, 1, None, None, "@empty"), (1, 0, None, None, "@null"), (1, 0x7F010000, None, "id/a", "@+id/a"),
         (2, -1, None, None, "?0xffffffff"), (3, 5, "txt", None, "txt"), (4, 0x3FC00000, None, None, "1.5"), (4, -0x40800000, None, None, "-1"),
+        (4, 0x5F000000, None, None, "9223372036854775807"), (4, -0x21000000, None, None, "-9223372036854775808"), (4, 0x5A000000, None, None, "9007199254740992"),
+        (4, 0x7F800000, None, None, "922337203685477.5807"), (4, -0x00800000, None, None, "-922337203685477.5807"), (4, 0x7FC00000, None, None, "NaN"),
         (5, 0x00100001, None, None, "16dp"), (5, 0x00001001, None, None, "0.0625dp"), (6, 0x00004030, None, None, "0%"),
         (0x10, -7, None, None, "-7"), (0x11, 255, None, None, "0xff"), (0x12, 3, None, None, "true"),
         (0x1C, -1, None, None, "#ffffffff"), (0x1D, 0x00ABCDEF, None, None, "#abcdef"), (0x1F, 0x5, None, None, "#005"), (5, 0x00010007, None, None, "1?d7"), (5, -0x100, None, None, "65535.9961px"),
