@@ -231,24 +231,28 @@ def symbol_at(v):
 
 
 def _framework(v):
-    """Parts as the framework's id map; some ids are below the app's range."""
+    """Parts as the framework's id map, every id twice; some ids are below the app's range."""
     k = F.col("p_partkey")
     return v.table("part").select(
-        (F.lit(16842752) + k).cast("int").alias("id"),
+        (F.lit(16842752) + k - k % 2).cast("int").alias("id"),
         F.concat(F.lit("attr/"), F.replace("p_name", F.lit(" "), F.lit("_")), k.cast("string")).alias("name"),
+        k.alias("ord"),
     )
 
 
-_NAMES_SQL = """fw AS (SELECT CAST(16842752 + p_partkey AS INTEGER) AS id, 'attr/' || replace(p_name, ' ', '_') || p_partkey AS name FROM part),
-    app AS (SELECT id, arg_min(type || '/' || name, ord) AS symbol FROM v_res GROUP BY id),
-    sym AS (SELECT id, symbol FROM app UNION ALL SELECT id, 'android:' || name FROM fw)"""
+_NAMES_SQL = """fw AS (SELECT CAST(16842752 + p_partkey - p_partkey % 2 AS INTEGER) AS id,
+      'android:' || arg_max('attr/' || replace(p_name, ' ', '_') || p_partkey, p_partkey) AS symbol FROM part GROUP BY 1),
+    app AS (SELECT app_id, id, arg_min(type || '/' || name, ord) AS symbol FROM v_res GROUP BY 1, 2),
+    sym AS (SELECT app_id, id, symbol FROM app UNION ALL
+      SELECT a.app_id, fw.id, fw.symbol FROM fw CROSS JOIN (VALUES ('app0'), ('app1'), ('app2')) a(app_id)
+      WHERE NOT EXISTS (SELECT 1 FROM app o WHERE o.app_id = a.app_id AND o.id = fw.id))"""
 
 
 @query(
-    f"""WITH @v_res, {_NAMES_SQL}, r AS (SELECT l_orderkey AS unit, l_linenumber AS off, CAST(CASE l_linenumber % 4 WHEN 0 THEN 0
+    f"""WITH @v_res, {_NAMES_SQL}, r AS (SELECT 'app' || (l_orderkey % 3) AS app_id, l_orderkey AS unit, l_linenumber AS off, CAST(CASE l_linenumber % 4 WHEN 0 THEN 0
       WHEN 1 THEN 16842752 + l_partkey WHEN 2 THEN 2130706432 + l_suppkey % 25 * 65536 + l_partkey % 60 ELSE 16842752 + l_partkey * 3 END AS INTEGER) AS id FROM lineitem)
-    SELECT r.unit, r.id, CASE WHEN symbol LIKE 'id/%' THEN '@+' || symbol WHEN symbol IS NOT NULL THEN '@' || symbol WHEN r.id = 0 THEN '@null'
-      ELSE '@0x' || printf('%x', r.id) END AS ref, count(*) AS n FROM r LEFT JOIN sym ON sym.id = r.id GROUP BY 1, 2, 3"""
+    SELECT r.app_id, r.unit, r.id, CASE WHEN symbol LIKE 'id/%' THEN '@+' || symbol WHEN symbol IS NOT NULL THEN '@' || symbol WHEN r.id = 0 THEN '@null'
+      ELSE '@0x' || printf('%x', r.id) END AS ref, count(*) AS n FROM r LEFT JOIN sym ON sym.id = r.id AND sym.app_id = r.app_id GROUP BY 1, 2, 3, 4"""
 )
 def resolve_refs(v):
     line, p = F.col("l_linenumber") % 4, F.col("l_partkey")
@@ -256,20 +260,23 @@ def resolve_refs(v):
         F.when(line == 0, F.lit(0).cast("long")).when(line == 1, 16842752 + p)
         .when(line == 2, 2130706432 + F.col("l_suppkey") % 25 * 65536 + p % 60).otherwise(16842752 + p * 3)
     )
-    refs = v.table("lineitem").select(F.col("l_orderkey").alias("unit"), id_.cast("int").alias("id"))
+    refs = v.table("lineitem").select(
+        F.concat(F.lit("app"), (F.col("l_orderkey") % 3).cast("string")).alias("app_id"),
+        F.col("l_orderkey").alias("unit"), id_.cast("int").alias("id"),
+    )
     found = resources.resolve_refs(refs, v.v_res, _framework(v))
-    return found.groupBy("unit", "id", "ref").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("app_id", "unit", "id", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""WITH @v_res, {_NAMES_SQL}, b AS (SELECT CAST(2130706432 + p_partkey AS INTEGER) AS id, p_partkey, p_size, p_name FROM part),
-    i AS (SELECT id, p_partkey, 0 AS pos, CAST(16842752 + p_partkey AS INTEGER) AS n, CAST(p_size AS VARCHAR) AS val FROM b WHERE p_size % 7 <> 0
-      UNION ALL SELECT id, p_partkey, 1, CAST(5 + p_partkey AS INTEGER), CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END FROM b WHERE p_size % 7 <> 0
-      UNION ALL SELECT b.id, p_partkey, 2, CAST(2130706432 + p_size % 25 * 65536 + p_partkey % 60 AS INTEGER),
-        coalesce('?' || s.symbol, '?0x' || printf('%x', 16842752 + 2 * p_partkey)) FROM b LEFT JOIN sym s ON s.id = 16842752 + 2 * p_partkey WHERE p_size % 7 <> 0),
+    f"""WITH @v_res, {_NAMES_SQL}, b AS (SELECT 'app' || (p_partkey % 3) AS app_id, CAST(2130706432 + p_partkey AS INTEGER) AS id, p_partkey, p_size, p_name FROM part),
+    i AS (SELECT app_id, id, p_partkey, 0 AS pos, CAST(16842752 + p_partkey AS INTEGER) AS n, CAST(p_size AS VARCHAR) AS val FROM b WHERE p_size % 7 <> 0
+      UNION ALL SELECT app_id, id, p_partkey, 1, CAST(5 + p_partkey AS INTEGER), CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END FROM b WHERE p_size % 7 <> 0
+      UNION ALL SELECT b.app_id, b.id, p_partkey, 2, CAST(2130706432 + p_size % 25 * 65536 + p_partkey % 60 AS INTEGER),
+        coalesce('?' || s.symbol, '?0x' || printf('%x', 16842752 + 2 * p_partkey)) FROM b LEFT JOIN sym s ON s.id = 16842752 + 2 * p_partkey AND s.app_id = b.app_id WHERE p_size % 7 <> 0),
     t AS (SELECT i.id, i.p_partkey, pos, CASE WHEN s.symbol IS NOT NULL THEN replace(s.symbol, '/', '.') || '=' || val ELSE val END AS txt
-      FROM i LEFT JOIN sym s ON s.id = i.n)
-    SELECT b.id, 'c' || (b.p_partkey % 3) AS config, '[' || coalesce((SELECT string_agg(txt, ', ' ORDER BY pos) FROM t WHERE t.p_partkey = b.p_partkey), '') || ']' AS text FROM b"""
+      FROM i LEFT JOIN sym s ON s.id = i.n AND s.app_id = i.app_id)
+    SELECT b.app_id, b.id, 'c' || (b.p_partkey % 3) AS config, '[' || coalesce((SELECT string_agg(txt, ', ' ORDER BY pos) FROM t WHERE t.p_partkey = b.p_partkey), '') || ']' AS text FROM b"""
 )
 def render_bags(v):
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -284,13 +291,14 @@ def render_bags(v):
     )
     empty = F.array().cast(resources.BAG_ITEM)
     bags = v.table("part").select(
+        F.concat(F.lit("app"), (k % 3).cast("string")).alias("app_id"),
         (F.lit(2130706432) + k).cast("int").alias("id"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("config"),
         k.alias("ord"), F.when(size % 7 == 0, empty).otherwise(items).alias("bag"),
     )
     return resources.render_bags(bags, resources.symbolic_names(v.v_res, _framework(v)))
 
 
-@query("WITH @v_res SELECT type, count(*) AS n FROM v_res GROUP BY type ORDER BY type")
+@query("WITH @v_res SELECT app_id, type, count(*) AS n FROM v_res GROUP BY app_id, type ORDER BY app_id, type")
 def resource_types(v):
     return resources.resource_types(v.v_res)
 

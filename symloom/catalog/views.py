@@ -148,14 +148,16 @@ class Views:
 
     @cached_property
     def v_res(self) -> DataFrame:
-        """Customers as resource rows; ids repeat, so several rows share one."""
+        """Customers as resource rows of three apps; ids repeat within and across apps."""
         joined = self.table("customer").join(
             self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         )
         slot = F.col("c_custkey") % 50
         return joined.select(
+            F.concat(F.lit("app"), (F.col("c_custkey") % 3).cast("string")).alias("app_id"),
             (F.lit(2130706432) + F.col("c_nationkey") * 65536 + slot).cast("int").alias("id"),
-            F.lower("n_name").alias("type"), F.concat(F.lit("e"), slot.cast("string")).alias("name"),
+            F.lower("n_name").alias("type"),
+            F.concat(F.lit("e"), slot.cast("string"), F.lit("_"), (F.col("c_custkey") % 3).cast("string")).alias("name"),
             F.col("c_mktsegment").alias("config"),
             F.round(F.col("c_acctbal") * 100).cast("int").alias("cents"),
             F.col("c_custkey").alias("ord"),
@@ -255,8 +257,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_res": (
         (),
-        """SELECT CAST(2130706432 + c_nationkey * 65536 + c_custkey % 50 AS INTEGER) AS id,
-        lower(n_name) AS type, 'e' || (c_custkey % 50) AS name, c_mktsegment AS config,
+        """SELECT 'app' || (c_custkey % 3) AS app_id, CAST(2130706432 + c_nationkey * 65536 + c_custkey % 50 AS INTEGER) AS id,
+        lower(n_name) AS type, 'e' || (c_custkey % 50) || '_' || (c_custkey % 3) AS name, c_mktsegment AS config,
         CAST(round(c_acctbal * 100) AS INTEGER) AS cents, c_custkey AS ord
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     ),

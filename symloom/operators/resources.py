@@ -1,7 +1,12 @@
-"""Resource tables: flattening, reference resolution, bags, types."""
+"""Resource tables: flattening, reference resolution, bags, types.
+
+Every table but the framework's is keyed by ``app_id`` first: all apps number their resources alike.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,50 +50,70 @@ def flatten_resources(packages: DataFrame) -> DataFrame:
     )
 
 
-def symbolic_names(resources: DataFrame, framework: DataFrame) -> DataFrame:
-    """(id, symbol): the app's first row of an id, else the framework's name."""
-    app = first_row(resources.select("id", "type", "name", "ord"), ["id"], ["ord", "type", "name"]).select(
-        "id", F.concat_ws("/", "type", "name").alias("symbol")
+class Symbols(NamedTuple):
+    """Names of ids: ``app(app_id, id, symbol)`` and ``framework(id, symbol)``, one row per key."""
+
+    app: DataFrame
+    framework: DataFrame
+
+
+def symbolic_names(resources: DataFrame, framework: DataFrame) -> Symbols:
+    """The first row of an id in its app, ``resources(app_id, id, type, name, ord)``, and the last name of
+    an id in the framework's map, ``framework(id, name, ord)``."""
+    own = first_row(
+        resources.select("app_id", "id", "type", "name", "ord"), ["app_id", "id"], ["ord", "type", "name"]
     )
-    outside = framework.join(app, "id", "left_anti").select(
-        "id", F.concat(F.lit("android:"), F.col("name")).alias("symbol")
+    shared = framework.groupBy("id").agg(F.max_by("name", F.struct("ord", "name")).alias("name"))
+    return Symbols(
+        own.select("app_id", "id", F.concat_ws("/", "type", "name").alias("symbol")),
+        shared.select("id", F.concat(F.lit("android:"), F.col("name")).alias("symbol")),
     )
-    return app.unionByName(outside)
+
+
+def attach_symbol(df: DataFrame, id_: str, symbols: Symbols, out: str) -> DataFrame:
+    """df(app_id, …, id_) with the name of the id: the app's, else the framework's, else null.
+
+    Rows that ask for no resource (null or 0) are settled outside the joins, where they would be one key.
+    """
+    asks = F.col(id_).isNotNull() & (F.col(id_) != 0)
+    own = symbols.app.select("app_id", F.col("id").alias(id_), F.col("symbol").alias("__own"))
+    shared = symbols.framework.select(F.col("id").alias(id_), F.col("symbol").alias("__shared"))
+    named = df.filter(asks).join(own, ["app_id", id_], "left").join(shared, id_, "left")
+    settled = df.filter(~asks).withColumn(out, F.lit(None).cast("string"))
+    return named.withColumn(out, F.coalesce("__own", "__shared")).select(*df.columns, out).unionByName(settled)
 
 
 def resolve_refs(refs: DataFrame, resources: DataFrame, framework: DataFrame) -> DataFrame:
-    """refs(…, id) with ``ref``: ``@type/name``, ``@+id/name``, ``@android:…``, ``@null`` or ``@0x…``.
+    """refs(app_id, …, id) with ``ref``: ``@type/name``, ``@+id/name``, ``@android:…``, ``@null`` or ``@0x…``.
 
-    The names are a plain left join: Spark broadcasts them when they measure small and otherwise
+    The names are plain left joins: Spark broadcasts them when they measure small and otherwise
     shuffles, splitting ids that are referred to very often.
     """
-    named = refs.join(symbolic_names(resources, framework), "id", "left")
+    named = attach_symbol(refs, "id", symbolic_names(resources, framework), "symbol")
     return named.withColumn(
         "ref", format_value(F.lit(REFERENCE), F.col("id"), F.lit(None).cast("string"), F.col("symbol"))
     ).drop("symbol")
 
 
-def format_entries(entries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """entries(…, vtype, vdata, string) with the printable ``value``."""
-    lookup = symbols.select(F.col("id").alias("vdata"), F.col("symbol").alias("__ref"))
-    refs = entries.join(lookup, "vdata", "left")
-    return refs.withColumn(
+def format_entries(entries: DataFrame, symbols: Symbols) -> DataFrame:
+    """entries(app_id, …, vtype, vdata, string) with the printable ``value``."""
+    return attach_symbol(entries, "vdata", symbols, "__ref").withColumn(
         "value", format_value(F.col("vtype"), F.col("vdata"), F.col("string"), F.col("__ref"))
     ).drop("__ref")
 
 
-def render_bags(resources: DataFrame, symbols: DataFrame, strings: DataFrame | None = None) -> DataFrame:
-    """(id, config, text): ``[name=value, …]`` in item order from ``bag`` arrays; empty bag ``[]``.
+def render_bags(resources: DataFrame, symbols: Symbols, strings: DataFrame | None = None) -> DataFrame:
+    """(app_id, id, config, text): ``[name=value, …]`` in item order from ``bag`` arrays; empty bag ``[]``.
 
-    ``resources(id, config, ord, bag)``; ``symbols`` from symbolic_names.
+    ``resources(app_id, id, config, ord, bag)``; ``symbols`` from symbolic_names.
 
     Items are exploded from one row's array, named by joins and put back together; a group is never
-    larger than the array it came from.  ``strings(vdata, string)`` names string values.
+    larger than the array it came from.  ``strings(app_id, vdata, string)`` names string values.
     """
     keyed = resources.filter(F.col("bag").isNotNull())
-    items = keyed.select("id", "config", "ord", F.posexplode_outer("bag").alias("pos", "item"))
+    items = keyed.select("app_id", "id", "config", "ord", F.posexplode_outer("bag").alias("pos", "item"))
     flat = items.select(
-        "id", "config", "ord", "pos",
+        "app_id", "id", "config", "ord", "pos",
         F.col("item.name_ref").alias("name_ref"), F.col("item.vtype").alias("vtype"),
         F.col("item.vdata").alias("vdata"),
     )
@@ -96,16 +121,16 @@ def render_bags(resources: DataFrame, symbols: DataFrame, strings: DataFrame | N
         flat = flat.withColumn("string", F.lit(None).cast("string"))
     else:
         hit = strings.withColumn("vtype", F.lit(STRING))
-        flat = flat.join(hit, ["vtype", "vdata"], "left")
+        flat = flat.join(hit, ["app_id", "vtype", "vdata"], "left")
     valued = format_entries(flat, symbols)
-    names = symbols.select(F.col("id").alias("name_ref"), F.translate("symbol", "/", ".").alias("__name"))
-    named = valued.join(names, "name_ref", "left")
+    named = attach_symbol(valued, "name_ref", symbols, "__symbol").withColumn("__name", F.translate("__symbol", "/", "."))
     text = F.when(F.col("__name").isNotNull(), F.concat("__name", F.lit("="), "value")).otherwise(F.col("value"))
-    rows = named.select("id", "config", "ord", F.when(F.col("pos").isNotNull(), F.struct("pos", text.alias("t"))).alias("i"))
-    put = rows.groupBy("id", "config", "ord").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    rows = named.select("app_id", "id", "config", "ord", F.when(F.col("pos").isNotNull(), F.struct("pos", text.alias("t"))).alias("i"))
+    put = rows.groupBy("app_id", "id", "config", "ord").agg(F.array_sort(F.collect_list("i")).alias("items"))
     joined = F.array_join(F.transform("items", lambda x: x["t"]), ", ")
-    return put.select("id", "config", F.concat(F.lit("["), joined, F.lit("]")).alias("text"))
+    return put.select("app_id", "id", "config", F.concat(F.lit("["), joined, F.lit("]")).alias("text"))
 
 
 def resource_types(resources: DataFrame) -> DataFrame:
-    return resources.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy("type")
+    """(app_id, type, n): how many rows of each type an app has."""
+    return resources.groupBy("app_id", "type").agg(F.count(F.lit(1)).alias("n")).orderBy("app_id", "type")

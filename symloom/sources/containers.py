@@ -141,19 +141,22 @@ def part_name(container: Column, index: Column, parts: Column) -> Column:
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
-    return parse_id_map(spark.read.text(path))
+    """parse_id_map of a text file, ``ord`` following its lines."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return parse_id_map(spark.read.text(path).select("value", place.alias("ord")))
 
 
 def parse_id_map(lines: DataFrame) -> DataFrame:
-    """(id, name) from ``hexid=type/name`` lines; other lines are skipped."""
+    """(…, id, name) from ``value`` lines ``hexid=type/name``; other lines are skipped, other columns kept."""
+    rest = [c for c in lines.columns if c != "value"]
     hex_id = F.regexp_extract("value", "^([+-]?[0-9a-fA-F]+)=", 1)
     digits = F.regexp_replace(hex_id, "^[+-]?0*(?=.)", "")
     # what has more significant digits is out of range
     number = F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).cast("long"))
     signed = F.when(hex_id.startswith("-"), -number).otherwise(number)
     return lines.filter(hex_id != "").select(
-        signed.alias("__id"), F.regexp_extract("value", "^[^=]+=(.*)$", 1).alias("name")
-    ).filter(F.col("__id").between(-(2**31), 2**31 - 1)).select(F.col("__id").cast("int").alias("id"), "name")
+        *rest, signed.alias("__id"), F.regexp_extract("value", "^[^=]+=(.*)$", 1).alias("name")
+    ).filter(F.col("__id").between(-(2**31), 2**31 - 1)).select(*rest, F.col("__id").cast("int").alias("id"), "name")
 
 
 def export_rows(

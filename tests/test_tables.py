@@ -262,14 +262,16 @@ def test_values(spark):
 
 def test_resources(spark):
     res = spark.createDataFrame(
-        [(0x7F040000, "string", "app_name", "", 0), (0x7F040000, "string", "other", "de", 1), (0x7F020000, "id", "box", "", 2)],
-        "id int, type string, name string, config string, ord int",
+        [("a", 0x7F040000, "string", "app_name", "", 0), ("a", 0x7F040000, "string", "other", "de", 1), ("a", 0x7F020000, "id", "box", "", 2),
+         ("b", 0x7F040000, "string", "title", "", 0)],
+        "app_id string, id int, type string, name string, config string, ord int",
     )
-    fw = spark.createDataFrame([(0x01010000, "attr/theme")], "id int, name string")
-    refs = spark.createDataFrame([(0x7F040000,), (0x7F020000,), (0x01010000,), (0x7FFFFFFF,), (0,)], "id int")
-    got = {r.id: r.ref for r in resources.resolve_refs(refs, res, fw).collect()}
-    assert got == {0x7F040000: "@string/app_name", 0x7F020000: "@+id/box", 0x01010000: "@android:attr/theme", 0x7FFFFFFF: "@0x7fffffff", 0: "@null"}
-    bags = spark.createDataFrame([(1, "", 0, []), (2, "", 1, [(0x01010000, 0x10, 5), (99, 1, 0x7F040000)])], f"id int, config string, ord int, bag {resources.BAG_ITEM}")
+    fw = spark.createDataFrame([(0x01010000, "attr/old", 0), (0x01010000, "attr/theme", 1)], "id int, name string, ord int")
+    want = [("a", 0x7F040000, "@string/app_name"), ("a", 0x7F020000, "@+id/box"), ("a", 0x01010000, "@android:attr/theme"), ("a", 0x7FFFFFFF, "@0x7fffffff"),
+            ("a", 0, "@null"), ("b", 0x7F040000, "@string/title"), ("b", 0x7F020000, "@0x7f020000"), ("b", 0x01010000, "@android:attr/theme")]
+    refs = spark.createDataFrame([w[:2] for w in want], "app_id string, id int")
+    assert sorted(tuple(r) for r in resources.resolve_refs(refs, res, fw).select("app_id", "id", "ref").collect()) == sorted(want)
+    bags = spark.createDataFrame([("a", 1, "", 0, []), ("a", 2, "", 1, [(0x01010000, 0x10, 5), (99, 1, 0x7F040000)])], f"app_id string, id int, config string, ord int, bag {resources.BAG_ITEM}")
     shown = {r.id: r.text for r in resources.render_bags(bags, resources.symbolic_names(res, fw)).collect()}
     assert shown == {1: "[]", 2: "[android:attr.theme=5, @string/app_name]"}
     ids = spark.createDataFrame([(255, 1, 2), (127, 4, 0)], "p int, t int, e int")
