@@ -247,10 +247,10 @@ def edit_changes(v):
     return naming.edit_changes(v.v_edit)
 
 
-_MEMBERS_SQL = """c AS (SELECT 'n.K' || cls AS cls, CASE WHEN cls % 4 = 0 THEN 'n.K' || super END AS owner, flags, ord FROM v_class),
-    f AS (SELECT 'n.K' || target AS cls, 'f' || member AS name, CASE WHEN off % 2 = 0 THEN '[Lx/y$Z;' ELSE 'J' END AS t,
+_MEMBERS_SQL = """c AS (SELECT 'app' || (cls % 3) AS app_id, 'n.K' || cls AS cls, CASE WHEN cls % 4 = 0 THEN 'n.K' || super END AS owner, flags, ord FROM v_class),
+    f AS (SELECT 'app' || (target % 3) AS app_id, 'n.K' || target AS cls, 'f' || member AS name, CASE WHEN off % 2 = 0 THEN '[Lx/y$Z;' ELSE 'J' END AS t,
       CAST(price % 65536 AS INTEGER) AS flags, off AS ord FROM v_ref WHERE kind = 'A'),
-    m AS (SELECT 'n.K' || target AS cls, CASE off WHEN 1 THEN '<init>' WHEN 2 THEN '<clinit>' ELSE 'm' || off END AS name, off,
+    m AS (SELECT 'app' || (target % 3) AS app_id, 'n.K' || target AS cls, CASE off WHEN 1 THEN '<init>' WHEN 2 THEN '<clinit>' ELSE 'm' || off END AS name, off,
       CAST(price % 65536 AS INTEGER) AS flags, off AS ord FROM v_ref WHERE kind <> 'A')"""
 
 
@@ -267,27 +267,30 @@ _CLASS_MODS = _mods_sql()
 @query(
     f"""WITH @v_class, @v_ref, {_MEMBERS_SQL},
     p AS (SELECT *, CASE off % 3 WHEN 0 THEN '' WHEN 1 THEN 'int, String[]' ELSE 'C' END AS ps FROM m)
-    SELECT cls, CAST(0 AS BIGINT) AS section, CAST(ord AS BIGINT) AS ord, 'field' AS kind, name,
+    SELECT app_id, cls, CAST(0 AS BIGINT) AS section, CAST(ord AS BIGINT) AS ord, 'field' AS kind, name,
       name || ': ' || CASE WHEN t = 'J' THEN 'long' ELSE 'Z[]' END AS signature, {_FIELD_MODS} AS modifiers FROM f WHERE flags & 4096 = 0
-    UNION ALL SELECT cls, 1, ord, CASE name WHEN '<init>' THEN 'constructor' WHEN '<clinit>' THEN 'static_initializer' ELSE 'method' END,
+    UNION ALL SELECT app_id, cls, 1, ord, CASE name WHEN '<init>' THEN 'constructor' WHEN '<clinit>' THEN 'static_initializer' ELSE 'method' END,
       CASE name WHEN '<init>' THEN substr(cls, 3) WHEN '<clinit>' THEN 'static' ELSE name END,
       CASE name WHEN '<init>' THEN substr(cls, 3) || '(' || ps || ')' WHEN '<clinit>' THEN 'static {{ … }}' ELSE name || '(' || ps || '): void' END,
       {_METHOD_MODS} FROM p WHERE flags & 4096 = 0 AND flags & 64 = 0
-    UNION ALL SELECT owner, 2, ord, 'nested_class', substr(cls, 3), substr(cls, 3), {_CLASS_MODS} FROM c
+    UNION ALL SELECT app_id, owner, 2, ord, 'nested_class', substr(cls, 3), substr(cls, 3), {_CLASS_MODS} FROM c
       WHERE owner IS NOT NULL AND flags & 4096 = 0"""
 )
 def list_members(v):
     def named(column):
         return F.concat(F.lit("n.K"), F.col(column).cast("string"))
 
+    def app(column):
+        return F.concat(F.lit("app"), (F.col(column) % 3).cast("string")).alias("app_id")
+
     c = v.v_class.select(
-        named("cls").alias("cls"), F.when(F.col("cls") % 4 == 0, named("super")).alias("outer"), "flags", "ord"
+        app("cls"), named("cls").alias("cls"), F.when(F.col("cls") % 4 == 0, named("super")).alias("outer"), "flags", "ord"
     )
     off = F.col("off")
     bits = (F.col("price") % 65536).cast("int").alias("flags")
     owner = named("target").alias("cls")
     f = v.v_ref.filter("kind = 'A'").select(
-        owner, F.concat(F.lit("f"), F.col("member").cast("string")).alias("name"),
+        app("target"), owner, F.concat(F.lit("f"), F.col("member").cast("string")).alias("name"),
         F.when(off % 2 == 0, "[Lx/y$Z;").otherwise("J").alias("type"), bits, off.alias("ord"),
     )
     params = (
@@ -296,7 +299,7 @@ def list_members(v):
         .otherwise(F.array(F.lit("La/b$C;")))
     )
     m = v.v_ref.filter("kind <> 'A'").select(
-        owner,
+        app("target"), owner,
         F.when(off == 1, "<init>").when(off == 2, "<clinit>").otherwise(F.concat(F.lit("m"), off.cast("string"))).alias("name"),
         params.alias("params"), F.lit("V").alias("ret"), bits, off.alias("ord"),
     )
@@ -335,17 +338,19 @@ def fully_structured(v):
 
 
 @query(
-    """WITH @v_class, p AS (SELECT DISTINCT pkg FROM v_class),
-    a AS (SELECT DISTINCT array_to_string(list_slice(string_split(pkg, '.'), 1, d), '.') AS id
-      FROM (SELECT pkg, unnest(range(1, len(string_split(pkg, '.')) + 1)) AS d FROM p)),
-    k AS (SELECT CASE WHEN position('.' IN id) > 0 THEN split_part(id, '.', 1) ELSE '' END AS parent, id FROM a),
-    kids AS (SELECT parent FROM k UNION ALL SELECT pkg FROM v_class)
-    SELECT parent, 'package' AS kind, list_last(string_split(id, '.')) AS label, id, CAST(0 AS BIGINT) AS kind_rank,
-      (SELECT count(*) FROM kids WHERE kids.parent = k.id) AS n_children FROM k
-    UNION ALL SELECT pkg, 'class', name, "full", 1, 0 FROM v_class"""
+    """WITH @v_class, v AS (SELECT 'app' || (cls % 3) AS app_id, pkg, name, "full" FROM v_class),
+    p AS (SELECT DISTINCT app_id, pkg FROM v),
+    a AS (SELECT DISTINCT app_id, array_to_string(list_slice(string_split(pkg, '.'), 1, d), '.') AS id
+      FROM (SELECT app_id, pkg, unnest(range(1, len(string_split(pkg, '.')) + 1)) AS d FROM p)),
+    k AS (SELECT app_id, CASE WHEN position('.' IN id) > 0 THEN split_part(id, '.', 1) ELSE '' END AS parent, id FROM a),
+    kids AS (SELECT app_id, parent FROM k UNION ALL SELECT app_id, pkg FROM v)
+    SELECT app_id, parent, 'package' AS kind, list_last(string_split(id, '.')) AS label, id, CAST(0 AS BIGINT) AS kind_rank,
+      (SELECT count(*) FROM kids WHERE kids.parent = k.id AND kids.app_id = k.app_id) AS n_children FROM k
+    UNION ALL SELECT app_id, pkg, 'class', name, "full", 1, 0 FROM v"""
 )
 def package_tree(v):
-    return shapes.package_tree(v.v_class).withColumn("kind_rank", F.col("kind_rank").cast("long"))
+    app = F.concat(F.lit("app"), (F.col("cls") % 3).cast("string"))
+    return shapes.package_tree(v.v_class.withColumn("app_id", app)).withColumn("kind_rank", F.col("kind_rank").cast("long"))
 
 
 _COLUMNS = {

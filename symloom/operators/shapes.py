@@ -24,13 +24,13 @@ _OBJECT, _STRING = "Ljava/lang/Object;", "Ljava/lang/String;"
 
 
 def list_members(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
-    """(cls, section, ord, kind, name, signature, modifiers) without synthetic members.
+    """(app_id, cls, section, ord, kind, name, signature, modifiers) without synthetic members.
 
-    ``classes(cls, outer, flags, ord)``, ``fields(cls, name, type, flags, ord)``,
-    ``methods(cls, name, params, ret, flags, ord)``; types are descriptors.
+    ``classes(app_id, cls, outer, flags, ord)``, ``fields(app_id, cls, name, type, flags, ord)``,
+    ``methods(app_id, cls, name, params, ret, flags, ord)``; types are descriptors.
     """
     own = drop_synthetic(fields.withColumn("kind", F.lit("field"))).select(
-        "cls", F.lit(SECTIONS["field"]).alias("section"), "ord", "kind", "name",
+        "app_id", "cls", F.lit(SECTIONS["field"]).alias("section"), "ord", "kind", "name",
         F.concat("name", F.lit(": "), display_type(F.col("type"))).alias("signature"),
         F.array_join(modifiers(F.col("flags"), "field"), " ").alias("modifiers"),
     )
@@ -39,7 +39,7 @@ def list_members(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
     name = F.col("name")
     kept = drop_synthetic(methods.withColumn("kind", F.lit("method")))
     code = kept.select(
-        "cls", F.lit(SECTIONS["method"]).alias("section"), "ord",
+        "app_id", "cls", F.lit(SECTIONS["method"]).alias("section"), "ord",
         F.when(name == CONSTRUCTOR, "constructor").when(name == STATIC_INIT, "static_initializer")
         .otherwise("method").alias("kind"),
         F.when(name == CONSTRUCTOR, called).when(name == STATIC_INIT, "static").otherwise(name).alias("name"),
@@ -52,7 +52,7 @@ def list_members(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
     nested = drop_synthetic(classes.filter(F.col("outer").isNotNull()).withColumn("kind", F.lit("class")))
     inner = simple_name(F.col("cls"))
     types = nested.select(
-        F.col("outer").alias("cls"), F.lit(SECTIONS["class"]).alias("section"), "ord",
+        "app_id", F.col("outer").alias("cls"), F.lit(SECTIONS["class"]).alias("section"), "ord",
         F.lit("nested_class").alias("kind"), inner.alias("name"), inner.alias("signature"),
         F.array_join(modifiers(F.col("flags"), "class"), " ").alias("modifiers"),
     )
@@ -81,25 +81,25 @@ def explode_ancestors(df: DataFrame, path: str, separator: str = ".") -> DataFra
 
 
 def package_tree(classes: DataFrame) -> DataFrame:
-    """(parent, kind, label, id, n_children, kind_rank): direct children of each package.
+    """(app_id, parent, kind, label, id, n_children, kind_rank): direct children of each package of an app.
 
     Order children by (kind_rank, label): packages before classes, then by name.  Package paths are
     made distinct before their prefixes are expanded.
     """
-    full = classes.select("full").withColumn("pkg", package_of(F.col("full")))
+    full = classes.select("app_id", "full").withColumn("pkg", package_of(F.col("full")))
     leaves = full.select(
-        F.col("pkg").alias("parent"), F.lit("class").alias("kind"),
+        "app_id", F.col("pkg").alias("parent"), F.lit("class").alias("kind"),
         F.substring_index("full", ".", -1).alias("label"), F.col("full").alias("id"), F.lit(1).alias("kind_rank"),
     )
-    paths = full.select("pkg").distinct().filter(F.col("pkg") != "")
-    packages = explode_ancestors(paths, "pkg").select(F.col("ancestor").alias("id")).distinct()
+    paths = full.select("app_id", "pkg").distinct().filter(F.col("pkg") != "")
+    packages = explode_ancestors(paths, "pkg").select("app_id", F.col("ancestor").alias("id")).distinct()
     folders = packages.select(
-        package_of(F.col("id")).alias("parent"), F.lit("package").alias("kind"),
+        "app_id", package_of(F.col("id")).alias("parent"), F.lit("package").alias("kind"),
         F.substring_index("id", ".", -1).alias("label"), "id", F.lit(0).alias("kind_rank"),
     )
     children = leaves.unionByName(folders)
-    counts = children.groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"))
-    sized = folders.join(counts.withColumnRenamed("parent", "id"), "id", "left")
+    counts = children.groupBy("app_id", "parent").agg(F.count(F.lit(1)).alias("n_children"))
+    sized = folders.join(counts.withColumnRenamed("parent", "id"), ["app_id", "id"], "left")
     return leaves.withColumn("n_children", F.lit(0).cast("long")).unionByName(
         sized.withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
     )

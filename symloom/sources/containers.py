@@ -21,7 +21,7 @@ PLAIN_APK_ENTRIES = ("classes.dex", "AndroidManifest.xml", "resources.arsc")
 MAX_ENTRIES, MAX_ENTRY_BYTES, MAX_TOTAL_BYTES = 200_000, 512 * 1024**2, 4 * 1024**3
 EXTENSIONS = {"java": "java", "kotlin": "kt"}
 
-ENTRY_SCHEMA = "archive string, pos int, name string, method int, csize long, usize long"
+ENTRY_SCHEMA = "archive string, pos int, name string, method int, csize long, usize long, error string"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -70,17 +70,19 @@ def _list_zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             try:
                 listed = zipfile.ZipFile(io.BytesIO(content)).infolist()
-            except (zipfile.BadZipFile, ValueError, NotImplementedError):
+            except (zipfile.BadZipFile, ValueError, NotImplementedError) as refused:
+                rows.append((path, None, None, None, None, None, str(refused)))
                 continue
             rows.extend(
-                (path, i, e.orig_filename, e.compress_type, e.compress_size, e.file_size)
+                (path, i, e.orig_filename, e.compress_type, e.compress_size, e.file_size, None)
                 for i, e in enumerate(listed)
             )
-        yield pd.DataFrame(rows, columns=["archive", "pos", "name", "method", "csize", "usize"])
+        columns = ["archive", "pos", "name", "method", "csize", "usize", "error"]
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
 def list_entries(files: DataFrame) -> DataFrame:
-    """Directory of every archive in files(path, content); an unreadable archive lists nothing."""
+    """Directory of every archive in files(path, content); an unreadable one is one row with ``error``."""
     zips = files.filter(F.hex(F.substring("content", 1, 4)) == ZIP_MAGIC).select("path", "content")
     return zips.mapInPandas(_list_zip, ENTRY_SCHEMA)
 
@@ -107,7 +109,8 @@ def guard_entries(
     """Adds ``clean`` and ``refusal`` (why an entry is not read, or null).
 
     An unsafe name refuses the whole archive, or only its own row when ``reject_unsafe`` is off.
-    Sizes are summed over all entries in directory order, also those nobody wants.
+    Sizes are summed over all entries in directory order, also those nobody wants.  A row with ``error``,
+    where there is such a column, is an archive that could not be listed.
     """
     named = entries.withColumn("clean", clean_entry_name(F.col("name")))
     run = scan(
@@ -118,7 +121,8 @@ def guard_entries(
         F.bool_or(F.col("clean").isNull()).alias("__unsafe"), F.count(F.lit(1)).alias("__entries")
     )
     joined = run.join(whole, "archive")
-    refusal = F.when(F.col("__entries") > max_entries, "too_many_entries")
+    unlisted = F.col("error").isNotNull() if "error" in entries.columns else F.lit(False)
+    refusal = F.when(unlisted, "unreadable_archive").when(F.col("__entries") > max_entries, "too_many_entries")
     if reject_unsafe:
         refusal = refusal.when(F.col("__unsafe"), "unsafe_archive")
     refusal = (

@@ -74,12 +74,14 @@ def test_archives(spark, tmp_path):
     files = containers.read_files(spark, str(tmp_path))
     entries = containers.list_entries(files)
     listed = sorted((r.archive.rsplit("/", 1)[-1], r.pos, r.name, r.usize) for r in entries.collect())
-    assert ("bundle.apks", 1, "split.apk", 5) in listed and len(listed) == 7
+    assert ("bundle.apks", 1, "split.apk", 5) in listed and len(listed) == 8
+    assert [r.archive.rsplit("/", 1)[-1] for r in entries.filter("error IS NOT NULL").collect()] == ["torn.zip"]
     text = F.when(F.col("name") == "manifest.json", '{"split_apks": 1}')
     routed = {r.path.rsplit("/", 1)[-1]: r.format for r in containers.route_inputs(files, entries.withColumn("text", text)).collect()}
     assert routed == {"bundle.apks": "apks", "app.apk": "zip", "evil.zip": "zip", "m.xapk": "xapk", "raw.bin": "dex", "torn.zip": "zip"}
     guarded = {(r.archive.rsplit("/", 1)[-1], r.name): r.refusal for r in containers.guard_entries(entries).collect()}
     assert guarded[("evil.zip", "ok")] == "unsafe_archive" and guarded[("app.apk", "classes.dex")] is None
+    assert guarded[("torn.zip", None)] == "unreadable_archive"
 
 
 def test_guard_limits(spark):

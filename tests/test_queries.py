@@ -32,5 +32,5 @@ def test_entry(spark):
     assert top.count() == 20
 
 
-def test_no_query_uses_row_subsets():
+def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)

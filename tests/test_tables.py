@@ -100,11 +100,11 @@ def test_symbol_at(spark):
 
 
 def test_members(spark):
-    classes = spark.createDataFrame([("p.O", None, 0, 0), ("p.O$In", "p.O", 0x1, 1), ("p.O$1", "p.O", 0x1000, 2)], "cls string, outer string, flags int, ord int")
-    fields = spark.createDataFrame([("p.O", "v", "I", 0x40, 0), ("p.O", "syn", "I", 0x1000, 1)], "cls string, name string, type string, flags int, ord int")
+    classes = spark.createDataFrame([("a", "p.O", None, 0, 0), ("a", "p.O$In", "p.O", 0x1, 1), ("a", "p.O$1", "p.O", 0x1000, 2)], "app_id string, cls string, outer string, flags int, ord int")
+    fields = spark.createDataFrame([("a", "p.O", "v", "I", 0x40, 0), ("a", "p.O", "syn", "I", 0x1000, 1)], "app_id string, cls string, name string, type string, flags int, ord int")
     methods = spark.createDataFrame(
-        [("p.O", "<init>", ["I", "[Ljava/util/Map;"], "V", 0x1, 0), ("p.O", "<clinit>", [], "V", 0x8, 1), ("p.O", "bridge", [], "V", 0x40, 2), ("p.O", "run", [], "[J", 0x21, 3)],
-        "cls string, name string, params array<string>, ret string, flags int, ord int",
+        [("a", "p.O", "<init>", ["I", "[Ljava/util/Map;"], "V", 0x1, 0), ("a", "p.O", "<clinit>", [], "V", 0x8, 1), ("a", "p.O", "bridge", [], "V", 0x40, 2), ("a", "p.O", "run", [], "[J", 0x21, 3)],
+        "app_id string, cls string, name string, params array<string>, ret string, flags int, ord int",
     )
     got = [(r.kind, r.signature, r.modifiers) for r in shapes.list_members(classes, fields, methods).orderBy("section", "ord").collect()]
     assert got == [
