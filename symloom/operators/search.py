@@ -63,13 +63,14 @@ def matching_lines(units: DataFrame, query: str, ignore_case: bool = True, regex
 def search_code(
     units: DataFrame, query: str, cap: int | None = None, ignore_case: bool = True, regex: bool = False
 ) -> DataFrame:
-    """Matching lines, units(unit, ord, code) in order, lines in order: all, or the first ``cap``.
+    """Matching lines of units(unit, ord, code): all, or the first ``cap`` by (ord, unit, line) in order.
 
-    A cap is a distributed top-k, each task keeps at most ``cap`` rows.
+    A cap is a distributed top-k, each task keeps at most ``cap`` rows.  Without one rows stay where they
+    are found; they carry their order.
     """
     found = matching_lines(units.select("unit", "ord", "code"), query, ignore_case, regex)
-    ordered = found.select("unit", "ord", "line", "snippet").orderBy("ord", "unit", "line")
-    return ordered if cap is None else ordered.limit(max(cap, 0))
+    lines = found.select("unit", "ord", "line", "snippet")
+    return lines if cap is None else lines.orderBy("ord", "unit", "line").limit(max(cap, 0))
 
 
 def search_summary(
@@ -151,13 +152,14 @@ def search_members(
     members: DataFrame, query: str, kinds: Sequence[str], cap: int | None = None,
     ignore_case: bool = True, regex: bool = False,
 ) -> DataFrame:
-    """Members(…, ord, kind, label, signature) whose label or signature matches: all, or the first ``cap``."""
+    """Members(…, ord, kind, label, signature) whose label or signature matches: all, or the first
+    ``cap`` by (ord, signature) in order."""
     pattern = matcher(members, query, ignore_case, regex)
     if pattern is None or not kinds:
         return members.limit(0)
     hit = F.col("label").rlike(pattern) | F.coalesce(F.col("signature"), F.lit("")).rlike(pattern)
-    ordered = members.filter(F.col("kind").isin(*kinds) & hit).orderBy("ord", "signature")
-    return ordered if cap is None else ordered.limit(max(cap, 0))
+    found = members.filter(F.col("kind").isin(*kinds) & hit)
+    return found if cap is None else found.orderBy("ord", "signature").limit(max(cap, 0))
 
 
 def search_classes(classes: DataFrame, query: str, ignore_case: bool = True, regex: bool = False) -> DataFrame:
