@@ -129,12 +129,12 @@ def _rows(kind, mark, at, name=None, around=None, first=None, last=None, twice=N
     )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.RecordBatch]:
     """Neighbours of rows sorted by (name, around, mark, at); equal rows count once.
 
     A row whose name a neighbour shares is SETTLED if it shares ``around`` too (0 is none), else OPEN.  The first row of
-    each run of one ``around`` in a name with several is also told as LIKE: it stands for its run.  The outer rows
-    of the range come with kind null and what is known of them.
+    each run of one ``around`` in a name with several is also told as LIKE if ``runs``: it stands for its run.  A row without
+    ``around`` is a run of its own.  The outer rows of the range come with kind null and what is known of them.
     """
     held = None  # last row: name, around, mark, at, whether it shares its name and around with the row before, first of the range
     pending = None  # first row of the current name, while only one run of it was seen
@@ -167,35 +167,32 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # runs of one stretch; row 0 was looked at with the batch before
         begin = 0 if held is None else 1
         run = np.flatnonzero(~alike[begin : len(name)]) + begin
-        like: list[tuple[int, int]] = []
-        if len(run):
+        if runs and len(run):
             joins = same[run]
             if pending is not None and joins[0]:
-                like.append(pending)
-            take = joins & (around[run] != 0)
+                yield _rows([LIKE], [pending[0]], [pending[1]])
             opens = np.flatnonzero(~joins)
             followed = np.zeros(len(run), bool)
             followed[:-1] = joins[1:]
-            take[opens] = followed[opens] & (around[run[opens]] != 0)
-            like.extend(zip(mark[run[take]].tolist(), at[run[take]].tolist(), strict=True))
+            take = run[joins | followed]
+            yield _rows(np.full(len(take), LIKE), mark[take], at[take])
             if len(opens) and opens[-1] == len(run) - 1:
                 pending = (int(mark[run[-1]]), int(at[run[-1]]))
             else:
                 pending = None
-        if like:
-            yield _rows([LIKE] * len(like), [x[0] for x in like], [x[1] for x in like])
         held = (name[-1], around[-1], mark[-1], at[-1], bool(same[-2]), bool(alike[-2]), bool(outer[-1]))
     if held is not None:
         yield _rows([None], [held[2]], [held[3]], [held[0]], [held[1]], [held[6]], [True], [held[4]], [held[5]])
 
 
-def compared(rows: DataFrame, label: str) -> DataFrame:
-    """(kind, mark, at) of the rows (name, around, mark, at) that share their name, by a sort over the cluster."""
+def compared(rows: DataFrame, label: str, runs: bool = True) -> DataFrame:
+    """(kind, mark, at) of the rows (name, around, mark, at) that share their name, by a sort over the cluster; LIKE rows
+    only with ``runs``."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["name", "around", "mark", "at"]
     ordered = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stage(ordered.mapInArrow(_compare, _ROW).withColumn("range", F.spark_partition_id()), label)
+    found = stage(ordered.mapInArrow(lambda batches: _compare(batches, runs), _ROW).withColumn("range", F.spark_partition_id()), label)
     # at most two rows of each range
     ends = found.filter("kind is null").collect()
     ends.sort(key=lambda r: (r["range"], bool(r["last"]) and not r["first"]))
@@ -207,7 +204,7 @@ def compared(rows: DataFrame, label: str) -> DataFrame:
                 flags[i][0] = flags[i][2] = True
                 flags[i][1] |= a["around"] == b["around"] != 0
     more = [(SETTLED if s else OPEN, r["mark"], r["at"]) for r, (t, s, _) in zip(ends, flags, strict=True) if t]
-    more += [(LIKE, r["mark"], r["at"]) for r, (_, _, l) in zip(ends, flags, strict=True) if l and r["around"]]
+    more += [(LIKE, r["mark"], r["at"]) for r, (_, _, l) in zip(ends, flags, strict=True) if l and runs]
     kept = found.filter("kind is not null").select("kind", "mark", "at")
     return kept.unionByName(spark.createDataFrame(more, "kind int, mark long, at long")) if more else kept
 
@@ -337,7 +334,7 @@ def remove_repeats(
     digests = stage(digests, "repeat-digests")
     long = rows.filter(F.octet_length("text") >= length)
 
-    found = compared(long.select("mark", "text").mapInArrow(_anchor_rows(length, gram), "name long, around long, mark long, at long"), "repeat-anchors")
+    found = compared(long.select("mark", "text").mapInArrow(_anchor_rows(length, gram), "name long, around long, mark long, at long"), "repeat-anchors", False)
     places = found.groupBy("mark").agg(F.collect_list("at").alias("anchors"))
     # one row for each text that shares an anchor; no other can hold a repeat
     texts = long.select("mark", "text").join(places.hint("shuffle_hash"), "mark").dropDuplicates(["mark"])
@@ -347,7 +344,7 @@ def remove_repeats(
     listed = [F.collect_list(F.when(F.col("kind") == k, F.col("at"))).alias(c) for k, c in ((OPEN, "open"), (SETTLED, "settled"), (LIKE, "like"))]
     texts = stage(texts.drop("anchors").join(samples.groupBy("mark").agg(*listed), "mark"), "repeat-likely")
 
-    windows = compared(texts.mapInArrow(_open_windows(length, modulus), "name long, around long, mark long, at long"), "repeat-windows")
+    windows = compared(texts.mapInArrow(_open_windows(length, modulus), "name long, around long, mark long, at long"), "repeat-windows", False)
     texts = texts.join(windows.groupBy("mark").agg(F.collect_list("at").alias("windows")), "mark", "left")
     spans = texts.select("mark", "text", "settled", "windows").mapInArrow(
         _spans(length, modulus), "mark long, removed long, spans array<struct<start: long, end: long>>, kept string"

@@ -168,6 +168,27 @@ def test_repeats(spark, length, gram, modulus, seed):
     assert suffix_dedup.remove_repeats(df.limit(0), length, gram=gram, modulus=modulus).collect() == []
 
 
+@pytest.mark.parametrize("length,gram,modulus", [(400, 64, 73), (40, 8, 13)])
+def test_repeats_of_edges_elsewhere(spark, length, gram, modulus):
+    """Common beginnings, common endings and near copies with an early edit, of which a third text has a part at any place."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = []
+    for shift in range(1, modulus + 1):
+        x = text(length + 2 * modulus + 30)
+        y = x[::-1]
+        part = x[10 : length + 30]
+        docs += [x + text(9), x + text(5), text(shift) + part + text(20)]
+        docs += [text(9) + y, text(shift) + y, text(2 * shift) + part[::-1] + text(20)]
+        z = text(length + 2 * modulus + 30)
+        docs += [z, z[:5] + "#" + z[6:], text(shift) + z[10 : length + 30] + text(20)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, length, gram=gram, modulus=modulus).collect()}
+    want = brute_repeats([d.encode() for d in docs], length)
+    wrong = [i for i, w in enumerate(want) if (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), got[i]["kept_sha256"]) != w]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("modulus", [7, 13, 31, 73])
 def test_difference_cover(modulus):
     cover = suffix_dedup.difference_cover(modulus)
