@@ -22,8 +22,6 @@ SIZES = (3, 4, 5, 6)
 SAMPLE = 1000
 DIMS = 2
 STEPS = 100
-#: an n-gram needs so many documents of the sample to have a vector
-LEAST_DOCS = 20
 #: an n-gram of frequency p counts RARE / (RARE + p)
 RARE = 2e-4
 RATE = 0.2
@@ -91,14 +89,14 @@ class Model:
 
     @classmethod
     def fit(cls, bags: list[tuple[int, np.ndarray, np.ndarray]], share: float) -> Model:
-        """Vectors and softmax together on the sample; ``share`` is the share of label 1 among all labelled rows."""
+        """Vectors and softmax together on the sample; ``share`` is the share of label 1 among all labelled rows.  Every
+        n-gram of the sample has a vector, however few documents hold it."""
         effect = np.zeros(1 << BUCKET_BITS, np.float32)
         label = np.array([b[0] for b in bags], float)
         prior = np.log((share + 1e-6) / (1 - share + 1e-6))
         if not len(label) or label.min() == label.max():
             return cls(effect, prior)
-        docs = np.bincount(np.concatenate([b[1] for b in bags]), minlength=len(effect))
-        used = np.flatnonzero(docs >= min(LEAST_DOCS, max(1, len(bags) // 4)))
+        used = np.unique(np.concatenate([b[1] for b in bags]))
         if not len(used):
             return cls(effect, prior)
         place = np.full(len(effect), -1)

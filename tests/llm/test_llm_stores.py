@@ -250,6 +250,25 @@ def test_toxicity_learns_and_generalises(spark):
     assert toxicity.score(odd.limit(0), none).collect() == []
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each toxic word is in nine documents of three hundred."""
+    rnd = random.Random(6)
+    stem = ["".join(rnd.choice("ijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(324):
+        words = [word() for _ in range(20)] + [stem[i // 3 % 12]] * (4 if i % 3 == 0 else 0)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"), lambda name: F.lit(False))
+    raw = np.frombuffer(" ".join(stem).encode(), np.uint8)
+    buckets = toxicity.subwords(raw, np.array([0, len(raw)]))[2]
+    assert (model.effect[buckets] != 0).all()
+    odd = spark.createDataFrame([(k, f"{w} {w}") for k, w in enumerate([*stem, "abcde"])], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(odd, model).collect()}
+    assert min(score[k] for k in range(12)) > max(0.3, score[12])
+
+
 def test_toxicity_query(spark):
     rows = queries.QUERIES["op8_toxicity"](spark, SF).collect()
     assert len(rows) == 200 and all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
