@@ -77,29 +77,47 @@ def curve_index(codes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, level, lambda acc: acc["index"])
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving number: numbers as they are, all else by the first six bytes of its text."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    head = F.rpad(F.hex(F.substring(F.col(name).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _bounds_of_text(keyed: DataFrame, key: str, cells: int) -> list[bytes]:
+    """The values at the quantiles 1 / cells, 2 / cells ... of a binary column, in byte order: at most cells - 1.
+
+    Distinct values are counted, sorted over ranges and cut by their running counts.
+    """
+    counts = keyed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__value")).agg(F.count("*").alias("__n"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(counts.repartitionByRange(parts, "__value").withColumn("__range", F.spark_partition_id()), "hilbert-values")
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("__own")).select(
+        "__range",
+        F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__own").over(Window.partitionBy()).alias("__all"),
+    )
+    within = Window.partitionBy("__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(ranges), "__range").withColumn("__upto", F.col("__before") + F.sum("__n").over(within))
+    crossed = F.expr(f"least({cells - 1}, (__upto * {cells}) div __all) > ((__upto - __n) * {cells}) div __all")
+    return [bytes(r["__value"]) for r in placed.filter(crossed).select("__value").collect()]
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """``df`` with __code_0 ... : how many quantile bounds of the dimension lie at or below the value.
 
     Bounds are at most 2^bits - 1 for each dimension, over all rows; equal bounds count once, so a frequent value takes
-    one code.  Nulls and NaN have code 0, as have all values of a dimension without any bound.
+    one code.  Nulls and NaN have code 0, as have all values of a dimension without any bound.  What is no number goes by
+    all bytes of its text.
     """
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    keyed = df.withColumns({f"__key_{k}": _as_number(df, name) for k, name in enumerate(dims)})
-    found = keyed.agg(*[F.percentile_approx(f"__key_{k}", steps, 10000).alias(f"q{k}") for k in range(len(dims))]).first()
+    numeric = [isinstance(df.schema[name].dataType, T.NumericType) for name in dims]
+    keys = [F.col(name).cast("double") if n else F.col(name).cast("string").cast("binary") for name, n in zip(dims, numeric, strict=True)]
+    keyed = df.withColumns({f"__key_{k}": key for k, key in enumerate(keys)})
+    quantiles = [F.percentile_approx(f"__key_{k}", steps, 10000).alias(f"q{k}") for k, n in enumerate(numeric) if n]
+    found = keyed.agg(*quantiles).first() if quantiles else None
     codes = {}
-    for k in range(len(dims)):
-        bounds = sorted({x for x in (found[k] or []) if x == x})
+    for k, n in enumerate(numeric):
         key = F.col(f"__key_{k}")
-        parts = [F.when((key >= F.lit(b)) & ~F.isnan(key), 1).otherwise(0) for b in bounds]
+        if n:
+            bounds = sorted({x for x in (found[f"q{k}"] or []) if x == x})
+            parts = [F.when((key >= F.lit(b)) & ~F.isnan(key), 1).otherwise(0) for b in bounds]
+        else:
+            parts = [F.when(key >= F.lit(b), 1).otherwise(0) for b in _bounds_of_text(keyed, f"__key_{k}", 1 << bits)]
         codes[f"__code_{k}"] = reduce(lambda a, b: a + b, parts, F.lit(0))
     return keyed.withColumns(codes).drop(*[f"__key_{k}" for k in range(len(dims))])
 

@@ -116,6 +116,20 @@ def test_shards(spark, law):
         assert max(total) - min(total) <= 2 * max(r["size"] for r in plan)
 
 
+def test_codes_of_texts_with_a_common_beginning(spark):
+    rows = [(f"https://host{i % 50:02d}/é", None if i % 9 == 0 else i % 3 == 0) for i in range(1000)]
+    coded = hilbert.quantised(spark.createDataFrame(rows, "source string, flag boolean"), ["source", "flag"]).collect()
+    by = {}
+    for r in coded:
+        by.setdefault(r["source"], set()).add(r["__code_0"])
+    codes = [by[k] for k in sorted(by)]
+    assert all(len(c) == 1 for c in codes)
+    flat = [c for own in codes for c in own]
+    assert flat == sorted(flat) and len(set(flat)) >= 31
+    assert {r["__code_1"] for r in coded if r["flag"] is None} == {0}
+    assert len({(r["flag"], r["__code_1"]) for r in coded if r["flag"] is not None}) == 2
+
+
 def test_shard_edges(spark, tmp_path):
     schema = "doc_id long, text string, lang string, score double"
     df = spark.createDataFrame([(1, None, None, float("nan")), (1, None, None, None), (None, "a", "x", 1.0), (4, "é", "x", 2.0)], schema)
