@@ -132,9 +132,10 @@ def _cutter(unit: str, marks: tuple[str, str, str], plain_percent: int, spm_perc
 
 def _checked(marks: tuple[str, str, str]) -> None:
     """Marks that cannot be mistaken: none empty, none inside another, no end of one that begins one."""
-    for a in marks:
-        for b in marks:
-            if not a or (a is not b and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)) + (a != b))):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            overlap = any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)) + (i != j)))
+            if not a or (i != j and a in b) or overlap:
                 raise ValueError("marks are three different strings that do not overlap")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import bpe_codec, decontaminate, exact_dedup, fill_middle, hilbert, language, lattice_lm, near_dedup, packing, suffix_dedup, toxicity, warc
+from symloom.llm import bpe_codec, decontaminate, exact_dedup, fill_middle, hilbert, language, lattice_lm, near_dedup, packing, suffix_dedup, token_alignment, toxicity, warc
 from symloom.session import configure, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,12 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN one END AS prefix_chars,
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM p
 """
+
+
+@query
+def op13_token_alignment(table):
+    """Groups and links between the tokens of two vocabularies over the bytes of every text."""
+    import public_tokenizers
+
+    found = token_alignment.align(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), pieces_path(), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
