@@ -42,8 +42,10 @@ BLOCK = 1 << 22
 FAN = 64
 ROUNDS = 3
 #: what a task remembers at most: distinct words, and their bytes
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 REMEMBERED_BYTES = 16_000_000
+#: words that are tokenised as one text
+LINE = 256
 #: a blank between visible characters, neither of which is white space beyond ASCII
 _WIDE = rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80"
 BLANK = re.compile(
@@ -165,6 +167,8 @@ class Aligner:
         for number in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(number)
             self.b_bytes[number] = bytes([int(piece[1:-1], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode()
+        self.a_names, self.b_names = ([known.get(i, b"") for i in range(max(known) + 2)] for known in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array([len(n) for n in names], np.int64) for names in (self.a_names, self.b_names))
         self.forget()
 
     def forget(self) -> None:
@@ -189,36 +193,36 @@ class Aligner:
             out.append(list(zip(ids, np.cumsum([len(p) for p in parts]).tolist(), strict=True)))
         return out[0], out[1]
 
-    def in_line(self, words: list[bytes]) -> list[tuple[Tokens, Tokens] | None]:
-        """As ``whole``, for words that neither vocabulary joins: one text of them all, cut at their ends."""
-        line = b" ".join(words)
-        found = self.whole(line)
-        if found is None:
-            return [self.whole(w) for w in words]
-        stops = np.cumsum([len(w) + 1 for w in words])
-        sides = []
-        for tokens in found:
-            ends = np.array([e for _, e in tokens], np.int64)
-            cuts = np.searchsorted(ends, stops, "right")
-            if not (ends[cuts - 1] == stops).all():
-                return [self.whole(w) for w in words]
-            sides.append((tokens, cuts.tolist()))
-        out, begin, base = [], [0, 0], 0
-        for k, stop in enumerate(stops.tolist()):
-            own = []
-            for side, (tokens, cuts) in enumerate(sides):
-                own.append([(t, e - base) for t, e in tokens[begin[side] : cuts[k]]])
-                begin[side] = cuts[k]
-            out.append((own[0], own[1]))
-            base = stop
-        return out
+    def lines(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+        """Words that begin and end visibly, many to a text, as neither vocabulary has a token across the blanks between them.
+
+        Returns those words, the ids of A and of B one after the other, and the words that could not be had so.
+        """
+        parts = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+        whole = [b" ".join(part) for part in parts]
+        texts = [w.decode("utf-8", "replace") for w in whole]
+        found_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        found_b = self.b.encode(texts, num_threads=1)
+        kept, odd, a, b = [], [], [], []
+        for part, line, one, two in zip(parts, whole, found_a, found_b, strict=True):
+            one = one.ids
+            if all(b"".join(map(names.__getitem__, ids)) == b" " + line for names, ids in ((self.a_names, one), (self.b_names, two))):
+                kept += part
+                a += one
+                b += two
+            else:
+                odd += part
+        return kept, np.array(a, np.int64), np.array(b, np.int64), odd
 
     def learn(self, words: list[bytes]) -> None:
         regular = [w for w in words if _REGULAR.fullmatch(w)]
-        found = dict(zip(regular, [t for at in range(0, len(regular), 200) for t in self.in_line(regular[at : at + 200])], strict=True))
+        kept, a, b, odd = self.lines(regular)
+        if kept:
+            odd += self.learn_line(kept, a, b)
         facts, links = [], []
-        for word in words:
-            tokens = found[word] if word in found else self.whole(word)
+        plain = set(regular)
+        for word in [*odd, *(w for w in words if w not in plain)]:
+            tokens = self.whole(word)
             self.place[word] = len(self.groups)
             if tokens is None:
                 self.groups.append("")
@@ -229,10 +233,53 @@ class Aligner:
             own = [self.pairs.setdefault(p, len(self.pairs)) for g in closed for p in group_links(*g)]
             facts.append((1, len(tokens[0]), len(tokens[1]), len(closed), len(own)))
             links += own
-            self.bytes += len(word)
-        self.facts = np.concatenate((self.facts, np.array(facts, np.int64)))
-        self.links = np.concatenate((self.links, np.array(links, np.int64)))
-        self.begins = np.cumsum(self.facts[:, 4]) - self.facts[:, 4]
+        self.added(facts, links)
+        self.bytes += sum(map(len, words))
+
+    def added(self, facts, links) -> None:
+        if len(facts):
+            self.facts = np.concatenate((self.facts, np.asarray(facts, np.int64)))
+            self.links = np.concatenate((self.links, np.asarray(links, np.int64)))
+            self.begins = np.cumsum(self.facts[:, 4]) - self.facts[:, 4]
+
+    def learn_line(self, words: list[bytes], a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """Groups and links of many words at once, from the ends of the tokens of one long line.
+
+        Words are handed back if an end of one is no common end, which the choice of blanks rules out.
+        """
+        stops = np.cumsum([len(w) + 1 for w in words])
+        size_a, size_b = self.a_sizes[a], self.b_sizes[b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        at = np.searchsorted(common, stops)
+        if not (common[np.minimum(at, len(common) - 1)] == stops).all():
+            return words
+        word_of = np.searchsorted(stops, common)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        # tokens of B that begin before a token of A ends, from the first that ends after it begins
+        low = np.searchsorted(end_b, end_a - size_a, "right")
+        each = np.searchsorted(end_b - size_b, end_a, "left") - low
+        left = np.repeat(np.arange(len(a)), each)
+        right = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(len(left))
+        keys, number = np.unique(a[left] << 32 | b[right], return_inverse=True)
+        known = np.array([self.pairs.setdefault(k, len(self.pairs)) for k in keys.tolist()], np.int64)
+        count = lambda owner: np.bincount(owner, minlength=len(words))
+        facts = np.stack([np.ones(len(words), np.int64), count(word_of[group_a]), count(word_of[group_b]), count(word_of), count(word_of[group_a[left]])], axis=1)
+        # ids in the order of the text: group by group, A before B, and what stands after each
+        group = np.concatenate((group_a, group_b))
+        side = np.concatenate((np.zeros(len(a), np.int8), np.ones(len(b), np.int8)))
+        order = np.lexsort((side, group))
+        group, side = group[order], side[order]
+        after = np.zeros(len(order), np.int64)
+        after[:-1] = np.where(group[1:] == group[:-1], np.where(side[1:] == side[:-1], 0, 1), np.where(word_of[group[1:]] == word_of[group[:-1]], 2, 3))
+        after[-1] = 3
+        signs = np.array([",", "|", ";", "\n"], object)[after]
+        text = "".join([x for pair in zip(map(str, np.concatenate((a, b))[order].tolist()), signs.tolist(), strict=True) for x in pair])
+        for place, word in enumerate(words, len(self.groups)):
+            self.place[word] = place
+        self.groups += text[:-1].split("\n")
+        self.added(facts, known[number])
+        return []
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Places of the words in memory; what was there before may be forgotten."""
