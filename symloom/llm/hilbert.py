@@ -148,14 +148,20 @@ def shard_plan(
         F.col(id_col).alias("__id"),
         (F.length(body) + 16).cast("long").alias("__size"),
         F.crc32(body).alias("__crc"),
+        F.xxhash64(body).alias("__text"),
         *[F.col(name).alias(f"__dim_{k}") for k, name in enumerate(dims)],
     )
     narrow = stage(narrow, "hilbert-rows")
-    coded = quantised(narrow, [f"__dim_{k}" for k in range(len(dims))], bits)
+    names, same = [f"__dim_{k}" for k in range(len(dims))], ["__text", "__crc", "__size"]
+    # one row for each text that several rows have; combined per task first, so a hot text is not gathered
+    several = narrow.groupBy(*same).agg(F.count("*").alias("__n"), F.min(F.struct(*names)).alias("__least")).filter("__n > 1")
+    placed = narrow.join(several.drop("__n"), same, "left")
+    least = {n: F.when(F.col("__least").isNull(), F.col(n)).otherwise(F.col("__least")[n]) for n in names}
+    coded = quantised(stage(placed.withColumns(least).drop("__least"), "hilbert-groups"), names, bits)
     curve = curve_index([F.col(f"__code_{k}") for k in range(len(dims))], bits)
-    rows = coded.select("__id", "__size", "__crc", curve.alias("__curve"))
+    rows = coded.select("__id", "__size", "__crc", "__text", curve.alias("__curve"))
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["__curve", "__crc", "__id"]
+    order = ["__curve", "__crc", "__text", "__id"]
     placed = rows.repartitionByRange(parts, *order, F.xxhash64("__id", "__size")).withColumn("__range", F.spark_partition_id())
     placed = stage(placed, "hilbert-ranges")
     # one row per range: how many rows and bytes come before it
@@ -176,7 +182,6 @@ def shard_plan(
     )
     if law == "rows":
         # shard k holds the places from ceil(k n / shards) on
-        shard = F.floor(F.col("__at") * shards / F.col("__all_rows"))
         shard = F.expr(f"(__at * {shards}) div __all_rows")
         first = F.expr(f"((((__at * {shards}) div __all_rows) * __all_rows) + {shards - 1}) div {shards}")
         cut = numbered.select("*", shard.alias("__shard"), (F.col("__at") - first).alias("__slot"))
