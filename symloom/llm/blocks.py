@@ -6,7 +6,9 @@ texts come to about ``BLOCK`` bytes, or one longer text; no text is ever cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +100,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def give_back() -> None:
+    """Returns what this worker process holds but does not need: it lives on for later tasks and stages."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over Arrow batches that gives its memory back when it ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums; ``span_hashes`` takes hashes of any spans from them."""
     up, _ = powers(len(data) + 1)

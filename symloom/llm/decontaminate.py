@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from symloom.llm.blocks import ALNUM, blocks, lower_ascii, prefix_hashes, span_hashes, text_bytes, word_spans
+from symloom.llm.blocks import ALNUM, blocks, lower_ascii, prefix_hashes, released, span_hashes, text_bytes, word_spans
 
 WINDOW = 10
 #: characters of test items that are broadcast at once; one longer item makes a block of its own
@@ -91,8 +92,12 @@ class Shard:
         after_here = np.searchsorted(bounds, place, "right")
         self.room = np.where(words > 0, bounds[np.minimum(after_here, len(bounds) - 1)] - place, 0)
 
-    def matches(self, tests: TestSet) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(position in the shard, position in the test words, window) of all pairs whose windows agree."""
+    def matches(self, tests: TestSet) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """For each window length: positions in the shard where a window stands, the number of that window, the length, the
+        test suffixes ordered by window, and where each window's begin (with the end appended).
+
+        Every distinct test window is searched in the suffix array once; however many items share it, a position is told once.
+        """
         for length, suffixes in tests.at.items():
             here = np.flatnonzero(self.room >= length)
             if not len(here):
@@ -103,13 +108,14 @@ class Shard:
             rank = prefix_order(joint, left, np.concatenate((suffixes, here_joint)), length)
             wanted, have = rank[: len(suffixes)], rank[len(suffixes) :]
             array = np.argsort(have, kind="stable")
-            low = np.searchsorted(have[array], wanted, "left")
-            high = np.searchsorted(have[array], wanted, "right")
-            size = high - low
+            order = np.argsort(wanted, kind="stable")
+            windows, begin = np.unique(wanted[order], return_index=True)
+            low = np.searchsorted(have[array], windows, "left")
+            size = np.searchsorted(have[array], windows, "right") - low
             if not size.sum():
                 continue
             take = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            yield here[array[take]], np.repeat(suffixes, size), length
+            yield here[array[take]], np.repeat(np.arange(len(windows)), size), length, suffixes[order], np.append(begin, len(order))
 
     def longest(self, tests: TestSet, at: np.ndarray, test: np.ndarray, length: int) -> np.ndarray:
         """Words from the two positions on that agree."""
@@ -124,17 +130,25 @@ class Shard:
         return reach
 
 
+FOUND = ("words", "hit", "bits", "items", "matches")
 _MATCH = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())]))
 
 
-def _search(shared, first_block: bool):
+def _expanded(which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All members of the groups ``which``: the place in ``which`` and the place of the member."""
+    size = bounds[which + 1] - bounds[which]
+    owner = np.repeat(np.arange(len(which)), size)
+    return owner, np.repeat(bounds[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _search(shared, first_block: bool, with_matches: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: TestSet = shared.value
         width = len(tests.words) + 1
         item_begin = np.concatenate(([0], tests.ends[:-1])).astype(np.int64)
         for batch in batches:
-            data, ends = text_bytes(batch.column("__text"))
-            earlier = None if first_block else [batch.column(c).to_pylist() for c in ("__bits", "__items", "__matches")]
+            data, ends = text_bytes(batch.column("text"))
+            earlier = None if first_block else [batch.column(c).to_pylist() for c in ("bits", "items", "matches")]
             counts, hits, bits, items, spans = [], [], [], [], []
             for row, after, raw, starts in blocks(data, ends):
                 shard = Shard(tests, raw, starts)
@@ -142,19 +156,28 @@ def _search(shared, first_block: bool):
                 cover = np.zeros(len(shard.words) + 1, np.int64)
                 found: list[set] = [set() for _ in range(rows)]
                 places: list[list] = [[] for _ in range(rows)]
-                for at, test, length in shard.matches(tests):
-                    reach = shard.longest(tests, at, test, length)
+                for at, window, length, suffixes, bounds in shard.matches(tests):
+                    # a window is followed to its longest match by one of the test suffixes that begin with it; what another
+                    # of them has more is covered by the windows after this one
+                    reach = shard.longest(tests, at, suffixes[bounds[window]], length)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + reach, -1)
-                    for pair in np.unique(shard.row[at] * width + tests.row[test]).tolist():
+                    # items are looked up once for each document and window
+                    seen = np.unique(shard.row[at] * len(bounds) + window)
+                    owner, member = _expanded(seen % len(bounds), bounds)
+                    for pair in np.unique((seen // len(bounds))[owner] * width + tests.row[suffixes[member]]).tolist():
                         found[pair // width].add(tests.ids[pair % width])
-                    # a match that is the rest of the one a word before is told by that one
-                    pair = at * width + test
-                    told = np.flatnonzero(~np.isin(pair, pair + width + 1))
-                    for a, t, n in zip(at[told].tolist(), test[told].tolist(), reach[told].tolist(), strict=True):
-                        own, item = int(shard.row[a]), int(tests.row[t])
-                        place = {"start": a - int(shard.begin[own]), "length": n, "item": tests.ids[item], "item_start": t - int(item_begin[item])}
-                        places[own].append(place)
+                    if with_matches:
+                        owner, member = _expanded(window, bounds)
+                        at, test = at[owner], suffixes[member]
+                        reach = shard.longest(tests, at, test, length)
+                        # a match that is the rest of the one a word before is told by that one
+                        pair = at * width + test
+                        told = np.flatnonzero(~np.isin(pair, pair + width + 1))
+                        for a, t, n in zip(at[told].tolist(), test[told].tolist(), reach[told].tolist(), strict=True):
+                            own, item = int(shard.row[a]), int(tests.row[t])
+                            place = {"start": a - int(shard.begin[own]), "length": n, "item": tests.ids[item], "item_start": t - int(item_begin[item])}
+                            places[own].append(place)
                 hit = np.cumsum(cover[:-1]) > 0
                 for i in range(rows):
                     n, begin = int(shard.count[i]), int(shard.begin[i])
@@ -168,17 +191,16 @@ def _search(shared, first_block: bool):
                     bits.append(np.packbits(own).tobytes())
                     items.append(sorted(found[i], key=lambda x: (x is None, x)))
                     spans.append(sorted(places[i], key=lambda x: (x["start"], x["item"] or "", x["item_start"])))
-            rest = batch.select([c for c in batch.schema.names if not c.startswith("__")])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *rest.columns,
+                    batch.column("row"),
                     pa.array(counts, pa.int64()),
                     pa.array(hits, pa.int64()),
                     pa.array(bits, pa.binary()),
                     pa.array(items, pa.list_(pa.string())),
                     pa.array(spans, _MATCH),
                 ],
-                names=[*rest.schema.names, "__words", "__hit", "__bits", "__items", "__matches"],
+                names=["row", *FOUND],
             )
 
     return search
@@ -197,6 +219,22 @@ def _blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tup
     yield ids, texts
 
 
+def _found(
+    docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_id_col: str, item_text_col: str, with_matches: bool
+) -> DataFrame:
+    """(row, words, hit, bits, items, matches); all columns of ``docs`` travel inside ``row``, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(row.alias("row"))
+    match = T.StructType.fromDDL("start long, length long, item string, item_start long")
+    kinds = {"words": T.LongType(), "hit": T.LongType(), "bits": T.BinaryType(), "items": T.ArrayType(T.StringType()), "matches": T.ArrayType(match)}
+    schema = T.StructType([T.StructField("row", out.schema["row"].dataType), *[T.StructField(n, kinds[n]) for n in FOUND]])
+    for number, (ids, texts) in enumerate(_blocks_of(benchmark, item_id_col, item_text_col)):
+        shared = docs.sparkSession.sparkContext.broadcast(TestSet(ids, texts, window))
+        rows = out.withColumn("text", F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
+        out = rows.mapInArrow(released(_search(shared, number == 0, with_matches)), schema)
+    return out
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -204,29 +242,27 @@ def find_contamination(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    with_matches: bool = True,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with __words, __hit (words inside any occurrence of a window), __bits (a bit for
     each word: hit or not), __items (ids, as strings, of the items with occurring windows) and __matches (longest
-    verbatim matches: start and length in words, item, item_start).
+    verbatim matches: start and length in words, item, item_start; empty unless ``with_matches``).
 
     A-Z are lower-cased; words are runs of digits, letters and non-ASCII characters.  A window is ``window`` consecutive
     words of an item, or the whole item if it has fewer; items without words have none.  Null has no words.  Repeated
     items are all named.  With an empty benchmark nothing is hit; an empty table gives an empty result.  Columns of
-    ``docs`` keep their names, which must not begin with two underscores.
+    ``docs`` that have the names of the new ones are replaced.
 
     Items come in blocks of 16 million characters; a document passes one search for each block.
     """
-    out = docs
-    base = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    kinds = "__words long, __hit long, __bits binary, __items array<string>, __matches array<struct<start: long, length: long, item: string, item_start: long>>"
-    for ids, texts in _blocks_of(benchmark, item_id_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(TestSet(ids, texts, window))
-        rows = out.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        out = rows.mapInArrow(_search(shared, out is docs), ", ".join([*base, kinds]))
-    return out
+    found = _found(docs, benchmark, window, text_col, item_id_col, item_text_col, with_matches)
+    new = {f"__{n}": n for n in FOUND}
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[F.col(c).alias(n) for n, c in new.items()])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The documents that hold no window of the benchmark, all columns as they were."""
-    found = find_contamination(docs, benchmark, window, text_col)
-    return found.filter("__hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that hold no window of the benchmark, all columns as they were, whatever their names.
+
+    Documents without words and null texts stay; rows that repeat are answered alike, an empty table stays empty.
+    """
+    return _found(docs, benchmark, window, text_col, "item_id", "text", False).filter("hit = 0").select("row.*")
