@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from symloom.llm.blocks import blocks, text_bytes
+from symloom.llm.blocks import blocks, released, text_bytes
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -78,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trigram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, bucket, n) over the whole texts of all rows with a language."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), padded(F.col(text_col)).alias("text"))
-    found = rows.filter(F.col("lang").isNotNull() & (F.col("lang") != "")).mapInArrow(_count, "lang string, bucket int, n long")
+    found = rows.filter(F.col("lang").isNotNull() & (F.col("lang") != "")).mapInArrow(released(_count), "lang string, bucket int, n long")
     return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -142,8 +143,8 @@ def _identify(model, penalty: float):
         fitted: Model = model.value
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in batches:
-            data, ends = text_bytes(batch.column("__text"))
-            letter = batch.column("__letter").to_pylist()
+            data, ends = text_bytes(batch.column("text"))
+            letter = batch.column("letter").to_pylist()
             best, score, sets = [], [], []
             for row, after, raw, starts in blocks(data, ends):
                 code, own = trigrams(raw, starts)
@@ -158,29 +159,36 @@ def _identify(model, penalty: float):
                     best.append(fitted.langs[found[0][0]])
                     score.append(min(1.0, found[0][1]))
                     sets.append([{"lang": fitted.langs[k], "share": p} for k, p in found])
-            rest = batch.drop_columns(["__text", "__letter"])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)],
-                names=[*rest.schema.names, "__best", "__score", "__set"],
+                [batch.column("row"), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)],
+                names=["row", "best", "score", "set"],
             )
 
     return identify
 
 
+def _identified(docs: DataFrame, model: Model, text_col: str, penalty: float) -> DataFrame:
+    """(row, best, score, set); all columns of ``docs`` travel inside ``row``, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(row.alias("row"), padded(text).alias("text"), letter.alias("letter"))
+    share = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
+    kinds = {"row": rows.schema["row"].dataType, "best": T.StringType(), "score": T.DoubleType(), "set": T.ArrayType(share)}
+    return rows.mapInArrow(released(_identify(shared, penalty)), T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 1.0) -> DataFrame:
     """All rows and columns, with __best (the language of the largest share, ``und`` for null and for texts without a
-    letter), __score (its share, 0 to 1) and __set (the chosen languages with their shares).
+    letter), __score (its share, 0 to 1) and __set (the chosen languages with their shares); columns of these names are replaced.
 
     Ties between languages go to the one first in alphabetical order.  A model without languages answers ``und``.
     Rows are handled one by one: repeated rows get the same answer, an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumns({"__text": padded(F.col(text_col)), "__letter": letter})
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(
-        _identify(shared, penalty), f"{fields}, __best string, __score double, __set array<struct<lang: string, share: double>>"
-    )
+    new = {"__best": "best", "__score": "score", "__set": "set"}
+    found = _identified(docs, model, text_col, penalty)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *[F.col(c).alias(n) for n, c in new.items()])
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -195,6 +203,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents in which a language is found, all columns as they were."""
-    found = identify(docs, train(docs, id_col, text_col, lang_col), text_col)
-    return found.filter(F.col("__best") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents in which a language is found, all columns as they were, whatever their names.
+
+    Null texts, empty ones and texts without a letter go; rows that repeat are answered alike, an empty table stays empty.
+    """
+    found = _identified(docs, train(docs, id_col, text_col, lang_col), text_col, 1.0)
+    return found.filter(F.col("best") != UNKNOWN).select("row.*")
