@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.blocks import U64, blocks, prefix_hashes, span_hashes, text_bytes
+from symloom.llm.blocks import U64, blocks, prefix_hashes, released, span_hashes, text_bytes
 
 FULL = 2048
-#: words whose token ids a task remembers
-REMEMBERED = 2_000_000
+#: words whose token ids a task remembers, and how many ids
+REMEMBERED = 500_000
+REMEMBERED_IDS = 2_000_000
 #: characters below this are known to be unchanged by NFC and to have one-character lower cases, but for U+0130
 _PLAIN = 0x250
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
@@ -93,7 +94,10 @@ class WordTokens:
         ids = np.array([i for e in found for i in e.ids], np.uint32)
         last = np.flatnonzero(self.closes[ids])
         if len(last) != len(words):
-            raise AssertionError("each word ends with one closing token")
+            # some token closes a word within it, or none does: word by word
+            parts = [self.model.encode(w, add_special_tokens=False).ids for w in words]
+            ids = np.array([i for p in parts for i in p], np.uint32)
+            last = np.cumsum([len(p) for p in parts]) - 1
         first = np.concatenate(([0], last[:-1] + 1))
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
@@ -160,7 +164,7 @@ class WordTokens:
             inside = place < len(self.keys)
             known[inside] = self.keys[place[inside]] == keys[inside]
             if not known.all():
-                if len(self.keys) + int((~known).sum()) > REMEMBERED:
+                if len(self.keys) + int((~known).sum()) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
                     self.forget()
                     known[:] = False
                 new = one[~known]
@@ -189,14 +193,9 @@ def binary_pieces(n: int, full: int = FULL) -> list[int]:
     return out
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def _packer(path: str, end_id: int, full: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokens:
-            _tokens[path] = WordTokens(path)
-        tokens = _tokens[path]
+        tokens = WordTokens(path)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             data, ends = text_bytes(batch.column("text"))
@@ -230,6 +229,8 @@ def pack_documents(
     """One row per piece: the id, start, length (a power of two, the bucket), doc_tokens, sequence_id, offset (0)
     and ids (the token ids, little-endian unsigned 32 bits).
 
+    Sequences are numbered bucket by bucket: the numbers of a longer length come after all of a shorter one.
+
     A text's ids are followed by ``end_id``; a null or empty text is that id alone.  Repeated rows and ids are
     packed each by itself.  ``tokenizer_path`` has to be readable on all executors.  An empty table gives an empty
     result; other columns are not read.
@@ -238,19 +239,27 @@ def pack_documents(
         raise ValueError("full is a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(
-        _packer(tokenizer_path, end_id, full), "id long, start long, length long, doc_tokens long, ids binary"
+        released(_packer(tokenizer_path, end_id, full)), "id long, start long, length long, doc_tokens long, ids binary"
     )
+    bucket = F.length(F.bin("length")) - 1
     return pieces.select(
         F.col("id").alias(id_col),
         "start",
         "length",
         "doc_tokens",
-        F.monotonically_increasing_id().alias("sequence_id"),
+        # a bucket's own numbers are below 2^56 up to eight million partitions
+        (F.shiftleft(bucket.cast("long"), 56) + F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         "ids",
     )
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """The pieces as Parquet, one folder per length, so that a batch is read from one bucket."""
+    """The pieces as Parquet, one folder per length, so that a batch is read from one bucket; an empty table writes no bucket."""
     pieces.write.partitionBy("length").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length, all of it ids without padding; other buckets are not read.  No row for a length without sequences."""
+    kinds = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary, length long"
+    return spark.read.schema(kinds).parquet(path).filter(F.col("length") == length)
