@@ -31,21 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.blocks import blocks, text_bytes
+from symloom.llm.blocks import blocks, released, text_bytes
 from symloom.llm.bpe_codec import byte_characters
 from symloom.session import stage
 
 #: bytes of a range, and of the texts that are counted together
 RANGE = 1 << 16
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: ranges that one round composes; three rounds take more than any cell holds
 FAN = 64
 ROUNDS = 3
 #: what a task remembers at most: distinct words, and their bytes
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 REMEMBERED_BYTES = 16_000_000
 #: words that are tokenised as one text
 LINE = 256
+#: words that are learned at once
+AT_ONCE = 1 << 15
 #: a blank between visible characters, neither of which is white space beyond ASCII
 _WIDE = rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80"
 BLANK = re.compile(
@@ -287,8 +289,9 @@ class Aligner:
         if fresh and (len(self.place) + len(fresh) > REMEMBERED or self.bytes > REMEMBERED_BYTES):
             self.forget()
             fresh = set(words)
-        if fresh:
-            self.learn(list(fresh))
+        fresh = list(fresh)
+        for at in range(0, len(fresh), AT_ONCE):
+            self.learn(fresh[at : at + AT_ONCE])
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def links_of(self, numbers: np.ndarray) -> np.ndarray:
@@ -535,10 +538,10 @@ def align_blocks(docs: DataFrame, path_a: str, path_b: str, digest: bool, id_col
     """All texts aligned, in rows of a block of texts, written to the shared folder."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    short = rows.filter(F.octet_length("text") <= RANGE).select("id", "text").mapInArrow(_short_texts(path_a, path_b, digest), _BLOCK)
+    short = rows.filter(F.octet_length("text") <= RANGE).select("id", "text").mapInArrow(released(_short_texts(path_a, path_b, digest)), _BLOCK)
     long = rows.filter(F.octet_length("text") > RANGE)
     parts = long.mapInArrow(_stretches, "uid long, id long, at long, part binary").repartition(F.col("uid"), F.col("at"))
-    level = parts.mapInArrow(_fragments(path_a, path_b), _FRAGMENT)
+    level = parts.mapInArrow(released(_fragments(path_a, path_b)), _FRAGMENT)
     for _ in range(ROUNDS):
         level = level.withColumn("over", F.floor(F.col("range") / FAN)).groupBy("uid", "over").applyInArrow(lambda table: _compose(table.drop_columns("over")), _FRAGMENT)
     whole = level.mapInArrow(_long_texts(digest), _BLOCK)
@@ -571,6 +574,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, digest: bool = False, id_co
     asked = aligned.select("block", F.posexplode("keys").alias("slot", "key"))
     reply = asked.join(counts, "key").groupBy("block").agg(F.collect_list(F.struct("slot", "total", "best")).alias("reply"))
     found = aligned.drop("totals").join(reply, "block", "left").mapInArrow(
-        _results, "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+        released(_results), "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     )
     return found.withColumnRenamed("id", id_col)
