@@ -8,12 +8,21 @@ from pyspark.sql import types as T
 
 from symloom.catalog.registry import query
 from symloom.operators import plugins
-from symloom.session import scratch_folder
+from symloom.session import scratch_folder, stage
 from symloom.streaming import flows
 
+BATCHES = 3
 
-def stream_of(v, table):
-    return v.spark.readStream.schema(v.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(v.folder)
+
+def in_batches(v, folder, run):
+    """``run(stream)`` over a folder to which a third of the documents is added before each run.
+
+    Every run starts the stream anew from its checkpoint, as after a stop.
+    """
+    docs = v.table("documents")
+    for b in range(BATCHES):
+        docs.filter(F.col("doc_id") % BATCHES == b).write.mode("append").parquet(f"{folder}/in")
+        run(v.spark.readStream.schema(docs.schema).parquet(f"{folder}/in"))
 
 
 def scratch(v):
@@ -28,18 +37,31 @@ def scratch(v):
 )
 def stream_search(v):
     folder = scratch(v)
-    units = stream_of(v, "documents").select(F.col("doc_id").alias("unit"), F.col("text").alias("code"))
-    flows.stream_search(units, "tion th", folder, f"{folder}/checkpoint").awaitTermination()
+
+    def run(docs):
+        units = docs.select(F.col("doc_id").alias("unit"), F.col("text").alias("code"))
+        flows.stream_search(units, "tion th", folder, f"{folder}/checkpoint").awaitTermination()
+
+    in_batches(v, folder, run)
     found = v.spark.read.parquet(f"{folder}/matches")
     return found.select("unit", F.col("line").cast("long").alias("line"), F.md5("snippet").alias("snippet"))
 
 
-@query("SELECT min(doc_id) AS doc_id, md5(text) AS text FROM documents GROUP BY text")
+@query(
+    """WITH g AS (SELECT text, arg_min(doc_id, doc_id % 3 * 1000000000000 + doc_id) AS doc_id, count(*) - 1 AS dropped FROM documents GROUP BY text)
+    SELECT doc_id, md5(text) AS text, (SELECT CAST(sum(dropped) AS BIGINT) FROM g) AS dropped FROM g"""
+)
 def stream_first_wins(v):
+    """A copy that arrives in an earlier batch stays, and in one batch the one with the smallest id."""
     folder = scratch(v)
-    docs = stream_of(v, "documents").select("doc_id", "text", "lang")
-    flows.stream_first_wins(docs, ["text"], ["doc_id"], folder, f"{folder}/checkpoint").awaitTermination()
-    return v.spark.read.parquet(f"{folder}/rows").select("doc_id", F.md5("text").alias("text"))
+
+    def run(docs):
+        rows = docs.select("doc_id", "text", "lang")
+        flows.stream_first_wins(rows, ["text"], ["doc_id"], folder, f"{folder}/checkpoint").awaitTermination()
+
+    in_batches(v, folder, run)
+    dropped = v.spark.read.parquet(f"{folder}/dropped").agg(F.sum("dropped").alias("dropped"))
+    return v.spark.read.parquet(f"{folder}/rows").select("doc_id", F.md5("text").alias("text"), dropped.scalar().alias("dropped"))
 
 
 @query(
@@ -48,16 +70,19 @@ def stream_first_wins(v):
 def stream_scoreboard(v):
     """Documents arrive as a stream and meet the stored scores of their sample."""
     folder = scratch(v)
-    arriving = stream_of(v, "documents").select(F.col("doc_id").alias("sample"))
-    board = flows.stream_scoreboard(arriving.join(v.v_sig, "sample"))
+    scores = stage(v.v_sig, "scores")
 
     def put(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/board")
 
-    (
-        board.writeStream.outputMode("complete").foreachBatch(put)
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    )
+    def run(docs):
+        board = flows.stream_scoreboard(docs.select(F.col("doc_id").alias("sample")).join(scores, "sample"))
+        (
+            board.writeStream.outputMode("complete").foreachBatch(put)
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        )
+
+    in_batches(v, folder, run)
     return v.spark.read.parquet(f"{folder}/board")
 
 
@@ -91,6 +116,19 @@ def map_methods(v):
     return plugins.map_methods(whole, summary, "method_key long, n long, top long")
 
 
+@query("""SELECT 'app' || (p_size % 2) AS app_id, p_brand AS cls, count(*) AS n, min(p_name) AS first FROM part GROUP BY 1, 2""")
+def map_classes(v):
+    """A user function per class of an app; brands occur in both apps."""
+    rows = v.table("part").select(
+        F.concat(F.lit("app"), (F.col("p_size") % 2).cast("string")).alias("app_id"), F.col("p_brand").alias("cls"), "p_name"
+    )
+
+    def summary(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"app_id": [group["app_id"].iloc[0]], "cls": [group["cls"].iloc[0]], "n": [len(group)], "first": [group["p_name"].min()]})
+
+    return plugins.map_classes(rows, summary, "app_id string, cls string, n long, first string")
+
+
 @query(
     """SELECT user_id, CASE WHEN user_id % 10 <> 0 THEN count(*) END AS n, CASE WHEN user_id % 10 = 0 THEN 'ValueError: bad user ' || user_id END AS error
     FROM events GROUP BY user_id"""

@@ -71,6 +71,54 @@ def subtype_relation(v):
     return found.select(F.col("sub").cast("long").alias("a"), F.col("sup").cast("long").alias("b"), "relation")
 
 
+# a part's class and its super in two apps, as arrays, primitives, final and unknown types
+_TYPES_SQL = """t AS (SELECT 'app' || (cls % 2) AS app_id, cls, 'p.C' || (cls // 2) AS name, CASE WHEN super IS NOT NULL AND (cls - super) % 2 = 0 THEN 'p.C' || (super // 2) END AS up, flags % 2 = 1 AS final, cls % 7 AS k FROM v_class)"""
+_TYPES_CLOSURE = f"""{_TYPES_SQL}, clo AS (SELECT app_id, name, up AS anc FROM t WHERE up IS NOT NULL
+      UNION SELECT c.app_id, c.name, t.up FROM clo c JOIN t ON t.app_id = c.app_id AND t.name = c.anc WHERE t.up IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE @v_class, {_TYPES_CLOSURE} SELECT app_id, name AS cls, anc FROM clo")
+def ancestors_by_app(v):
+    """Two apps that share their class names, each with its own hierarchy."""
+    return graph.closure(graph.supertype_edges(_typed(v))).select("app_id", "cls", "anc")
+
+
+@query(
+    f"""WITH RECURSIVE @v_class, {_TYPES_CLOSURE},
+    pr AS (SELECT t.*, coalesce(up, 'p.C7') AS o FROM t),
+    ask AS (SELECT app_id, k, name, o, CASE k WHEN 0 THEN name || '[]' WHEN 1 THEN 'int[]' WHEN 3 THEN 'x.Missing' WHEN 4 THEN name || '[][]' WHEN 5 THEN 'long' ELSE name END AS sub,
+      CASE k WHEN 0 THEN o || '[]' WHEN 1 THEN 'java.lang.Object' WHEN 2 THEN 'java.lang.String' WHEN 4 THEN 'java.lang.Object[]' WHEN 5 THEN 'java.lang.Object' ELSE o END AS sup FROM pr),
+    f AS (SELECT app_id, name, bool_or(final) AS final FROM t GROUP BY 1, 2),
+    r AS (SELECT ask.*, c.name IS NOT NULL AS below, f.name IS NOT NULL AS o_in, coalesce(f.final, FALSE) AS o_final
+      FROM ask LEFT JOIN clo c ON c.app_id = ask.app_id AND c.name = ask.name AND c.anc = ask.o LEFT JOIN f ON f.app_id = ask.app_id AND f.name = ask.o)
+    SELECT app_id, sub, sup, CASE k WHEN 0 THEN CASE WHEN name = o OR below THEN 'yes' ELSE 'unknown' END WHEN 1 THEN 'yes' WHEN 2 THEN 'no'
+      WHEN 3 THEN CASE WHEN o_final THEN 'no' ELSE 'unknown' END WHEN 4 THEN 'yes' WHEN 5 THEN 'unknown'
+      ELSE CASE WHEN name = o OR below THEN 'yes' WHEN o_in THEN 'no' ELSE 'unknown' END END AS relation, count(*) AS n FROM r GROUP BY ALL"""
+)
+def subtype_branches(v):
+    """Arrays of classes and of primitives, a known final type, a missing class and a primitive, in two apps."""
+    classes = _typed(v)
+    closed = graph.ancestors(graph.supertype_edges(classes).select("app_id", "cls", "parent"))
+    k, name, o = F.col("k"), F.col("cls"), F.coalesce("super", F.lit("p.C7"))
+    array = lambda c, n=1: F.concat(c, F.lit("[]" * n))
+    sub = (
+        F.when(k == 0, array(name)).when(k == 1, "int[]").when(k == 3, "x.Missing").when(k == 4, array(name, 2)).when(k == 5, "long").otherwise(name)
+    )
+    sup = F.when(k == 0, array(o)).when(k.isin(1, 5), graph.OBJECT).when(k == 2, "java.lang.String").when(k == 4, array(F.lit(graph.OBJECT))).otherwise(o)
+    found = graph.subtype(classes.select("app_id", sub.alias("sub"), sup.alias("sup")), closed, classes.select("app_id", "cls", "flags"))
+    return found.groupBy("app_id", "sub", "sup", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _typed(v):
+    c, up = F.col("cls"), F.col("super")
+    named = lambda x: F.concat(F.lit("p.C"), F.floor(x / 2).cast("string"))
+    return v.v_class.select(
+        F.concat(F.lit("app"), (c % 2).cast("string")).alias("app_id"), (c % 7).alias("k"), named(c).alias("cls"),
+        F.when((c - up) % 2 == 0, named(up)).alias("super"), F.array().cast("array<string>").alias("interfaces"),
+        F.when(F.col("flags") % 2 == 1, 0x10).otherwise(0).alias("flags"),
+    )
+
+
 @query(
     f"""WITH RECURSIVE @v_class, @v_ref, {_PAIRS_SQL}, {_EDGES_SQL},
     ways AS (SELECT cls, cls AS anc, 0 AS d, '' AS path FROM v_class
@@ -112,12 +160,26 @@ _FORWARD_SQL = """fw AS (SELECT o_orderkey AS m, CASE WHEN o_orderkey % 500 = 7
 )
 def terminal_targets(v):
     """Orders that forward to one other order; some chains are long, some are cycles."""
+    return graph.terminal_targets(_forwards(v))
+
+
+def _forwards(v):
     o = F.col("o_orderkey")
     target = (
         F.when(o % 500 == 7, o + 500).when(o % 2 == 1, F.floor(o / 2).cast("long")).otherwise(F.col("o_custkey") * 11)
     )
-    forwards = v.table("orders").filter("o_orderpriority <> '5-LOW'").select(o.alias("method_key"), target.alias("target"))
-    return graph.terminal_targets(forwards)
+    return v.table("orders").filter("o_orderpriority <> '5-LOW'").select(o.alias("method_key"), target.alias("target"))
+
+
+@query(
+    f"""WITH RECURSIVE @v_call, {_FORWARD_SQL}, chain AS (SELECT m, t FROM fw UNION SELECT c.m, fw.t FROM chain c JOIN fw ON fw.m = c.t),
+    ends AS (SELECT m, t FROM chain c WHERE NOT EXISTS (SELECT 1 FROM fw WHERE fw.m = c.t))
+    SELECT caller, coalesce(e.t, callee) AS callee, count(*) AS n FROM v_call LEFT JOIN ends e ON e.m = callee GROUP BY 1, 2"""
+)
+def redirect_calls(v):
+    """Calls of forwarding orders pointed at where the forwarding ends; into a cycle they stay."""
+    calls = graph.redirect_calls(v.v_call, graph.terminal_targets(_forwards(v)))
+    return calls.groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

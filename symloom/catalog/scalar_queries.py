@@ -365,17 +365,15 @@ def explode_ancestors(v):
     return shapes.explode_ancestors(paths, "path").withColumn("depth", F.col("depth").cast("long"))
 
 
-_TOKEN_SQL = """//[^\\n]*|/\\*(?:[^*]|\\*+[^*/])*\\*+/|"[^"\\\\\\n]*"?|''[^''\\\\\\n]*''?|@[\\p{L}_$][\\p{L}\\p{Nd}_$]*|\\.?\\p{Nd}(?:[eE][+-]|[\\p{L}\\p{Nd}_$.])*|[\\p{L}_$][\\p{L}\\p{Nd}_$]*|[^ \\t\\r\\n]"""
+_TOKEN_SQL = """//[^\\n]*|/\\*[\\s\\S]*?(?:\\*/|\\z)|"(?:[^"\\\\\\n]|\\\\[\\s\\S])*"?|''(?:[^''\\\\\\n]|\\\\[\\s\\S])*''?|@[\\p{L}_$][\\p{L}\\p{Nd}_$]*|\\.?\\p{Nd}(?:[eE][+-]|[\\p{L}\\p{Nd}_$.])*|[\\p{L}_$][\\p{L}\\p{Nd}_$]*|[^ \\t\\r\\n]"""
 
 
 @query(
-    f"""WITH @v_doc, t AS (SELECT unit, unnest(regexp_extract_all(replace(code, chr(92), '~'), '{_TOKEN_SQL}')) AS t FROM v_doc)
+    f"""WITH @v_doc, t AS (SELECT unit, unnest(regexp_extract_all(code, '{_TOKEN_SQL}')) AS t FROM v_doc)
     SELECT unit, CASE WHEN t LIKE '//%' OR (t LIKE '/*%') THEN 'comment' WHEN t LIKE '"%' OR t LIKE '''%' THEN 'string'
       WHEN regexp_matches(t, '^@[\\p{{L}}_$]') THEN 'annotation' WHEN regexp_matches(t, '^\\.?\\p{{Nd}}') THEN 'number'
       WHEN t <> '_' AND t IN ({_RESERVED}) THEN 'keyword' WHEN regexp_matches(t, '^[\\p{{L}}_$]') THEN 'identifier'
       ELSE 'punctuation' END AS kind, count(*) AS n FROM t GROUP BY 1, 2"""
 )
 def token_profile(v):
-    # RE2 has no lookbehind; backslash escapes are put aside on both sides
-    units = v.v_doc.select("unit", F.replace("code", F.lit("\\"), F.lit("~")).alias("code"))
-    return shapes.token_profile(units)
+    return shapes.token_profile(v.v_doc.select("unit", "code"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symloom.catalog.registry import query
 from symloom.functions.text import classify_content
 from symloom.operators import bodies
+from symloom.session import scratch_folder
 from symloom.sources import containers, disassembly
 
 
@@ -96,6 +97,71 @@ def control_flow_of_text(v):
     return edges.select("method_key", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "exceptional")
 
 
+def annotated_files(v):
+    """Every part as the text of a class with annotations, parameters, lines, variables and comments."""
+    k, size, name = F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_name")
+    n = size.cast("string")
+    outer = F.when(
+        size % 4 == 0,
+        F.concat(F.lit(".annotation system Ldalvik/annotation/EnclosingClass;\n    value = Lp/D"), (F.col("p_partkey") - 1).cast("string"), F.lit(";\n.end annotation\n")),
+    ).otherwise("")
+    text = F.concat(
+        F.lit("# made from "), name, F.lit("\n.class public Lp/D"), k, F.lit(";   # \"quoted\"\n.super Ljava/lang/Object;\n"), outer,
+        F.lit(".field private list:Ljava/util/List;\n    .annotation runtime Lp/Tag;\n        names = {\n            \""), name, F.lit('", "b # '), n,
+        F.lit('"\n        }\n        item = .subannotation Lp/Item;\n            size = 0x'), F.lower(F.hex(size)),
+        F.lit("\n            level = .enum Lp/Level;->L"), (size % 3).cast("string"), F.lit(":Lp/Level;\n        .end subannotation\n    .end annotation\n.end field\n"),
+        F.lit('.method public run(JI)V\n\t.locals 2\n    .param p1, "when"    # J\n    .param p3, "n"\n        .annotation build Lp/Size;\n            value = '), n,
+        F.lit("\n        .end annotation\n    .end param\n    .prologue\n    .line "), (size + 100).cast("string"), F.lit("\n    const/4 v0, "), (size % 7).cast("string"),
+        F.lit('\n    .local v0, "a'), n, F.lit('":I\n'), F.when(size % 2 == 1, "    nop  # odd\n").otherwise(""), F.lit("    .line "), (size + 200).cast("string"),
+        F.lit('\n    .end local v0    # "a":I\n    const-string v1, "x # '), name, F.lit('"\n    .restart local v0\n    return-void\n.end method\n'),
+    )
+    return v.table("part").select(F.lit("app").alias("app_id"), F.concat(F.lit("D"), k).alias("input_file"), text.alias("text"))
+
+
+@query(
+    """WITH p AS (SELECT 'app/p.D' || p_partkey AS c, p_partkey, p_size, p_name FROM part)
+    SELECT 'class' AS owner_kind, c AS owner_key, NULL AS param, 'Ldalvik/annotation/EnclosingClass;' AS type, 'value' AS path, 'type' AS kind, 'Lp/D' || (p_partkey - 1) || ';' AS value FROM p WHERE p_size % 4 = 0
+    UNION ALL SELECT 'field', c || '->list:Ljava/util/List;', NULL, 'Lp/Tag;', 'names[0]', 'string', p_name FROM p
+    UNION ALL SELECT 'field', c || '->list:Ljava/util/List;', NULL, 'Lp/Tag;', 'names[1]', 'string', 'b # ' || p_size FROM p
+    UNION ALL SELECT 'field', c || '->list:Ljava/util/List;', NULL, 'Lp/Tag;', 'item.size', 'number', '0x' || lower(to_hex(p_size)) FROM p
+    UNION ALL SELECT 'field', c || '->list:Ljava/util/List;', NULL, 'Lp/Tag;', 'item.level', 'enum', 'Lp/Level;->L' || (p_size % 3) || ':Lp/Level;' FROM p
+    UNION ALL SELECT 'param', c || '->run(JI)V', 'p3', 'Lp/Size;', 'value', 'number', CAST(p_size AS VARCHAR) FROM p"""
+)
+def disassembly_annotations(v):
+    """Values of the annotations of classes, fields and parameters, nested ones with their path."""
+    tokens = disassembly.parse_disassembly(annotated_files(v))["annotation_token"]
+    return disassembly.annotation_values(tokens).select("owner_kind", "owner_key", "param", "type", "path", "kind", "value")
+
+
+@query(
+    """WITH p AS (SELECT 'app/p.D' || p_partkey || '->run(JI)V' AS method_key, p_size, p_size % 2 AS odd FROM part)
+    SELECT method_key, 3 AS reg, 'when' AS name, 'J' AS type, -1 AS start_off, CAST(2 + odd AS INTEGER) AS end_off, TRUE AS is_param FROM p
+    UNION ALL SELECT method_key, 5, 'n', 'I', -1, CAST(2 + odd AS INTEGER), TRUE FROM p
+    UNION ALL SELECT method_key, 0, 'a' || p_size, 'I', 1, CAST(1 + odd AS INTEGER), FALSE FROM p
+    UNION ALL SELECT method_key, 0, 'a' || p_size, 'I', CAST(2 + odd AS INTEGER), CAST(2 + odd AS INTEGER), FALSE FROM p"""
+)
+def disassembly_locals(v):
+    """Where variables and parameters live, from the directives among the instructions."""
+    t = disassembly.parse_disassembly(annotated_files(v))["local_var"]
+    return t.select("method_key", "reg", "name", "type", "start_off", "end_off", "is_param")
+
+
+@query(
+    """SELECT 'app/p.D' || p_partkey || '->run(JI)V' AS method_key, 0 AS off, CAST(p_size + 100 AS INTEGER) AS line FROM part
+    UNION ALL SELECT 'app/p.D' || p_partkey || '->run(JI)V', CAST(1 + p_size % 2 AS INTEGER), CAST(p_size + 200 AS INTEGER) FROM part"""
+)
+def disassembly_lines(v):
+    return disassembly.parse_disassembly(annotated_files(v))["line"].select("method_key", "off", "line")
+
+
+@query(
+    """SELECT 'app' AS app_id, 'p.D' || p_partkey AS cls, 'p.D' || (p_partkey - 1) AS outer FROM part WHERE p_size % 4 = 0"""
+)
+def declared_outers(v):
+    """The outer class that a class names itself, as ``resolve_outer`` takes it."""
+    return disassembly.declared_outers(disassembly.parse_disassembly(annotated_files(v))["annotation"])
+
+
 @query(
     """WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, page_id % 6 AS k FROM pages)
     SELECT path, format FROM (
@@ -186,6 +252,23 @@ def export_rows(v):
     return containers.export_rows(units, "java", extra).withColumn("text", F.md5("text"))
 
 
+@query(
+    """WITH @v_doc SELECT 'org.' || scope AS package, 'org/' || scope || '/D' || unit || '.kt' AS path,
+    md5(CASE WHEN unit % 10 = 3 THEN '// could not export ''org.' || scope || '.D' || unit || ''': boom' || chr(10) ELSE code END) AS text FROM v_doc"""
+)
+def export_units(v):
+    """Units written as files of one folder per package, and read back."""
+    u = F.col("unit")
+    failed = u % 10 == 3
+    units = v.v_doc.select(
+        F.concat(F.lit("org."), "scope", F.lit(".D"), u.cast("string")).alias("full"),
+        F.when(~failed, F.col("code")).alias("code"), F.when(failed, "boom").alias("error"),
+    )
+    folder = scratch_folder(v.spark, "export")
+    containers.export_units(units, folder, language="kotlin", by_package=True)
+    return v.spark.read.parquet(folder).select("package", "path", F.md5("text").alias("text"))
+
+
 _BODY_SQL = """b AS (SELECT doc_id AS unit, CASE doc_id % 8 WHEN 0 THEN 'GIF89a' || text WHEN 1 THEN 'BM' || text WHEN 2 THEN replace(text, 'e', chr(7))
       WHEN 3 THEN text || chr(127) WHEN 4 THEN 'RIFF1234WEBP' || text WHEN 5 THEN replace(text, 'z', chr(1)) WHEN 6 THEN '' ELSE text END AS t FROM documents),
     h AS (SELECT unit, t, hex(encode(t)) AS x FROM b),

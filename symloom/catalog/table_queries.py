@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from symloom.catalog.registry import query
+from symloom.catalog.views import floordiv
 from symloom.functions import masks
 from symloom.functions.names import is_obfuscated
 from symloom.functions.signatures import class_kind
 from symloom.operators import graph, naming, search, shapes, xref
+from symloom.session import scratch_folder
 
 
 @query(
@@ -56,37 +61,74 @@ STACK_SQL = f"""a AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY of
       FROM walk JOIN a ON a.unit = walk.unit AND a.i = walk.i + 1)"""
 
 
-def annots(v):
-    k = F.col("k")
-    op = F.col("op")
+def annotated(steps):
+    """Steps with their number, operation and a symbol number as annotations of their unit."""
+    k, op = F.col("k"), F.col("op")
     kind = F.when(op == "signup", "def").when(op == "error", "end").when(op == "view", "var").otherwise("ref")
     sk = F.when(k % 4 == 0, "class").when(k % 4 == 1, "method").when(k % 4 == 2, "field").otherwise("package")
     sym = F.struct(
         sk.alias("kind"), k.cast("string").alias("owner"), F.lit("n").alias("name"),
         F.array().cast("array<string>").alias("params"),
     )
-    return v.v_step.select(F.col("method").alias("unit"), (F.col("idx") * 7).alias("off"), kind.alias("kind"), sym.alias("sym"))
+    app = ["app_id"] if "app_id" in steps.columns else []
+    return steps.select(*app, "unit", (F.col("idx") * 7).alias("off"), kind.alias("kind"), sym.alias("sym"))
 
 
-@query(
-    f"""WITH RECURSIVE @v_step, @v_doc, {STACK_SQL}
-    SELECT a.sk || ':' || a.owner AS target, a.unit AS from_unit, a.off,
-    CASE WHEN list_last(w.stack) LIKE 'method:%' THEN list_last(w.stack) END AS from_member,
-    1 + length(substr(code, 1, a.off)) - length(replace(substr(code, 1, a.off), chr(10), '')) AS line
-    FROM a JOIN walk w ON a.unit = w.unit AND a.i = w.i JOIN v_doc d ON d.unit = a.unit
-    WHERE a.kind = 'ref' AND a.sk <> 'package'"""
-)
+def annots(v):
+    return annotated(v.v_step.withColumnRenamed("method", "unit"))
+
+
+# annotations of every document, in two apps whose units have equal numbers
+_USES_SQL = """n AS (SELECT count(*) AS docs FROM documents),
+    e AS (SELECT event_id % docs AS d, ts, event_id, event_type AS op, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS k FROM events, n),
+    a AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY ts, event_id) AS i, 7 * row_number() OVER (PARTITION BY d ORDER BY ts, event_id) AS off, k AS owner,
+      CASE op WHEN 'signup' THEN 'def' WHEN 'error' THEN 'end' WHEN 'view' THEN 'var' ELSE 'ref' END AS kind,
+      CASE k % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 2 THEN 'field' ELSE 'package' END AS sk FROM e),
+    walk AS (SELECT d, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS stack FROM a GROUP BY d
+      UNION ALL SELECT a.d, a.i, CASE WHEN kind = 'def' AND sk IN ('class', 'method') THEN list_append(stack, sk || ':' || a.owner)
+        WHEN kind = 'end' AND len(stack) > 0 THEN list_slice(stack, 1, len(stack) - 1) ELSE stack END
+      FROM walk JOIN a ON a.d = walk.d AND a.i = walk.i + 1),
+    u AS (SELECT 'app' || (a.d % 2) AS app_id, a.sk || ':' || a.owner AS target, a.d // 2 AS from_unit, a.off,
+      CASE WHEN list_last(w.stack) LIKE 'method:%' THEN list_last(w.stack) END AS from_member,
+      1 + length(substr(text, 1, a.off)) - length(replace(substr(text, 1, a.off), chr(10), '')) AS line
+      FROM a JOIN walk w ON a.d = w.d AND a.i = w.i JOIN documents ON doc_id = a.d WHERE a.kind = 'ref' AND a.sk <> 'package')"""
+
+
+def app_of(doc):
+    return [F.concat(F.lit("app"), (doc % 2).cast("string")).alias("app_id"), floordiv(doc, 2).alias("unit")]
+
+
+def index_of_documents(v):
+    """Every document is the code of a unit, its share of the events are the annotations."""
+    docs = v.table("documents")
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    events = v.table("events").withColumn("d", F.col("event_id") % n)
+    w = Window.partitionBy("d").orderBy("ts", "event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = annotated(events.select(
+        *app_of(F.col("d")), F.row_number().over(w).cast("long").alias("idx"), F.col("event_type").alias("op"), k.alias("k")
+    ))
+    return xref.usage_index(rows, docs.select(*app_of(F.col("doc_id")), F.col("text").alias("code")))
+
+
+@query(f"WITH RECURSIVE {_USES_SQL} SELECT * FROM u")
 def usage_index(v):
-    """Users as code units: their document is the code, their events are the annotations."""
-    rows = annots(v)
-    units = v.v_doc.select("unit", "code").join(rows.select("unit").distinct(), "unit", "left_semi")
-    return xref.usage_index(rows, units).select(
-        F.concat_ws(":", "target.kind", "target.owner").alias("target"), "from_unit", "off",
+    return index_of_documents(v).select(
+        "app_id", F.concat_ws(":", "target.kind", "target.owner").alias("target"), "from_unit", "off",
         F.when(F.col("from_member").isNotNull(), F.concat_ws(":", "from_member.kind", "from_member.owner")).alias("from_member"),
         F.col("line").cast("long").alias("line"),
     )
 
 
+@query(f"WITH RECURSIVE {_USES_SQL} SELECT app_id, from_unit, off, line FROM u WHERE target = 'class:8'")
+def usage_lookup(v):
+    """The index stored by target, and one symbol looked up in its bucket."""
+    table = f"usage_{uuid.uuid4().hex}"
+    xref.write_usage_index(index_of_documents(v), table, scratch_folder(v.spark, "usage"), buckets=64)
+    symbol = F.struct(F.lit("class").alias("kind"), F.lit("8").alias("owner"), F.lit("n").alias("name"), F.array().cast("array<string>").alias("params"))
+    return xref.usages_of(v.spark, table, symbol).select("app_id", "from_unit", "off", F.col("line").cast("long").alias("line"))
+
+
 @query('WITH @v_class SELECT "full", min(cls) AS cls FROM v_class GROUP BY 1')
 def first_wins_classes(v):
     return naming.first_wins(v.v_class.select("full", "cls", "ord"), ["full"], ["ord"]).select("full", "cls")

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions.signatures import BRIDGE, FINAL, STATIC, SYNTHETIC, has_flag
+from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.bounded import solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh, grow, sized
+from symloom.plans.ordered import lead, scan
 from symloom.session import cut, cut_spread
 
 # Fixed values.
@@ -41,17 +43,23 @@ PRIMITIVE_NAMES = "boolean byte short char int long float double void".split()
 
 
 def supertype_edges(classes: DataFrame) -> DataFrame:
-    """(cls, parent, idx): super is 0, interfaces follow in declared order."""
+    """(cls, parent, idx): super is 0, interfaces follow in declared order; with the ``app_id`` of the classes if they have one."""
+    app = [APP] if has_app(classes) else []
     up = F.concat(F.array(F.col("super")), F.coalesce("interfaces", F.array().cast(classes.schema["interfaces"].dataType)))
     return (
-        classes.select("cls", F.posexplode(up).alias("idx", "parent"))
+        classes.select(*app, "cls", F.posexplode(up).alias("idx", "parent"))
         .filter(F.col("parent").isNotNull())
-        .select("cls", "parent", "idx")
+        .select(*app, "cls", "parent", "idx")
     )
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(cls, anc, depth) for every proper ancestor of edges(cls, parent); depth is the shortest way."""
+    """(cls, anc, depth) for every proper ancestor of edges(cls, parent); depth is the shortest way.
+
+    With an ``app_id`` a class has ancestors in its own app.
+    """
+    if has_app(edges):
+        return unpacked(ancestors(packed(edges, "cls", "parent")), "cls", "anc")
     up = cut_spread(edges.select(F.col("cls").alias("anc"), F.col("parent").alias("up")).distinct())
     base = edges.select("cls", F.col("parent").alias("anc"), F.lit(1).alias("depth")).filter("cls <> anc")
 
@@ -69,8 +77,11 @@ def closure(edges: DataFrame) -> DataFrame:
 
     ``path`` is the smallest sequence of edge numbers to the ancestor, which orders ancestors as a
     depth-first walk (super before interfaces) meets them.  Its first step is the lowest edge that
-    leads there; steps are put together by doubling, so rounds grow with the log of the depth.
+    leads there; steps are put together by doubling, so rounds grow with the log of the depth.  With an ``app_id`` a class has
+    ancestors in its own app.
     """
+    if has_app(edges):
+        return unpacked(closure(packed(edges, "cls", "parent")), "cls", "anc")
     reached = ancestors(edges)
     numbered = edges.groupBy("cls", "parent").agg(F.min("idx").alias("idx"))
     direct = numbered.select("cls", F.col("parent").alias("anc"), "idx", "parent")
@@ -97,13 +108,14 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def with_object(closed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds the root type as an ancestor of every loaded class that does not reach it."""
-    missing = classes.select("cls").filter(F.col("cls") != OBJECT).join(
-        closed.filter(F.col("anc") == OBJECT).select("cls"), "cls", "left_anti"
+    """Adds the root type as an ancestor of every loaded class (of its app) that does not reach it."""
+    keys = [*([APP] if has_app(closed, classes) else []), "cls"]
+    missing = classes.select(*keys).filter(F.col("cls") != OBJECT).join(
+        closed.filter(F.col("anc") == OBJECT).select(*keys), keys, "left_anti"
     )
     deepest = F.array().cast("array<int>")
     return closed.unionByName(
-        missing.select("cls", F.lit(OBJECT).alias("anc"), F.lit(None).cast("int").alias("depth"), deepest.alias("path"))
+        missing.select(*keys, F.lit(OBJECT).alias("anc"), F.lit(None).cast("int").alias("depth"), deepest.alias("path"))
     )
 
 
@@ -145,24 +157,26 @@ def top_ancestor(child_parent: DataFrame) -> DataFrame:
 def on_cycle(child_parent: DataFrame) -> DataFrame:
     """(node, cycle) for nodes of child_parent(node, parent) that lie on a cycle.
 
-    Leaves are stripped until none is left: a node stays only while something points to it and its
-    own parent stays.  ``cycle`` is the smallest node of the cycle.
+    A node has one parent at most (of several the smallest counts).  Pointers double: after 2^k jumps a node that leads to a top has run out,
+    and with 2^k at the number of nodes that are left, every pointer stands on a cycle; all nodes of a cycle are stood
+    on.  ``cycle`` is its smallest node, found by doubling too.  Rounds grow with the log of the longest chain, and with that of the
+    number of nodes that lead into a cycle.
     """
-    live = cut(child_parent.select("node", "parent").filter(F.col("parent").isNotNull()))
-    size = live.count()
-    while size:
-        parents = fresh(live).select(F.col("parent").alias("node")).distinct()
-        nodes = fresh(live).select(F.col("node").alias("parent"))
-        trimmed = cut(live.join(parents, "node", "left_semi").join(nodes, "parent", "left_semi").select("node", "parent"))
-        now = trimmed.count()
-        if now == size:
-            break
-        live, size = trimmed, now
-    if not size:
-        return live.select("node", F.col("node").alias("cycle"))
-    return components(live.select(F.col("node").alias("a"), F.col("parent").alias("b"))).select(
-        "node", F.col("component").alias("cycle")
-    )
+    links = cut(child_parent.filter(F.col("parent").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent")))
+    state, jumps = links, 1
+    left = state.count()
+    while left and jumps < left:
+        ahead = fresh(state).select(F.col("node").alias("parent"), F.col("parent").alias("__far"))
+        state = cut(state.join(ahead, "parent").select("node", F.col("__far").alias("parent")))
+        left, jumps = state.count(), 2 * jumps
+    circular = cut(state.select(F.col("parent").alias("node")).distinct())
+    size = circular.count()
+    inside = links.join(fresh(circular), "node", "left_semi")
+    state = cut(inside.select("node", F.col("parent").alias("at"), F.least("node", "parent").alias("cycle")))
+    for _ in range(size.bit_length()):
+        ahead = fresh(state).select(F.col("node").alias("at"), F.col("at").alias("__far"), F.col("cycle").alias("__least"))
+        state = cut(state.join(ahead, "at").select("node", F.col("__far").alias("at"), F.least("cycle", "__least").alias("cycle")))
+    return state.select("node", "cycle")
 
 
 def _shape(name: Column) -> tuple[Column, Column, Column]:
@@ -175,17 +189,19 @@ def subtype(pairs: DataFrame, closed: DataFrame, classes: DataFrame) -> DataFram
     """pairs(sub, sup) with ``relation``: yes, no (provably not) or unknown.
 
     Types are display names, arrays end in ``[]``.  Reference arrays are covariant, primitive ones
-    are not.  A negative answer is proved when sup is final or both classes are loaded.
+    are not.  A negative answer is proved when sup is final or both classes are loaded.  With an ``app_id`` in all three, both
+    types are those of one app.
     """
+    app = [APP] if has_app(pairs, closed, classes) else []
     sb, sd, sp = _shape(F.col("sub"))
     pb, pd, pp = _shape(F.col("sup"))
     shaped = pairs.withColumns({"__sb": sb, "__sd": sd, "__sp": sp, "__pb": pb, "__pd": pd, "__pp": pp})
-    known = closed.select(F.col("cls").alias("__sb"), F.col("anc").alias("__pb")).distinct()
-    hit = shaped.join(known.withColumn("__up", F.lit(True)), ["__sb", "__pb"], "left")
-    flags = classes.select("cls", "flags").groupBy("cls").agg(F.max("flags").alias("flags"))
-    hit = hit.join(flags.select(F.col("cls").alias("__sb"), F.lit(True).alias("__sub_in")), "__sb", "left")
+    known = closed.select(*app, F.col("cls").alias("__sb"), F.col("anc").alias("__pb")).distinct()
+    hit = shaped.join(known.withColumn("__up", F.lit(True)), [*app, "__sb", "__pb"], "left")
+    flags = classes.select(*app, "cls", "flags").groupBy(*app, "cls").agg(F.max("flags").alias("flags"))
+    hit = hit.join(flags.select(*app, F.col("cls").alias("__sb"), F.lit(True).alias("__sub_in")), [*app, "__sb"], "left")
     hit = hit.join(
-        flags.select(F.col("cls").alias("__pb"), F.col("flags").alias("__sup_flags")), "__pb", "left"
+        flags.select(*app, F.col("cls").alias("__pb"), F.col("flags").alias("__sup_flags")), [*app, "__pb"], "left"
     )
     reference = ~F.col("__sp") | (F.col("__sd") > 0)
     yes = (
@@ -210,20 +226,22 @@ def common_supertype(pairs: DataFrame, closed: DataFrame, root: str | int = OBJE
     """pairs(…, a, b) with ``joined``: the nearest type both are assignable to.
 
     The general one if one is assignable to the other, else the first type of a's chain (super spine
-    first, then interfaces) that b reaches, else the root type.
+    first, then interfaces) that b reaches, else the root type.  With an ``app_id`` on both sides, a and b are classes of one app.
     """
+    app = [APP] if has_app(pairs, closed) else []
     rank = F.struct(
-        (F.aggregate("path", F.lit(0), lambda acc, x: acc + x) > 0).alias("x"), "depth", "path", "anc"
+        (F.aggregate("path", F.lit(0), lambda acc, x: acc + x) > 0).alias("x"),
+        F.coalesce("depth", F.lit(2**31 - 1)).alias("depth"), "path", "anc"
     )
-    up_a = closed.select(F.col("cls").alias("a"), "anc", rank.alias("rank"))
-    up_b = closed.select(F.col("cls").alias("b"), "anc")
+    up_a = closed.select(*app, F.col("cls").alias("a"), "anc", rank.alias("rank"))
+    up_b = closed.select(*app, F.col("cls").alias("b"), "anc")
     top = F.struct(F.lit(False).alias("x"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.col("a").alias("anc"))
-    both = pairs.select("a", "b").distinct()
-    via_a = both.join(up_a, "a").unionByName(both.withColumn("anc", F.col("a")).withColumn("rank", top))
-    reach_b = both.join(up_b, "b").unionByName(both.withColumn("anc", F.col("b")))
-    met = via_a.join(reach_b.select("a", "b", "anc"), ["a", "b", "anc"])
-    best = met.groupBy("a", "b").agg(F.min_by("anc", "rank").alias("joined"))
-    return pairs.join(best, ["a", "b"], "left").withColumn("joined", F.coalesce("joined", F.lit(root)))
+    both = pairs.select(*app, "a", "b").distinct()
+    via_a = both.join(up_a, [*app, "a"]).unionByName(both.withColumn("anc", F.col("a")).withColumn("rank", top))
+    reach_b = both.join(up_b, [*app, "b"]).unionByName(both.withColumn("anc", F.col("b")))
+    met = via_a.join(reach_b.select(*app, "a", "b", "anc"), [*app, "a", "b", "anc"])
+    best = met.groupBy(*app, "a", "b").agg(F.min_by("anc", "rank").alias("joined"))
+    return pairs.join(best, [*app, "a", "b"], "left").withColumn("joined", F.coalesce("joined", F.lit(root)))
 
 
 def deepest_common(sets: DataFrame, closed: DataFrame, depth: DataFrame) -> DataFrame:
@@ -319,6 +337,10 @@ def propagate_throws(direct: DataFrame, calls: DataFrame, caught: DataFrame, clo
 
     ``direct(method, exc)``, ``calls(caller, callee)``, ``caught(method, exc)``, ``closed(cls, anc)``.
     A handler catches the type, its subtypes, and everything if it is one of the two root types.
+
+    A method with one callee that has no other caller only hands on what comes from there.  Such paths are found by doubling and passed
+    in one step: an exception leaves a path if no handler on it stands in the way.  Rounds are those of the paths among each
+    other; which methods of a path are passed is worked out at the end from positions.
     """
     every = cut(caught.filter(F.col("exc").isin(*CATCH_EVERYTHING)).select("method").distinct())
     silent = fresh(every).withColumnRenamed("method", "caller")
@@ -330,16 +352,60 @@ def propagate_throws(direct: DataFrame, calls: DataFrame, caught: DataFrame, clo
     )
     # nothing leaves a method that catches everything, so calls from it do not matter
     into = cut_spread(
-        calls.select("caller", F.col("callee").alias("method")).distinct().join(silent, "caller", "left_anti")
-    )
-    leaves = direct.select("method", "exc").distinct().join(
-        fresh(stopped), ["method", "exc"], "left_anti"
-    ).join(fresh(every), "method", "left_anti")
+        calls.select("caller", F.col("callee").alias("method")).distinct()
+        .filter(F.col("caller") != F.col("method")).join(silent, "caller", "left_anti")
+    )
+    leaves = cut(
+        direct.select("method", "exc").distinct().join(fresh(stopped), ["method", "exc"], "left_anti")
+        .join(fresh(every), "method", "left_anti")
+    )
+    one_callee = fresh(into).groupBy("caller").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("caller")
+    one_caller = fresh(into).groupBy("method").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("method")
+    links = fresh(into).join(one_callee, "caller", "left_semi").join(one_caller, "method", "left_semi")
+    path = cut(_chain_ends(links.select(F.col("caller").alias("node"), F.col("method").alias("to"))).withColumnsRenamed({"node": "method", "end": "head", "steps": "at"}))
+    if path.isEmpty():
+        hops, blocked = into, None
+        seeds = leaves
+    else:
+        onto = fresh(path).select("method", "head")
+        # from the head of a path to the heads that its last method is called from
+        inner = fresh(path).select(F.col("method").alias("caller"))
+        hops = cut_spread(
+            into.join(inner, "caller", "left_anti").join(onto, "method", "left")
+            .select("caller", F.coalesce("head", "method").alias("method")).distinct()
+        )
+        stops = cut(fresh(path).join(fresh(stopped), "method").select("head", "exc", "at"))
+        starts = cut(fresh(path).join(fresh(leaves), "method").select("head", "exc", "at"))
+        blocked = cut(fresh(stops).groupBy("head", "exc").agg(F.max("at").alias("last")))
+        out = (
+            starts.groupBy("head", "exc").agg(F.max("at").alias("at")).join(fresh(blocked), ["head", "exc"], "left")
+            .filter(F.col("last").isNull() | (F.col("last") < F.col("at"))).select(F.col("head").alias("method"), "exc")
+        )
+        arriving = out.join(fresh(hops), "method").select(F.col("caller").alias("method"), "exc").join(
+            fresh(stopped), ["method", "exc"], "left_anti"
+        )
+        seeds = leaves.join(fresh(path).select("method"), "method", "left_anti").unionByName(arriving)
 
     def step(delta: DataFrame) -> DataFrame:
-        return delta.join(fresh(into), "method").select(F.col("caller").alias("method"), "exc")
-
-    return grow(leaves.select("method", "exc"), step, barred=stopped)
+        if blocked is not None:
+            delta = delta.join(fresh(blocked).select(F.col("head").alias("method"), "exc"), ["method", "exc"], "left_anti")
+        return delta.join(fresh(hops), "method").select(F.col("caller").alias("method"), "exc")
+
+    found = grow(seeds.select("method", "exc"), step, barred=stopped)
+    if blocked is None:
+        return found
+    # on a path: from where an exception comes in up to the next event, or to the last method
+    length = fresh(path).groupBy("head").agg(F.max("at").alias("length"))
+    comes = (
+        fresh(found).withColumnRenamed("method", "head").join(length, "head").select("head", "exc", F.lit(0).cast("long").alias("at"))
+        .unionByName(starts).withColumn("comes", F.lit(True))
+    )
+    events = comes.unionByName(stops.withColumn("comes", F.lit(False)))
+    runs = scan(events, ["head", "exc"], ["at"], {"until": lead(F.col("at"))}).filter("comes").join(fresh(length), "head")
+    passed = runs.select(
+        "head", "exc", F.explode(F.sequence(F.col("at"), F.coalesce(F.col("until") - 1, F.col("length")))).alias("at")
+    ).join(fresh(path), ["head", "at"])
+    return found.select("method", "exc").unionByName(passed.select("method", "exc"))
 
 
 def throws_clause(pairs: DataFrame) -> DataFrame:
@@ -759,74 +825,115 @@ def renderable(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 # --- sets ------------------------------------------------------------------------------------
 
 
+def _compressed(links: DataFrame) -> DataFrame:
+    """links(node, to) with ``to`` followed to its end, by doubling; a chain comes to an end because ``to`` is smaller."""
+    state = cut(links)
+    while True:
+        ahead = fresh(state).select(F.col("node").alias("to"), F.col("to").alias("__far"))
+        moved = cut(state.join(ahead, "to", "left").select("node", F.coalesce("__far", "to").alias("to"), F.col("__far").isNotNull().alias("moved")))
+        state = moved.select("node", "to")
+        if moved.filter("moved").isEmpty():
+            return state
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component) of undirected pairs(a, b); a component is named after its smallest node.
 
-    Alternates two star rewrites until nothing changes: every node hangs its larger neighbours, then
-    its smaller ones, on the smallest node it sees.  Rounds grow with the log of the size, neighbours
-    are only ever aggregated to a minimum, never listed.
+    In a round every node hangs on its smallest neighbour if that is smaller, chains are followed to their ends, and each star becomes one
+    node: pairs inside a star are gone for good, the others go on between stars.  It ends when no pair is left, which is when no
+    label can change any more.  Neighbours are only ever aggregated to a minimum, never listed.  Labels are put together from the last,
+    smallest round back to the first.
     """
-    edges = cut(
-        pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    once = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = cut(once)
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     edges = edges.filter(F.col("u") != F.col("v"))
-    before = None
-    while True:
-        two_way = edges.unionByName(fresh(edges).select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = two_way.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            fresh(two_way).filter(F.col("v") > F.col("u")).join(fresh(least), "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    hung = []
+    while not edges.isEmpty():
+        # the smallest neighbour of the larger end; a smaller end with a still smaller neighbour is a larger end itself
+        stars = _compressed(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to")))
+        hung.append(stars)
+        moved = edges
+        for side in ("u", "v"):
+            centre = fresh(stars).select(F.col("node").alias(side), F.col("to").alias("__to"))
+            moved = moved.join(centre, side, "left").withColumn(side, F.coalesce("__to", side)).drop("__to")
+        edges = cut(
+            moved.filter(F.col("u") != F.col("v"))
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         )
-        large = cut(large.filter(F.col("u") != F.col("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            fresh(large).join(fresh(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(fresh(low).select("u", F.col("m").alias("v")))
-            .filter(F.col("u") != F.col("v"))
-            .distinct()
+    labels = None
+    for stars in reversed(hung):
+        if labels is None:
+            labels = stars
+            continue
+        later = fresh(labels).select(F.col("node").alias("to"), F.col("to").alias("__end"))
+        own = stars.join(later, "to", "left").select("node", F.coalesce("__end", "to").alias("to"))
+        # a centre of this round that hung on another one later on
+        labels = cut(own.unionByName(fresh(labels)))
+    if labels is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("to", "node").alias("component"))
+
+
+def _chain_ends(links: DataFrame) -> DataFrame:
+    """(node, end, steps): where links(node, to) lead, one ``to`` a node, by doubling; nodes that lead into a ring have no row."""
+    state = cut(links.select("node", F.col("to").alias("end"), F.lit(1).cast("long").alias("steps")))
+    nodes, jumps, moved = state.count(), 1, 1
+    while moved:
+        ahead = fresh(state).select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("steps").alias("__steps"))
+        state = cut(
+            state.select("node", "end", "steps").join(ahead, "end", "left").select(
+                "node", F.coalesce("__end", "end").alias("end"),
+                (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.col("__end").isNotNull().alias("moved"),
+            )
         )
-        edges = cut(small)
-        mark = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if mark == before:
+        moved = state.filter("moved").count()
+        # pointers had reached further than there are nodes: what still moves goes round
+        if jumps >= nodes:
             break
-        before = mark
-    labels = fresh(edges).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return nodes.join(labels, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
+        jumps *= 2
+    return state.filter("NOT moved").select("node", "end", "steps")
 
 
 def sweep_unused(nodes: DataFrame, uses: DataFrame) -> DataFrame:
     """Nodes that stay when removable nodes without a remaining consumer are dropped, repeatedly.
 
-    ``nodes(node, removable)``, ``uses(consumer, used)``.  A cycle that only uses itself stays.  A round
-    looks only at what the nodes dropped in the round before had used.
+    ``nodes(node, removable)``, ``uses(consumer, used)``.  A cycle that only uses itself stays.
+
+    A removable node with one consumer goes when that goes: such chains are followed by doubling to where they begin and merged with it, so
+    a chain of any length falls in one wave.  A wave takes out the uses by what has just been dropped; what is used no more
+    is the next wave.  Uses of dropped and of merged nodes are never looked at again.
     """
-    uses = cut(uses.select("consumer", "used").distinct())
-    removable = cut(nodes.filter("removable").select("node"))
-    used = uses.select(F.col("used").alias("node")).distinct()
-    newly = cut(removable.join(used, "node", "left_anti"))
-    dropped = newly
-    rounds = 0
-    while not newly.isEmpty():
-        rounds += 1
-        touched = (
-            fresh(uses).join(fresh(newly).withColumnRenamed("node", "consumer"), "consumer", "left_semi")
-            .select(F.col("used").alias("node")).distinct()
-            .join(fresh(removable), "node", "left_semi")
+    removable = cut(nodes.filter("removable").select("node").distinct())
+    edges = cut(
+        uses.select("consumer", "used").distinct()
+        .join(fresh(removable).withColumnRenamed("node", "used"), "used", "left_semi").select("consumer", "used")
+    )
+    gone = cut(removable.join(fresh(edges).select(F.col("used").alias("node")).distinct(), "node", "left_anti"))
+    merged, waves = [], []
+    while not gone.isEmpty():
+        waves.append(gone)
+        alone = edges.groupBy(F.col("used").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("consumer").alias("to"))
+        links = alone.filter("n = 1 AND node <> to").select("node", "to").join(
+            fresh(removable).withColumnRenamed("node", "to"), "to", "left_semi"
+        )
+        ends = cut(_chain_ends(links).select("node", "end"))
+        merged.append(ends)
+        begin = fresh(ends).select(F.col("node").alias("consumer"), F.col("end").alias("__to"))
+        kept = cut(
+            edges.join(fresh(ends).select(F.col("node").alias("used")), "used", "left_anti")
+            .join(begin, "consumer", "left").select(F.coalesce("__to", "consumer").alias("consumer"), "used").distinct()
         )
-        gone = fresh(dropped).withColumnRenamed("node", "consumer")
-        still = (
-            fresh(uses).join(touched.withColumnRenamed("node", "used"), "used", "left_semi")
-            .join(gone, "consumer", "left_anti")
-            .select(F.col("used").alias("node"))
+        edges = cut(kept.join(fresh(gone).withColumnRenamed("node", "consumer"), "consumer", "left_anti").select("consumer", "used"))
+        gone = cut(
+            fresh(kept).select(F.col("used").alias("node")).distinct()
+            .join(fresh(edges).select(F.col("used").alias("node")).distinct(), "node", "left_anti")
         )
-        newly = cut(touched.join(still, "node", "left_anti").join(fresh(dropped), "node", "left_anti"))
-        dropped = dropped.unionByName(newly)
-        if rounds % 12 == 0:
-            dropped = cut(dropped)
+    if not waves:
+        return nodes
+    dropped = waves[0]
+    for wave in waves[1:]:
+        dropped = dropped.unionByName(wave)
+    for ends in reversed(merged):
+        dropped = cut(dropped.unionByName(ends.join(fresh(dropped).withColumnRenamed("node", "end"), "end", "left_semi").select("node")))
     return nodes.join(fresh(dropped), "node", "left_anti")

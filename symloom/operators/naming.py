@@ -12,6 +12,7 @@ from symloom.functions.signatures import ANNOTATION, ENUM, has_flag
 from symloom.functions.text import quote, trim_text
 from symloom.operators.graph import on_cycle
 from symloom.operators.positions import asof
+from symloom.plans.apps import APP, has_app
 from symloom.plans.bounded import NAMING_ROWS, NAMING_ROWS_KEY, solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh
 from symloom.plans.ordered import (
@@ -493,27 +494,29 @@ def base_first(archives: DataFrame, bundle: str = "bundle", name: str = "archive
 def resolve_outer(classes: DataFrame, declared: DataFrame) -> DataFrame:
     """(cls, outer): the declared enclosing class, else the name before the last inner ``$``.
 
-    An outer class that is not loaded, the class itself, or a link that would close a cycle is refused.
+    An outer class that is not loaded, the class itself, or a link that would close a cycle is refused.  With an
+    ``app_id`` on both sides, a class and its outer are of one app.
     """
+    app = [APP] if has_app(classes, declared) else []
     last_dot = F.length("cls") - F.length(F.substring_index("cls", ".", -1))
     name = F.substring(F.col("cls"), last_dot + 1, F.length("cls"))
     before = F.regexp_extract(name, "^([\\s\\S]+)\\$[^$]+$", 1)
     derived = F.when(
         before != "", F.concat(F.substring(F.col("cls"), F.lit(1), last_dot), before)
     )
-    wanted = classes.join(declared.select("cls", F.col("outer").alias("__declared")), "cls", "left")
+    keys = [*app, "cls"]
+    wanted = classes.join(declared.select(*keys, F.col("outer").alias("__declared")), keys, "left")
     linked = wanted.withColumn("outer", F.coalesce("__declared", derived)).drop("__declared")
-    loaded = classes.select(F.col("cls").alias("outer")).distinct()
-    links = linked.join(loaded, "outer", "left_semi").filter(F.col("outer") != F.col("cls"))
+    loaded = classes.select(*app, F.col("cls").alias("outer")).distinct()
+    links = linked.join(loaded, [*app, "outer"], "left_semi").filter(F.col("outer") != F.col("cls"))
     # the last link of a would-be cycle, in load order, is the one that is refused
-    circular = on_cycle(links.select(F.col("cls").alias("node"), F.col("outer").alias("parent")))
+    node = lambda name: F.struct(*app, F.col(name).alias("cls"))
+    circular = on_cycle(links.select(node("cls").alias("node"), node("outer").alias("parent")))
     closing = (
-        circular.join(links.select(F.col("cls").alias("node"), "ord"), "node")
+        circular.join(links.select(node("cls").alias("node"), "ord"), "node")
         .groupBy("cycle")
-        .agg(F.max_by("node", "ord").alias("cls"))
-        .select("cls")
+        .agg(F.max_by("node", "ord").alias("last"))
+        .select(*[F.col("last")[c].alias(c) for c in keys])
     )
-    good = links.join(closing, "cls", "left_anti").select("cls", "outer")
-    return classes.select("cls").join(good, "cls", "left")
-
-
+    good = links.join(closing, keys, "left_anti").select(*keys, "outer")
+    return classes.select(*keys).join(good, keys, "left")

@@ -19,6 +19,7 @@ from symloom.plans.ordered import (
     running_sum,
     scan,
 )
+from symloom.plans.apps import has_app, packed, unpacked
 from symloom.session import cut
 
 # The delta-coded line table.
@@ -28,8 +29,11 @@ FIRST_SPECIAL, LINE_BASE, LINE_RANGE = 10, -4, 15
 def line_starts(units: DataFrame) -> DataFrame:
     """(unit, line, start_off): where every line begins.  Only line lengths are shuffled.
 
-    A group holds the lines of one text cell, which one task held before, so it is never split.
+    A group holds the lines of one text cell, which one task held before, so it is never split.  With an ``app_id``
+    units are those of one app.
     """
+    if has_app(units):
+        return unpacked(line_starts(packed(units, "unit")), "unit")
     lines = units.select("unit", F.posexplode(F.split("code", "\n")).alias("i", "text")).select(
         "unit", (F.col("i") + 1).alias("line"), (F.length("text") + 1).alias("size")
     )
@@ -201,13 +205,14 @@ def live_ranges(events: DataFrame, code_size: DataFrame) -> DataFrame:
     """Local-variable ranges from debug events(method_key, reg, seq, addr, action, name, type).
 
     action: param (start is marked -1), start, restart (reopens under the last name) or end.
-    An open range ends at code_size - 1.
+    An open range ends at code_size - 1.  Columns ``app_id`` and ``signature`` are carried where they exist.
     """
+    held_on = [c for c in ("name", "type", "signature") if c in events.columns]
     named = F.col("action").isin("param", "start")
     held = scan(
         events, ["method_key", "reg"], ["seq"],
         {
-            "__var": last_value(F.when(named, F.struct("name", "type"))),
+            "__var": last_value(F.when(named, F.struct(*held_on))),
             "__close": lead(F.col("addr")),
         },
     )
@@ -216,8 +221,8 @@ def live_ranges(events: DataFrame, code_size: DataFrame) -> DataFrame:
     )
     is_param = F.col("action") == "param"
     return sized.select(
-        "method_key", "reg",
-        F.col("__var.name").alias("name"), F.col("__var.type").alias("type"),
+        *[c for c in ("app_id",) if c in events.columns], "method_key", "reg",
+        *[F.col(f"__var.{c}").alias(c) for c in held_on],
         F.when(is_param, F.lit(-1)).otherwise(F.col("addr")).alias("start_off"),
         F.coalesce("__close", F.col("code_size") - 1).alias("end_off"),
         is_param.alias("is_param"),
@@ -262,40 +267,40 @@ def last_known_type(writes: DataFrame, reads: DataFrame) -> DataFrame:
     """Type a register holds at each read.
 
     ``writes(method_key, off, reg, type, catch_all, src_reg)``: type null clears, ``src_reg`` marks a
-    move whose type is what its source holds.  Moves are resolved one hop per round to the write
-    they copy, so a chain of k moves takes k rounds of as-of lookups, each over all methods.
+    move whose type is what its source holds.  One as-of lookup finds the write that each move copies; chains of moves then double
+    their pointers, so rounds grow with the log of the longest chain.
     """
     split = needs_split(
         writes.select("method_key", "reg").unionByName(reads.select("method_key", "reg")), ["method_key", "reg"]
     )
-    direct = writes.filter(F.col("src_reg").isNull())
-    moves = writes.filter(F.col("src_reg").isNotNull())
-    pending = moves
-    solved = direct.select("method_key", "off", "reg", "type", "catch_all")
-    while not pending.isEmpty():
-        marks = solved.withColumn("state", F.lit("known")).unionByName(
-            pending.select(
-                "method_key", "off", "reg",
-                F.lit(None).cast("string").alias("type"),
-                F.lit(None).cast("boolean").alias("catch_all"),
-                F.lit("open").alias("state"),
-            )
+    at = ["method_key", "reg"]
+    marks = writes.select(
+        *at, F.col("off").alias("w_off"), F.col("off").alias("from_off"), "type", "catch_all", F.col("src_reg").isNotNull().alias("moved")
+    )
+    moves = writes.filter(F.col("src_reg").isNotNull()).select("method_key", "off", F.col("reg").alias("to_reg"), F.col("src_reg").alias("reg"))
+    copied = asof(moves, marks, at, "off", "w_off", ["from_off", "type", "catch_all", "moved"], strict=True, split=split)
+    state = cut(
+        copied.select(
+            "method_key", F.col("to_reg").alias("reg"), "off", F.col("reg").alias("from_reg"), "from_off", "type", "catch_all",
+            F.coalesce("moved", F.lit(False)).alias("moved"),
         )
-        looked = asof(
-            pending.select("method_key", "off", F.col("reg").alias("dst"), F.col("src_reg").alias("reg")),
-            marks.withColumnRenamed("off", "w_off"),
-            ["method_key", "reg"], "off", "w_off", ["type", "catch_all", "state"], strict=True, split=split,
+    )
+    # a move copies an earlier write, so a chain has an end
+    while not state.filter("moved").isEmpty():
+        names = ["from_reg", "from_off", "type", "catch_all", "moved"]
+        ahead = state.toDF(*state.columns).select(
+            "method_key", F.col("reg").alias("from_reg"), F.col("off").alias("from_off"), F.struct(*names).alias("__next")
         )
-        done = cut(
-            looked.filter(F.coalesce("state", F.lit("known")) == "known").select(
-                "method_key", "off", F.col("dst").alias("reg"), "type", "catch_all"
-            )
+        held = state.filter("moved").select("method_key", "reg", "off", "from_reg", "from_off").join(ahead, ["method_key", "from_reg", "from_off"])
+        state = cut(
+            held.select("method_key", "reg", "off", *[F.col("__next")[n].alias(n) for n in names])
+            .unionByName(state.filter("NOT moved").select("method_key", "reg", "off", *names))
         )
-        solved = solved.unionByName(done)
-        pending = cut(pending.join(done.select("method_key", "off", "reg"), ["method_key", "off", "reg"], "left_anti"))
+    solved = writes.filter(F.col("src_reg").isNull()).select("method_key", "off", "reg", "type", "catch_all").unionByName(
+        state.select("method_key", "off", "reg", "type", "catch_all")
+    )
     return asof(
-        reads, solved.withColumnRenamed("off", "w_off"), ["method_key", "reg"],
-        "off", "w_off", ["type", "catch_all"], strict=True, split=split,
+        reads, solved.withColumnRenamed("off", "w_off"), at, "off", "w_off", ["type", "catch_all"], strict=True, split=split,
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.names import package_of
 from symloom.functions.text import LINE_BREAK, pattern_of, trim_text
+from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.ordered import running_sum, scan
 
 # Result caps that callers may ask for, and page size.
@@ -115,8 +116,10 @@ def spans_of(units: DataFrame, pattern: str) -> DataFrame:
     """(unit, start, end, text) of every non-empty, non-overlapping match of a pattern.
 
     The text is cut at the matches; piece and match lengths are summed per unit.  A unit is one row, so
-    its matches are what one task has held already.
+    its matches are what one task has held already.  With an ``app_id`` units are those of one app.
     """
+    if has_app(units):
+        return unpacked(spans_of(packed(units, "unit"), pattern), "unit")
     hits = units.filter(F.col("code").rlike(pattern)).select(
         "unit",
         F.split("code", pattern).alias("pieces"),
@@ -141,11 +144,12 @@ def spans_of(units: DataFrame, pattern: str) -> DataFrame:
 def match_spans(
     units: DataFrame, query: str, ignore_case: bool = True, regex: bool = False
 ) -> DataFrame:
-    """(unit, start, end) of every non-overlapping match; empty matches are dropped."""
+    """(unit, start, end) of every non-overlapping match, with the app of the unit if it has one; empty matches are dropped."""
+    app = [APP] if has_app(units) else []
     pattern = matcher(units, query, ignore_case, regex)
     if pattern is None:
-        return units.select("unit", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
-    return spans_of(units, pattern).select("unit", "start", "end")
+        return units.select(*app, "unit", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
+    return spans_of(units, pattern).select(*app, "unit", "start", "end")
 
 
 def search_members(

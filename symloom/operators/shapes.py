@@ -17,6 +17,7 @@ from symloom.functions.signatures import (
     modifiers,
 )
 from symloom.functions.text import ancestors, trim_text
+from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.ordered import row_number, scan
 
 SECTIONS = {"field": 0, "method": 1, "class": 2}
@@ -59,16 +60,22 @@ def list_members(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
     return own.unionByName(code).unionByName(types)
 
 
+def _app_keys(*frames: DataFrame) -> list[str]:
+    return [APP] if has_app(*frames) else []
+
+
 def error_rollup(errors: DataFrame, tops: DataFrame) -> DataFrame:
-    """(top, errors): errors(cls, errors) of a class and all nested in it, per top-level class."""
-    return errors.join(tops.withColumnRenamed("node", "cls"), "cls").groupBy("top").agg(
+    """(top, errors): errors(cls, errors) of a class and all nested in it, per top-level class (of its app, where both have one)."""
+    app = _app_keys(errors, tops)
+    return errors.join(tops.withColumnRenamed("node", "cls"), [*app, "cls"]).groupBy(*app, "top").agg(
         F.sum("errors").alias("errors")
     )
 
 
 def fully_structured(methods: DataFrame, tops: DataFrame) -> DataFrame:
-    """(top, ok): every method of the nested tree can be rendered."""
-    return methods.join(tops.withColumnRenamed("node", "cls"), "cls").groupBy("top").agg(
+    """(top, ok): every method of the nested tree (of its app, where both have one) can be rendered."""
+    app = _app_keys(methods, tops)
+    return methods.join(tops.withColumnRenamed("node", "cls"), [*app, "cls"]).groupBy(*app, "top").agg(
         F.bool_and("ok").alias("ok")
     )
 
@@ -120,8 +127,17 @@ def data_classes(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
 
     Final, not abstract, n >= 1 instance fields, one constructor that takes the field types in order,
     exactly component1..n returning them, equals, hashCode, toString and a matching copy.  Fields are
-    numbered and compared position by position through joins; no list per class is built.
+    numbered and compared position by position through joins; no list per class is built.  With an ``app_id`` in all
+    three, a class has the members of its own app.
     """
+    if has_app(classes, fields, methods):
+        # the descriptor that copy returns is that of the bare name
+        named = [df.withColumn("__name", F.col("cls")) for df in (classes, fields, methods)]
+        return unpacked(_data_classes(*[packed(df, "cls") for df in named]), "cls")
+    return _data_classes(*[df.withColumn("__name", F.col("cls")) for df in (classes, fields, methods)])
+
+
+def _data_classes(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
     shape = classes.filter(
         has_flag(F.col("flags"), FINAL) & ~has_flag(F.col("flags"), ABSTRACT)
     ).select("cls")
@@ -132,7 +148,7 @@ def data_classes(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
 
     name, params, ret = F.col("name"), F.col("params"), F.col("ret")
     no_args = F.size(params) == 0
-    index = F.regexp_extract(name, "^component(0|[1-9][0-9]{0,8})$", 1)
+    index = F.regexp_extract(name, "^component(0|[1-9][0-9]*)$", 1)
     component = no_args & (index != "")
     flags = methods.groupBy("cls").agg(
         F.count_if(name == CONSTRUCTOR).alias("n_init"),
@@ -143,7 +159,7 @@ def data_classes(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> D
     shape = shape.join(flags, "cls").filter((F.col("n_init") == 1) & F.col("eq") & F.col("hash") & F.col("text"))
 
     # parts that must agree with the fields: constructor and copy by parameter, components by number
-    descriptor = F.concat(F.lit("L"), F.translate("cls", ".", "/"), F.lit(";"))
+    descriptor = F.concat(F.lit("L"), F.translate("__name", ".", "/"), F.lit(";"))
     copies = (name == "copy") & (ret == descriptor)
     whole = methods.filter((name == CONSTRUCTOR) | copies).select("cls", "name", "params", "ord")
     sized = whole.join(arity, "cls").filter(F.size(params) == F.col("arity"))
@@ -178,13 +194,17 @@ def token_profile(units: DataFrame) -> DataFrame:
     tokens = units.select("unit", F.explode(F.regexp_extract_all("code", F.lit(_TOKENS), F.lit(0))).alias("t"))
     words = [w for w in RESERVED_WORDS if w != "_"]
     t = F.col("t")
+    first, more = F.substring("t", 1, 1), F.length("t") > 1
+    # the first sign tells the kind; beyond ASCII a pattern has to be asked
+    wide = first > "~"
+    digit = first.between("0", "9") | (wide & t.rlike("^\\p{Nd}"))
+    letter = first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$") | (wide & t.rlike("^\\p{L}"))
     kind = (
-        F.when(t.startswith("//") | t.startswith("/*"), "comment")
-        .when(t.startswith('"') | t.startswith("'"), "string")
-        .when(t.rlike("^@[\\p{L}_$]"), "annotation")
-        .when(t.rlike("^\\.?\\p{Nd}"), "number")
-        .when(t.isin(*words), "keyword")
-        .when(t.rlike("^[\\p{L}_$]"), "identifier")
+        F.when(letter, F.when(t.isin(*words), "keyword").otherwise("identifier"))
+        .when(first.isin('"', "'"), "string")
+        .when(digit | ((first == ".") & more), "number")
+        .when((first == "/") & more, "comment")
+        .when((first == "@") & more, "annotation")
         .otherwise("punctuation")
     )
     return tokens.groupBy("unit", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators import positions
+from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.ordered import first_row, needs_split, row_number, scan
 
 # Symbol kinds that are indexed.
@@ -19,9 +20,11 @@ def usage_index(annots: DataFrame, units: DataFrame) -> DataFrame:
 
     ``annots(unit, off, kind, sym)`` with kind def, ref, var or end; ``units(unit, code)``.
     Result ``(target, from_unit, from_member, off, line)``: rows, not one list per target, so a
-    symbol that a third of the corpus refers to stays spread over tasks.  Write it bucketed by
-    target to look up one symbol without a scan.
+    symbol that a third of the corpus refers to stays spread over tasks.  ``write_usage_index`` stores it so that one
+    symbol is looked up without a scan.  With an ``app_id`` on both sides units are those of one app, and the result has it too.
     """
+    if has_app(annots, units):
+        return unpacked(usage_index(packed(annots, "unit"), packed(units, "unit")), "from_unit")
     split = needs_split(annots, ["unit"])
     placed = positions.enclosing(annots, split)
     refs = placed.filter(
@@ -36,6 +39,27 @@ def usage_index(annots: DataFrame, units: DataFrame) -> DataFrame:
     return lined.select("target", F.col("unit").alias("from_unit"), "from_member", "off", "line")
 
 
+def target_key(target: Column) -> Column:
+    """A symbol as one string: kind, owner, name and parameters, apart by a sign that is in none of them."""
+    parts = F.array(target["kind"], target["owner"], target["name"])
+    return F.array_join(F.concat(parts, F.coalesce(target["params"], F.array().cast("array<string>"))), "\x1f", "\x1e")
+
+
+def write_usage_index(usages: DataFrame, table: str, path: str, buckets: int = 256) -> None:
+    """Stores an index as a table of the catalog, bucketed and sorted by target.
+
+    A target that very many units use fills one bucket only; its rows are still written by all tasks that hold some of
+    them, each to a file of its own, so no task gathers it.
+    """
+    keyed = usages.withColumn("key", target_key(F.col("target")))
+    keyed.write.option("path", path).bucketBy(buckets, "key").sortBy("key", "from_unit").saveAsTable(table)
+
+
+def usages_of(spark: SparkSession, table: str, target: Column) -> DataFrame:
+    """The uses of one symbol, read from its bucket; files whose range of keys leaves it out are skipped by their statistics."""
+    return spark.table(table).filter(F.col("key") == target_key(target)).drop("key")
+
+
 def ranked_usages(usages: DataFrame, target: str, order: Sequence[str]) -> DataFrame:
     """Position of every use in its target's list sorted by (file, offset)."""
     return scan(usages, [target], list(order), {"rank": row_number()})
@@ -67,8 +91,14 @@ def resolve_member(refs: DataFrame, members: DataFrame, walk: DataFrame) -> Data
 
     ``refs(…, cls, name, params)``, ``members(cls, name, params, ord, member)``,
     ``walk(cls, anc, path)`` from graph.closure.  A class is walked before its ancestors, the super
-    branch before the interfaces.  An exact signature anywhere beats a match by name alone.
+    branch before the interfaces.  An exact signature anywhere beats a match by name alone.  With an ``app_id`` in
+    all three, references stay in their app.
     """
+    if has_app(refs, members, walk):
+        kept = refs.withColumn("__app", F.col(APP))
+        found = resolve_member(packed(kept, "cls"), packed(members, "cls"), packed(walk, "cls", "anc"))
+        inner = found.withColumnsRenamed({"__app": APP}).withColumns({"cls": F.col("cls")["value"], "owner": F.col("owner")["value"]})
+        return inner.select(*refs.columns, "owner", "member")
     keys = ["cls", "name", "params"]
     # a popular member is looked up once, not once per reference
     asked = refs.select(*keys).distinct()
@@ -111,10 +141,14 @@ def symbol_at(annots: DataFrame, units: DataFrame, clicks: DataFrame) -> DataFra
     First definition or reference on that line whose text is the whole token; one of the hinted kind
     is preferred.  The words of the code and the line starts are laid against the annotations by
     as-of lookups, so no code text travels with an annotation.  Clicks then meet the first annotation
-    of each word, line and kind; only tokens that are more than a word look at single places.
+    of each word, line and kind; only tokens that are more than a word look at single places.  With an ``app_id`` in all three,
+    units are those of one app; ``click`` tells the clicks of all apps apart.
     """
     from symloom.operators.search import spans_of
 
+    if has_app(annots, units, clicks):
+        return symbol_at(packed(annots, "unit"), packed(units, "unit"), packed(clicks, "unit"))
+
     split = needs_split(annots, ["unit"])
     candidates = annots.filter(
         F.col("kind").isin("def", "ref") & F.col("sym.kind").isin(*INDEXED_KINDS)

@@ -3,7 +3,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,19 +15,51 @@ ROWS_PER_TASK = 4_000_000
 BROADCAST_ROWS = 200_000
 
 
+#: most bytes of one Arrow batch that goes to a Python worker, however long its texts are
+BATCH_BYTES = 8 << 20
+PACKAGE_ZIP = "symloom-package.zip"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings every entry point wants: UTC timestamps, AQE with skew splitting."""
+    """Runtime settings every entry point wants: UTC timestamps, AQE with skew splitting, Arrow batches bounded in bytes.
+
+    The package is sent to the Python workers too, which know neither the driver's folder nor its ``sys.path``.
+    """
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a skewed join side even when the aggregate above then needs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     }.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Adds this package to what the workers of the session import from; once per session.
+
+    The archive is written to the shared folder.  Where no such folder is named, workers have to find the package by themselves.
+    """
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if PACKAGE_ZIP in context._python_includes or not root.is_dir() or not (named or context.master.startswith("local")):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    place = f"{scratch_folder(spark, 'package')}/{PACKAGE_ZIP}"
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(place)
+
+
 def rows_per_task(spark: SparkSession) -> int:
     """Most rows of one ordered group that a single task may be given."""
     return int(spark.conf.get(ROWS_PER_TASK_KEY, str(ROWS_PER_TASK)))
@@ -71,6 +106,10 @@ def cut_spread(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut the lineage in the shared checkpoint folder; survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared folder and cut the lineage; survives executor loss.
+
+    It is a written table, not a checkpoint, because a checkpoint keeps the size that its plan was estimated to have.  Over the
+    rounds of a fixpoint such estimates multiply, by doubling even square, until planning with them takes longer than the
+    work.  A table's size is that of its files, so Spark also sees which sides are small.
+    """
+    return stage(df, "cut")

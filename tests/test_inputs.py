@@ -1,5 +1,7 @@
 """Sources, sinks, streams and user functions on real files."""
 
+import datetime
+import decimal
 import zipfile
 
 import pandas as pd
@@ -127,6 +129,32 @@ def test_first_wins_over_batches(spark, tmp_path):
     assert dropped == 4
 
 
+def test_first_wins_keeps_state_over_restarts(spark, tmp_path):
+    schema = "cls string, ord int, at timestamp, tags array<string>, big decimal(20,3), body string"
+    when = datetime.datetime(2020, 1, 2, 3, 4, 5, 678901)
+    row = lambda c, o, b: (c, o, when, ["x", None], decimal.Decimal("12345678901234567.125"), b)
+    hot = [row("hot", k, f"h{k}") for k in range(500, 100, -1)]
+    rounds = [[row("A", 2, "a2"), row("A", None, "a-"), *hot], [row("B", 1, "b1"), row("hot", 1, "late")], [row("A", 0, "late"), row("C", 3, "c3")]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for n, rows in enumerate(rounds):
+            spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/in/part{n}")
+            for _ in range(2):  # a start without news adds nothing
+                found = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+                query = flows.stream_first_wins(found, ["cls"], ["ord"], f"{tmp_path}/out", f"{tmp_path}/ck")
+                query.awaitTermination()
+            # only what earlier batches left in the state is read: their rows are out of the way
+            read = [x for q in query.recentProgress for x in q["stateOperators"]]
+            assert not read or read[-1]["numRowsTotal"] == n + 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = spark.read.parquet(f"{tmp_path}/out/rows").collect()
+    assert {r["cls"]: r["body"] for r in kept} == {"A": "a-", "hot": "h101", "B": "b1", "C": "c3"}
+    assert len(kept) == 4
+    assert all((r["at"], r["tags"], str(r["big"])) == (when, ["x", None], "12345678901234567.125") for r in kept)
+    assert spark.read.parquet(f"{tmp_path}/out/dropped").agg(F.sum("dropped")).first()[0] == 402
+
+
 def test_search_and_scoreboard_over_batches(spark, tmp_path):
     schema = "unit string, code string"
     write_batches(spark, f"{tmp_path}/in", [[("a", "x foo\ny"), ("b", None)], [("c", "Foo\nfoo")]], schema)
