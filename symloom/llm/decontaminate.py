@@ -223,7 +223,7 @@ def _found(
     docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_id_col: str, item_text_col: str, with_matches: bool
 ) -> DataFrame:
     """(row, words, hit, bits, items, matches); all columns of ``docs`` travel inside ``row``, whatever their names."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct("*")
     out = docs.select(row.alias("row"))
     match = T.StructType.fromDDL("start long, length long, item string, item_start long")
     kinds = {"words": T.LongType(), "hit": T.LongType(), "bits": T.BinaryType(), "items": T.ArrayType(T.StringType()), "matches": T.ArrayType(match)}

@@ -171,7 +171,7 @@ def _identified(docs: DataFrame, model: Model, text_col: str, penalty: float) ->
     """(row, best, score, set); all columns of ``docs`` travel inside ``row``, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col(f"`{text_col}`")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct("*")
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(row.alias("row"), padded(text).alias("text"), letter.alias("letter"))
     share = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
