@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from symloom.operators import graph
-from symloom.plans.bounded import METHOD_ROWS_KEY
+from symloom.plans.bounded import METHOD_ROWS_KEY, solve_groups
 
 OBJ = graph.OBJECT
 
@@ -270,3 +271,18 @@ def test_growth_is_the_same_when_rows_are_broadcast(spark, monkeypatch):
             want.add((s, n))
             todo += [b for a, b in edges if a == n and b < 50 and (s, b) not in {(0, 5), (1, 7)}]
     assert plain == want
+
+
+def test_groups_above_a_union_are_whole(spark):
+    """Sides of a union that have the key's partitioning and differ in size are not coalesced apart."""
+    n, each = 5_000, 40
+    text = F.col("id").cast("string")
+    rows = spark.range(n * each).select((F.col("id") % n).alias("method_key"), text.alias("src"), F.md5(text).alias("dst"))
+    ordered = Window.partitionBy("method_key").orderBy("dst")
+    steps = rows.withColumn("src", F.lead("src").over(ordered)).filter("src IS NOT NULL").select("method_key", "src", "dst").distinct()
+    first = rows.withColumn("at", F.row_number().over(ordered)).filter("at = 1").select("method_key", "src").distinct()
+    counts = solve_groups(
+        steps.unionByName(first.withColumn("dst", F.lit(""))), "method_key",
+        lambda key, held: [(key, len(held), sum(r[2] == "" for r in held))], "method_key long, n long, marks long",
+    )
+    assert [tuple(r) for r in counts.groupBy("n", "marks").count().collect()] == [(each, 1, n)]
