@@ -7,6 +7,8 @@ method is an ordered scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from symloom.functions.signatures import parse_signature
 from symloom.operators.positions import live_ranges
 from symloom.plans.fixpoint import fresh
 from symloom.plans.ordered import running_sum, scan
-from symloom.session import cut
+from symloom.session import cut, spread
 
 # Access words of the text form and the bits they stand for.
 ACCESS = {
@@ -49,6 +51,24 @@ _PARAM = _with_end(
 )
 
 
+class Tables(Mapping):
+    """Tables by name; those that ``code`` makes share rows that are written when the first of them is asked for."""
+
+    def __init__(self, plain: dict[str, DataFrame], names: tuple[str, ...], code: Callable[[], dict[str, DataFrame]]) -> None:
+        self._tables, self._names, self._code = plain, [*plain, *names], code
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self._names and name not in self._tables:
+            self._tables = self._tables | self._code()
+        return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
 def access_flags(words: Column) -> Column:
     listed = F.split(words, " +")
     bits = F.lit(0)
@@ -57,7 +77,7 @@ def access_flags(words: Column) -> Column:
     return bits
 
 
-def read_disassembly(spark: SparkSession, path: str, app_id: str = "app") -> dict[str, DataFrame]:
+def read_disassembly(spark: SparkSession, path: str, app_id: str = "app") -> Mapping[str, DataFrame]:
     """Tables of all ``.smali`` files under a path."""
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.smali")
@@ -80,7 +100,7 @@ def _found(column: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
-def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
+def parse_disassembly(files: DataFrame) -> Mapping[str, DataFrame]:
     """``files(app_id, input_file, text)`` -> class, field, method, insn, label, try_range, switch, line, local_var, annotation
     and annotation_token tables.
 
@@ -88,15 +108,18 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     as free as in the text form itself; ``.locals`` counts without the parameters, ``.registers`` with them.  Strings stay as they are
     spelled.  An annotation belongs to the field or parameter before it only if that has an end line of its own.  A null or empty text, and
     one without a class line, gives a class row with null ``cls``.  Variables have ranges only in methods with code.
+
+    Texts take far longer to parse than to read, so they are dealt evenly to all tasks first, however few files or row groups
+    they come from.
     """
     text = F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), _COMMENT, "$1")
-    cut = files.select("app_id", "input_file", text.alias("text")).select(
+    blocked = spread(files.select("app_id", "input_file", "text")).select("app_id", "input_file", text.alias("text")).select(
         "app_id", "input_file", F.regexp_extract_all("text", F.lit(_METHOD), F.lit(0)).alias("blocks"),
         F.regexp_replace("text", _METHOD, "").alias("top"),
     )
     declared = F.btrim(F.regexp_extract("top", r"(?md)^[ \t]*\.class\b(.*)$", 1), F.lit(" \t"))
     desc = F.nullif(F.substring_index(declared, " ", -1), F.lit(""))
-    owned = cut.select(
+    owned = blocked.select(
         "app_id", "input_file", "blocks", "top", F.regexp_replace("top", _FIELD, "").alias("head"),
         binary_name(desc).alias("cls"), desc.alias("desc"), access_flags(declared).alias("flags"),
     )
@@ -150,6 +173,13 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
         "flags", "registers", F.col("registers").isNotNull().alias("has_code"), "has_handlers", "error", "ord",
     )
 
+    tokens = _tokens(_annotations(owned, placed_fields, parsed))
+    plain = {"class": classes, "field": fields, "method": methods, "annotation": _values(tokens), "annotation_token": tokens}
+    return Tables(plain, ("insn", "label", "try_range", "switch", "line", "local_var"), lambda: _code_tables(parsed))
+
+
+def _code_tables(parsed: DataFrame) -> dict[str, DataFrame]:
+    """The tables made from the lines of method bodies, which are parsed and numbered once."""
     # parameter registers follow the locals; an instance method has one more for its receiver
     own = F.when(F.col("flags").bitwiseAND(ACCESS["static"]) == 0, 1).otherwise(0)
     first_param = F.col("registers") - F.col("sig.slots") - own
@@ -164,9 +194,11 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
     is_insn = F.col("line").rlike("^[a-z]")
     kept = lines.filter(is_insn | F.col("line").rlike("^(:|\\.(catch|line|local|end local|restart|param))"))
     # the lines of a method come from one cell, so a group is what one task has held already
-    counted = scan(
-        kept, ["app_id", "method_key"], ["pos"], {"seen": running_sum(is_insn.cast("int"))}, False
-    ).withColumn("seen", F.col("seen").cast("int"))
+    counted = cut(
+        scan(
+            kept, ["app_id", "method_key"], ["pos"], {"seen": running_sum(is_insn.cast("int"))}, False
+        ).withColumn("seen", F.col("seen").cast("int"))
+    )
 
     labels = counted.filter(F.col("line").startswith(":")).select(
         "app_id", "method_key", F.substring_index("line", " ", 1).alias("label"), F.col("seen").alias("off")
@@ -242,12 +274,9 @@ def parse_disassembly(files: DataFrame) -> dict[str, DataFrame]:
         "app_id", "method_key", "off", "target"
     )
     size = counted.groupBy("method_key").agg(F.max("seen").alias("code_size"))
-    tokens = _tokens(_annotations(owned, placed_fields, parsed))
     return {
-        "class": classes, "field": fields, "method": methods,
         "insn": targeted, "label": labels, "try_range": ranges, "switch": switches,
         "line": _lines(counted, size), "local_var": live_ranges(_debug_events(counted, number), size),
-        "annotation": _values(tokens), "annotation_token": tokens,
     }
 
 
@@ -423,6 +452,8 @@ def annotation_values(tokens: DataFrame) -> DataFrame:
     ``tokens`` is the table ``annotation_token``.  Paths of blocks double their reach in each round, so rounds grow with the log of the depth.
     """
     step = F.when(F.col("named"), F.concat(F.lit("."), "part")).otherwise(F.concat(F.lit("["), "part", F.lit("]")))
+    # tokens are read three times below, so they are written once
+    tokens = cut(tokens)
     # a struct equals another whose nulls stand at the same places, as a method's owner has no parameter
     rows = tokens.filter("kind IS NOT NULL").withColumns(
         {"path": F.when(F.col("level") == 0, F.col("part")).otherwise(step), "owner": F.struct(*_OWNER)}

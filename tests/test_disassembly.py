@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from symloom.sources.disassembly import annotation_values, declared_outers, parse_disassembly
 
@@ -219,3 +220,15 @@ def test_long_strings_and_many_literals(spark):
     text = ".class Lp/L;\n.method static m()V\n    .registers 1\n" + line + "    nop # " + "'\"" * 20000 + "\n.end method\n"
     t = parse_disassembly(spark.createDataFrame([("a", "x", text)], "app_id string, input_file string, text string"))
     assert [(r["op"], len(r["ref"] or "")) for r in t["insn"].orderBy("off").collect()] == [("const-string", 2 + 12 * 20000), ("nop", 0)]
+
+
+def test_one_partition_of_texts_is_parsed_by_many_tasks(spark):
+    rows = [("a", str(k), f".class public La/C{k};\n.method run()V\n    .locals 0\n    .line 3\n    return-void\n.end method\n") for k in range(64)]
+    files = spark.createDataFrame(rows, "app_id string, input_file string, text string").coalesce(1)
+    t = parse_disassembly(files)
+    tasks = {r["t"] for r in t["class"].select(F.spark_partition_id().alias("t")).collect()}
+    assert len(tasks) > 1 and t["class"].count() == 64
+    # the tables of the code read the lines that were numbered once
+    assert all(t[name].inputFiles() for name in ("insn", "label", "line", "local_var"))
+    assert t["line"].count() == t["insn"].count() == 64
+    assert set(t) == {"class", "field", "method", "annotation", "annotation_token", "insn", "label", "try_range", "switch", "line", "local_var"}
