@@ -12,6 +12,9 @@ from symloom.plans.fixpoint import fresh, grow, sized
 from symloom.plans.ordered import lead, scan
 from symloom.session import cut, cut_spread
 
+# most ancestors that are held as one list
+LISTED = 10_000
+
 # Fixed values.
 OBJECT = "java.lang.Object"
 CATCH_EVERYTHING = ("java.lang.Throwable", "java.lang.Exception")
@@ -222,19 +225,50 @@ def subtype(pairs: DataFrame, closed: DataFrame, classes: DataFrame) -> DataFram
     )
 
 
-def common_supertype(pairs: DataFrame, closed: DataFrame, root: str | int = OBJECT) -> DataFrame:
+def common_supertype(pairs: DataFrame, closed: DataFrame, root: str | int = OBJECT, listed: int = LISTED) -> DataFrame:
     """pairs(…, a, b) with ``joined``: the nearest type both are assignable to.
 
     The general one if one is assignable to the other, else the first type of a's chain (super spine
     first, then interfaces) that b reaches, else the root type.  With an ``app_id`` on both sides, a and b are classes of one app.
+
+    Each class has its ancestors as one list in that order, and a pair takes the first of a's that is among b's, so a pair stays one
+    row.  A class with more than ``listed`` ancestors gets no list; its pairs are joined with single ancestors.
     """
     app = [APP] if has_app(pairs, closed) else []
     rank = F.struct(
         (F.aggregate("path", F.lit(0), lambda acc, x: acc + x) > 0).alias("x"),
         F.coalesce("depth", F.lit(2**31 - 1)).alias("depth"), "path", "anc"
     )
-    up_a = closed.select(*app, F.col("cls").alias("a"), "anc", rank.alias("rank"))
-    up_b = closed.select(*app, F.col("cls").alias("b"), "anc")
+    ranked = cut(closed.select(*app, "cls", "anc", rank.alias("rank")))
+    wide = cut(ranked.groupBy(*app, "cls").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > listed).select(*app, "cls"))
+    if wide.isEmpty():
+        return _joined_by_lists(pairs, ranked, app, root)
+    marked = pairs
+    for side in ("a", "b"):
+        flag = fresh(wide).withColumnRenamed("cls", side).withColumn(f"__{side}", F.lit(True))
+        marked = marked.join(flag, [*app, side], "left")
+    is_wide = F.coalesce("__a", "__b", F.lit(False))
+    by_rows = _joined_by_rows(marked.filter(is_wide).select(*pairs.columns), ranked, app, root)
+    narrow = ranked.join(fresh(wide), [*app, "cls"], "left_anti")
+    by_lists = _joined_by_lists(marked.filter(~is_wide).select(*pairs.columns), narrow, app, root)
+    return by_lists.unionByName(by_rows.select(*by_lists.columns))
+
+
+def _joined_by_lists(pairs: DataFrame, ranked: DataFrame, app: list[str], root: str | int) -> DataFrame:
+    lists = ranked.groupBy(*app, "cls").agg(F.array_sort(F.collect_list("rank"))["anc"].alias("__up"))
+    out = pairs
+    for side in ("a", "b"):
+        up = fresh(lists).select(*app, F.col("cls").alias(side), F.col("__up").alias(f"__up_{side}"))
+        out = out.join(up, [*app, side], "left")
+    chain = {side: F.concat(F.array(side), F.coalesce(f"__up_{side}", F.array().cast(lists.schema["__up"].dataType))) for side in ("a", "b")}
+    # an intersection keeps the order of its first list
+    first = F.get(F.array_intersect(chain["a"], chain["b"]), F.lit(0))
+    return out.select(*pairs.columns, F.coalesce(first, F.lit(root)).alias("joined"))
+
+
+def _joined_by_rows(pairs: DataFrame, ranked: DataFrame, app: list[str], root: str | int) -> DataFrame:
+    up_a = fresh(ranked).select(*app, F.col("cls").alias("a"), "anc", "rank")
+    up_b = fresh(ranked).select(*app, F.col("cls").alias("b"), "anc")
     top = F.struct(F.lit(False).alias("x"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), F.col("a").alias("anc"))
     both = pairs.select(*app, "a", "b").distinct()
     via_a = both.join(up_a, [*app, "a"]).unionByName(both.withColumn("anc", F.col("a")).withColumn("rank", top))

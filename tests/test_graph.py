@@ -51,6 +51,21 @@ def test_common_supertype(spark, animals):
     assert got == cases
 
 
+def test_common_supertype_keeps_a_pair_one_row(spark):
+    """Lists and single ancestors give the same; by lists no row per ancestor is made."""
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(k), i) for k in range(1, 60) for i in range(rng.randrange(1, 3))]
+    closed = graph.closure(spark.createDataFrame(rows, "cls long, parent long, idx int"))
+    pairs = spark.createDataFrame([(rng.randrange(70), rng.randrange(70)) for _ in range(300)] + [(None, 3), (3, None)], "a long, b long")
+    answers = []
+    for listed in (10_000, 4, 0):
+        found = graph.common_supertype(pairs, closed, root=-1, listed=listed)
+        answers.append(sorted(map(str, found.select("a", "b", "joined").collect())))
+        if listed == 10_000:
+            assert "array_intersect" in found._jdf.queryExecution().executedPlan().toString()
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 302
+
+
 def test_diamond_walk_order(spark):
     edges = [("d", "s", 0), ("d", "i", 1), ("s", "x", 1), ("i", "x", 0), ("x", "top", 0), ("s", "top", 0)]
     closed = graph.closure(spark.createDataFrame(edges, "cls string, parent string, idx int"))
