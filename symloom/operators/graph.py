@@ -343,15 +343,22 @@ def terminal_targets(forwards: DataFrame) -> DataFrame:
     """(method_key, terminal): where a chain of forwarders ends, null on a cycle.
 
     Pointers double each round.  No chain is longer than there are forwarders, so after as many rounds as their number
-    has binary digits a pointer that still stands at a forwarder goes round a cycle.
+    has binary digits a pointer that still stands at a forwarder goes round a cycle.  Only such pointers are moved; one that has
+    arrived is written once.
     """
-    state = cut(forwards.select("method_key", F.col("target").alias("ptr")))
-    keys = state.select(F.col("method_key").alias("ptr")).withColumn("__fwd", F.lit(True))
-    for _ in range(state.count().bit_length()):
-        ahead = fresh(state).select(F.col("method_key").alias("ptr"), F.col("ptr").alias("__next"))
-        state = cut(state.join(ahead, "ptr", "left").select("method_key", F.coalesce("__next", "ptr").alias("ptr")))
-    open_end = state.join(fresh(keys), "ptr", "left")
-    return open_end.select("method_key", F.when(F.col("__fwd").isNull(), F.col("ptr")).alias("terminal"))
+    state = forwards.select("method_key", F.col("target").alias("ptr"))
+    keys = fresh(forwards).select(F.col("method_key").alias("ptr")).distinct().withColumn("__fwd", F.lit(True))
+    marked = cut(state.join(keys, "ptr", "left").select("method_key", "ptr", F.coalesce("__fwd", F.lit(False)).alias("open")))
+    arrived, moving = marked.filter("NOT open"), marked.filter("open")
+    left = moving.count()
+    for _ in range(marked.count().bit_length()):
+        if not left:
+            break
+        ahead = arrived.unionByName(moving).toDF("ptr", "__next", "__open")
+        moved = cut(sized(moving, left).select("method_key", "ptr").join(ahead, "ptr").select("method_key", F.col("__next").alias("ptr"), F.col("__open").alias("open")))
+        arrived, moving = arrived.unionByName(moved.filter("NOT open")), moved.filter("open")
+        left = moving.count()
+    return arrived.unionByName(moving).select("method_key", F.when(~F.col("open"), F.col("ptr")).alias("terminal"))
 
 
 def redirect_calls(calls: DataFrame, terminals: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators import graph
 from symloom.plans.bounded import METHOD_ROWS_KEY, solve_groups
+from symloom.session import cut
 
 OBJ = graph.OBJECT
 
@@ -66,6 +67,22 @@ def test_common_supertype_keeps_a_pair_one_row(spark):
     assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 302
 
 
+def test_pointers_that_arrived_are_not_moved_again(spark, monkeypatch):
+    rows = [(k, 5000) for k in range(1000)] + [(2001, 2002), (2002, 2003), (2003, 2001), (3000, 7)]
+    written = []
+
+    def counting(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counting)
+    found = graph.terminal_targets(spark.createDataFrame(rows, "method_key long, target long"))
+    got = {r.method_key: r.terminal for r in found.collect()}
+    assert got == {k: 5000 for k in [*range(1000), 3000]} | {2001: None, 2002: None, 2003: None}
+    assert len(got) == found.count() and sum(written) < 2 * len(rows)
+
+
 def test_diamond_walk_order(spark):
     edges = [("d", "s", 0), ("d", "i", 1), ("s", "x", 1), ("i", "x", 0), ("x", "top", 0), ("s", "top", 0)]
     closed = graph.closure(spark.createDataFrame(edges, "cls string, parent string, idx int"))
