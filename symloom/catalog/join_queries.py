@@ -209,8 +209,7 @@ def symbol_at(v):
         "unit", (F.col("i") + 1).alias("line"), "text"
     )
     words = texts.select("unit", "line", F.posexplode(F.split("text", " ")).alias("j", "tok"))
-    placed_words = words.join(lines, ["unit", "line"])
-    run = scan(placed_words, ["unit", "line"], ["j"], {"upto": running_sum(F.length("tok") + 1)})
+    run = scan(words, ["unit", "line"], ["j"], {"upto": running_sum(F.length("tok") + 1)}).join(lines, ["unit", "line"])
     sym = F.struct(
         F.lit("method").alias("kind"), F.col("line").cast("string").alias("owner"), F.col("tok").alias("name"),
         F.array().cast("array<string>").alias("params"),

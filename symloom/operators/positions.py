@@ -83,6 +83,27 @@ def asof(
     )
 
 
+def floor_each(
+    left: DataFrame,
+    by: Sequence[str],
+    at: str,
+    rights: Sequence[tuple[DataFrame, str, Sequence[str]]],
+    split: bool | None = None,
+) -> DataFrame:
+    """``asof`` with several right tables (table, position, columns to take), all 'floor', in one union and one scan."""
+    rest = [c for c in left.columns if c not in by and c != at]
+    both = left.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*rest).alias("__row"))
+    for i, (right, right_at, take) in enumerate(rights):
+        hit = right.select(*by, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.struct(*take).alias(f"__hit{i}"))
+        both = both.unionByName(hit, allowMissingColumns=True)
+    specs = {f"__found{i}": last_value(F.col(f"__hit{i}")) for i in range(len(rights))}
+    found = scan(both, by, ["__at", "__side"], specs, split).filter(F.col("__side") == 1)
+    return found.select(
+        *by, F.col("__at").cast(left.schema[at].dataType).alias(at), *[F.col("__row")[c].alias(c) for c in rest],
+        *[F.col(f"__found{i}")[t].alias(t) for i, (_, _, take) in enumerate(rights) for t in take],
+    )
+
+
 def enclosing(annots: DataFrame, split: bool | None = None) -> DataFrame:
     """Adds ``encl``: the innermost class or method definition around each annotation.
 

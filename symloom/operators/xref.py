@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from symloom.operators import positions
 from symloom.plans.apps import APP, has_app, packed, unpacked
+from symloom.plans.fixpoint import sized
 from symloom.plans.ordered import first_row, needs_split, row_number, scan
+from symloom.session import cut
 
 # Symbol kinds that are indexed.
 INDEXED_KINDS = ("class", "method", "field")
@@ -139,8 +141,9 @@ def symbol_at(annots: DataFrame, units: DataFrame, clicks: DataFrame) -> DataFra
     """Symbol meant by a click(click, unit, line, token, hint).
 
     First definition or reference on that line whose text is the whole token; one of the hinted kind
-    is preferred.  The words of the code and the line starts are laid against the annotations by
-    as-of lookups, so no code text travels with an annotation.  Clicks then meet the first annotation
+    is preferred.  The words of the code and the line starts are laid against the annotations in one
+    as-of scan, so no code text travels with an annotation.  What stands on a word that is clicked nowhere goes no
+    further; the rest is written once.  Clicks then meet the first annotation
     of each word, line and kind; only tokens that are more than a word look at single places.  With an ``app_id`` in all three,
     units are those of one app; ``click`` tells the clicks of all apps apart.
     """
@@ -154,17 +157,20 @@ def symbol_at(annots: DataFrame, units: DataFrame, clicks: DataFrame) -> DataFra
         F.col("kind").isin("def", "ref") & F.col("sym.kind").isin(*INDEXED_KINDS)
     ).select("unit", "off", "sym")
     starts = positions.line_starts(units)
-    lined = positions.asof(candidates, starts, ["unit"], "off", "start_off", ["line"], split=split)
     words = spans_of(units, f"{_WORD}+").select("unit", F.col("start").alias("w_at"), "text")
-    worded = positions.asof(lined, words, ["unit"], "off", "w_at", ["w_at", "text"], split=split)
+    worded = positions.floor_each(
+        candidates, ["unit"], "off", [(starts, "start_off", ["line"]), (words, "w_at", ["w_at", "text"])], split
+    )
     # what is left of the word from the annotation on; empty where no word goes on
     rest = F.substring(F.col("text"), (F.col("off") - F.col("w_at") + 1).cast("int"), F.length("text"))
-    placed = worded.select("unit", "line", "off", "sym", F.coalesce(rest, F.lit("")).alias("word"))
+    every = worded.select("unit", "line", "off", "sym", F.coalesce(rest, F.lit("")).alias("word"))
 
     keys = ["unit", "line", "token", "hint"]
     asks = clicks.select(*keys).distinct().filter(F.length("token") > 0).withColumn(
         "word", F.regexp_extract("token", f"^{_WORD}*", 0)
     )
+    asked = cut(asks.select("word").distinct())
+    placed = cut(every.join(sized(asked, asked.count()), "word", "left_semi"))
     off_kind = F.coalesce(F.col("sym.kind") != F.col("hint"), F.lit(False))
     choice = F.min_by(F.struct("sym", "off"), F.struct(off_kind.alias("x"), "off")).alias("hit")
     firsts = placed.groupBy("unit", "line", "word", F.col("sym.kind").alias("k")).agg(

@@ -99,6 +99,25 @@ def test_symbol_at(spark):
     assert {r.click: r.off for r in found.collect()} == {1: 14, 2: 25, 3: 6, 4: None, 5: None}
 
 
+def test_symbols_on_words_that_nobody_clicks_go_no_further(spark, monkeypatch):
+    """Of 1,000 symbols only those on clicked words are kept; a token that is more than a word looks at the code."""
+    code = " ".join(f"w{i} x.y" for i in range(500))
+    at, rows = 0, []
+    for tok in code.split(" "):
+        rows.append(("u", at, "ref", sym("field", tok, tok)))
+        at += len(tok) + 1
+    kept = []
+    whole = xref.cut
+    monkeypatch.setattr(xref, "cut", lambda df: kept.append(whole(df)) or kept[-1])
+    clicks = [(1, "u", 1, "w7", None), (2, "u", 1, "w499", None), (3, "u", 1, "x.y", None), (4, "u", 1, "499", None)]
+    found = xref.symbol_at(
+        spark.createDataFrame(rows, ANNOT), spark.createDataFrame([("u", code)], "unit string, code string"),
+        spark.createDataFrame(clicks, "click int, unit string, line int, token string, hint string"),
+    )
+    assert {r.click: r.off for r in found.collect()} == {1: code.index("w7 "), 2: code.index("w499"), 3: code.index("x.y"), 4: None}
+    assert sorted(df.count() for df in kept) == [4, 502]
+
+
 def test_members(spark):
     classes = spark.createDataFrame([("a", "p.O", None, 0, 0), ("a", "p.O$In", "p.O", 0x1, 1), ("a", "p.O$1", "p.O", 0x1000, 2)], "app_id string, cls string, outer string, flags int, ord int")
     fields = spark.createDataFrame([("a", "p.O", "v", "I", 0x40, 0), ("a", "p.O", "syn", "I", 0x1000, 1)], "app_id string, cls string, name string, type string, flags int, ord int")
