@@ -10,7 +10,7 @@ from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.bounded import solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh, grow, sized
 from symloom.plans.ordered import lead, scan
-from symloom.session import cut, cut_spread
+from symloom.session import cut, cut_spread, scratch_folder
 
 # most ancestors that are held as one list
 LISTED = 10_000
@@ -59,10 +59,78 @@ def supertype_edges(classes: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """(cls, anc, depth) for every proper ancestor of edges(cls, parent); depth is the shortest way.
 
-    With an ``app_id`` a class has ancestors in its own app.
+    With an ``app_id`` a class has ancestors in its own app.  Pairs are made as in ``closure``.
     """
     if has_app(edges):
         return unpacked(ancestors(packed(edges, "cls", "parent")), "cls", "anc")
+    numbered = cut(edges.filter("cls <> parent").select("cls", "parent").distinct())
+    return _handed_down(numbered, False)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(cls, anc, depth, path) for every proper ancestor of edges(cls, parent, idx), without cycles.
+
+    ``path`` is the smallest sequence of edge numbers to the ancestor, which orders ancestors as a
+    depth-first walk (super before interfaces) meets them.  Its first step is the lowest edge that
+    leads there.  With an ``app_id`` a class has ancestors in its own app.
+
+    A class takes the ancestors of its parents in the round after the last of these is complete, so every pair is made once and
+    is not compared with those of earlier rounds.  Classes on or below a cycle are never complete; they are followed round by round.
+    """
+    if has_app(edges):
+        return unpacked(closure(packed(edges, "cls", "parent")), "cls", "anc")
+    numbered = cut(edges.filter("cls <> parent").groupBy("cls", "parent").agg(F.min("idx").alias("idx")))
+    return _handed_down(numbered, True)
+
+
+def _handed_down(edges: DataFrame, paths: bool) -> DataFrame:
+    """Ancestors of edges that are distinct and no loops, with their paths or without.
+
+    Pairs of a class are carried on while it has a child that is not complete; all pairs of a round are a folder of the result.
+    """
+    spark = edges.sparkSession
+    folder = scratch_folder(spark, "ancestors")
+    step = [F.struct("idx", "parent", F.array().cast("array<int>").alias("more")).alias("step")] if paths else []
+    direct = lambda df: df.select("cls", F.col("parent").alias("anc"), F.lit(1).alias("depth"), *step)
+    further = [F.struct("idx", "parent", F.col("path").alias("more")).alias("step")] if paths else []
+
+    def settled(found: DataFrame) -> DataFrame:
+        best = [F.min("step").alias("step")] if paths else []
+        out = found.groupBy("cls", "anc").agg(F.min("depth").cast("int").alias("depth"), *best)
+        path = [F.concat(F.array("step.idx").cast("array<int>"), "step.more").alias("path")] if paths else []
+        return out.select("cls", "anc", "depth", *path)
+
+    shape = settled(direct(edges)).schema
+    waiting, carried, left, rounds = edges, None, edges.count(), 0
+    while left:
+        later = fresh(waiting).select(F.col("cls").alias("parent")).distinct()
+        late = fresh(waiting).join(later, "parent", "left_semi").select("cls").distinct().withColumn("__late", F.lit(True))
+        marked = cut(waiting.join(late, "cls", "left"))
+        ready, waiting = marked.filter("__late IS NULL").drop("__late"), marked.filter("__late").drop("__late")
+        now = waiting.count()
+        if now == left:
+            break
+        found = direct(ready)
+        if carried is not None:
+            up = fresh(carried).withColumnRenamed("cls", "parent")
+            found = found.unionByName(fresh(ready).join(up, "parent").select("cls", "anc", (F.col("depth") + 1).alias("depth"), *further))
+        settled(found).write.parquet(f"{folder}/{rounds}")
+        made = spark.read.schema(shape).parquet(f"{folder}/{rounds}")
+        rounds, left = rounds + 1, now
+        if left:
+            wanted = fresh(waiting).select(F.col("parent").alias("cls")).distinct()
+            carried = cut((made if carried is None else carried.unionByName(made)).join(wanted, "cls", "left_semi").select(*shape.names))
+    out = spark.read.schema(shape).parquet(f"{folder}/*") if rounds else settled(direct(edges.limit(0)))
+    if not left:
+        return out
+    circular = waiting.select("cls").distinct()
+    above = grow(circular, lambda new: new.join(fresh(edges), "cls").select(F.col("parent").alias("cls")))
+    around = cut(edges.join(fresh(above), "cls", "left_semi").select(*edges.columns))
+    walked = (_closure_by_rounds if paths else _ancestors_by_rounds)(around)
+    return out.unionByName(walked.join(fresh(circular), "cls", "left_semi").select(*shape.names))
+
+
+def _ancestors_by_rounds(edges: DataFrame) -> DataFrame:
     up = cut_spread(edges.select(F.col("cls").alias("anc"), F.col("parent").alias("up")).distinct())
     base = edges.select("cls", F.col("parent").alias("anc"), F.lit(1).alias("depth")).filter("cls <> anc")
 
@@ -75,22 +143,18 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return grow(base, step, ["cls", "anc"])
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(cls, anc, depth, path) for every proper ancestor of edges(cls, parent, idx), without cycles.
+def _closure_by_rounds(edges: DataFrame) -> DataFrame:
+    """Steps are put together by doubling, so rounds of the paths grow with the log of the depth.
 
-    ``path`` is the smallest sequence of edge numbers to the ancestor, which orders ancestors as a
-    depth-first walk (super before interfaces) meets them.  Its first step is the lowest edge that
-    leads there; steps are put together by doubling, so rounds grow with the log of the depth.  With an ``app_id`` a class has
-    ancestors in its own app.
+    A step to a class of the same cycle is taken only where it leads nearer, or ways would go round for ever.
     """
-    if has_app(edges):
-        return unpacked(closure(packed(edges, "cls", "parent")), "cls", "anc")
-    reached = ancestors(edges)
-    numbered = edges.groupBy("cls", "parent").agg(F.min("idx").alias("idx"))
+    reached = _ancestors_by_rounds(edges)
+    back = fresh(reached).select(F.col("cls").alias("parent"), F.col("anc").alias("cls"), F.lit(True).alias("circular"))
+    numbered = edges.groupBy("cls", "parent").agg(F.min("idx").alias("idx")).join(back, ["cls", "parent"], "left")
     direct = numbered.select("cls", F.col("parent").alias("anc"), "idx", "parent")
     further = numbered.join(
-        fresh(reached).select(F.col("cls").alias("parent"), "anc"), "parent"
-    ).select("cls", "anc", "idx", "parent")
+        fresh(reached).select(F.col("cls").alias("parent"), "anc", F.col("depth").alias("rest")), "parent"
+    ).join(fresh(reached), ["cls", "anc"]).filter("circular IS NULL OR rest < depth").select("cls", "anc", "idx", "parent")
     first = direct.unionByName(further).groupBy("cls", "anc").agg(
         F.min(F.struct("idx", "parent")).alias("s")
     )

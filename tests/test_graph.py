@@ -90,6 +90,40 @@ def test_diamond_walk_order(spark):
     assert mine == [([0], "s", 1), ([0, 0], "top", 2), ([0, 1], "x", 2), ([1], "i", 1)]
 
 
+def test_ancestors_are_handed_down_once(spark, monkeypatch):
+    """Only classes on or below a cycle are followed by rounds that compare with all pairs so far."""
+    walked = []
+    plain = graph.grow
+    monkeypatch.setattr(graph, "grow", lambda *a, **k: walked.append(1) or plain(*a, **k))
+    tree = [(k, (k - 1) // 3, 0) for k in range(1, 60)] + [(k, k // 10, 1) for k in range(10, 60)] + [(7, 7, 2)]
+    looped = tree + [(100, 101, 0), (101, 100, 0), (101, 50, 1), (102, 101, 0), (102, 3, 1), (103, 59, 0)]
+    for rows in (tree, looped, []):
+        up = {}
+        for cls, parent, idx in sorted(rows, key=lambda r: r[2]):
+            if cls != parent and parent not in [p for p, _ in up.get(cls, [])]:
+                up.setdefault(cls, []).append((parent, idx))
+        want = {}
+        for cls in up:
+            depth, todo = {}, [(p, 1) for p, _ in up[cls]]
+            for node, d in todo:
+                if node not in depth and node != cls:
+                    depth[node] = d
+                    todo += [(p, d + 1) for p, _ in up.get(node, [])]
+            for anc, d in depth.items():
+                want[cls, anc] = d
+        edges = spark.createDataFrame(rows, "cls long, parent long, idx int")
+        closed = graph.closure(edges).collect()
+        assert len(closed) == len(want) and {(r.cls, r.anc): r.depth for r in closed} == want
+        for r in closed:
+            at = r.cls
+            for i in r.path:
+                at = {idx: p for p, idx in up[at]}[i]
+            assert at == r.anc
+        assert {(r.cls, r.anc): r.depth for r in graph.ancestors(edges.select("cls", "parent")).collect()} == want
+        assert bool(walked) == (rows is looped)
+        walked.clear()
+
+
 def test_top_ancestor_with_cycle(spark):
     rows = [(i, i - 1) for i in range(1, 40)] + [(0, None), (100, 101), (101, 102), (102, 100), (103, 100), (7000, 9999)]
     got = {r.node: r.top for r in graph.top_ancestor(spark.createDataFrame(rows, "node long, parent long")).collect()}
