@@ -108,20 +108,23 @@ def resolve_member(refs: DataFrame, members: DataFrame, walk: DataFrame) -> Data
         "cls", F.col("cls").alias("anc"), F.array().cast("array<int>").alias("path")
     )
     steps = itself.unionByName(walk.select("cls", "anc", "path"))
+    names = asked.select("cls", "name").distinct()
     owned = members.select(
-        F.col("cls").alias("anc"), "name", F.col("params").alias("m_params"), "ord", "member"
+        F.col("cls").alias("anc"), "name", F.col("params").alias("params"), "ord", "member"
     )
-    found = (
-        asked.join(steps, "cls")
-        .join(owned, ["anc", "name"])
-        .groupBy(*keys)
-        .agg(
-            F.min_by(
-                F.struct("anc", "member"),
-                F.struct((F.col("params") != F.col("m_params")).alias("x"), "path", "ord", "member"),
-            ).alias("hit")
-        )
+    # the walk meets members before it meets references, so no reference is repeated for each ancestor
+    offered = (
+        steps.join(asked.select("cls").distinct(), "cls", "left_semi")
+        .join(owned.join(asked.select("name").distinct(), "name", "left_semi"), "anc")
+        .groupBy("cls", "name", "params")
+        .agg(F.min(F.struct("path", "ord", "member", "anc")).alias("first"))
+        .join(names, ["cls", "name"], "left_semi")
+    )
+    by_name = offered.groupBy("cls", "name").agg(
+        F.min("first").alias("any"), F.collect_list(F.struct("params", "first")).alias("overloads")
     )
+    same = F.filter("overloads", lambda o: o["params"] == F.col("params"))
+    found = asked.join(by_name, ["cls", "name"]).select(*keys, F.coalesce(F.get(same, F.lit(0))["first"], F.col("any")).alias("hit"))
     hit = found.select(*keys, F.col("hit.anc").alias("owner"), F.col("hit.member").alias("member"))
     return refs.join(hit, keys, "left")
 

@@ -37,6 +37,22 @@ def test_hierarchies_stay_in_their_app(spark):
     assert {r["id"]: (r["cls"], r["owner"], r["member"]) for r in hits.collect()} == {1: ("Dog", "Animal", "a.run"), 2: ("Dog", "Robot", "b.run")}
 
 
+def test_an_exact_signature_beats_a_name_and_unknown_parameters(spark):
+    """Looked up per class and name, not per reference and ancestor."""
+    walk = spark.createDataFrame([("C", "B", [0]), ("C", "A", [0, 0]), ("B", "A", [0])], "cls string, anc string, path array<int>")
+    members = spark.createDataFrame(
+        [("B", "m", None, 0, "B.m?"), ("B", "m", ["J"], 1, "B.mJ"), ("A", "m", ["I"], 0, "A.mI"), ("A", "k", [], 0, "A.k")],
+        "cls string, name string, params array<string>, ord int, member string",
+    )
+    refs = [("C", "m", ["I"]), ("C", "m", ["I"]), ("C", "m", ["J"]), ("C", "m", ["Z"]), ("B", "k", ["I"]), ("A", "m", ["J"]), ("C", "none", [])]
+    found = xref.resolve_member(spark.createDataFrame(refs, "cls string, name string, params array<string>"), members, walk)
+    got = sorted((r.cls, r.name, *r.params, r.owner, r.member) for r in found.collect())
+    assert got == [
+        ("A", "m", "J", "A", "A.mI"), ("B", "k", "I", "A", "A.k"), ("C", "m", "I", "A", "A.mI"), ("C", "m", "I", "A", "A.mI"),
+        ("C", "m", "J", "B", "B.mJ"), ("C", "m", "Z", "B", "B.m?"), ("C", "none", None, None),
+    ]
+
+
 def test_either_all_tables_have_an_app_or_none(spark):
     one, other = spark.createDataFrame([("a", 1)], "app_id string, x int"), spark.createDataFrame([(1,)], "x int")
     assert has_app(one) and not has_app(other, other)
