@@ -217,7 +217,7 @@ def allocate_names(v):
 )
 def deobfuscate_words(v):
     """Short words of each language as obfuscated method names of one class."""
-    words = v.v_doc.select("cat", F.explode(F.regexp_extract_all("code", F.lit("[^ \\n]+"), F.lit(0))).alias("name")).distinct()
+    words = v.v_doc.select("cat", F.explode(F.split(F.replace("code", F.lit("\n"), F.lit(" ")), " ")).alias("name")).distinct().filter("name <> ''")
     return naming.allocate_names(words.withColumn("renamable", is_obfuscated(F.col("name"))), ["cat"], ["name"], "m").select(
         "cat", "name", "alias"
     )

@@ -48,9 +48,11 @@ def allocate_names(
     """Give each renamable symbol the next free ``<prefix>0001`` of its scope.
 
     ``symbols`` has ``name`` and ``renamable``; kept names are reserved.  The k-th symbol of a scope
-    gets the k-th number that no kept name spells.
+    gets the k-th number that no kept name spells.  The symbols are written once and read back: what they are
+    derived from is worked out once, and names are tried as rows of that table, not below a distinct that made them.
     """
     scope, order = list(scope), list(order)
+    symbols = cut(symbols)
     if split is None:
         split = needs_split(symbols, scope)
     numbered = scan(

@@ -45,6 +45,22 @@ def test_allocate_equals_greedy(spark, seed, limit):
     assert got == greedy_alloc(rows, "C")
 
 
+def test_allocate_works_its_symbols_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def name_of(k):
+        made.add(1)
+        return f"C{k:04d}" if k % 3 else "a"
+
+    named = F.udf(name_of, "string")("ord")
+    rows = spark.range(60).select(F.lit("p").alias("scope"), F.col("id").alias("ord"), named.alias("name"))
+    symbols = rows.distinct().withColumn("renamable", F.length("name") == 1)
+    got = {r.ord: r.alias for r in naming.allocate_names(symbols, ["scope"], ["ord"], "C").collect()}
+    assert made.value == 60
+    free = [f"C{k:04d}" for k in range(1, 200) if k >= 60 or k % 3 == 0]
+    assert got == {k: free[k // 3] for k in range(0, 60, 3)}
+
+
 def greedy_unique(rows):
     out = {}
     for scope in {r[0] for r in rows}:
