@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from symloom.operators.scoring import judge
 from symloom.operators.search import explode_lines, matcher
@@ -50,72 +45,9 @@ def stream_search(
     )
 
 
-def _combined(schema: StructType, order: list[str]):
-    """Per Arrow batch the first row of each key with how many there were, packed whole into one cell.
-
-    It keeps no rows between batches, so however often a key comes a task sends it on once per batch at most.
-    """
-    names = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            ranked = [("key_digest", "ascending"), *((c, "ascending") for c in order)]
-            place = pc.sort_indices(table, sort_keys=ranked, null_placement="at_start")
-            digests = table["key_digest"].take(place).combine_chunks()
-            first = np.flatnonzero(np.concatenate(([True], np.asarray(pc.not_equal(digests[1:], digests[:-1]), bool))))
-            rows = batch.select(names)
-            packed = [rows.slice(k, 1).serialize().to_pybytes() for k in np.asarray(place)[first].tolist()]
-            seen = np.diff(np.append(first, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([digests.take(pa.array(first)), pa.array(seen, pa.int64()), pa.array(packed, pa.binary())], names=["key_digest", "seen", "row"])
-
-    return run
-
-
-def _unpack(cell: bytes, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.ipc.read_record_batch(pa.py_buffer(cell), schema)
-
-
-def _first_of_key(schema: pa.Schema, order: list[str]):
-    """State of a key is only that it has been seen."""
-
-    def rank(cell: bytes) -> tuple:
-        row = _unpack(cell, schema).to_pylist()[0]
-        return tuple((row[c] is not None, row[c]) for c in order)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, best, least = 0, None, None
-        for frame in frames:
-            seen += int(frame["seen"].sum())
-            if state.exists:
-                continue
-            for cell in frame["row"]:
-                cell = bytes(cell)
-                if best is None:
-                    best = cell
-                    continue
-                least = least or rank(best)
-                other = rank(cell)
-                if other < least:
-                    best, least = cell, other
-        if not state.exists:
-            state.update((True,))
-        yield pd.DataFrame({"dropped": [seen - (best is not None)], "row": [best]})
-
-    return run
-
-
-def _unpacked(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [c for c in batch.column("row").to_pylist() if c is not None]
-            for at in range(0, len(cells), 256):
-                table = pa.Table.from_batches([_unpack(c, schema) for c in cells[at : at + 256]], schema)
-                yield from table.combine_chunks().to_batches()
-
-    return run
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pc.unique(batch.column(0))], names=["key_digest"])
 
 
 def stream_first_wins(
@@ -125,25 +57,31 @@ def stream_first_wins(
 
     Kept rows go to ``target/rows`` with a digest of their key, the number of dropped rows to ``target/dropped``, a folder
     a batch; a batch that is run again overwrites its own folder.  Keyed state of the stream (in ``checkpoint``) holds the digests
-    that have been seen, so a batch looks up its own keys and reads nothing that earlier batches wrote.  Rows are combined per task before
-    they are shuffled.  Nulls are values of their own: null keys are equal to each other, a null in ``order`` comes first.  Of
-    rows that are equal in keys and order any one is kept.  Order columns are plain values, not lists or structs.
+    that have been seen, so a batch looks up its own keys and reads nothing that earlier batches wrote.  A batch is its rows and
+    a mark for each key that the state did not know; rows are combined per task before they are shuffled, keys per Arrow batch.
+    Nulls are values of their own: null keys are equal to each other, a null in ``order`` comes first.  Of rows that are equal in
+    keys and order any one is kept.  A batch is looked at twice, so the columns of ``stream`` must not differ between two readings.
     """
     keys, order = list(keys), list(order)
-    marked = stream.withColumn("key_digest", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256))
-    schema = marked.schema
-    arrow = to_arrow_schema(schema)
-    firsts = marked.mapInArrow(_combined(schema, order), "key_digest string, seen long, row binary")
-    decided = firsts.groupBy("key_digest").applyInPandasWithState(
-        _first_of_key(arrow, order), "dropped long, row binary", "seen boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256).alias("key_digest")
+    # one source serves both: the rows of a batch and its keys are those of the same files
+    rows = stream.select(digest, F.struct("*").alias("row"))
+    unseen = stream.select(digest).mapInArrow(_distinct, "key_digest string").dropDuplicates(["key_digest"])
+    decided = rows.unionByName(unseen, allowMissingColumns=True)
+    came = F.col("row").isNotNull()
 
     def put(batch: DataFrame, batch_id: int) -> None:
+        firsts = batch.groupBy("key_digest").agg(
+            F.min_by("row", F.when(came, F.struct(*[F.col("row")[c] for c in order]))).alias("row"),
+            F.count_if(came).alias("seen"), F.bool_or(~came).alias("fresh"),
+        )
         # the state is asked once a batch; the folder is overwritten by the next one
-        batch.write.mode("overwrite").parquet(f"{target}/decided")
-        batch = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/decided")
-        batch.filter("row IS NOT NULL").select("row").mapInArrow(_unpacked(arrow), schema).write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
-        batch.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")).write.mode("overwrite").parquet(f"{target}/dropped/batch={batch_id}")
+        kept = F.when(F.col("fresh"), F.col("row")).alias("row")
+        found = firsts.select("key_digest", kept, (F.col("seen") - F.col("fresh").cast("long")).alias("dropped"))
+        found.write.mode("overwrite").parquet(f"{target}/decided")
+        found = batch.sparkSession.read.schema(found.schema).parquet(f"{target}/decided")
+        found.filter("row IS NOT NULL").select("row.*", "key_digest").write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        found.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")).write.mode("overwrite").parquet(f"{target}/dropped/batch={batch_id}")
 
     return (
         decided.writeStream.foreachBatch(put)

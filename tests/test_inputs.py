@@ -155,6 +155,22 @@ def test_first_wins_keeps_state_over_restarts(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/dropped").agg(F.sum("dropped")).first()[0] == 402
 
 
+def test_first_wins_asks_no_function_per_key(spark, tmp_path):
+    """The state of keys is Spark's own; order columns may be structs."""
+    schema = "cls string, at struct<a: int, b: int>, body string"
+    write_batches(spark, f"{tmp_path}/in", [[("A", (1, 2), "a12"), ("A", (1, None), "a1-"), ("A", None, "a-")], [("A", None, "late"), ("B", (2, 1), "b")]], schema)
+    query = flows.stream_first_wins(stream(spark, f"{tmp_path}/in", schema), ["cls"], ["at"], f"{tmp_path}/out", f"{tmp_path}/ck")
+    query.awaitTermination()
+    assert {s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]} == {"dedupe"}
+    assert {len(p["sources"]) for p in query.recentProgress} == {1}
+    rows = spark.read.parquet(f"{tmp_path}/out/rows")
+    assert rows.columns == ["cls", "at", "body", "key_digest", "batch"]
+    dropped = spark.read.parquet(f"{tmp_path}/out/dropped").agg(F.sum("dropped")).first()[0]
+    assert rows.count() == 2 and dropped == 3
+    bodies = {r["cls"]: r["body"] for r in rows.collect()}
+    assert bodies["A"] in ("a-", "late") and bodies["B"] == "b"
+
+
 def test_search_and_scoreboard_over_batches(spark, tmp_path):
     schema = "unit string, code string"
     write_batches(spark, f"{tmp_path}/in", [[("a", "x foo\ny"), ("b", None)], [("c", "Foo\nfoo")]], schema)
