@@ -8,6 +8,7 @@ from symloom.catalog.registry import query
 from symloom.catalog.table_queries import STACK_SQL, annots
 from symloom.operators import positions
 from symloom.plans.ordered import lead, scan
+from symloom.session import cut
 
 
 @query(
@@ -103,7 +104,7 @@ def number_blocks(v):
 def block_leaders(v):
     """Leaders with jump targets, and a protected range of four rows from each signup."""
     size = v.v_step.groupBy("method").agg(F.max("idx").alias("size"))
-    rows = v.v_step.join(size, "method")
+    rows = cut(v.v_step.select("method", "idx", "op", "k").join(size, "method"))
     target = F.col("idx") + F.col("k") % 7 + 1
     jumps = F.when((F.col("op") == "click") & (target <= F.col("size")), F.array(target)).otherwise(
         F.array().cast("array<bigint>")

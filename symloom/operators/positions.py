@@ -14,7 +14,6 @@ from symloom.plans.ordered import (
     lead,
     needs_split,
     next_value,
-    row_number,
     running_min,
     running_sum,
     scan,
@@ -137,24 +136,24 @@ def leaders(insns: DataFrame, try_ranges: DataFrame | None = None) -> DataFrame:
     """Offsets that start a block: entry, after a terminator, targets, try edges and handlers.
 
     ``insns(method_key, off, terminator, targets ARRAY)``;
-    ``try_ranges(method_key, start_off, end_off, handlers ARRAY<STRUCT<type, off>>)``.
+    ``try_ranges(method_key, start_off, end_off, handlers ARRAY<STRUCT<type, off>>)``.  Rows and range ends are narrow rows of
+    one scan: a row that comes first, or right after a terminator or a range's end, starts a block.
     """
-    split = needs_split(insns, ["method_key"])
-    ranked = scan(
-        insns, ["method_key"], ["off"], {"__prev": lag(F.col("terminator")), "__i": row_number()}, split
+    steps = insns.select(
+        "method_key", "off", F.lit(0).alias("__side"), F.coalesce("terminator", F.lit(False)).alias("__ends")
     )
-    own = ranked.filter((F.col("__i") == 1) | F.col("__prev")).select("method_key", "off")
-    jumps = insns.select("method_key", F.explode("targets").alias("off"))
-    found = own.unionByName(jumps)
+    if try_ranges is not None:
+        # the end of a range sorts after the row at its offset, so the row that follows is the one behind the range
+        steps = steps.unionByName(
+            try_ranges.select("method_key", F.col("end_off").alias("off"), F.lit(1).alias("__side"), F.lit(True).alias("__ends"))
+        )
+    ranked = scan(steps, ["method_key"], ["off", "__side"], {"__prev": lag(F.col("__ends"))})
+    own = ranked.filter((F.col("__side") == 0) & F.coalesce("__prev", F.lit(True))).select("method_key", "off")
+    found = own.unionByName(insns.select("method_key", F.explode("targets").alias("off")))
     if try_ranges is not None:
         edges = try_ranges.select("method_key", F.col("start_off").alias("off"))
         handlers = try_ranges.select("method_key", F.explode("handlers.off").alias("off"))
-        after = asof(
-            try_ranges.select("method_key", "end_off"),
-            insns.select("method_key", F.col("off")),
-            ["method_key"], "end_off", "off", ["off"], direction="ceil", strict=True, split=split or None,
-        ).select("method_key", "off")
-        found = found.unionByName(edges).unionByName(handlers).unionByName(after)
+        found = found.unionByName(edges).unionByName(handlers)
     return found.filter(F.col("off").isNotNull()).distinct()
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from symloom.operators import positions
 from symloom.plans import intervals, ordered
 from symloom.session import ROWS_PER_TASK_KEY
 
@@ -91,3 +92,43 @@ def test_interval_boundaries_and_empty(spark):
     df = spark.createDataFrame([("g", 1, 0, 5), ("g", 2, 5, 9), ("g", 3, 10, 10)], "g string, id long, s long, e long")
     assert [tuple(r) for r in intervals.overlapping(df, ["g"], "id", "s", "e").collect()] == [("g", 1, 2)]
     assert intervals.overlapping(df.limit(0), ["g"], "id", "s", "e").count() == 0
+
+
+def greedy_leaders(insns, tries):
+    found = set()
+    for method in {r[0] for r in insns}:
+        rows = sorted(r for r in insns if r[0] == method)
+        found.add((method, rows[0][1]))
+        found |= {(method, b[1]) for a, b in zip(rows, rows[1:]) if a[2]}
+        found |= {(method, t) for r in rows for t in r[3]}
+        for _, _, end, _ in (t for t in tries if t[0] == method):
+            found |= {(method, r[1]) for r in [r for r in rows if end is not None and r[1] > end][:1]}
+    for method, start, _, handlers in tries:
+        found.add((method, start))
+        found |= {(method, h[1]) for h in handlers}
+    return found
+
+
+@pytest.mark.parametrize("limit", [None, "10"])
+def test_leaders_in_one_scan(spark, limit):
+    rnd = random.Random(7)
+    insns, tries = [], []
+    for method in (1, 2, 3):
+        for off in sorted(rnd.sample(range(200), 60)):
+            insns.append((method, off, rnd.choice([True, False, False, None]), [rnd.randrange(200)] if rnd.random() < 0.1 else []))
+        for _ in range(12):
+            start = rnd.randrange(180)
+            tries.append((method, start, rnd.choice([start, start + rnd.randrange(1, 40), None]), [("E", rnd.randrange(200))]))
+    tries.append((9, 1, 5, [("E", 3)]))  # ranges of a method without rows
+    left = spark.createDataFrame(insns, "method_key long, off long, terminator boolean, targets array<long>")
+    right = spark.createDataFrame(tries, "method_key long, start_off long, end_off long, handlers array<struct<type: string, off: long>>")
+    if limit:
+        spark.conf.set(ROWS_PER_TASK_KEY, limit)
+    try:
+        out = positions.leaders(left, right)
+        got = [(r.method_key, r.off) for r in out.collect()]
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_KEY)
+    assert len(got) == len(set(got)) and set(got) == greedy_leaders(insns, tries)
+    if not limit:
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
