@@ -203,6 +203,30 @@ def test_repeats_of_edges_elsewhere(spark, length, gram, modulus):
     assert wrong == []
 
 
+def test_repeats_of_one_text_in_many_rows(spark):
+    """Rows of a common text, long or short, are not dealt to one task."""
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    hot, short, part = text(600), text(30), text(450)
+    docs = [hot] * 400 + [short] * 400 + [text(20) + part, part + text(30), text(10) + hot[50:500]] + [text(500) for _ in range(20)] + [text(410)] * 2
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8, "doc_id")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = suffix_dedup.remove_repeats(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(docs)
+    for i, want in enumerate(brute_repeats([d.encode() for d in docs], 400)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), got[i]["kept_sha256"]) == want
+    for first in (0, 400):
+        assert max(Counter(got[i]["task"] for i in range(first, first + 400)).values()) < 200
+
+
 @pytest.mark.parametrize("modulus", [7, 13, 31, 73])
 def test_difference_cover(modulus):
     cover = suffix_dedup.difference_cover(modulus)
