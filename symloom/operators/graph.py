@@ -9,11 +9,13 @@ from symloom.functions.signatures import BRIDGE, FINAL, STATIC, SYNTHETIC, has_f
 from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.bounded import solve_groups, split_by_size
 from symloom.plans.fixpoint import fresh, grow, sized
-from symloom.plans.ordered import lead, scan
+from symloom.plans.ordered import lead, row_number, scan
 from symloom.session import cut, cut_spread, scratch_folder
 
 # most ancestors that are held as one list
 LISTED = 10_000
+# most members of a set whose lists are brought together
+TOGETHER = 1_000
 
 # Fixed values.
 OBJECT = "java.lang.Object"
@@ -342,11 +344,49 @@ def _joined_by_rows(pairs: DataFrame, ranked: DataFrame, app: list[str], root: s
     return pairs.join(best, [*app, "a", "b"], "left").withColumn("joined", F.coalesce("joined", F.lit(root)))
 
 
-def deepest_common(sets: DataFrame, closed: DataFrame, depth: DataFrame) -> DataFrame:
+def deepest_common(sets: DataFrame, closed: DataFrame, depth: DataFrame, listed: int = LISTED, together: int = TOGETHER) -> DataFrame:
     """sets(set, node) -> (set, ancestor): the deepest node that is an ancestor of all, self included.
 
-    ``closed(cls, anc)``; ``depth(anc, level)``.  Members are made distinct, ancestors are counted.
+    ``closed(cls, anc)``; ``depth(anc, level)``.  Nodes are numbered from the top down, and each has one sorted list of the numbers
+    of its ancestors and itself.  A member takes that list to its set and stays one row; the answer is the largest number that
+    all lists of the set hold.  Sets of more than ``together`` members, or with one of more than ``listed`` ancestors, are counted by single ancestors.
     """
+    members = sets.select("set", "node").filter("set IS NOT NULL")
+    large = cut(members.groupBy("set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together).select("set"))
+    wide = cut(closed.groupBy(F.col("cls").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > listed).select("node"))
+    if large.isEmpty() and wide.isEmpty():
+        return _deepest_by_lists(members, closed, depth)
+    apart = cut(large.unionByName(members.join(sized(wide, wide.count()), "node", "left_semi").select("set")).distinct())
+    n = apart.count()
+    by_rows = _deepest_by_rows(members.join(sized(apart, n), "set", "left_semi"), closed, depth)
+    narrow = closed.join(sized(wide, wide.count()).withColumnRenamed("node", "cls"), "cls", "left_anti")
+    return _deepest_by_lists(members.join(sized(apart, n), "set", "left_anti"), narrow, depth).unionByName(by_rows)
+
+
+def _deepest_by_lists(members: DataFrame, closed: DataFrame, depth: DataFrame) -> DataFrame:
+    both = closed.select(F.explode(F.array("cls", "anc")).alias("anc")).filter("anc IS NOT NULL").distinct()
+    level = depth.groupBy("anc").agg(F.max(F.coalesce("level", F.lit(0))).alias("level"))
+    nodes = cut(both.join(level, "anc", "left").select("anc", F.coalesce("level", F.lit(0)).alias("level")))
+    numbered = scan(nodes, [], ["level", "anc"], {"id": row_number()}, True)
+    ids = cut(numbered.select("anc", F.col("id").cast("int" if nodes.count() < 2**31 else "long").alias("id")))
+    up = closed.select(F.col("cls").alias("node"), "anc").join(fresh(ids), "anc").select("node", "id")
+    itself = fresh(ids).select(F.col("anc").alias("node"), "id")
+    # neighbours in a list's order share their tops, which is what a shuffle packs well
+    lists = up.unionByName(itself).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # a node that the hierarchy does not know has no ancestor but itself
+    placed = members.join(lists, "node", "left").select("set", "ids", F.when(F.col("ids").isNull(), F.col("node")).alias("lone"))
+    found = placed.groupBy("set").agg(
+        F.collect_list("ids").alias("lists"), F.count(F.lit(1)).alias("n"), F.count("lone").alias("named"), F.min("lone").alias("least"), F.max("lone").alias("most")
+    )
+    rest = F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0)))
+    common = F.aggregate(rest, F.get("lists", F.lit(0)), lambda acc, ids: F.array_intersect(acc, ids))
+    alone = (F.size("lists") == 0) & F.col("least").eqNullSafe(F.col("most")) & F.col("named").isin(F.lit(0), F.col("n"))
+    best = found.select("set", F.when(F.size("lists") == F.col("n"), F.array_max(common)).alias("id"), alone.alias("alone"), "least")
+    met = best.filter(F.col("alone") | F.col("id").isNotNull()).join(fresh(ids), "id", "left")
+    return met.select("set", F.coalesce("anc", "least").alias("ancestor"))
+
+
+def _deepest_by_rows(sets: DataFrame, closed: DataFrame, depth: DataFrame) -> DataFrame:
     members = sets.select("set", "node").distinct()
     size = members.groupBy("set").agg(F.count(F.lit(1)).alias("size"))
     up = closed.select(F.col("cls").alias("node"), "anc")

@@ -291,6 +291,35 @@ def test_forwarder_chains(spark):
     assert {r.callee for r in graph.redirect_calls(calls, ends).collect()} == {"real", "l0", "z"}
 
 
+@pytest.mark.parametrize("limits", [{}, {"together": 3}, {"listed": 4}, {"together": 0}])
+def test_deepest_common_keeps_a_member_one_row(spark, limits):
+    """Any hierarchy, levels that are not those of a tree, members that come twice, are null or in no class."""
+    rng = random.Random(5)
+    parents = {f"n{k:02}": {f"n{rng.randrange(k):02}" for _ in range(rng.choice([1, 1, 2]))} for k in range(1, 60)}
+    above = {"n00": set()}
+    for k in range(1, 60):
+        above[f"n{k:02}"] = parents[f"n{k:02}"].union(*(above[p] for p in parents[f"n{k:02}"]))
+    level = {n: rng.choice([None, 0, 1, 2, 3, 9]) for n in above if rng.random() < 0.9}
+    names = [*above, "far", "other", None]
+    sets = [(s, rng.choice(names[:60] if s % 4 else names)) for s in range(400) for _ in range(rng.choice([1, 2, 2, 3, 6]))]
+    sets += [(900, None), (901, "far"), (901, "far"), (902, "far"), (902, "other"), (903, None), (903, "n01"), (None, "n05"), (904, "n59"), (904, "n59"), (905, "far"), (905, None)]
+    members = {}
+    for s, n in sets:
+        members.setdefault(s, set()).add(n)
+    want = {}
+    for s, nodes in members.items():
+        common = set.intersection(*(above.get(n, set()) | {n} for n in nodes))
+        if s is not None and common:
+            want[s] = None if common == {None} else max(common, key=lambda a: (level.get(a) or 0, a))
+    closed = spark.createDataFrame([(c, a) for c, up in above.items() for a in up], "cls string, anc string")
+    depth = spark.createDataFrame(list(level.items()), "anc string, level int")
+    found = graph.deepest_common(spark.createDataFrame(sets, "set int, node string"), closed, depth, **limits)
+    rows = found.collect()
+    assert len(rows) == len(want) and {r.set: r.ancestor for r in rows} == want
+    assert want[900] is None and want[901] == "far" and not {902, 903, 905} & set(want)
+    assert "array_intersect" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_deepest_common_and_renderable(spark):
     tree = [("b", "a"), ("c", "a"), ("d", "b"), ("e", "b")]
     closed = graph.ancestors(spark.createDataFrame(tree, "cls string, parent string"))
