@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from symloom.catalog.graph_queries import class_closure
 from symloom.catalog.registry import query
 from symloom.operators import naming, resources, xref
-from symloom.operators.positions import line_starts
+from symloom.operators.positions import line_starts, pieces
 from symloom.plans.ordered import running_sum, scan
 
 _METHODS_SQL = """meth AS (SELECT c_custkey % 997 AS cls, c_mktsegment AS name, c_nationkey % 3 AS p, c_nationkey % 2 AS r, c_custkey AS key FROM customer)"""
@@ -208,15 +208,11 @@ def symbol_at(v):
     texts = units.select("unit", F.posexplode(F.split("code", "\n")).alias("i", "text")).select(
         "unit", (F.col("i") + 1).alias("line"), "text"
     )
-    words = texts.select("unit", "line", F.posexplode(F.split("text", " ")).alias("j", "tok"))
-    run = scan(words, ["unit", "line"], ["j"], {"upto": running_sum(F.length("tok") + 1)}).join(lines, ["unit", "line"])
     sym = F.struct(
         F.lit("method").alias("kind"), F.col("line").cast("string").alias("owner"), F.col("tok").alias("name"),
         F.array().cast("array<string>").alias("params"),
     )
-    marks = run.select(
-        "unit", (F.col("start_off") + F.col("upto") - F.length("tok") - 1).alias("off"), F.lit("ref").alias("kind"), sym.alias("sym")
-    )
+    marks = pieces(units, " ").select("unit", "off", F.lit("ref").alias("kind"), sym.alias("sym"))
     clicks = texts.select("unit", "line", F.explode(F.array(F.lit("the"), F.lit("est"))).alias("token")).select(
         F.struct("unit", "line", "token").alias("click"), "unit", "line", "token", F.lit("method").alias("hint")
     )

@@ -109,3 +109,19 @@ def ancestors(path: Column, separator: str) -> Column:
         F.sequence(F.lit(1), F.size(parts)),
         lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator),
     )
+
+
+def running_sums(sizes: Column) -> Column:
+    """Of an array of whole numbers, the sums up to and with each of its items, in the task that holds the array."""
+
+    def summed(arrays):
+        import numpy as np
+        import pyarrow as pa
+
+        lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        upto = np.concatenate([[0], np.cumsum(arrays.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        sums = upto[1:] - np.repeat(upto[ends[:-1]], lengths)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums, pa.int64()), mask=arrays.is_null())
+
+    return F.arrow_udf(summed, "array<bigint>")(sizes.cast("array<bigint>"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.functions.text import running_sums
 from symloom.plans import intervals
 from symloom.plans.ordered import (
     lag,
@@ -19,6 +20,7 @@ from symloom.plans.ordered import (
     scan,
 )
 from symloom.plans.apps import has_app, packed, unpacked
+from symloom.plans.fixpoint import fresh, sized
 from symloom.session import cut
 
 # The delta-coded line table.
@@ -40,6 +42,44 @@ def line_starts(units: DataFrame) -> DataFrame:
     return summed.select("unit", "line", (F.col("upto") - F.col("size")).cast("int").alias("start_off"))
 
 
+def repeated(units: DataFrame) -> DataFrame:
+    """The keys of units whose code comes in several rows; only keys are shuffled."""
+    return cut(units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("unit"))
+
+
+def line_texts(units: DataFrame) -> DataFrame:
+    """(unit, line, start_off, text) of units that are one row each, worked out in the task that holds the code."""
+    cells = units.select("unit", F.split("code", "\n").alias("text"))
+    placed = cells.withColumn("end", running_sums(F.transform("text", lambda x: F.length(x) + 1)))
+    rows = placed.select("unit", F.posexplode(F.arrays_zip("text", "end")).alias("i", "z"))
+    return rows.select(
+        "unit", (F.col("i") + 1).alias("line"), (F.col("z.end") - F.length("z.text") - 1).alias("start_off"), F.col("z.text").alias("text")
+    )
+
+
+def pieces(units: DataFrame, separator: str) -> DataFrame:
+    """(unit, line, off, tok): what stands between separators (one sign each) on every line.
+
+    Code of one row is taken apart and summed where it is.  The rows of a unit that comes in several are put in one order by line.
+    """
+    several = repeated(units)
+    n = several.count()
+    few = sized(several, n)
+    lines = line_texts(units.join(few, "unit", "left_anti") if n else units)
+    cells = lines.withColumn("tok", F.split("text", separator)).drop("text")
+    placed = cells.withColumn("end", running_sums(F.transform("tok", lambda x: F.length(x) + 1)))
+    rows = placed.select("unit", "line", "start_off", F.explode(F.arrays_zip("tok", "end")).alias("z"))
+    off = lambda end: (F.col("start_off") + F.col(end) - F.length("tok") - 1).alias("off")
+    alone = rows.select("unit", "line", "start_off", "z.tok", "z.end").select("unit", "line", off("end"), "tok")
+    if not n:
+        return alone
+    again = units.join(fresh(few), "unit", "left_semi")
+    texts = again.select("unit", F.posexplode(F.split("code", "\n")).alias("i", "text"))
+    words = texts.select("unit", (F.col("i") + 1).alias("line"), F.posexplode(F.split("text", separator)).alias("j", "tok"))
+    run = scan(words, ["unit", "line"], ["j"], {"upto": running_sum(F.length("tok") + 1)}).join(line_starts(again), ["unit", "line"])
+    return alone.unionByName(run.select("unit", "line", off("upto"), "tok"))
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.functions.text import running_sums
 from symloom.operators import positions
 from symloom.plans.apps import APP, has_app, packed, unpacked
 from symloom.plans.fixpoint import sized
 from symloom.plans.ordered import first_row, needs_split, row_number, scan
-from symloom.session import cut
+from symloom.plans.sieve import sifted
+from symloom.session import BROADCAST_ROWS, cut, stage
 
 # Symbol kinds that are indexed.
 INDEXED_KINDS = ("class", "method", "field")
@@ -144,55 +146,109 @@ def symbol_at(annots: DataFrame, units: DataFrame, clicks: DataFrame) -> DataFra
     """Symbol meant by a click(click, unit, line, token, hint).
 
     First definition or reference on that line whose text is the whole token; one of the hinted kind
-    is preferred.  The words of the code and the line starts are laid against the annotations in one
-    as-of scan, so no code text travels with an annotation.  What stands on a word that is clicked nowhere goes no
+    is preferred.  The places of clicked words are worked out where the code is, so neither code text nor other words travel, and
+    annotations are sifted by them before they are shuffled.  What stands on a word that is clicked nowhere goes no
     further; the rest is written once.  Clicks then meet the first annotation
     of each word, line and kind; only tokens that are more than a word look at single places.  With an ``app_id`` in all three,
     units are those of one app; ``click`` tells the clicks of all apps apart.
     """
-    from symloom.operators.search import spans_of
-
     if has_app(annots, units, clicks):
         return symbol_at(packed(annots, "unit"), packed(units, "unit"), packed(clicks, "unit"))
 
-    split = needs_split(annots, ["unit"])
     candidates = annots.filter(
         F.col("kind").isin("def", "ref") & F.col("sym.kind").isin(*INDEXED_KINDS)
     ).select("unit", "off", "sym")
-    starts = positions.line_starts(units)
-    words = spans_of(units, f"{_WORD}+").select("unit", F.col("start").alias("w_at"), "text")
-    worded = positions.floor_each(
-        candidates, ["unit"], "off", [(starts, "start_off", ["line"]), (words, "w_at", ["w_at", "text"])], split
-    )
-    # what is left of the word from the annotation on; empty where no word goes on
-    rest = F.substring(F.col("text"), (F.col("off") - F.col("w_at") + 1).cast("int"), F.length("text"))
-    every = worded.select("unit", "line", "off", "sym", F.coalesce(rest, F.lit("")).alias("word"))
-
     keys = ["unit", "line", "token", "hint"]
     asks = clicks.select(*keys).distinct().filter(F.length("token") > 0).withColumn(
         "word", F.regexp_extract("token", f"^{_WORD}*", 0)
     )
-    asked = cut(asks.select("word").distinct())
-    placed = cut(every.join(sized(asked, asked.count()), "word", "left_semi"))
+    asked = cut(asks.groupBy("word").agg(F.max(F.col("token") != F.col("word")).alias("longer")))
+    several = positions.repeated(units)
+    n = several.count()
+    spots = stage(_spots(units.join(sized(several, n), "unit", "left_anti") if n else units, asked), "spots")
+    found = _on_spots(candidates, spots, spots.count())
+    if n:
+        among = lambda df: df.join(sized(several, n), "unit", "left_semi")
+        worded = _worded(among(candidates), among(units), needs_split(among(annots), ["unit"]))
+        found = found.unionByName(worded.join(sized(asked, asked.count()), "word", "left_semi").select(*found.columns))
+    placed = cut(found)
     off_kind = F.coalesce(F.col("sym.kind") != F.col("hint"), F.lit(False))
     choice = F.min_by(F.struct("sym", "off"), F.struct(off_kind.alias("x"), "off")).alias("hit")
     firsts = placed.groupBy("unit", "line", "word", F.col("sym.kind").alias("k")).agg(
         F.min_by("sym", "off").alias("sym"), F.min("off").alias("off")
     )
     on = ["unit", "line", "word"]
-    plain = asks.filter(F.col("token") == F.col("word")).join(firsts, on).select(*keys, "sym", "off")
-    longer = (
-        asks.filter(F.col("token") != F.col("word"))
-        .join(placed, on)
-        .join(units.select("unit", "code"), "unit")
-        .filter(
-            (F.substring(F.col("code"), F.col("off") + 1, F.length("token")) == F.col("token"))
-            & ~F.substring(F.col("code"), F.col("off") + F.length("token") + 1, F.lit(1)).rlike(_WORD)
+    hits = asks.filter(F.col("token") == F.col("word")).join(firsts, on).select(*keys, "sym", "off")
+    if not asked.filter("longer").isEmpty():
+        hits = hits.unionByName(
+            asks.filter(F.col("token") != F.col("word"))
+            .join(placed, on)
+            .join(units.select("unit", "code"), "unit")
+            .filter(
+                (F.substring(F.col("code"), F.col("off") + 1, F.length("token")) == F.col("token"))
+                & ~F.substring(F.col("code"), F.col("off") + F.length("token") + 1, F.lit(1)).rlike(_WORD)
+            )
+            .select(*keys, "sym", "off")
         )
-        .select(*keys, "sym", "off")
-    )
-    best = plain.unionByName(longer).groupBy(*keys).agg(choice)
+    best = hits.groupBy(*keys).agg(choice)
     same = [clicks[c].eqNullSafe(best[c]) for c in keys]
     return clicks.join(best, same, "left").select(
         clicks["click"], F.col("hit.sym").alias("sym"), F.col("hit.off").alias("off")
     )
+
+
+def _spots(units: DataFrame, asked: DataFrame) -> DataFrame:
+    """(unit, line, off, word): the places from which the rest of a word is one of asked(word), in units of one row each.
+
+    The rest is empty on every sign that is in no word, ends of lines included.
+    """
+    sizes = [r[0] for r in asked.select(F.length("word")).distinct().collect()]
+    cells = positions.line_texts(units).select(
+        "unit", "line", "start_off", F.length("text").alias("size"),
+        F.regexp_extract_all("text", F.lit(f"{_WORD}+"), F.lit(0)).alias("word"), F.split("text", f"{_WORD}+").alias("gap"),
+    )
+    steps = F.zip_with("word", F.slice("gap", F.lit(1), F.size("word")), lambda w, g: F.length(w) + F.length(g))
+    summed = cells.withColumn("end", running_sums(steps))
+    words = summed.select("unit", "line", "start_off", F.explode(F.arrays_zip("word", "end")).alias("z")).select(
+        "unit", "line", (F.col("start_off") + F.col("z.end")).alias("end"), F.col("z.word").alias("word")
+    )
+    tails = F.filter(F.array(*[F.lit(k) for k in sizes if k]).cast("array<int>"), lambda k: k <= F.length("word"))
+    rests = words.withColumn("k", F.explode(tails)).select(
+        "unit", "line", (F.col("end") - F.col("k")).alias("off"), F.substring("word", F.length("word") - F.col("k") + 1, F.col("k")).alias("word")
+    )
+    spots = rests.join(sized(asked, asked.count()), "word", "left_semi").select("unit", "line", "off", "word")
+    if 0 not in sizes:
+        return spots
+    gaps = summed.select("unit", "line", "start_off", "size", F.explode(F.arrays_zip("gap", "word", "end")).alias("z"))
+    # the last gap of a line holds the line's end
+    last = F.col("z.word").isNull()
+    stop = F.when(last, F.col("size") + 1).otherwise(F.col("z.end") - F.length("z.word"))
+    first = F.when(last, F.col("size")).otherwise(stop) - F.length("z.gap")
+    between = gaps.withColumns({"first": first.cast("long"), "stop": stop.cast("long")}).filter("first < stop")
+    return spots.unionByName(
+        between.select("unit", "line", F.col("start_off"), F.explode(F.sequence("first", F.col("stop") - 1)).alias("at")).select(
+            "unit", "line", (F.col("start_off") + F.col("at")).alias("off"), F.lit("").alias("word")
+        )
+    )
+
+
+def _on_spots(candidates: DataFrame, spots: DataFrame, rows: int) -> DataFrame:
+    at = candidates.withColumn("__at", F.col("off").cast("long"))
+    there = spots.withColumnRenamed("off", "__at")
+    if rows > BROADCAST_ROWS:
+        at = sifted(at, ["unit", "__at"], there, rows)
+    return at.join(sized(there, rows), ["unit", "__at"]).select("unit", "line", "off", "sym", "word")
+
+
+def _worded(candidates: DataFrame, units: DataFrame, split: bool) -> DataFrame:
+    """Line and rest of the word of each annotation by one as-of scan, for units that come in several rows."""
+    from symloom.operators.search import spans_of
+
+    starts = positions.line_starts(units)
+    words = spans_of(units, f"{_WORD}+").select("unit", F.col("start").alias("w_at"), "text")
+    worded = positions.floor_each(
+        candidates, ["unit"], "off", [(starts, "start_off", ["line"]), (words, "w_at", ["w_at", "text"])], split
+    )
+    # what is left of the word from the annotation on; empty where no word goes on
+    rest = F.substring(F.col("text"), (F.col("off") - F.col("w_at") + 1).cast("int"), F.length("text"))
+    return worded.select("unit", "line", "off", "sym", F.coalesce(rest, F.lit("")).alias("word"))
